@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, simhash
+from factloom.llm import decontaminate, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring": substring.op1_substring,
         "op6_simhash": simhash.op6_simhash,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
