@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, simhash, substring
+from factloom.llm import decontaminate, packing, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": substring.op1_substring,
+        "op5_packing": packing.op5_packing,
         "op6_simhash": simhash.op6_simhash,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
