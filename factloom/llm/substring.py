@@ -33,9 +33,9 @@ from factloom.llm import textops as ops
 WINDOW, MINIMISER = 35, 3
 #: Fine slots of minimisers for the first count; raw bytes of a bin; bytes from which a slot is split.
 SLOT_BITS = 16
-BIN_BYTES, HEAVY_BYTES = 24 << 20, 12 << 20
-#: Packed bytes that a task compares at once, before it ships, and that a bin compares at once.
-FLUSH_BYTES = 24 << 20
+BIN_BYTES, HEAVY_BYTES = 16 << 20, 8 << 20
+#: Packed bytes that a task compares at once, before it ships; a bin settles a quarter of that at once.
+FLUSH_BYTES = 16 << 20
 _HEAD = np.dtype([("slot", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("word", "<i4"), ("size", "<i4")])
 
 
@@ -197,7 +197,7 @@ def repeated_ranges(keyed: DataFrame, text_col: str, k: int = WINDOW) -> DataFra
     sent = spark.sparkContext.broadcast(split)
 
     def pack(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         held: list[tuple[bytes, int, int, int, int]] = []
         size = 0
 
@@ -250,7 +250,7 @@ def repeated_ranges(keyed: DataFrame, text_col: str, k: int = WINDOW) -> DataFra
             packets.sort(key=lambda p: p[1])
             group, size = [], 0
             for p in packets:
-                if size > FLUSH_BYTES // 2 and p[1] != group[-1][1]:
+                if size > FLUSH_BYTES // 4 and p[1] != group[-1][1]:
                     yield found(group)
                     group, size = [], 0
                 group.append(p)
@@ -302,7 +302,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     names = docs.columns if keep is None else keep
     slim = docs.select(*dict.fromkeys([id_col, text_col, *names]))
-    inner = slim.select(F.struct(*slim.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    inner = slim.select(F.struct(*(c for c in slim.columns if c != text_col)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = _keyed(inner, "id", "text")
     ranges = repeated_ranges(keyed, "text", k).distinct()
     spans = ranges.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("spans"))
@@ -330,8 +330,9 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return work
 
-    out = ops.map_text(joined, "text", make, [("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")], ["row", "first", "past"])
-    return out.select(*(F.col("row")[c].alias(c) for c in names if c not in ("n_words", "n_removed", "kept")), "n_words", "n_removed", "kept")
+    out = ops.map_text(joined, "text", make, [("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")], ["row", *(["text"] if text_col in names else [])])
+    own = (F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names if c not in ("n_words", "n_removed", "kept"))
+    return out.select(*own, "n_words", "n_removed", "kept")
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,11 +115,19 @@ class Words:
         self.ptr = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * powers(_BASE_INV, n + 1)[self.start])
+        """A 64-bit hash of each word's bytes, worked out in blocks of about SLICE_BYTES."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            base = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, base + SLICE_BYTES, side="right")))
+            part = self.data[base : self.end[j - 1]]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(part)), out=total[1:])
+            begin = self.start[i:j] - base
+            out[i:j] = mixed((total[self.end[i:j] - base] - total[begin]) * powers(_BASE_INV, len(part) + 1)[begin])
+            i = j
+        return out
 
     def doc(self) -> np.ndarray:
         """For each word the text that it belongs to."""

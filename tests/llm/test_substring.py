@@ -57,3 +57,15 @@ def test_hash_collisions_are_told_apart(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert s.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    import numpy as np
+    from factloom.llm import textops as t
+
+    data = np.frombuffer(b"some words in a row and some again in a row " * 30, np.uint8)
+    w = t.Words(data, np.array([0, len(data)]), t.WORD_WS)
+    whole = w.hashes()
+    monkeypatch.setattr(t, "SLICE_BYTES", 50)
+    assert np.array_equal(w.hashes(), whole)
+    assert len(set(whole.tolist())) == len(set(data.tobytes().split()))
