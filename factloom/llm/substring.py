@@ -330,7 +330,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return work
 
-    out = ops.map_text(joined, "text", make, [("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")], ["row", *(["text"] if text_col in names else [])])
+    out = ops.map_text(joined, "text", make, [("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")], ["row", *(["text"] if text_col in names else [])], need=("first", "past"))
     own = (F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names if c not in ("n_words", "n_removed", "kept"))
     return out.select(*own, "n_words", "n_removed", "kept")
 

@@ -200,15 +200,16 @@ def map_text(
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]],
     fields: list[tuple[str, str]],
     keep: list[str],
+    need: tuple[str, ...] = (),
 ) -> DataFrame:
     """One output row for each row: the columns of ``keep``, and ``fields`` computed from slices of text.
 
     ``make()`` runs once in each task and returns the function for a slice. Kept columns whose names
-    clash with ``fields`` give way to the new ones.
+    clash with ``fields`` give way to the new ones. Columns of ``need`` are there for the function only.
     """
     new = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
     held = [c for c in keep if c not in new.fieldNames()]
-    chosen = df.select(*dict.fromkeys([*held, column]))
+    chosen = df.select(*dict.fromkeys([*held, column, *need]))
     schema = T.StructType([*(chosen.schema[c] for c in held), *new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
