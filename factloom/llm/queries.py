@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, packing, simhash, substring
+from factloom.llm import decontaminate, matroska, packing, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring": substring.op1_substring,
         "op5_packing": packing.op5_packing,
         "op6_simhash": simhash.op6_simhash,
+        "op7_matroska": matroska.op7_matroska,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
 
