@@ -228,3 +228,21 @@ def map_text(
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str, text_col: str, most: dict[int, int], max_bytes: int = 1 << 16):
+    """A pandas frame (text, label) to fit a classifier on: about ``most[label]`` rows of each label, fewer if there are fewer.
+
+    Only rows whose id's crc32 modulo 3 is not 1, with label 0 or 1 and a text of at most ``max_bytes``.
+    Rows are taken by the hash of their id, so the choice doesn't depend on their order.
+    """
+    rows = labels.where((id_remainder(id_col, 3) != 1) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).distinct()
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    share = F.lit(0.0)
+    for label, n in counts.items():
+        share = F.when(F.col("label") == label, F.lit(min(1.0, most[label] / n))).otherwise(share)
+    chosen = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
+    # About sum(most) rows, whatever the input.
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_bytes)
+    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "label").limit(4 * sum(most.values())).toPandas()
+    return found.sort_values(["label", "text"], kind="stable", ignore_index=True)
