@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, matroska, packing, simhash, substring
+from factloom.llm import decontaminate, matroska, packing, quality, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": simhash.op6_simhash,
         "op7_matroska": matroska.op7_matroska,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_quality": quality.op10_quality,
     }
 
 

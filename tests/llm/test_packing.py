@@ -20,7 +20,10 @@ def own(text):
 
 def test_ids_are_the_tokenizers():
     texts = [t for _, t in corpus()]
-    got = [np.frombuffer(b, "<u4").tolist() for b in p.Tokens.at(p.default_tokenizer()).ids(texts)]
+    tokens = p.Tokens.at(p.default_tokenizer())
+    assert tokens.fast is not None
+    texts += ["x" * 9000, "y" * 3999, " " * 9000 + "z", "\ud7ff\U0001f600 mixed"]
+    got = [np.frombuffer(tokens.ids(t), "<u4").tolist() for t in texts]
     assert got == [own(t or "") for t in texts]
 
 
