@@ -216,8 +216,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
     steps = {"n": 0}
 
     def learn(which: np.ndarray, target: np.ndarray) -> None:
-        for i in range(0, len(which), BATCH):
-            part = which[i : i + BATCH]
+        size = max(16, min(BATCH, len(which) // 24))  # few rows still make some steps an epoch
+        for i in range(0, len(which), size):
+            part = which[i : i + size]
             rows = x.rows(part)
             used, at = np.unique(rows[rows >= 0], return_inverse=True)
             rows[rows >= 0] = at
@@ -226,7 +227,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
             sums = np.add.reduceat(m["chars"][grams], np.cumsum(n) - n, axis=0) / n[:, None] if len(used) else np.zeros((0, DIM))
             vectors = np.concatenate([m["words"][x.bucket[used]] + sums, np.zeros((1, DIM))]).astype(np.float32)
             logit, memory = forward(m, vectors, rows, keep=True)
-            d = (1 / (1 + np.exp(-logit)) - target[i : i + BATCH]) / len(part)
+            d = (1 / (1 + np.exp(-logit)) - target[i : i + size]) / len(part)
             g, dv = backward(m, vectors, memory, d.astype(np.float32))
             g["words"], g["chars"] = np.zeros_like(m["words"]), np.zeros_like(m["chars"])
             np.add.at(g["words"], x.bucket[used], dv[:-1])
