@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, html, langid, matroska, packing, quality, simhash, substring, toxicity
+from factloom.llm import ctw, decontaminate, html, langid, matroska, packing, quality, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": substring.op1_substring,
+        "op2_ctw": ctw.op2_ctw,
         "op3_html": html.op3_html,
         "op4_langid": langid.op4_langid,
         "op5_packing": packing.op5_packing,
