@@ -97,8 +97,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> tuple[np.ndarr
     return (vectors @ line).astype(np.float32), float(bias[1] - bias[0])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
-    """The columns of ``keep`` (default: all) and score, the probability of label 1."""
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None, name: str = "score", most_rows: int = MOST_ROWS) -> DataFrame:
+    """The columns of ``keep`` (default: all) and ``name``, the probability of label 1."""
     spark = docs.sparkSession
     ops.bounded(spark)
     fit = ops.labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, most={0: most_rows, 1: most_rows})
@@ -115,11 +115,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 sums = np.concatenate([[0.0], np.cumsum(adds[bucket], dtype=np.float64)])
                 total += sums[edges[1:]] - sums[edges[:-1]]
                 count += np.diff(edges)
-            return {"score": 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))}
+            return {name: 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))}
 
         return work
 
-    return ops.map_text(docs, text_col, make, [("score", "double")], docs.columns if keep is None else keep)
+    return ops.map_text(docs, text_col, make, [(name, "double")], docs.columns if keep is None else keep)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

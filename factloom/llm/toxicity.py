@@ -252,8 +252,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
     return m
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None, most_rows: dict[int, int] | None = None) -> DataFrame:
-    """The columns of ``keep`` (default: all) and score, 0 to 1, for label 1."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None, name: str = "score", most_rows: dict[int, int] | None = None) -> DataFrame:
+    """The columns of ``keep`` (default: all) and ``name``, 0 to 1, for label 1."""
     spark = docs.sparkSession
     ops.bounded(spark)
     fit = ops.labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, most=most_rows or MOST_ROWS)
@@ -265,12 +265,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             if m is None:
-                return {"score": np.zeros(batch.num_rows)}
-            return {"score": scores(m, *ops.text_buffers(batch.column(text_col)))}
+                return {name: np.zeros(batch.num_rows)}
+            return {name: scores(m, *ops.text_buffers(batch.column(text_col)))}
 
         return work
 
-    return ops.map_text(docs, text_col, make, [("score", "double")], docs.columns if keep is None else keep)
+    return ops.map_text(docs, text_col, make, [(name, "double")], docs.columns if keep is None else keep)
 
 
 THRESHOLD = 0.7
