@@ -1 +1 @@
-
+"""Operators over fact, chunk and vector tables."""

@@ -1 +1 @@
-
+"""Readers, writers and namespaces of sources."""
