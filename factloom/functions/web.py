@@ -8,9 +8,10 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(unescape, na_action="ignore")
 
