@@ -41,7 +41,8 @@ class Inputs:
         lower = ops.LOWER[data]
         w = ops.Words(lower, offsets, ops.WORD_ALNUM)
         h, first, self.word_of = np.unique(w.hashes(), return_index=True, return_inverse=True) if len(w.start) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.bucket = (h % np.uint64(WORD_BUCKETS)).astype(np.int64)
+        self.word_of = self.word_of.astype(np.int32)
+        self.bucket = (h % np.uint64(WORD_BUCKETS)).astype(np.int32)
         start, end = w.start[first], w.end[first]
         size = end - start
         # The distinct words' bytes with a space on both sides of each.
@@ -51,15 +52,14 @@ class Inputs:
         inner = np.repeat(begin + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
         text[inner] = lower[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         grams, owner = [], []
-        wide = text.astype(np.uint64)
         for g in NGRAMS:
             count = np.maximum(n - g + 1, 1 if g == NGRAMS[0] else 0)
             at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
             key = np.full(len(at), g, np.uint64)
             for i in range(g):
-                key = key * np.uint64(0x100000001B3) + wide[np.minimum(at + i, len(wide) - 1)]
-            grams.append((ops.mixed(key) % np.uint64(CHAR_BUCKETS)).astype(np.int64))
-            owner.append(np.repeat(np.arange(len(n)), count))
+                key = key * np.uint64(0x100000001B3) + text[np.minimum(at + i, len(text) - 1)]
+            grams.append((ops.mixed(key) % np.uint64(CHAR_BUCKETS)).astype(np.int32))
+            owner.append(np.repeat(np.arange(len(n), dtype=np.int32), count))
         order = np.argsort(np.concatenate(owner), kind="stable") if owner else np.zeros(0, np.int64)
         self.grams = np.concatenate(grams)[order]
         self.gram_owner = np.concatenate(owner)[order]
@@ -83,8 +83,14 @@ def embed(m: Model, x: Inputs) -> np.ndarray:
     """The input vector of each distinct word, and a last row of zeros for no word."""
     if not len(x.bucket):
         return np.zeros((1, DIM), np.float32)
-    chars = np.add.reduceat(m["chars"][x.grams], np.cumsum(x.gram_count) - x.gram_count, axis=0) / x.gram_count[:, None]
-    return np.concatenate([m["words"][x.bucket] + chars, np.zeros((1, DIM), np.float32)]).astype(np.float32)
+    out = np.zeros((len(x.bucket) + 1, DIM), np.float32)
+    end = np.cumsum(x.gram_count)
+    for i in range(0, len(x.bucket), _GROUP):
+        n = x.gram_count[i : i + _GROUP]
+        first = end[i] - n[0]
+        own = m["chars"][x.grams[first : end[i + len(n) - 1]]]
+        out[i : i + len(n)] = m["words"][x.bucket[i : i + _GROUP]] + np.add.reduceat(own, np.cumsum(n) - n, axis=0) / n[:, None]
+    return out
 
 
 # -- the network -------------------------------------------------------------------------------------------------
