@@ -177,6 +177,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+ORACLE_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+b as (select item_id, words, least(13, len(words)) as k from (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark) where len(words) > 0),
+w as (select distinct cast(item_id as varchar) as item, k, array_to_string(words[i:i + k - 1], ' ') as win from b, unnest(range(1, len(words) - k + 2)) as t(i)),
+lengths as (select distinct k from w),
+p as (select rid, i, k, array_to_string(words[i:i + k - 1], ' ') as win from d, unnest(range(1, len(words) + 1)) as t(i), lengths where i + k - 1 <= len(words)),
+h as (select rid, i, p.k, item from p join w on p.k = w.k and p.win = w.win),
+n as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(i, i + k)) as at from h) group by rid),
+s as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from h) group by rid)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(words) as contaminated from d left join n using (rid) left join s using (rid)"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], ngram: int = NGRAM) -> dict:
     """Plain Python version for tests: doc_id -> (n_words, n_hit, n_items, items_sha256, contaminated)."""
     import re

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring": substring.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}

@@ -343,6 +343,15 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+p as (select rid, i, words[i] as word, case when i + 34 <= len(words) then array_to_string(words[i:i + 34], ' ') end as win from d, unnest(range(1, len(words) + 1)) as t(i)),
+twice as (select win from p where win is not null group by win having count(*) > 1),
+m as (select rid, i, word, max(case when twice.win is not null then 1 else 0 end) over (partition by rid order by i rows between 34 preceding and current row) as gone from p left join twice on p.win = twice.win),
+k as (select rid, cast(sum(gone) as bigint) as n_removed, string_agg(word, ' ' order by i) filter (gone = 0) as kept from m group by rid)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (rid)"""
+
+
 def brute_force(docs: list[tuple], k: int = WINDOW) -> list[tuple]:
     """Plain Python version for tests: (doc_id, n_words, n_removed, kept_sha256) per row."""
     import re
