@@ -50,3 +50,19 @@ def confusion(results: DataFrame, truth: str, guess: str) -> DataFrame:
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def freshness(df: DataFrame, keys: Sequence[str], ts: str, most: str) -> DataFrame:
+    """(keys, latest, stale): whether a key's latest row is older than the newest of all by more than an interval like '1 day'."""
+    latest = df.groupBy(*keys).agg(F.max(ts).alias("latest"))
+    newest = latest.agg(F.max("latest").alias("_newest"))
+    return latest.crossJoin(F.broadcast(newest)).select(*keys, "latest", (F.col("latest") < F.col("_newest") - F.expr(f"interval {most}")).alias("stale"))
+
+
+def triage(df: DataFrame, rules: Sequence[tuple[Column, str, str, int]]) -> DataFrame:
+    """Adds flags (of all rules that hold), and owner and priority of the first; rules are (condition, flag, owner, priority)."""
+    flags = F.array_compact(F.array(*(F.when(c, F.lit(f)) for c, f, _, _ in rules)))
+    owner, priority = F.lit("none"), F.lit(0)
+    for c, _, o, p in reversed(rules):
+        owner, priority = F.when(c, o).otherwise(owner), F.when(c, p).otherwise(priority)
+    return df.withColumns({"flags": flags, "owner": owner, "priority": priority})

@@ -119,3 +119,15 @@ def unique_ids(df: DataFrame, column: str, order: str) -> DataFrame:
 
     n = F.row_number().over(Window.partitionBy(column).orderBy(order))
     return df.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 1, F.concat_ws("_", F.col(column), F.col("_n").cast("string"))).otherwise(F.col(column))).drop("_n")
+
+
+def validate_revisions(revisions: DataFrame) -> DataFrame:
+    """(patch_id, errors, valid) of proposed values: a value, a numeric one where a unit is given, a reason, and evidence where the risk is high."""
+    number = F.col("user_proposed_value").try_cast("double")
+    errors = F.array_compact(F.array(
+        F.when(text.blank(F.col("user_proposed_value")), "no_value"),
+        F.when(~text.blank(F.col("user_proposed_unit")) & number.isNull(), "value_not_numeric"),
+        F.when(text.blank(F.col("user_revision_reason")), "no_reason"),
+        F.when((F.col("risk_level") == "high") & text.blank(F.col("user_evidence_url")), "no_evidence"),
+    ))
+    return revisions.select("patch_id", errors.alias("errors")).withColumn("valid", F.size("errors") == 0)

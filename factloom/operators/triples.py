@@ -129,3 +129,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_old: Sequen
     pick = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in keep_old else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
     action = F.when(F.col(f"o.{keys[0]}").isNull(), "created").when(F.col(f"n.{keys[0]}").isNull(), "kept").otherwise("matched")
     return o.join(n, on, "full_outer").select(*(F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(k) for k in keys), *(pick(c).alias(c) for c in others), action.alias("merge_action"))
+
+
+def canonical_merge(df: DataFrame, keys: Sequence[str], score: Column, order: str, fill: Sequence[str]) -> DataFrame:
+    """The best row of each key, its blank ``fill`` columns taken from the key's first row that has them."""
+    best = best_of(df, keys, score, order)
+    filled = df.groupBy(*keys).agg(*(F.min_by(c, F.when(~text.blank(F.col(c)), F.col(order))).alias(f"_{c}") for c in fill))
+    return best.join(filled, list(keys)).withColumns({c: text.filled(F.col(c), F.col(f"_{c}")) for c in fill}).select(*best.columns)

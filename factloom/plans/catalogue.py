@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import entity, quantity, text, web
-from factloom.operators import audit, evaluation, extraction, fusion, graph, quality, retrieval, triples
+from factloom.operators import audit, evaluation, extraction, fusion, graph, pages, quality, retrieval, triples
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
-from factloom.sources.tables import append_new, override, read, with_chunk_id
+from factloom.sources.tables import append_new, fill_from, override, read, with_chunk_id
 from factloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,6 +450,24 @@ def url_allow_score(spark, d):
     return read(spark, d, "pages").select("page_id", web.host(u).alias("host"), web.allowed(u, ["example.net"]).alias("allowed"), web.score(u, [("/en/", 5), (".html", 2), ("utm_", -3)]).alias("score"))
 
 
+@query()
+def page_sections(spark, d):
+    parsed = pages.parse(read(spark, d, "pages"), "page_id", "html")
+    return pages.section_rows(parsed, "page_id").select("page_id", "section_no", "path", F.length("content").alias("n_chars"))
+
+
+@query()
+def page_chunks(spark, d):
+    return pages.chunk_rows(pages.parse(read(spark, d, "pages"), "page_id", "html"), "page_id")
+
+
+@query(r"""select url, score, cast(r as int) as rank from (select *, row_number() over (order by score desc, length(url), url) as r from (select distinct url, case when contains(url, '/en/') then 5 else 0 end + case when contains(url, '.html') then 2 else 0 end + case when contains(url, 'utm_') then -3 else 0 end as score from pages)) where r <= 50""")
+def url_candidate_order(spark, d):
+    rows = read(spark, d, "pages").select("url").distinct().withColumn("score", web.score(F.col("url"), [("/en/", 5), (".html", 2), ("utm_", -3)]))
+    top = rows.orderBy(F.desc("score"), F.length("url"), "url").limit(50)
+    return retrieval.top_per(top.withColumn("_all", F.lit(0)), ["_all"], [F.desc("score"), F.length("url"), F.col("url")], 50).drop("_all")
+
+
 # -- vectors -----------------------------------------------------------------------------------------------------
 
 
@@ -675,3 +693,77 @@ def vector_sink_append(spark, d):
     append_new(chunks, None, path, "chunk_id")
     append_new(chunks, spark.read.parquet(path), path, "chunk_id")
     return spark.read.parquet(path)
+
+
+# -- ranking, merging, triage ------------------------------------------------------------------------------------
+
+
+@query(_E + """, qs as (select * from (values (1, 'NATION_3', 'PART_OF', 'ASIA'), (2, 'Part#7', 'IS_A', 'Brand'), (3, 'Part#9', 'MADE_BY', 'Brand')) t(query_id, entity, hint, term)),
+s as (select query_id, subject, relation, object, ordinal, case when subject = entity then 120 end + case when relation = hint then 70 end + case when contains(subject, term) then 18 else 0 end + case when contains(object, term) then 20 else 0 end + case when contains(relation, term) then 24 else 0 end + case when contains(source_name, term) then 12 else 0 end as score from edges cross join qs)
+select query_id, subject, relation, object, score, cast(r as int) as rank from (select *, row_number() over (partition by query_id order by score desc, ordinal) as r from s where score >= 70) where r <= 20""")
+def kg_ranked_facts(spark, d):
+    qs = spark.createDataFrame([(1, "NATION_3", "PART_OF", "ASIA"), (2, "Part#7", "IS_A", "Brand"), (3, "Part#9", "MADE_BY", "Brand")], "query_id int, entity string, hint string, term string")
+    met = edges(spark, d).crossJoin(F.broadcast(qs))
+    score = retrieval.triple_score(F.col("subject"), F.col("relation"), F.col("object"), F.col("source_name"), F.array("entity"), F.col("entity"), F.array("hint"), F.array("term"))
+    top = retrieval.top_per(met.withColumn("score", score).where("score >= 70"), ["query_id"], [F.desc("score"), F.col("ordinal")], 20)
+    return top.select("query_id", "subject", "relation", "object", "score", "rank")
+
+
+@query("""with r as (select l_partkey as probe, l_returnflag as source_name, l_linestatus as relation, cast(cast(l_quantity as bigint) as varchar) as object, l_orderkey * 1000000 + l_linenumber * 100000 + l_suppkey as ordinal from lineitem),
+f as (select * from (select *, row_number() over (partition by probe, source_name order by ordinal) as k from r) where k = 1)
+select a.probe, a.source_name as left_source, b.source_name as right_source, case when a.relation <> b.relation then 'topic_mismatch' when a.object <> b.object then 'value_conflict' else 'same' end as status from f a join f b on a.probe = b.probe and a.source_name < b.source_name""")
+def compare_sources(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("probe"), F.col("l_returnflag").alias("source_name"), F.col("l_linestatus").alias("relation"), F.col("l_quantity").cast("long").cast("string").alias("object"), (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("ordinal"))
+    return retrieval.compare_sources(triples.first_of(rows, ["probe", "source_name"]), "probe")
+
+
+@query("""with b as (select *, row_number() over (partition by lang, source order by n_chars desc, doc_id) as r from documents), h as (select lang, source, arg_min(substring(text, 1, 20), doc_id) filter (length(trim(substring(text, 1, 20))) > 0) as head from documents where n_chars % 2 = 0 group by all)
+select b.lang, b.source, b.doc_id, b.n_chars as score, coalesce(nullif(case when b.n_chars % 2 = 0 then trim(substring(b.text, 1, 20)) end, ''), h.head) as head from b left join h using (lang, source) where r = 1""")
+def canonical_merge(spark, d):
+    docs = read(spark, d, "documents").select("lang", "source", "doc_id", "n_chars", F.when(F.col("n_chars") % 2 == 0, F.substring("text", 1, 20)).alias("head"))
+    return triples.canonical_merge(docs, ["lang", "source"], F.col("n_chars"), "doc_id", ["head"]).select("lang", "source", "doc_id", "score", "head")
+
+
+@query("select doc_id, substring(md5(concat_ws('|', cast(doc_id as varchar), lang, source)), 1, 12) as record_id from documents")
+def hash_ids(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.short_id(F.col("doc_id"), F.col("lang"), F.col("source")).alias("record_id"))
+
+
+@query("select user_id, cast(max(ts) as varchar) as latest, max(ts) < (select max(ts) from events) - interval 1 day as stale from events group by user_id")
+def freshness(spark, d):
+    out = evaluation.freshness(read(spark, d, "events"), ["user_id"], "ts", "1 day")
+    return out.withColumn("latest", F.col("latest").cast("string"))
+
+
+@query("""select doc_id, concat_ws(',', case when n_chars < 200 then 'short' end, case when source = 'src0' then 'untracked' end, case when lang = 'de' then 'foreign' end) as flags,
+case when n_chars < 200 then 'extraction' when source = 'src0' then 'ingestion' when lang = 'de' then 'routing' else 'none' end as owner, case when n_chars < 200 then 3 when source = 'src0' then 2 when lang = 'de' then 1 else 0 end as priority from documents""")
+def failure_triage(spark, d):
+    rules = [(F.col("n_chars") < 200, "short", "extraction", 3), (F.col("source") == "src0", "untracked", "ingestion", 2), (F.col("lang") == "de", "foreign", "routing", 1)]
+    out = evaluation.triage(read(spark, d, "documents").select("doc_id", "n_chars", "source", "lang"), rules)
+    return out.select("doc_id", F.array_join("flags", ",").alias("flags"), "owner", "priority")
+
+
+@query("""select patch_id, concat_ws(',', case when v = '' then 'no_value' end, case when u <> '' and try_cast(v as double) is null then 'value_not_numeric' end, case when reason is null then 'no_reason' end, case when risk = 'high' and n % 3 <> 0 then 'no_evidence' end) as errors
+from (select concat('p', doc_id) as patch_id, n_chars as n, case when n_chars % 5 = 0 then '' when n_chars % 5 = 1 then 'text' else cast(n_chars as varchar) end as v, case when n_chars % 2 = 0 then 'km' else '' end as u, case when n_chars % 7 <> 0 then 'why' end as reason, case when n_chars % 4 = 0 then 'high' else 'low' end as risk from documents)""")
+def quality_revision_errors(spark, d):
+    n = F.col("n_chars")
+    value = F.when(n % 5 == 0, "").when(n % 5 == 1, "text").otherwise(n.cast("string"))
+    rows = read(spark, d, "documents").select(F.concat(F.lit("p"), F.col("doc_id")).alias("patch_id"), value.alias("user_proposed_value"), F.when(n % 2 == 0, "km").otherwise("").alias("user_proposed_unit"), F.when(n % 7 != 0, "why").alias("user_revision_reason"), F.when(n % 4 == 0, "high").otherwise("low").alias("risk_level"), F.when(n % 3 == 0, "http://e").alias("user_evidence_url"))
+    return quality.validate_revisions(rows).select("patch_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""select c_custkey as id, c_name as name, 'own' as origin from customer where c_acctbal > 0 union all select c_custkey, concat('fixture ', c_custkey), 'fixture' from customer where not c_acctbal > 0""")
+def ingest_fill_from_fixtures(spark, d):
+    c = read(spark, d, "customer")
+    own = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("own").alias("origin"))
+    fixtures = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("fixture "), F.col("c_custkey")).alias("name"), F.lit("fixture").alias("origin"))
+    return fill_from(own, fixtures, ["id"])
+
+
+@query(f"""select conv_id, turn, concat('intent: ', i, chr(10), 'authority: ', case i when 'esa_mission' then 'esa' when 'structured_fact' then 'wikidata' when 'narrative_explanation' then 'zh_wikipedia' else 'nasa' end) as answer from (select conv_id, turn, case when {_ANY(dims.MISSION_WORDS)} then 'esa_mission'
+when ({_ANY(dims.NUMERIC_WORDS)}) and ({_ANY(dims.NARRATIVE_WORDS)}) then 'mixed_numeric_narrative' when {_ANY(dims.STRUCTURED_WORDS)} then 'structured_fact'
+when {_ANY(dims.NUMERIC_WORDS)} then 'numeric_fact' when {_ANY(dims.NARRATIVE_WORDS)} then 'narrative_explanation' else 'uncertain' end as i from conversations)""")
+def answer_lines(spark, d):
+    r = entity.route(F.col("text"))
+    line = retrieval.answer_line(F.col("r.intent"), F.try_element_at("r.sources", F.lit(1)), F.col("r.sources"))
+    return read(spark, d, "conversations").withColumn("r", r).select("conv_id", "turn", F.substring_index(line, "\n", 2).alias("answer"))

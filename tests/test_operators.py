@@ -177,3 +177,26 @@ def test_upsert_and_cascade(spark):
     empty = spark.createDataFrame([], "probe int, answer string")
     second = spark.createDataFrame([(1, "s")], "probe int, answer string")
     assert [r.priority for r in triples.first_answering([empty, second]).collect()] == [1]
+
+
+def test_pages(spark):
+    from factloom.operators import pages
+
+    body = "Mars is red. " * 12
+    html = f"""<html><head><title>x</title><script>no()</script></head><body><h1>Mars</h1><table class="infobox"><tr><th>Mass (kg)</th><td>6.4171e23 kg<sup>[1]</sup></td></tr>
+<tr><th>Atmosphere</th><td>95% CO2, 3% N2</td></tr><tr><th>Empty</th><td></td></tr><tr><th>Other</th><td><table><tr><td>in</td><td>ner</td></tr></table></td></tr></table>
+<table class="infobox"><tr><th>Mass</th><td>second box</td></tr></table><p>{body}</p><h2>Orbit</h2><p>Short.</p><div class="navbox">links</div><h3>Deep</h3>{body}<h2>References</h2>gone"""
+    df = spark.createDataFrame([("Mars", html), ("None", None), ("Empty", "")], "title string, html string")
+    parsed = pages.parse(df, "title", "html")
+    sections = [(r.path, r.content) for r in pages.section_rows(parsed, "title").orderBy("section_no").collect() if r.path]
+    assert [s[0] for s in sections] == ["Mars", "Mars > Orbit", "Mars > Orbit > Deep"] and "links" not in str(sections) and "gone" not in str(sections)
+    facts = [(r.subject, r.relation, r.object) for r in pages.infobox_facts(parsed, "title").collect()]
+    assert facts == [("Mars", "HAS_MASS", "6.4171e23 kg"), ("Mars", "HAS_ATMOSPHERE", "CO2"), ("Mars", "HAS_ATMOSPHERE", "N2")]
+    assert [(r.path, r.chunk_index) for r in pages.chunk_rows(parsed, "title").orderBy("section_no").collect()] == [("Mars", 0), ("Mars > Orbit > Deep", 0)]
+    sheet = "<table><tr><td>Mass (10^24 kg)</td><td>0.64171</td></tr><tr><td>Volumetric mean radius (km)</td><td>3389.5</td></tr><tr><td>Atmosphere</td><td>CO2, N2</td></tr><tr><td>Distance from Sun (10^6 km)</td><td>228</td></tr></table>"
+    got = {(r.relation, r.value, r.derived) for r in pages.fact_sheet(spark.createDataFrame([("m", sheet), ("n", None)], "k string, html string"), "k", "html").collect()}
+    assert got == {("HAS_MASS", "0.64171e24 kg", False), ("HAS_RADIUS", "3389.5 km", False), ("HAS_ATMOSPHERE", "CO2, N2", False), ("ORBITS", "太阳", True)}
+    raw = spark.createDataFrame([("p", "Phobos, a moon of Mars, orbits Mars. Its atmosphere has no argon and co2."), ("q", None)], "k string, t string")
+    assert {(r.relation, r.object) for r in pages.raw_text_facts(raw, "k", "t").collect()} == {("HAS_ATMOSPHERE", "CO2"), ("HAS_ATMOSPHERE", "Ar"), ("ORBITS", "Mars"), ("PART_OF", "Mars system")}
+    rows = spark.createDataFrame([("a", 0, "x"), ("a", 1, "stop"), ("a", 2, "y"), ("b", 0, "z")], "k string, i int, t string")
+    assert sorted((r.k, r.i) for r in pages.keep_until(rows, "k", "i", F.col("t") == "stop").collect()) == [("a", 0), ("b", 0)]
