@@ -54,23 +54,23 @@ def label_of(obj: Column, rules: Sequence[tuple[str, str]], default: str = "Enti
 def measurement_kind(relation: Column, *context: Column) -> Column:
     """What a value measures, from its relation and the words around it: struct(kind, confidence, warning)."""
     t = F.lower(F.regexp_replace(F.concat_ws(" ", *context), r"(?U)\s+", " "))
-    has = lambda *w: text.contains_any(t, w)
 
     def kind(name: str, confidence: float, warning: str = "") -> Column:
         return F.struct(F.lit(name).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(warning).alias("warning"))
 
-    radius = (
-        F.when(has("体积平均", "volumetric mean", "vol. mean"), kind("volumetric_mean_radius", 0.95))
-        .when(has("平均半径", "mean radius"), kind("mean_radius", 0.92))
-        .when(has("赤道半径", "equatorial radius"), kind("equatorial_radius", 0.92))
-        .when(has("极半径", "polar radius"), kind("polar_radius", 0.92))
-        .otherwise(kind("unknown", 0.2))
-    )
-    mass = F.when(has("系统质量", "system mass"), kind("system_mass", 0.9)).when(has("卫星", "satellite", "moon"), kind("satellite_mass", 0.65)).otherwise(kind("mass", 0.75))
+    def first(rules: Sequence[tuple], otherwise: Column, warning: str = "") -> Column:
+        out = otherwise
+        for words, name, confidence in reversed(rules):
+            out = F.when(text.contains_any(t, words), kind(name, confidence, warning)).otherwise(out)
+        return out
+
     warn = "A distance from the Sun is an orbital distance, not a statement of what is orbited."
-    orbit = F.when(has("distance from sun", "距太阳"), kind("orbital_distance", 0.95, warn)).otherwise(kind("orbit_target", 0.75))
-    other = F.when(has("semi-major", "semimajor", "半长轴"), kind("semi_major_axis", 0.9)).otherwise(kind("unknown", 0.1))
-    return F.when(relation == "HAS_RADIUS", radius).when(relation == "HAS_MASS", mass).when(relation == "ORBITS", orbit).otherwise(other)
+    return (
+        F.when(relation == "HAS_RADIUS", first(dims.RADIUS_KINDS, kind("unknown", 0.2)))
+        .when(relation == "HAS_MASS", first(dims.MASS_KINDS, kind("mass", 0.75)))
+        .when(relation == "ORBITS", first(dims.ORBIT_KINDS, kind("orbit_target", 0.75), warn))
+        .otherwise(first(dims.OTHER_KINDS, kind("unknown", 0.1)))
+    )
 
 
 def route(question: Column) -> Column:

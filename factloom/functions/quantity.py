@@ -27,7 +27,7 @@ def _value(value: Column, unit: str | Column, number: Column | None, confidence:
 
 def _by_unit_id(raw: Column, sci: Column, dimension: str) -> tuple[Column, Column]:
     """Whether the text has a number with a unit id, and the value that it says."""
-    pattern = r"(?i)([+-]?\d+(?:\.\d+)?(?:e[+-]?\d+)?)\s+(Q\d+)"
+    pattern = f"(?i){dims.NUMBER_PATTERN}" + r"\s+(Q\d+)"
     number = F.nullif(F.regexp_extract(sci, pattern, 1), F.lit("")).try_cast("double")
     unit_id = F.upper(F.regexp_extract(sci, pattern, 2))
     known = unit_id.isin([u[0] for u in dims.UNITS])
@@ -44,9 +44,9 @@ def mass(raw: Column) -> Column:
     has_id, by_id = _by_unit_id(raw, sci, "mass")
     n = text.first_number(sci)
     factor = (
-        F.when(F.rlike(sci, F.lit(r"(?i)(地球质量|earth mass(?:es)?|m⊕|m_earth)")), dims.EARTH_MASS_KG)
-        .when(F.rlike(sci, F.lit(r"(?i)(木星质量|jupiter mass(?:es)?|m[j♃]|m_jupiter)")), dims.JUPITER_MASS_KG)
-        .when(F.rlike(sci, F.lit(r"(?i)(千克|公斤|kg)")), 1.0)
+        F.when(F.rlike(sci, F.lit("(?i)" + dims.EARTH_MASS_PATTERN)), dims.EARTH_MASS_KG)
+        .when(F.rlike(sci, F.lit("(?i)" + dims.JUPITER_MASS_PATTERN)), dims.JUPITER_MASS_KG)
+        .when(F.rlike(sci, F.lit("(?i)" + dims.KG_PATTERN)), 1.0)
     )
     v = n * factor
     return F.when(has_id, by_id).when(v.isNotNull(), _value(text.number_text(v), "kg", v, 0.95, "parsed")).otherwise(_value(text.canonical_text(raw), "", None, 0.2, "unparsed"))
@@ -56,8 +56,8 @@ def radius(raw: Column) -> Column:
     sci = text.scientific_text(raw)
     has_id, by_id = _by_unit_id(raw, sci, "length")
     n = text.first_number(sci)
-    metres = F.rlike(sci, F.lit(r"(?iU)\b(m|meter|metre|meters|metres)\b|米")) & ~F.rlike(sci, F.lit(r"(?iU)\bkm\b|千米|公里"))
-    km = F.rlike(sci, F.lit(r"(?iU)\b(km|kilometer|kilometre|kilometers|kilometres)\b|千米|公里"))
+    metres = F.rlike(sci, F.lit("(?iU)" + dims.METRE_PATTERN)) & ~F.rlike(sci, F.lit("(?iU)" + dims.KM_SHORT_PATTERN))
+    km = F.rlike(sci, F.lit("(?iU)" + dims.KM_PATTERN))
     v = F.when(metres, n / 1000.0).when(km, n)
     return F.when(has_id, by_id).when(v.isNotNull(), _value(text.number_text(v), "km", v, 0.95, "parsed")).otherwise(_value(text.canonical_text(raw), "", None, 0.2, "unparsed"))
 

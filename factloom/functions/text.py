@@ -54,22 +54,14 @@ def canonical_text(c: Column) -> Column:
 def scientific_text(c: Column) -> Column:
     """Numbers without thousands separators, split mantissas joined, powers of ten as e-notation."""
     t = F.replace(canonical_text(c), F.lit(","), F.lit(""))
-    for pattern, to in (
-        (r"(\d+\.\d+)\s+(\d+)", "$1$2"),
-        (r"×\s*10\s*\^\s*([+-]?\d+)", "e$1"),
-        (r"×\s*10\s*([+-]?\d+)", "e$1"),
-        (r"(?i)x\s*10\s*\^\s*([+-]?\d+)", "e$1"),
-        (r"(?i)x\s*10\s*([+-]?\d+)", "e$1"),
-        (r"10\^([+-]?\d+)", "1e$1"),
-        (r"(\d)\s+e", "$1e"),
-    ):
+    for pattern, to in dims.SCIENTIFIC_PATTERNS:
         t = F.regexp_replace(t, _U + pattern, to)
     return t
 
 
 def first_number(c: Column) -> Column:
     """The first signed decimal or e-notation number as a double, or null."""
-    return F.nullif(F.regexp_extract(c, r"(?i)([+-]?\d+(?:\.\d+)?(?:e[+-]?\d+)?)", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(c, "(?i)" + dims.NUMBER_PATTERN, 1), F.lit("")).try_cast("double")
 
 
 def number_text(c: Column) -> Column:
