@@ -14,33 +14,39 @@ KEY = ("subject", "relation")
 
 
 def by_source(records: DataFrame, value: Column | None = None) -> DataFrame:
-    """One row for each key and source: first value, all texts as a sorted set, extremes of the numbers."""
+    """One row for each key and source: first value, extremes of the numbers, a digest of the set of objects, and
+    whether a normalised value is also one of the key's first source.
+
+    Sets of values are never collected: a digest (count, xor and sum of hashes of the distinct objects) compares
+    them, and a semi-join finds common values, so a key with very many values is no single row.
+    """
     value = quantity.normalized(F.col("object"), F.col("relation")) if value is None else value
     rows = records.withColumn("_value", value)
-    return rows.groupBy(*KEY, "source_name").agg(
-        F.min_by("_value", "ordinal").alias("first"),
-        F.array_sort(F.collect_set("object")).alias("objects"),
-        F.array_sort(F.collect_set("_value.normalized_value")).alias("normals"),
-        F.min("_value.numeric_value").alias("low"),
-        F.max("_value.numeric_value").alias("high"),
-        F.min("ordinal").alias("first_ordinal"),
-    )
+    own = [*KEY, "source_name"]
+    per = rows.groupBy(*own).agg(F.min_by("_value", "ordinal").alias("first"), F.min("_value.numeric_value").alias("low"), F.max("_value.numeric_value").alias("high"), F.min("ordinal").alias("first_ordinal"))
+    distinct = rows.groupBy(*own, "object").agg(F.min("_value.normalized_value").alias("normal"))
+    digest = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("object")).alias("x"), F.sum(F.xxhash64(F.lit(7), "object").cast("decimal(38,0)")).alias("s"))
+    sets = distinct.groupBy(*own).agg(digest.alias("objects"))
+    heads = per.groupBy(*KEY).agg(F.min_by("source_name", "first_ordinal").alias("source_name"))
+    theirs = distinct.join(heads, own, "left_semi").select(*KEY, "normal")
+    shared = distinct.join(theirs, [*KEY, "normal"], "left_semi").select(*own).distinct().withColumn("shares", F.lit(True))
+    return per.join(sets, own).join(shared, own, "left").withColumn("shares", F.coalesce("shares", F.lit(False)))
 
 
 def _keys(per_source: DataFrame) -> DataFrame:
     """Aggregates over the few sources of a key."""
     base = per_source.groupBy(*KEY).agg(
-        F.min_by(F.struct("first", "objects", "normals"), "first_ordinal").alias("base"),
+        F.min_by(F.struct("first", "objects"), "first_ordinal").alias("base"),
         F.count("*").alias("n_sources"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
     )
-    met = per_source.select(*KEY, "first", "objects", "normals").join(base, list(KEY))
+    met = per_source.select(*KEY, "first", "objects", "shares").join(base, list(KEY))
     return met.groupBy(*KEY).agg(
         F.max("n_sources").alias("n_sources"),
         F.bool_and(F.col("objects") == F.col("base.objects")).alias("exact"),
         F.bool_and(quantity.equivalent(F.col("base.first"), F.col("first")) & F.col("first.numeric_value").isNotNull()).alias("unit_equal"),
-        F.bool_and(F.arrays_overlap("normals", F.col("base.normals"))).alias("overlap"),
+        F.bool_and("shares").alias("overlap"),
         F.max("low").alias("low"),
         F.max("high").alias("high"),
     )

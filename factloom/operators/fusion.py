@@ -70,8 +70,8 @@ def summary(fused: DataFrame) -> DataFrame:
 
 def conflicts(records: DataFrame) -> DataFrame:
     """Keys with more than one distinct object: (subject, relation, n_objects, n_sources)."""
-    per = records.groupBy(*KEY, "object").agg(F.collect_set("source_name").alias("s"))
-    return per.groupBy(*KEY).agg(F.count("*").alias("n_objects"), F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("n_sources")).where("n_objects > 1")
+    counts = records.groupBy(*KEY).agg(F.count_distinct("object").alias("n_objects"), F.count_distinct("source_name").cast("int").alias("n_sources"))
+    return counts.where("n_objects > 1")
 
 
 def conflict_values(records: DataFrame, keys: DataFrame) -> DataFrame:
