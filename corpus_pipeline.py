@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words in windows that occur again; n_chars follows a changed text."""
-    found = substring.substring_dedup(_slim(docs))
+    found = substring.substring_dedup(_slim(docs), keep=["doc_id", "_rest"])
     changed = F.col("n_removed") > 0
     out = found.select("doc_id", F.col("kept").alias("text"), "_rest", changed.alias("_changed"))
     if "n_chars" in docs.columns:

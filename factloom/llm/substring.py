@@ -36,6 +36,7 @@ SLOT_BITS = 16
 BIN_BYTES, HEAVY_BYTES = 16 << 20, 8 << 20
 #: Packed bytes that a task compares at once, before it ships; a bin settles a quarter of that at once.
 FLUSH_BYTES = 16 << 20
+_COMPARE_BYTES = 1 << 20
 _HEAD = np.dtype([("slot", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("word", "<i4"), ("size", "<i4")])
 
 
@@ -119,18 +120,22 @@ def _doubled(packets: list[tuple[bytes, int, int, int, int]], k: int) -> Iterato
     doc = w.doc()[at]
     word = np.fromiter((p[4] for p in packets), np.int64, len(packets))
     again = np.zeros(len(at), bool)
-    # Compare the bytes of neighbours of one hash, in blocks.
+    # Compare the bytes of neighbours of one hash, about a megabyte at a time.
     begin, length = w.start[at], w.end[at + k - 1] - w.start[at]
     sure = np.zeros(len(alike), bool)
-    for i in range(0, len(alike), 1 << 14):
-        x, y = order[alike[i : i + (1 << 14)]], order[alike[i : i + (1 << 14)] + 1]
+    load = np.cumsum(length[order[alike]])
+    i = 0
+    while i < len(alike):
+        j = max(i + 1, int(np.searchsorted(load, (load[i - 1] if i else 0) + _COMPARE_BYTES, side="right")))
+        x, y = order[alike[i:j]], order[alike[i:j] + 1]
         ok = length[x] == length[y]
         n = length[x] * ok
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         same = data[np.repeat(begin[x], n) + step] == data[np.repeat(begin[y], n) + step]
         bad = np.zeros(len(x), bool)
         bad[np.repeat(np.arange(len(x)), n)[~same]] = True
-        sure[i : i + len(x)] = ok & ~bad
+        sure[i:j] = ok & ~bad
+        i = j
     pairs = alike[sure]
     again[order[pairs]] = True
     again[order[pairs + 1]] = True
