@@ -269,10 +269,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classes = _classes(marked, id_col, max_bits)
     # The survivor of a component: its least id, and of that id's fingerprints in the component the least.
     own = marked.groupBy("fp", id_col).agg(F.lit(1).alias("one")).join(classes, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    best = own.groupBy("root", id_col).agg(F.min("fp").alias("_fp")).select("_fp", F.col(id_col).alias("_id"))
-    found = fingerprints(docs, text_col=text_col, shingle=shingle, name="_own")
-    won = found.join(best, (F.col("_own") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    rank = F.row_number().over(Window.partitionBy("_fp", "_id").orderBy(F.lit(1)))
+    # One plain key for the id, null or not, so that the join's partitions serve the ranking too.
+    key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    best = own.groupBy("root", id_col).agg(F.min("fp").alias("_own")).select("_own", key(id_col).alias("_id"))
+    found = fingerprints(docs, text_col=text_col, shingle=shingle, name="_own").withColumn("_id", key(id_col))
+    won = found.join(best, ["_own", "_id"])
+    rank = F.row_number().over(Window.partitionBy("_own", "_id").orderBy(F.lit(1)))
     return won.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
 
 
