@@ -34,6 +34,8 @@ from factloom.llm import textops as ops
 MAX_TOKENS, END_ID = 2048, 0
 #: Rows of a partition between rounds: they are narrow, and many small files would cost more than they.
 _ROWS_A_PART = 25_000
+#: A round takes pieces from the longest left down to this share of it.
+BAND = 0.25
 #: Fixed value: the public split pattern of byte-level vocabularies.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unbroken runs from which a text goes to the slower encoder, whose time doesn't grow with a run's square.
@@ -168,17 +170,22 @@ class _Classes:
         return out
 
     def sweep(self) -> list[tuple]:
-        """One round: (length, first rank, past, gap, first gap rank, new gap's first rank, first new sequence, pieces a gap)."""
+        """One round over the longest pieces left, down to a share BAND of the longest.
+
+        Rows: (length, first rank, past, gap, first gap rank, new gap's first rank, first new sequence, pieces a gap).
+        """
         out, size = [], np.arange(self.most + 1)
         free = (self.high - self.low).copy()
         moved = []
-        for s in np.flatnonzero(self.left())[::-1].tolist():
+        longest = int(np.flatnonzero(self.left())[-1])
+        band = np.flatnonzero(self.left() * (size > int(longest * BAND)))[::-1].tolist()
+        for s in band:
             for gap in (s + np.flatnonzero(free[s:])).tolist():
                 n = int(self.left()[s])
                 if not n:
                     break
                 # Where pieces outnumber gaps, a gap takes its share of them at once, not in as many rounds.
-                share = -(-int(self.left()[: s + 1].sum()) // int(free.sum()))
+                share = -(-int(self.left()[band[-1] : s + 1].sum()) // int(free[s:].sum()))
                 for a, m, k in self._flows(s, n, max(1, min(gap // s, share)), int(free[gap])):
                     moved.append((s, a, m, k, gap, int(self.low[gap])))
                     self.low[gap] += m
@@ -186,19 +193,28 @@ class _Classes:
         for s, a, m, k, gap, g in moved:
             out.append((s, a, a + m * k, gap, g, int(self.high[gap - k * s]), None, k))
             self.high[gap - k * s] += m
-        tokens, room = int(self.left() @ size), int((self.high - self.low) @ size)
-        need = -(-(tokens - room) // self.most) if moved else -(-tokens // self.most)
-        # No two pieces over half a sequence share one, and none of them that is left found a gap.
-        need = max(need, int(self.left()[self.most // 2 + 1 :].sum()))
-        for s in np.flatnonzero(self.left())[::-1].tolist():
-            if need <= 0:
-                break
-            for a, m, k in self._flows(s, int(self.left()[s]), self.most // s, need):
-                rest = self.most - k * s
-                out.append((s, a, a + m * k, None, None, int(self.high[rest]), self.opened, k))
-                self.high[rest] += m
-                self.opened += m
-                need -= m
+        # What found no gap and will find none opens sequences: pieces beyond what the gaps that hold them can take.
+        over = 0
+        for s in band:
+            over += int(self.left()[s])
+            if not over:
+                continue
+            fit = np.arange(s, self.most + 1)
+            room = int(((self.high - self.low)[s:] * (fit // s)).sum())
+            need = -(-max(0, over - room) // (self.most // s))
+            if need > 0:
+                for a, m, k in self._flows(s, int(self.left()[s]), self.most // s, need):
+                    rest = self.most - k * s
+                    out.append((s, a, a + m * k, None, None, int(self.high[rest]), self.opened, k))
+                    self.high[rest] += m
+                    self.opened += m
+                    over -= m * k
+        if not out:  # all that is left fits somewhere by count, but met no gap: open for the longest
+            a, m, k = self._flows(longest, int(self.left()[longest]), self.most // longest, 1)[0]
+            rest = self.most - k * longest
+            out.append((longest, a, a + m * k, None, None, int(self.high[rest]), self.opened, k))
+            self.high[rest] += m
+            self.opened += m
         return out
 
 
