@@ -43,6 +43,18 @@ def host_of(name: Column) -> Column:
     return text.mapped(F.substring(name, 1, 2), dims.SATELLITE_HOSTS)
 
 
+def anchor(phrase: Column, names: Sequence[str] = dims.ANCHORS) -> Column:
+    """The longest known name that a phrase contains (of equal lengths the first listed), or null."""
+    ordered = sorted(names, key=lambda n: -len(n))
+    return F.coalesce(*(F.when(F.contains(phrase, F.lit(n)), F.lit(n)) for n in ordered))
+
+
+def anchored(relation: Column, phrase: Column, raw: Column) -> Column:
+    """Of ORBITS, LOCATED_IN and PART_OF objects the known name within, where the text says so; others as they are."""
+    cue = F.when(relation == "ORBITS", text.contains_any(raw, ("绕", "轨道", "orbit"))).when(relation.isin("LOCATED_IN", "PART_OF"), text.contains_any(raw, ("位于", "属于", "located", "part of"))).otherwise(False)
+    return F.when(F.coalesce(cue, F.lit(False)), F.coalesce(anchor(phrase), phrase)).otherwise(phrase)
+
+
 def label_of(obj: Column, rules: Sequence[tuple[str, str]], default: str = "Entity") -> Column:
     """The label of the first keyword that is contained."""
     out = None

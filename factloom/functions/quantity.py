@@ -141,3 +141,26 @@ def relation_score(pattern: Column, raw: Column) -> Column:
 
 def diameter_text(radius_km: Column) -> Column:
     return F.concat(F.format_number(2 * radius_km, 1), F.lit(" km"))
+
+
+def stated(raw: Column, units: tuple[tuple[str, float], ...]) -> Column:
+    """struct(number, unit, base) of the first unit of the ladder that a number in the text carries; null without any.
+
+    A tolerance after the number (± or +/-) is passed over; base is the number in the ladder's base unit.
+    """
+    sci = text.scientific_text(raw)
+    out = None
+    for unit, factor in units:
+        pattern = f"(?i){dims.NUMBER_PATTERN}" + r"\s*(?:(?:±|\+/-)\s*[\d.e+-]+\s*)?(?:倍)?\s*" + re.escape(unit) + ("" if ord(unit[-1]) > 127 else r"(?![A-Za-z])")
+        number = F.nullif(F.regexp_extract(sci, pattern, 1), F.lit("")).try_cast("double")
+        one = F.struct(number.alias("number"), F.lit(unit).alias("unit"), (number * factor).alias("base"))
+        out = F.when(number.isNotNull(), one) if out is None else out.when(number.isNotNull(), one)
+    return out
+
+
+def stated_mass(raw: Column) -> Column:
+    return stated(raw, dims.MASS_UNITS)
+
+
+def stated_length(raw: Column) -> Column:
+    return stated(raw, dims.LENGTH_UNITS)

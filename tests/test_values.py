@@ -81,3 +81,14 @@ def test_texts(spark):
     assert one(text.scalar_number(F.lit("1,234.5 (approx) km"))) == "1234.5"
     assert len(one(text.short_id(F.lit("a"), F.lit(None)))) == 12
     assert one(quantity.diameter_text(F.lit(6371.025))) == "12,742.0 km"
+
+
+def test_stated_quantities_and_anchors(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    got = one(quantity.stated_mass(F.lit("约为 0.107 ± 0.001 倍地球质量")))
+    assert (got.number, got.unit) == (0.107, "地球质量") and got.base == pytest.approx(0.107 * 5.97237e24)
+    assert one(quantity.stated_mass(F.lit("mass 6.4 × 10^23 kg"))).base == pytest.approx(6.4e23)
+    assert one(quantity.stated_length(F.lit("1.5 AU away, 3 km wide"))).unit == "AU" and one(quantity.stated_length(F.lit("12 leagues"))) is None
+    assert one(entity.anchor(F.lit("在木星系统内"))) == "木星系统" and one(entity.anchor(F.lit("nowhere"))) is None
+    assert one(entity.anchored(F.lit("ORBITS"), F.lit("围绕火星"), F.lit("它绕火星运行"))) == "火星"
+    assert one(entity.anchored(F.lit("IS_A"), F.lit("火星人"), F.lit("绕"))) == "火星人" and one(entity.anchored(F.lit("ORBITS"), F.lit("围绕火星"), F.lit(None).cast("string"))) == "围绕火星"
