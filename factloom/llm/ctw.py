@@ -6,15 +6,18 @@ half that estimate and half the product over its longer contexts. Contexts that
 longest one that it has. A text's probability mixes the estimates of
 all depths with the weights that the corpus gives them. Texts start after zero bytes and end with byte 0xFF.
 
-Counts of (context, byte) are gathered from all training texts: counted within tasks, then summed by a
-shuffle; shorter contexts are sums of longer ones. The model that is sent to the tasks keeps, whole, all contexts
-seen at least t times, with the least power of two t for which each depth has at most ``MODEL_GRAMS`` pairs
-(t is 1 unless the corpus is varied beyond that); what rarer contexts saw is pooled in a node of its own
-beside them. So the broadcast is bounded while every count comes from all of the corpus. A task looks up
-each byte's probability by its whole context; pairs that the model lacks are worked out down the tree.
+Counts of (context, byte) are gathered from all training texts, and every context is kept. Tasks pack the counts
+of their texts by shard; a shard holds the contexts that share their last ``SHARED`` bytes, so it works out its part of
+the tree on its own. The shorter contexts (at most 256 * 255 + 255 nodes, whatever the corpus) are sums over shards and
+go to all of them. The number of shards grows with the text.
 
-``word_base`` scores texts under a unigram model of words. Documents are dealt into blocks of about
-``BLOCK_BYTES`` by hash; a block sends each of its distinct words once, and gets their corpus counts back.
+Documents are dealt into blocks of about ``BLOCK_BYTES`` by hash. A block sends each of its distinct grams (a context and
+the next byte) once to its shard and gets its log-probability back, as it does with its distinct words for the base, a
+unigram model of words: it sends each once and gets its corpus count.
+
+``fit`` and ``score`` hold a model in memory, for corpora whose model fits a task: ``fit`` keeps, whole, the contexts seen
+at least t times, with the least power of two t for which each depth has at most ``MODEL_GRAMS`` pairs, and pools what
+rarer contexts saw. ``op2_ctw`` doesn't use them.
 
 Defined results: null counts as empty; an empty text has its end's probability; without training texts all
 bits cost one half; repeated rows count and score one by one; extra columns don't matter.
@@ -28,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +41,7 @@ from factloom.llm import textops as ops
 
 DEPTH, MODEL_GRAMS = 5, 1 << 20
 BLOCK_BYTES = 12 << 20
+SHARED, BLOCKS_A_SHARD, LEAST_SHARDS = 2, 4, 64
 _END = 0xFF
 _TABLES: dict[int, tuple] = {}
 
@@ -279,6 +284,207 @@ def fit(docs: DataFrame, *, text_col: str = "text", depth: int = DEPTH, most: in
     return build(by_depth)
 
 
+# -- the whole tree, in shards -------------------------------------------------------------------------------------
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """An array of numbers, its bytes by significance, packed."""
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(blob: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(blob[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and their total counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _by_shard(grams: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """Each shard that sorted grams meet, and where its grams are."""
+    shared = grams >> np.uint64(8) & np.uint64((1 << 8 * SHARED) - 1)
+    shard = ((shared * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    at = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    return [(i, order[at[i] : at[i + 1]]) for i in range(shards) if at[i] < at[i + 1]]
+
+
+def _packed(grams: np.ndarray, shards: int) -> list[tuple[int, np.ndarray, bytes]]:
+    """For each shard its part of sorted distinct grams: where they are, and they packed."""
+    return [(i, at, _squeeze(np.diff(grams[at], prepend=np.uint64(0)))) for i, at in _by_shard(grams, shards)]
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unsqueeze(blob, np.uint64), dtype=np.uint64)
+
+
+def _distinct(batches, text_col: str, depth: int, most: int | None = None):
+    """Distinct grams of texts with their counts; passed on in parts where there are more than ``most``."""
+    held, room, total, times = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def merge():
+        key, n = np.unique(np.concatenate([*held, total[:0]]), return_counts=True)
+        return _summed(np.concatenate([total, key]), np.concatenate([times, n]))
+
+    for part in ops.text_slices(batches, text_col):
+        held.append(_sequence(*ops.text_buffers(part.column(text_col)), depth)[0])
+        room += len(held[-1])
+        if room > 4_000_000:
+            total, times = merge()
+            held, room = [], 0
+            if most is not None and len(total) > most:  # a varied corpus: the shards sum it up
+                yield total, times
+                total, times = total[:0], times[:0]
+    yield merge()
+
+
+def shard_counts(docs: DataFrame, shards: int, *, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """(shard int, grams binary, n binary): the counts of all texts, dealt by shard."""
+    ops.bounded(docs.sparkSession)
+
+    def count(batches):
+        for grams, n in _distinct(batches, text_col, depth, 2_000_000):
+            for i, at, blob in _packed(grams, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary()), pa.array([_squeeze(n[at])], pa.binary())], names=["shard", "grams", "n"])
+
+    return docs.select(text_col).mapInArrow(count, "shard int, grams binary, n binary").repartition(shards, "shard")
+
+
+def _shard_depths(table: pa.Table, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A shard's counts by depth, from SHARED on."""
+    none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    grams = np.concatenate([*none[0], *(_unpacked(b) for b in table.column("grams").to_pylist())])
+    found = [_summed(grams, np.concatenate([*none[1], *(_unsqueeze(b, np.int64) for b in table.column("n").to_pylist())]))]
+    for d in range(depth - 1, SHARED - 1, -1):
+        found.insert(0, _summed(found[0][0] & np.uint64((1 << 8 * (d + 1)) - 1), found[0][1]))
+    return found
+
+
+class _Climbed(NamedTuple):
+    """Nodes of one decision and depth: keys as in Nodes, zeros, ones, logs of own and of weighted probability."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    own: np.ndarray
+    weighted: np.ndarray
+
+
+def _node(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray | None) -> _Climbed:
+    own = _log_kt(zeros, ones)
+    return _Climbed(keys, zeros, ones, own, own if split is None else np.logaddexp(own, split) - math.log(2))
+
+
+def _up(child: _Climbed, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of longer contexts' nodes at depth ``d``: keys, zeros, ones, log of the product of their weighted probabilities."""
+    keys, at = np.unique(child.keys & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+    return keys, *(np.bincount(at, x, len(keys)) for x in (child.zeros, child.ones, child.weighted))
+
+
+def _climb(by_depth: list[tuple[np.ndarray, np.ndarray]], level: int) -> list[_Climbed]:
+    """The nodes of one decision in a shard, by depth from SHARED on."""
+    found = [_node(*_nodes(*by_depth[-1], level), None)]
+    for d in range(SHARED + len(by_depth) - 2, SHARED - 1, -1):
+        found.insert(0, _node(*_up(found[0], d)))
+    return found
+
+
+class _Said(NamedTuple):
+    """Nodes of one decision and depth: keys, chance of a one where no longer context has the node; what shorter ones and this one put in, and the weight left."""
+
+    keys: np.ndarray
+    chance: np.ndarray
+    sum: np.ndarray
+    left: np.ndarray
+
+
+def _descend(found: list[_Climbed], d: int, above: _Said | None) -> list[_Said]:
+    """Chances of nodes by depth from ``d`` on, below ``above``."""
+    out = []
+    for d, c in enumerate(found, d):  # noqa: B020
+        if above is None:
+            sum_, left = np.zeros(len(c.keys)), np.ones(len(c.keys))
+        else:
+            at = np.searchsorted(above.keys, c.keys & np.uint64((1 << 8 * d) - 1))
+            sum_, left = above.sum[at], above.left[at]
+        one = (c.ones + 0.5) / (c.zeros + c.ones + 1)
+        stop = np.exp(np.minimum(c.own - math.log(2) - c.weighted, 0.0))
+        above = _Said(c.keys, sum_ + left * one, sum_ + left * stop * one, left * (1 - stop))
+        out.append(above)
+    return out
+
+
+def top(counts: DataFrame, depth: int = DEPTH) -> list[list[_Said]]:
+    """For each decision the nodes of the contexts under SHARED bytes, from the sums of all shards: at most 256 * 255 + 255 of them."""
+
+    def sums(table: pa.Table) -> pa.Table:
+        by_depth, rows = _shard_depths(table, depth), []
+        for level in range(8):
+            rows.append(_up(_climb(by_depth, level)[0], SHARED - 1))
+        key, zeros, ones, split = (np.concatenate(x) for x in zip(*rows, strict=True))
+        return pa.table({"key": key.astype(np.int64), "zeros": zeros.astype(np.int64), "ones": ones.astype(np.int64), "split": split})
+
+    found = counts.groupBy("shard").applyInArrow(sums, "key bigint, zeros bigint, ones bigint, split double")
+    got = found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "split"))).orderBy("key").toArrow()
+    key, zeros, ones, split = (got.column(c).to_numpy() for c in ("key", "zeros", "ones", "split"))
+    out = []
+    for level in range(8):
+        mine = (key & 0xFF) >> level == 1
+        nodes = [_node(key[mine].astype(np.uint64), zeros[mine], ones[mine], split[mine])]
+        for d in range(SHARED - 2, -1, -1):
+            nodes.insert(0, _node(*_up(nodes[0], d)))
+        out.append(_descend(nodes, 0, None))
+    return out
+
+
+def _log10(grams: np.ndarray, by_depth: list[tuple[np.ndarray, np.ndarray]], tops: list[list[_Said]]) -> np.ndarray:
+    """log10 probability of the last byte of each of a shard's grams after the bytes before it."""
+    byte, out = grams & np.uint64(0xFF), np.zeros(len(grams))
+    for level in range(8):
+        said = [*tops[level]]
+        if len(by_depth[-1][0]):
+            said += _descend(_climb(by_depth, level), SHARED, said[-1])
+        node = np.uint64(1 << level) | byte >> np.uint64(8 - level)
+        p, left = np.full(len(grams), 0.5), np.arange(len(grams))
+        for d in range(len(said) - 1, -1, -1):  # the longest context that has come to this decision tells
+            keys = said[d].keys
+            if len(keys):
+                key = grams[left] >> np.uint64(8) << np.uint64(8) & np.uint64((1 << 8 * (d + 1)) - 1) | node[left]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                there = keys[at] == key
+                p[left[there]] = said[d].chance[at[there]]
+                left = left[~there]
+        out += np.log10(np.where(byte >> np.uint64(7 - level) & np.uint64(1) == 1, p, 1 - p))
+    return out
+
+
+def answers(counts: DataFrame, asked: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(block, grams binary, logs binary) for the rows (shard, block, grams) of ``asked``: log10 probabilities by the whole tree."""
+    sent = counts.sparkSession.sparkContext.broadcast(top(counts, depth))
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        blobs = right.column("grams").to_pylist()
+        logs = []
+        if blobs:
+            every = np.unique(np.concatenate([_unpacked(b) for b in blobs]))
+            by_depth = _shard_depths(left, depth)
+            value = np.concatenate([_log10(every[i : i + 1_000_000], by_depth, sent.value) for i in range(0, len(every), 1_000_000)]).astype(np.float32)
+            logs = [_squeeze(value[np.searchsorted(every, _unpacked(b))]) for b in blobs]
+        return pa.table({"block": right.column("block"), "grams": pa.array(blobs, pa.binary()), "logs": pa.array(logs, pa.binary())})
+
+    return counts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "block int, grams binary, logs binary")
+
+
+# -- a model in memory ------------------------------------------------------------------------------------------------
+
+
 def _lookup(sent: Broadcast) -> _Lookup:
     """The table of a broadcast model, made once in each worker."""
     if sent.id not in _TABLES:
@@ -324,17 +530,26 @@ def _tokens(text: bytes) -> list[bytes]:
     return [*text.translate(ops.LOWER_TABLE).split(), b""]
 
 
-def word_base(docs: DataFrame, *, train_col: str, text_col: str = "text", keep: list[str], text_bytes: int) -> DataFrame:
-    """The columns of ``keep`` with n_tokens, n_known, train_tokens, base_score under the unigram model of rows with train_col.
+def block_scores(docs: DataFrame, *, train_col: str, text_col: str = "text", keep: list[str], text_bytes: int, depth: int = DEPTH) -> DataFrame:
+    """The columns of ``keep`` with score, bits_per_byte, and n_tokens, n_known, train_tokens, base_score under the unigram model; both models of rows with train_col.
 
-    Texts are shuffled once: the blocks that send their words are the blocks that get the counts.
+    Texts are shuffled once: the blocks that send their words and grams are the blocks that get the answers.
     """
     ops.bounded(docs.sparkSession)
     blocks = text_bytes // BLOCK_BYTES + 12
+    shards = blocks // BLOCKS_A_SHARD + LEAST_SHARDS
     slim = docs.select(*keep, F.col(text_col).alias("_text"), F.col(train_col).alias("_train")).withColumn("_block", F.pmod(F.xxhash64("_text", *keep), F.lit(blocks)).cast("int"))
     parts = 3 * blocks  # more partitions than blocks, so that few hold several
     slim = slim.repartition(parts, "_block")
 
+    def grams(table: pa.Table) -> pa.Table:
+        block, ((found, _),) = table.column("_block")[0].as_py(), _distinct(table.to_batches(), "_text", depth)
+        rows = _packed(found, shards)
+        return pa.table({"shard": pa.array([i for i, _, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "grams": pa.array([blob for _, _, blob in rows], pa.binary())})
+
+    asked = slim.groupBy("_block").applyInArrow(grams, "shard int, block int, grams binary").repartition(shards, "shard")
+    counts = ops.cut(shard_counts(docs.where(train_col), shards, text_col=text_col, depth=depth))
+
     def words(table: pa.Table) -> pa.Table:
         seen: Counter = Counter()
         others: set[bytes] = set()
@@ -352,11 +567,23 @@ def word_base(docs: DataFrame, *, train_col: str, text_col: str = "text", keep:
 
     own = slim.groupBy("_block").applyInArrow(words, "block int, word binary, n bigint")
     by_word = Window.partitionBy("word")
-    counted = own.select("block", "word", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("one")).repartition(parts, "block")
-    fields = T._parse_datatype_string("n_tokens bigint, n_known bigint, _train_tokens bigint, _distinct bigint, _logs double")
+    counted = own.select("block", "word", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("one"))
+    back = counted.unionByName(answers(counts, asked, depth), allowMissingColumns=True).repartition(parts, "block")
+    fields = T._parse_datatype_string("score double, bits_per_byte double, n_tokens bigint, n_known bigint, _train_tokens bigint, _distinct bigint, _logs double")
     schema = T.StructType([*(slim.schema[c] for c in keep), *fields])
 
     def base(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_word = right.column("grams").is_null()
+        told, right = right.filter(pc.invert(is_word)), right.filter(is_word)
+        every = [np.concatenate([f(b) for b in told.column(c).to_pylist()]) for c, f in (("grams", _unpacked), ("logs", lambda b: _unsqueeze(b, np.float32)))]
+        table, score, bits = _Lookup(Model(depth, [], *every)), [], []
+        for part in ops.text_slices(left.to_batches(), "_text"):
+            found, at = _sequence(*ops.text_buffers(part.column("_text")), depth)
+            total = np.concatenate([[0.0], np.cumsum(table.log10(found), dtype=np.float64)])
+            s = total[at[1:]] - total[at[:-1]]
+            score.append(s)
+            bits.append(-s / math.log10(2) / np.diff(at))
+        del table, told, every
         c = right.column("c").to_numpy()
         logs = np.log10(c + 0.5)
         place = dict(zip(right.column("word").to_pylist(), range(len(c)), strict=True))
@@ -372,22 +599,19 @@ def word_base(docs: DataFrame, *, train_col: str, text_col: str = "text", keep:
         # A word counts as distinct in the first of its blocks, which notes it with its first document.
         distinct = [int(np.count_nonzero((c > 0) & right.column("one").to_numpy(zero_copy_only=False))), *([0] * (len(out) - 1))]
         new = {"n_tokens": n_tokens, "n_known": n_known, "_train_tokens": mine, "_distinct": distinct}
-        return pa.table({name: left.column(name) for name in keep} | {k: pa.array(v, pa.int64()) for k, v in new.items()} | {"_logs": pa.array(out, pa.float64())})
+        return pa.table({name: left.column(name) for name in keep} | {"score": pa.array(np.concatenate(score)), "bits_per_byte": pa.array(np.concatenate(bits))} | {k: pa.array(v, pa.int64()) for k, v in new.items()} | {"_logs": pa.array(out, pa.float64())})
 
-    found = ops.cut(slim.groupBy("_block").cogroup(counted.groupBy("block")).applyInArrow(base, schema))
+    found = ops.cut(slim.groupBy("_block").cogroup(back.groupBy("block")).applyInArrow(base, schema))
     tokens, distinct = found.agg(F.coalesce(F.sum("_train_tokens"), F.lit(0)), F.coalesce(F.sum("_distinct"), F.lit(0))).first()
     each = math.log10(tokens + 0.5 * (distinct + 1))
-    return found.select(*keep, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("_logs") - F.col("n_tokens") * each).alias("base_score"))
+    return found.select(*keep, "score", "bits_per_byte", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("_logs") - F.col("n_tokens") * each).alias("base_score"))
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's result over documents."""
     docs = ops.read(spark, sf_dir, "documents").select("doc_id", "text", (ops.id_remainder("doc_id", 5) == 1).alias("held_out"))
-    train = ~F.col("held_out")
-    model = fit(docs.where(train))
-    scored = score(docs, model, keep=["doc_id", "text", "held_out"]).withColumn("train", train)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    out = word_base(scored, train_col="train", keep=["doc_id", "held_out", "score", "bits_per_byte"], text_bytes=size)
+    out = block_scores(docs.withColumn("train", ~F.col("held_out")), train_col="train", keep=["doc_id", "held_out"], text_bytes=size)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

@@ -58,6 +58,20 @@ def test_contract(spark, tmp_path, monkeypatch):
     assert all(r.score < 0 for r in rows) and len({r.score for r in rows if r.doc_id in (100, 101)}) == 1
 
 
+def test_query_keeps_the_whole_tree(spark, tmp_path, monkeypatch):
+    """However small the in-memory model may be, the query's scores are those of the tree with every context."""
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(ctw, "MODEL_GRAMS", 120)
+    monkeypatch.setattr(ctw.fit, "__kwdefaults__", {**ctw.fit.__kwdefaults__, "most": 120})
+    docs = corpus()
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = ctw.brute_force_score([t or "" for d, t in docs if not held(d)], [t or "" for _, t in docs])
+    got = {(r.doc_id, round(r.score, 4)): r for r in ctw.op2_ctw(spark, str(tmp_path)).collect()}
+    for (doc, text), w in zip(docs, want, strict=True):
+        near = [r for (d, _), r in got.items() if d == doc and r.score == pytest.approx(w, rel=1e-4, abs=1e-4)]
+        assert near and near[0].bits_per_byte == pytest.approx(-w / math.log10(2) / (len((text or "").encode()) + 1), rel=1e-4)
+
+
 def test_without_training_texts(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = ctw.score(df, ctw.fit(df.limit(0))).first()
