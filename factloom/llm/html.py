@@ -3,8 +3,9 @@
 A tokenizer and a tree builder with HTML's implied tags turn a page into open, text and close events; the
 renderer draws them: blocks on lines of their own with a blank line where the page has a margin, list items
 with bullets or numbers and indents, preformatted text as it is, table cells aligned in columns. Hidden
-content (head, scripts, styles, templates, the hidden attribute, display:none, ...) is left out. Nothing is
-recursive, so deep nesting costs no stack. Pages are independent: one pass, no shuffle.
+content (head, scripts, styles, templates, the hidden attribute, display:none, ...) is left out; visibility:hidden
+hides up to a descendant that is visible again. Text of svg and math shows, without their titles, definitions and
+annotations; their elements may close themselves, and text labels are kept apart by a blank. Nothing is recursive, so deep nesting costs no stack. Pages are independent: one pass, no shuffle.
 
 Defined results: null and empty pages give an empty text; text outside any tag is kept; an unclosed tag, comment
 or script reaches to the end; repeated rows give equal texts; extra columns pass through.
@@ -29,13 +30,16 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none)\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\b", re.I)
+#: An unquoted value up to the end of a start tag, whose last slash is its own.
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist audio video canvas object svg math meta link".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist audio video canvas object meta link".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript head html".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr form article section details".split())
 BLOCK = MARGIN | frozenset("address aside body center dd dir div dt fieldset figcaption footer header html legend li main menu nav optgroup option search summary tbody td tfoot th thead tr caption textarea".split())
@@ -54,7 +58,13 @@ IMPLIED_END = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
-BARRIER = frozenset("table td th caption button object html template".split())
+#: Elements of svg and math stand on the stack with a slash before their names; in these, markup is HTML again.
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+FOREIGN_HIDDEN = frozenset("desc title defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter script style annotation annotation-xml mphantom".split())
+FOREIGN_APART = frozenset("/text /mtd".split())
+#: Start tags that end svg and math.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+BARRIER = frozenset("table td th caption button object html template".split()) | {"/" + tag for tag in HTML_AGAIN}
 
 
 class _Flow:
@@ -151,6 +161,10 @@ def _number(s: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
+def _self_closed(raw: str) -> bool:
+    return raw.endswith("/") and not _UNQUOTED_END.search(raw)
+
+
 class _Page:
     """Tree builder and renderer: a stack of open elements, each with what closing it must undo."""
 
@@ -161,12 +175,18 @@ class _Page:
         self.lists: list[list] = []
         self.hidden = 0
         self.pre = 0
+        #: Of each open svg, math and HTML within them: whether its content is foreign; of each element that sets the visibility, its depth and what was before.
+        self.foreign: list[bool] = []
+        self.visibility: list[tuple[int, bool]] = []
+        self.unseen = False
 
     def text(self, s: str) -> None:
         if self.hidden:
             if self.stack[-1][0] != "head" or not s.strip():
                 return
             self.close("head")  # text ends an open head
+        if self.unseen:
+            return
         tag = self.stack[-1][0] if self.stack else ""
         if tag in ("table", "tr", "thead", "tbody", "tfoot", "colgroup"):
             if not s.strip():
@@ -181,6 +201,16 @@ class _Page:
     def open(self, tag: str, raw: str) -> None:
         if tag not in HEAD_ONLY and self.hidden and self.stack[-1][0] == "head":
             self.close("head")
+        if self.in_foreign:
+            if tag not in ENDS_FOREIGN:
+                self._open_foreign(tag, raw)
+                return
+            self._leave_foreign()
+        elif tag in ("svg", "math"):
+            self._open_foreign(tag, raw)
+            return
+        if tag in ("mglyph", "malignmark") and self.foreign:
+            return
         if tag in CLOSES_P:
             self._end({"p"}, BARRIER)
         if tag in IMPLIED_END:
@@ -193,7 +223,7 @@ class _Page:
         elif tag in ("html", "body"):
             return
         if tag == "br":
-            if not self.hidden:
+            if not self.hidden and not self.unseen:
                 self.flow.line(True)
             return
         if tag in VOID:
@@ -201,7 +231,7 @@ class _Page:
                 self.flow.margin()
             elif tag == "input" and not self.hidden and raw:
                 a = self._attributes(raw)
-                if a.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and a.get("value"):
+                if not self._unseen(a) and a.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and a.get("value"):
                     self.flow.text(" " + a["value"] + " ", False)
             return
         attributes = self._attributes(raw) if raw and not raw.isspace() else {}
@@ -211,6 +241,7 @@ class _Page:
             self.stack.append((tag, "hidden"))
             return
         undo: object = None
+        self._see(attributes)
         if tag == "table":
             self.flow.line()
             self.tables.append((_Table(), self.flow))
@@ -240,10 +271,54 @@ class _Page:
             elif tag in ("pre", "textarea"):
                 self.pre += 1
                 undo = "pre"
-        elif tag == "q":
+        elif tag == "q" and not self.unseen:
             self.flow.text("“", False)
         self.stack.append((tag, undo))
 
+    @property
+    def in_foreign(self) -> bool:
+        return bool(self.foreign) and self.foreign[-1]
+
+    def _open_foreign(self, tag: str, raw: str) -> None:
+        """Open an element of svg or math, unless it closes itself."""
+        if _self_closed(raw):
+            return
+        attributes = self._attributes(raw) if raw and not raw.isspace() else {}
+        name = "/" + tag
+        if tag in ("svg", "math"):
+            self.foreign.append(True)
+        elif tag in HTML_AGAIN:
+            self.foreign.append(tag == "annotation-xml" and attributes.get("encoding", "").lower() not in ("text/html", "application/xhtml+xml"))
+        off = tag in FOREIGN_HIDDEN or attributes.get("display", "").strip().lower() == "none" or bool(_INVISIBLE.search(attributes.get("style", "")))
+        if off or self.hidden:
+            self.hidden += 1
+            self.stack.append((name, "hidden"))
+            return
+        self._see(attributes)
+        if name in FOREIGN_APART:
+            self._apart()
+        self.stack.append((name, None))
+
+    def _leave_foreign(self) -> None:
+        while self.in_foreign:
+            self._pop()
+
+    def _apart(self) -> None:
+        if not self.unseen:
+            self.flow.text(" ", bool(self.pre))
+
+    def _unseen(self, attributes: dict[str, str]) -> bool:
+        """Whether an element with these attributes is invisible where it stands."""
+        said = _VISIBILITY.findall(attributes.get("style", "")) or ([attributes["visibility"]] if self.in_foreign and "visibility" in attributes else [])
+        value = said[-1].strip().lower() if said else ""
+        return value in ("hidden", "collapse") or (self.unseen and value not in ("visible", "initial"))
+
+    def _see(self, attributes: dict[str, str]) -> None:
+        """Set the visibility of an element that is about to be put on the stack."""
+        if attributes and (unseen := self._unseen(attributes)) != self.unseen:
+            self.visibility.append((len(self.stack), self.unseen))
+            self.unseen = unseen
+
     @staticmethod
     def _attributes(raw: str) -> dict[str, str]:
         out: dict[str, str] = {}
@@ -265,6 +340,8 @@ class _Page:
             self._pop()
 
     def close(self, tag: str) -> None:
+        if tag in ("p", "br") and self.in_foreign:
+            self._leave_foreign()
         if tag == "p" and not self.hidden and not any(t == "p" for t, _ in self.stack):
             self.flow.margin()
             return
@@ -273,7 +350,7 @@ class _Page:
             return
         wall = BARRIER if tag not in ("table", "html", "tr", "tbody", "thead", "tfoot") else frozenset({"table"})
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i][0].removeprefix("/") == tag:
                 while len(self.stack) > i:
                     self._pop()
                 return
@@ -282,9 +359,16 @@ class _Page:
 
     def _pop(self) -> None:
         tag, undo = self.stack.pop()
+        if tag[0] == "/" and (tag in ("/svg", "/math") or tag[1:] in HTML_AGAIN):
+            self.foreign.pop()
         if undo == "hidden":
             self.hidden -= 1
             return
+        if tag in FOREIGN_APART:
+            self._apart()
+        unseen = self.unseen
+        if self.visibility and self.visibility[-1][0] == len(self.stack):
+            self.unseen = self.visibility.pop()[1]
         if tag == "table":
             table, outer = self.tables.pop()
             self.flow = outer
@@ -309,7 +393,7 @@ class _Page:
                 self.flow.indent.pop()
             elif undo == "pre":
                 self.pre -= 1
-        elif tag == "q":
+        elif tag == "q" and not unseen:
             self.flow.text("”", False)
 
     def finish(self) -> str:
@@ -327,13 +411,20 @@ def render(html: str | None) -> str:
         if m.start() > at:
             page.text(s[at : m.start()])
         at = m.end()
+        if page.in_foreign and s.startswith("<![CDATA[", m.start()):
+            stop = s.find("]]>", m.start())
+            body = s[m.start() + 9 : stop if stop >= 0 else len(s)]
+            at = stop + 3 if stop >= 0 else len(s)
+            page.text(body.replace("&", "&amp;"))
+            continue
         end, start, raw = m[1], m[2] or m[4], m[3] or m[5] or ""
         if end:
             page.close(end.lower())
         elif start:
             tag = start.lower()
+            foreign = page.in_foreign
             page.open(tag, raw)
-            if tag in RAW:
+            if tag in RAW and not foreign:
                 stop = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(s, at) if tag != "plaintext" else None
                 body = s[at : stop.start() if stop else len(s)]
                 at = stop.start() if stop else len(s)

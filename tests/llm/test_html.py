@@ -32,6 +32,28 @@ def test_layout(page, text):
     assert h.render(page) == text
 
 
+FOREIGN = [
+    ("a <svg><text>label</text><text>two</text></svg> b", "a label two b"),
+    ("<p>x = <math><semantics><mrow><mi>y</mi><mo>+</mo><mn>1</mn></mrow><annotation encoding='tex'>y+1</annotation></semantics></math>.", "x = y+1."),
+    ("<body><svg viewBox='0 0 1 1'/>rest<math/> of it", "rest of it"),
+    ("<body><svg><path d='M0'/><use href=#a /><title/><style/><g><text/></g></svg>rest", "rest"),
+    ("<svg><title>no</title><desc><p>no</p></desc><defs><text>no</text></defs><script>a&lt;b</script><style>c{}</style><text display=none>no</text><text>yes</text></svg>on", "yes on"),
+    ("<svg width=1/><text>in</text></svg>out", "in out"),
+    ("<div><svg><g><text>t</div>after", "t\nafter"),
+    ("<svg><g><p>out</p></svg>on", "out\n\non"),
+    ("<p>a<svg><foreignObject><p>b</p></foreignObject></svg>c", "a\n\nb\n\nc"),
+    ("<svg><text><![CDATA[a < b &amp; c]]></text></svg>", "a < b &amp; c"),
+    ("<math><mtext>if <b>n</b></mtext><annotation-xml encoding='text/html'><p>no</p></annotation-xml></math>z", "if nz"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes<i style='visibility:hidden'>no</i></b>no<br><q>no</q></div>on", "yes\non"),
+    ("<p style='visibility:hidden'>no<input value=no><input value=yes style='visibility:visible'></p>on", "yes\n\non"),
+]
+
+
+@pytest.mark.parametrize("page, text", FOREIGN)
+def test_svg_math_and_visibility(page, text):
+    assert h.render(page) == text
+
+
 class Plain(HTMLParser):
     def __init__(self):
         super().__init__()
