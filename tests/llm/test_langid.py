@@ -46,3 +46,16 @@ def test_without_documents_or_pages(tables):
     pages, docs, _ = tables
     assert {r.lang for r in g.identify(pages, docs.limit(0)).collect()} == {None}
     assert g.identify(pages.limit(0), docs).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one with long texts only, one with copies of a single row only."""
+    rng = random.Random(7)
+    own = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for i in range(68)}
+    say = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    docs = [(i, say(lang, 40), lang) for i, lang in enumerate([*own] * 2) if lang not in ("l66", "l67")]
+    docs += [(1000, say("l66", 12_000), "l66"), *[(1001, say("l67", 40), "l67")] * 900]
+    pages = [(i, f"http://h{i}.x/", f"<p>{say(lang, 60)}") for i, lang in enumerate(own)]
+    got = g.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string, lang string"), lang_col="lang").collect()
+    assert {r.page_id: r.text_lang for r in got} == dict(enumerate(own))
+    assert {r.page_id: r.lang for r in got} == dict(enumerate(own))
