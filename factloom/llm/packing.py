@@ -1,14 +1,15 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences of bounded length.
 
-Documents are tokenised in place and cut only where they are longer than a sequence. Pieces and gaps are
-sorted by size and ranked within a size (in salted runs, so that a size shared by many rows is not one
-task). Each round then takes three steps. Sweep: from the longest pieces down, each size class proposes to
-the class of its successor, the least gap that holds it. Conflicts: the pieces and the gaps of two classes
-pair by rank, each gap taking one piece a round (or, where pieces outnumber gaps, that many times
-more of one size). Update: gaps shrink and move to their new class. As sizes
-are integers of at most ``max_tokens``, a sweep reads two tables of at most that many class counts; pieces,
-gaps and their pairing stay distributed, with one shuffle on (class, rank) a round, then a checkpoint.
-A round opens as many sequences as the pieces left need beyond all gaps, for the longest of them.
+Documents are tokenised in place and cut only where they are longer than a sequence. Pieces as long as a sequence are
+placed at once. Each round takes a band of lengths, the longest first, in three steps. Sort: the band's pieces and the
+gaps that could hold one are sorted by size into ranges, each with its own task, as many rows of one size as there are
+(numbered rows break ties, so a size shared by many rows is split over ranges). Sweep: each task goes down its range and
+gives every piece its successor, the least gap left that holds it. Conflicts: what ranges leave over pairs across them by
+rank, one gap and one piece of each range on each rank. Update: gaps shrink, pieces without a gap open
+sequences, as many pieces in each as fit by their length, and the next round follows. The driver learns the lengths
+in use (at most ``max_tokens``), to say where rounds begin; it decides no match. There are at most 7 + log8(max_tokens) rounds whatever the input.
+
+Within a sequence pieces lie by falling length. With equal rows the result is one of several equal ones.
 
 Defined results: null or empty text is the end token alone; repeated rows and null ids are packed like any
 others; an empty table gives an empty result; extra columns don't matter.
@@ -20,22 +21,22 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.llm import textops as ops
 
 MAX_TOKENS, END_ID = 2048, 0
-#: Rows of a partition between rounds: they are narrow, and many small files would cost more than they.
-_ROWS_A_PART = 25_000
-#: A round takes pieces from the longest left down to this share of it.
-BAND = 0.25
+#: Rows of a range in a round's sort.
+ROWS_A_PART = 100_000
+#: Sequence numbers are a multiple of this plus the number of the round that opened them; there are at most 7 + log8(max_tokens) rounds.
+_ROUNDS = 64
 #: Fixed value: the public split pattern of byte-level vocabularies.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unbroken runs from which a text goes to the slower encoder, whose time doesn't grow with a run's square.
@@ -128,137 +129,132 @@ def tokenize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(*dict.fromkeys([id_col, text_col])).mapInArrow(run, schema)
 
 
-def _ranked(pieces: DataFrame, n: int) -> DataFrame:
-    """Numbers the pieces of each length from 0 (column _rank), in salted runs."""
-    from pyspark.sql import Window
-
-    salts = max(16, min(1024, n // 50_000))
-    names = [c for c in pieces.columns if c != "ids"]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
-    counts = salted.groupBy("length", "_salt").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")
-    offsets = counts.select(F.col("length").alias("_length"), F.col("_salt").alias("_run"), before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*names)) - 1
-    joined = salted.withColumn("_in", rank).join(offsets, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_run")))
-    return joined.withColumn("_rank", F.col("_in") + F.col("_before")).drop("_salt", "_run", "_length", "_in", "_before")
-
-
-class _Classes:
-    """Ranks in use by size: pieces from done[s] to count[s], gaps from low[s] to high[s]."""
-
-    def __init__(self, counts: dict[int, int], most: int):
-        self.most = most
-        self.count, self.done, self.low, self.high = (np.zeros(most + 1, np.int64) for _ in range(4))
-        for s, n in counts.items():
-            self.count[s] = n
-        self.opened = 0
-
-    def left(self) -> np.ndarray:
-        return self.count - self.done
-
-    def _flows(self, s: int, n: int, k: int, free: int) -> list[tuple[int, int, int]]:
-        """Takes up to n pieces of size s, k to each of ``free`` gaps: (first rank, gaps, pieces in each)."""
-        out = []
-        full = min(n // k, free)
-        if full:
-            out.append((int(self.done[s]), full, k))
-            self.done[s] += full * k
-        rest = n - full * k
-        if rest and full < free:
-            out.append((int(self.done[s]), 1, rest))
-            self.done[s] += rest
-        return out
-
-    def sweep(self) -> list[tuple]:
-        """One round over the longest pieces left, down to a share BAND of the longest.
-
-        Rows: (length, first rank, past, gap, first gap rank, new gap's first rank, first new sequence, pieces a gap).
-        """
-        out, size = [], np.arange(self.most + 1)
-        free = (self.high - self.low).copy()
-        moved = []
-        longest = int(np.flatnonzero(self.left())[-1])
-        band = np.flatnonzero(self.left() * (size > int(longest * BAND)))[::-1].tolist()
-        for s in band:
-            for gap in (s + np.flatnonzero(free[s:])).tolist():
-                n = int(self.left()[s])
-                if not n:
-                    break
-                # Where pieces outnumber gaps, a gap takes its share of them at once, not in as many rounds.
-                share = -(-int(self.left()[band[-1] : s + 1].sum()) // int(free[s:].sum()))
-                for a, m, k in self._flows(s, n, max(1, min(gap // s, share)), int(free[gap])):
-                    moved.append((s, a, m, k, gap, int(self.low[gap])))
-                    self.low[gap] += m
-                    free[gap] -= m
-        for s, a, m, k, gap, g in moved:
-            out.append((s, a, a + m * k, gap, g, int(self.high[gap - k * s]), None, k))
-            self.high[gap - k * s] += m
-        # What found no gap and will find none opens sequences: pieces beyond what the gaps that hold them can take.
-        over = 0
-        for s in band:
-            over += int(self.left()[s])
-            if not over:
-                continue
-            fit = np.arange(s, self.most + 1)
-            room = int(((self.high - self.low)[s:] * (fit // s)).sum())
-            need = -(-max(0, over - room) // (self.most // s))
-            if need > 0:
-                for a, m, k in self._flows(s, int(self.left()[s]), self.most // s, need):
-                    rest = self.most - k * s
-                    out.append((s, a, a + m * k, None, None, int(self.high[rest]), self.opened, k))
-                    self.high[rest] += m
-                    self.opened += m
-                    over -= m * k
-        if not out:  # all that is left fits somewhere by count, but met no gap: open for the longest
-            a, m, k = self._flows(longest, int(self.left()[longest]), self.most // longest, 1)[0]
-            rest = self.most - k * longest
-            out.append((longest, a, a + m * k, None, None, int(self.high[rest]), self.opened, k))
-            self.high[rest] += m
-            self.opened += m
-        return out
+def bands(sizes: Iterable[int], max_tokens: int) -> list[tuple[int, int]]:
+    """(shortest, longest) length of each round's pieces, long ones first: halves and thirds of a sequence, then halves of the last, then eighths."""
+    left, out, part = sorted(sizes), [], 2
+    while left:
+        under = max_tokens // part if part <= 3 else left[-1] // (2 if left[-1] > max_tokens // 32 else 8)
+        part += 1
+        own = [n for n in left if n > under]
+        if own:
+            out.append((own[0], own[-1]))
+            left = left[: len(left) - len(own)]
+    return out
+
+
+_STEP = "part int, seq bigint, at bigint"
+
+
+def _sweep(rows: DataFrame) -> DataFrame:
+    """One partition's successor sweep over rows (size, kind, seq, piece), longest first and gaps (kind 0) before pieces of their size.
+
+    A piece takes the last gap that no other has taken: the least that holds it. Rows out: pieces with their gap's
+    ``seq``, or the place ``at`` among the partition's pieces without one; then the gaps left, with theirs.
+    """
+    schema = T.StructType([*T._parse_datatype_string(_STEP).fields, rows.schema["piece"]])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, free, n = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            keep, seq, at = [], [], []
+            for i, (kind, gap) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("seq").to_pylist(), strict=True)):
+                if not kind:
+                    free.append(gap)
+                    continue
+                keep.append(i)
+                if free:
+                    seq.append(free.pop())
+                    at.append(None)
+                else:
+                    seq.append(None)
+                    at.append(n)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(keep), pa.int32()), pa.array(seq, pa.int64()), pa.array(at, pa.int64()), batch.column("piece").take(pa.array(keep, pa.int64()))], names=schema.fieldNames())
+        kind = to_arrow_schema(schema).field("piece").type
+        for i in range(0, len(free), 10_000):
+            own = free[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.int64()), pa.array(range(i, i + len(own)), pa.int64()), pa.nulls(len(own), kind)], names=schema.fieldNames())
+
+    return rows.select("kind", "seq", "piece").mapInArrow(run, schema)
+
+
+def _settled(swept: DataFrame) -> DataFrame:
+    """What partitions left over, matched across them by rank: (piece, seq, level); without seq, pieces for which there is no gap.
+
+    Gaps and pieces are brackets: over all partitions in order, a gap opens one more level and a piece closes the last. On a
+    level they alternate, so a piece takes the gap before it on its level, which has a row or two of each partition.
+    Pieces without one have the levels 0, -1, -2, ... by falling length.
+    """
+    left = swept.where("at is not null").withColumn("gap", F.col("piece").isNull())
+    # One row for each partition.
+    sums = left.groupBy("part").agg(F.count_if("gap").alias("gaps"), F.count_if(~F.col("gap")).alias("pieces"))
+    before = F.sum(F.col("gaps") - F.col("pieces")).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("part", "pieces", F.coalesce(before, F.lit(0)).alias("height"))
+    level = F.when(F.col("gap"), F.col("height") - F.col("pieces") + F.col("at") + 1).otherwise(F.col("height") - F.col("at"))
+    ranked = left.join(F.broadcast(sums), "part").withColumn("level", level)
+    last = F.lag("seq").over(Window.partitionBy("level").orderBy("part", "gap"))
+    return ranked.withColumn("took", last).where(~F.col("gap")).select("piece", F.col("took").alias("seq"), "level")
+
+
+def _opened(alone: DataFrame, max_tokens: int, number: int) -> DataFrame:
+    """Pieces without a gap, by level, put into new sequences of as many pieces as fit by their length: (piece, seq)."""
+    fit = alone.withColumns({"rank": -F.col("level"), "k": F.expr(f"{max_tokens} div piece.length")})
+    # One row for each number of pieces, at most max_tokens. A sequence that a longer length began goes on into the next.
+    kinds = fit.groupBy("k").agg(F.min("rank").alias("start"), F.max("rank").alias("last"))
+    begin = F.struct(F.lit(0).cast("long").alias("next"), F.lit(0).cast("long").alias("base"), F.array().cast("array<struct<k:bigint,from:bigint,base:bigint>>").alias("found"))
+
+    def step(done: Column, x: Column) -> Column:
+        at = F.greatest(done["next"], x["start"])
+        more = F.greatest(F.lit(0).cast("long"), F.ceil((x["last"] + 1 - at) / x["k"]))
+        mine = F.struct(x["k"].cast("long").alias("k"), at.alias("from"), done["base"].alias("base"))
+        return F.struct((at + more * x["k"]).cast("long").alias("next"), (done["base"] + more).alias("base"), F.concat(done["found"], F.array(mine)).alias("found"))
+
+    runs = kinds.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("k", "start", "last"))), begin, step)["found"].alias("runs")).select(F.inline("runs"))
+    nth = F.expr("base + if(rank < from, -1, (rank - from) div k)")
+    return fit.join(F.broadcast(runs), "k").select("piece", (nth * _ROUNDS + number).cast("long").alias("seq"))
 
 
 def best_fit(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """The pieces (any columns, with ``length``) with sequence_id and offset."""
-    spark = pieces.sparkSession
-    held = ops.cut(pieces)
-    few = lambda df, rows: df.coalesce(rows // _ROWS_A_PART + 1)
-    sizes = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    classes = _Classes(sizes, max_tokens)
-    n = sum(sizes.values())
-    ranked = ops.cut(few(_ranked(few(held, n), n), n))
-    gaps = None
-    placed: list[DataFrame] = []
-    kinds = "s long, a long, b long, gap long, g long, h long, q long, k long"
-    while classes.left().any():
-        before = int(classes.done.sum())
-        moves = pd.DataFrame(classes.sweep(), columns=["s", "a", "b", "gap", "g", "h", "q", "k"]).astype("Int64")
-        # At most a few thousand rows: one for each pair of classes that meet.
-        flow = F.broadcast(spark.createDataFrame(moves.astype(object).where(moves.notna(), None).values.tolist(), kinds))
-        mine = ranked.join(flow, (F.col("length") == F.col("s")) & (F.col("_rank") >= F.col("a")) & (F.col("_rank") < F.col("b")))
-        mine = mine.withColumns({"_at": F.expr("(_rank - a) div k"), "_nth": F.expr("(_rank - a) % k")}).drop("_rank")
-        mine = mine.withColumn("_last", F.expr("_nth = k - 1"))
-        new = mine.where("q is not null").withColumns({"sequence_id": F.col("q") + F.col("_at"), "offset": F.col("_nth") * F.col("s"), "_new": F.col("h") + F.col("_at")})
-        fits = mine.where("gap is not null")
+    names = pieces.columns
+    held = ops.cut(pieces.select(F.struct(*names).alias("piece"), F.monotonically_increasing_id().alias("key")))
+    size = F.col("piece.length")
+    # At most max_tokens rows: where rounds begin and end, and how many partitions they take.
+    sizes = {r["n"]: r["count"] for r in held.groupBy(size.alias("n")).count().collect()}
+    full = held.where(size == max_tokens).select("piece.*", (F.col("key") * _ROUNDS).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    gaps, placed, done = None, None, 0
+    for number, (low, high) in enumerate(bands((n for n in sizes if n < max_tokens), max_tokens), 1):
+        mine = held.where((size >= low) & (size <= high))
+        rows = mine.select(size.alias("size"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), "piece", "key")
         if gaps is not None:
-            met = fits.withColumn("_g", F.col("g") + F.col("_at")).join(gaps, (F.col("gap") == F.col("size")) & (F.col("_g") == F.col("rank")))
-            met = met.withColumns({"offset": max_tokens - F.col("gap") + F.col("_nth") * F.col("s"), "_new": F.col("h") + F.col("_at")})
-            new = new.unionByName(met.select(*new.columns))
-        names = [*pieces.columns, "sequence_id", "offset"]
-        round_ = ops.cut(few(new.select(*names, "_new", "_last"), int(classes.done.sum()) - before))
-        placed.append(round_.select(*names))
-        left = max_tokens - F.col("offset") - F.col("length")
-        fresh = round_.where("_last").select(left.alias("size"), F.col("_new").alias("rank"), "sequence_id").where("size > 0")
+            # A gap that holds several of the longest pieces takes part as that many, of equal size.
+            parts = F.greatest(F.lit(1), F.expr(f"room div {high}"))
+            split = gaps.where(F.col("room") >= low).select("seq", F.expr("room").alias("room"), parts.alias("parts"))
+            split = split.select((F.expr("room div parts")).alias("size"), F.lit(0).alias("kind"), "seq", F.lit(None).cast(rows.schema["piece"].dataType).alias("piece"), F.explode(F.sequence(F.lit(1), F.col("parts").cast("int"))).alias("nth"))
+            rows = rows.unionByName(split.select("size", "kind", "seq", "piece", F.xxhash64("seq", "nth").alias("key")))
+        n = sum(sizes[i] for i in range(low, high + 1) if i in sizes)
+        order = [F.desc("size"), F.asc("kind"), F.asc("key")]
+        swept = ops.cut(_sweep(rows.repartitionByRange((n + done) // ROWS_A_PART + 1, *order).sortWithinPartitions(*order)))
+        done += n
+        settled = ops.cut(_settled(swept))
+        opened = _opened(settled.where("seq is null"), max_tokens, number)
+        found = swept.where("at is null").select("piece", "seq").unionByName(settled.where("seq is not null").select("piece", "seq"))
+        both = found.unionByName(opened)
+        placed = both if placed is None else placed.unionByName(both)
+        room = lambda df, new: df.select("seq", (-F.col("piece.length")).alias("room"), F.lit(new).alias("new"))
+        change = room(found, 0).unionByName(room(opened, max_tokens))
         if gaps is not None:
-            used = F.broadcast(spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(classes.low) if n], "size long, low long"))
-            fresh = fresh.unionByName(gaps.join(used, "size", "left").where("low is null or rank >= low").select("size", "rank", "sequence_id"))
-        gaps = ops.cut(few(fresh, int((classes.high - classes.low).sum())))
-    if not placed:
-        return held.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
-    return out
+            change = change.unionByName(gaps.withColumn("new", F.lit(0)))
+        if low > 1:
+            gaps = ops.cut(change.groupBy("seq").agg((F.sum("room") + F.max("new")).alias("room")).where("room > 0"))
+    if placed is None:
+        return full
+    # At most max_tokens pieces share a sequence.
+    before = F.sum("piece.length").over(Window.partitionBy("seq").orderBy(F.desc("piece.length"), "piece")) - F.col("piece.length")
+    rest = placed.select("piece.*", F.col("seq").alias("sequence_id"), before.alias("offset"))
+    return full.unionByName(rest)
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
