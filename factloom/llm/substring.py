@@ -7,10 +7,13 @@ are sorted by hash, equal neighbours are compared byte for byte, and every windo
 its words' range back to its document.
 
 Hot passages: a task first compares its own packets. Of equal ones it settles all their documents at once
-and ships a single packet without owner. A first pass counts the bytes in fine slots of the minimisers;
-slots over ``HEAVY_BYTES`` (at most total / HEAVY_BYTES, which bounds their broadcast list) ship their
-windows one by one, dealt by the window's own hash, so no minimiser gathers in one task. A bin over its
-size still merges equal packets as it reads.
+and ships a single packet without owner. A first pass counts bytes in fine slots of the minimisers, whose number grows
+with the text. Windows in slots that are heavy (``HEAVY_BYTES``, and several times the mean, so that an average slot never
+is) take a minimiser of longer runs instead, are counted again, and only what is heavy still ships window by window, dealt
+by the window's own hash; so no minimiser gathers in one task, and packets stay packed at any size of corpus. The heavy slots
+are a bitmap of at most 2 ** ``MOST_SLOT_BITS`` bits for each level. A bin over its size still merges equal packets as it reads.
+
+Texts longer than ``LONG_BYTES`` are worked through a part at a time.
 
 Defined results: null text has no words (and stays null), texts under ``k`` words lose nothing; documents
 are told apart by id and text, so a null or repeated id is no special case, and rows that repeat as a whole
@@ -30,38 +33,65 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textops as ops
 
-WINDOW, MINIMISER = 35, 3
-#: Fine slots of minimisers for the first count; raw bytes of a bin; bytes from which a slot is split.
-SLOT_BITS = 16
-BIN_BYTES, HEAVY_BYTES = 16 << 20, 8 << 20
+#: Words of a window; words of the runs whose least hash deals windows, and of those that take over where a slot is heavy.
+WINDOW, MINIMISERS = 35, (3, 9)
+#: Packed bytes of a fine slot on average, from which their number follows within these bounds.
+SLOT_BYTES, LEAST_SLOT_BITS, MOST_SLOT_BITS = 1 << 20, 16, 26
+#: Raw bytes of a bin; bytes from which a slot is split, if they are so many times the mean too.
+BIN_BYTES, HEAVY_BYTES, HEAVY_TIMES = 16 << 20, 8 << 20, 4
+#: Shuffle partitions at most; one takes several bins, one after the other.
+MOST_PARTS = 1 << 15
 #: Packed bytes that a task compares at once, before it ships; a bin settles a quarter of that at once.
 FLUSH_BYTES = 16 << 20
+LONG_BYTES = 8 << 20
 _COMPARE_BYTES = 1 << 20
 _HEAD = np.dtype([("slot", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("word", "<i4"), ("size", "<i4")])
 
 
+class _Heavy:
+    """The heavy slots of a level, a bit for each slot."""
+
+    def __init__(self, bits: int, slots: list[int]):
+        self.shift = np.uint64(64 - bits)
+        flags = np.zeros(1 << bits, bool)
+        flags[slots] = True
+        self.packed = np.packbits(flags)
+
+    def has(self, slot: np.ndarray) -> np.ndarray:
+        at = (slot >> self.shift).astype(np.int64)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 class _Packets:
-    """Packets of one slice: text spans in ``raw``, owner text, first word, number of windows, slot hash."""
+    """Packets of some texts: spans in ``raw``, owner text, first word, number of windows, slot hash."""
 
-    def __init__(self, batch: pa.RecordBatch, column: str, k: int):
-        data, offsets = ops.text_buffers(batch.column(column))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, k: int, heavy: list[_Heavy], first_word: int = 0, count: bool = False):
         w = ops.Words(data, offsets, ops.WORD_WS)
         self.n = 0
         at = ops.starts_of_runs(w.ptr, k)
         if not len(at):
             return
-        m = min(MINIMISER, k)
         self.hashes = w.hashes()
-        low = ops.sliding_min(ops.sequence_hashes(self.hashes, m), k - m + 1)[at]
+        slot = self._dealt(at, MINIMISERS[0], k)
+        which = np.arange(len(at))
+        for level, hot in enumerate(heavy, 1):
+            which = which[hot.has(slot[which])]
+            if not len(which):
+                break
+            slot[which] = self._dealt(at[which], MINIMISERS[level] if level < len(MINIMISERS) else k, k, level)
+        if count and heavy:  # only what the last level deals anew
+            at, slot = at[which], slot[which]
+            if not len(at):
+                return
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1])
+        new[1:] = (at[1:] != at[:-1] + 1) | (slot[1:] != slot[:-1])
         first = np.flatnonzero(new)
         self.n = len(first)
         self.word = at[first]
         self.windows = np.diff(np.concatenate([first, [len(at)]]))
-        self.slot = ops.mixed(low[first])
+        self.slot = slot[first]
         self.doc = np.searchsorted(w.ptr, self.word, side="right") - 1
-        self.local = self.word - w.ptr[self.doc]
+        self.local = self.word - w.ptr[self.doc] + first_word
         keep = ops.WORD_WS[data]
         keep[w.end[w.end < len(keep)]] = 1
         packed = data[keep.astype(bool)]
@@ -71,22 +101,33 @@ class _Packets:
         self.begin, self.stop = pos[w.start], pos[w.end]
         self.raw = packed.tobytes()
 
+    def _dealt(self, at: np.ndarray, m: int, k: int, level: int = 0) -> np.ndarray:
+        """The slot hashes of windows ``at`` by the least hash of their runs of m words."""
+        m = min(m, k)
+        low = ops.sliding_min(ops.sequence_hashes(self.hashes, m), k - m + 1)[at]
+        return ops.mixed(low ^ np.uint64(level))
+
     def spans(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.begin[self.word], self.stop[self.word + self.windows + k - 2]
 
-    def split(self, which: np.ndarray, k: int) -> None:
-        """Replace the packets ``which`` by their single windows, dealt by the windows' own hashes."""
-        if not which.any():
-            return
-        rest, n = ~which, self.windows[which]
-        one = np.repeat(self.word[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        whole = ops.sequence_hashes(self.hashes, k)[one]
-        doc = np.repeat(self.doc[which], n)
-        local = np.repeat((self.local - self.word)[which], n) + one
-        self.doc, self.local = np.concatenate([self.doc[rest], doc]), np.concatenate([self.local[rest], local])
-        self.word, self.slot = np.concatenate([self.word[rest], one]), np.concatenate([self.slot[rest], ops.mixed(whole)])
-        self.windows = np.concatenate([self.windows[rest], np.ones(len(one), self.windows.dtype)])
-        self.n = len(self.word)
+
+def _parts(batches, column: str, k: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """Slices with their texts (bytes, offsets, number of the first word); a text of over ``most`` bytes comes in parts that share k - 1 words."""
+    for part in ops.text_slices(batches, column, min(most, ops.SLICE_BYTES)):
+        data, offsets = ops.text_buffers(part.column(column))
+        at, word, size = 0, 0, most
+        while len(data) - at > most and part.num_rows == 1:
+            stop = ops.word_break(data, at + size)
+            if stop == len(data):
+                break
+            own = ops.Words(data[at:stop], np.array([0, stop - at]), ops.WORD_WS).start
+            if len(own) < k:
+                size *= 2
+                continue
+            yield part, data[at:stop], np.array([0, stop - at]), word
+            word += len(own) - k + 1
+            at, size = at + int(own[len(own) - k + 1]) if k > 1 else stop, most
+        yield part, data[at:], offsets if not at else np.array([0, len(data) - at]), word
 
 
 def _merged(packets: list[tuple[bytes, int, int, int, int]], done: list[tuple[int, int, int, int]]) -> list[tuple[bytes, int, int, int, int]]:
@@ -172,34 +213,73 @@ def _range_batch(done: list[tuple[int, int, int, int]]) -> dict[str, pa.Array]:
     return {n: pa.array(c, t) for n, c, t in zip(("k1", "k2", "first", "past"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)}
 
 
-def _slot_bytes(keyed: DataFrame, column: str, k: int) -> DataFrame:
-    """(slot, bytes) of the packets, of equal ones in a slice only the first."""
+def _slot_bytes(keyed: DataFrame, column: str, k: int, bits: int, heavy: list[_Heavy]) -> DataFrame:
+    """(slot, bytes) of the packets that the last level of ``heavy`` deals, of equal ones in a slice only the first."""
+    sent = keyed.sparkSession.sparkContext.broadcast(heavy)
 
     def count(batches):
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for part in ops.text_slices(batches, column):
-            p = _Packets(part, column, k)
-            if p.n:
-                a, b = p.spans(k)
-                size = b - a
-                _, one = np.unique(p.slot ^ ops.mixed(p.hashes[p.word + p.windows + k - 2]) ^ size.astype(np.uint64), return_index=True)
-                total += np.bincount((p.slot[one] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), size[one], 1 << SLOT_BITS).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "bytes"])
+        held, total, have = [], [], 0
 
-    return keyed.select(column).mapInArrow(count, "slot int, bytes bigint").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+        def merged():
+            slot, at = np.unique(np.concatenate(held), return_inverse=True)
+            return slot, np.bincount(at, np.concatenate(total), len(slot)).astype(np.int64)
+
+        def given(slot, size):
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(size)], names=["slot", "bytes"])
+
+        for _, data, offsets, word in _parts(batches, column, k, LONG_BYTES):
+            p = _Packets(data, offsets, k, sent.value, word, True)
+            if not p.n:
+                continue
+            a, b = p.spans(k)
+            size = b - a
+            _, one = np.unique(p.slot ^ ops.mixed(p.hashes[p.word + p.windows + k - 2]) ^ size.astype(np.uint64), return_index=True)
+            held.append((p.slot[one] >> np.uint64(64 - bits)).astype(np.int64))
+            total.append(size[one])
+            have += len(one)
+            if have > 1 << 20:
+                slot, size = merged()
+                held, total, have = [slot], [size], len(slot)
+                if have > 1 << 19:  # as good as all different: the shuffle sums up the rest
+                    yield given(slot, size)
+                    held, total, have = [], [], 0
+        if held:
+            yield given(*merged())
+
+    return keyed.select(column).mapInArrow(count, "slot bigint, bytes bigint").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+
+
+def _split_slots(keyed: DataFrame, text_col: str, k: int) -> tuple[int, list[_Heavy]]:
+    """Packed bytes of all packets, and the heavy slots by level."""
+    text = keyed.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(max(LEAST_SLOT_BITS, (3 * text // SLOT_BYTES).bit_length()), MOST_SLOT_BITS)
+    heavy: list[_Heavy] = []
+    total = 0
+    for _ in MINIMISERS:
+        slots = ops.cut(_slot_bytes(keyed, text_col, k, bits, heavy))
+        found = slots.agg(F.sum("bytes")).first()[0] or 0
+        total = total or found
+        # At most a HEAVY_TIMES-th of the slots.
+        least = max(HEAVY_BYTES, HEAVY_TIMES * total >> bits)
+        hot = slots.where(F.col("bytes") > least).select("slot").toArrow().column(0).to_numpy()
+        if not len(hot):
+            break
+        heavy.append(_Heavy(bits, hot))
+    return total, heavy
 
 
 def repeated_ranges(keyed: DataFrame, text_col: str, k: int = WINDOW) -> DataFrame:
     """(k1, k2, first, past) ranges of words covered by windows that start anywhere else too; may overlap."""
+    return matched(shipped(keyed, text_col, k), k)
+
+
+def shipped(keyed: DataFrame, text_col: str, k: int = WINDOW) -> tuple[DataFrame, int]:
+    """Packets by bin (bin int, blob binary) with ranges that are settled where they were made; and the number of bins."""
     spark = keyed.sparkSession
     ops.bounded(spark)
-    slots = _slot_bytes(keyed, text_col, k)
-    total, heavy = slots.agg(F.sum("bytes"), F.collect_list(F.when(F.col("bytes") > HEAVY_BYTES, F.col("slot")))).first()
-    n_bins = int((total or 0) // BIN_BYTES) + 12
-    split = np.zeros(1 << SLOT_BITS, bool)
-    split[list(heavy or [])] = True
-    sent = spark.sparkContext.broadcast(split)
+    total, heavy = _split_slots(keyed, text_col, k)
+    n_bins = total // BIN_BYTES + 12
+    sent = spark.sparkContext.broadcast(heavy)
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -225,11 +305,10 @@ def repeated_ranges(keyed: DataFrame, text_col: str, k: int = WINDOW) -> DataFra
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array((np.arange(n) % n_bins).astype(np.int32)), pa.nulls(n, pa.binary()), *r.values()], names=["bin", "blob", *r])
 
-        for part in ops.text_slices(batches, text_col):
-            p = _Packets(part, text_col, k)
+        for part, data, offsets, word in _parts(batches, text_col, k, LONG_BYTES):
+            p = _Packets(data, offsets, k, sent.value, word)
             if not p.n:
                 continue
-            p.split(sent.value[(p.slot >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], k)
             a, b = p.spans(k)
             k1, k2 = part.column("k1").to_numpy()[p.doc], part.column("k2").to_numpy()[p.doc]
             held += zip(map(p.raw.__getitem__, map(slice, a.tolist(), b.tolist())), p.slot.tolist(), k1.tolist(), k2.tolist(), p.local.tolist(), strict=True)
@@ -240,6 +319,13 @@ def repeated_ranges(keyed: DataFrame, text_col: str, k: int = WINDOW) -> DataFra
         if held:
             yield from flush()
 
+    return keyed.select("k1", "k2", text_col).mapInArrow(pack, f"bin int, blob binary, {_RANGES}"), n_bins
+
+
+def matched(packets: tuple[DataFrame, int], k: int = WINDOW) -> DataFrame:
+    """The ranges of windows that occur again, bin by bin."""
+    sent, n_bins = packets
+
     def match(batches):
         open_ = zstandard.ZstdDecompressor()
 
@@ -291,8 +377,7 @@ def repeated_ranges(keyed: DataFrame, text_col: str, k: int = WINDOW) -> DataFra
         if held:
             yield from settle(held)
 
-    shipped = keyed.select("k1", "k2", text_col).mapInArrow(pack, f"bin int, blob binary, {_RANGES}")
-    return shipped.repartition(n_bins, "bin").sortWithinPartitions("bin").mapInArrow(match, _RANGES)
+    return sent.repartition(min(n_bins, MOST_PARTS), "bin").sortWithinPartitions("bin").mapInArrow(match, _RANGES)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -300,6 +385,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"k1": F.xxhash64(F.lit(1), id_col, text_col), "k2": F.xxhash64(F.lit(2), text_col, id_col)})
 
 
+def _long_kept(text: bytes, first: list[int], past: list[int], most: int) -> tuple[int, int, bytes]:
+    """Words, words removed, and the words left joined by one space, of a long text, a part at a time."""
+    data = np.frombuffer(text, np.uint8)
+    edges, reach = np.array(sorted(first), np.int64), np.maximum.accumulate(np.array([b for _, b in sorted(zip(first, past, strict=True))], np.int64)) if first else np.zeros(0, np.int64)
+    at, n, removed, out = 0, 0, 0, []
+    while at < len(data):
+        stop = ops.word_break(data, at + most)
+        own = np.append(data[at:stop], np.uint8(0x20))
+        w = ops.Words(own, np.array([0, len(own)]), ops.WORD_WS)
+        word = n + np.arange(len(w.start))
+        run = np.searchsorted(edges, word, side="right")
+        gone = (run > 0) & (np.append(0, reach)[run] > word)
+        step = np.zeros(len(own) + 1, np.int8)
+        np.add.at(step, w.start[~gone], 1)
+        np.add.at(step, w.end[~gone] + 1, -1)
+        body = own[np.cumsum(step[:-1]) > 0]
+        body[ops.WORD_WS[body] == 0] = 0x20
+        out.append(body.tobytes())
+        at, n, removed = stop, n + len(word), removed + int(gone.sum())
+    return n, removed, b"".join(out).rstrip(b" ")
+
+
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """The columns of ``keep`` (default: all) with n_words, n_removed and kept.
 
@@ -317,6 +424,12 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             n_words, n_removed, kept = [], [], []
             for text, first, past in zip(batch.column("text").to_pylist(), batch.column("first").to_pylist(), batch.column("past").to_pylist(), strict=True):
+                if text is not None and len(text) > LONG_BYTES:
+                    n, gone, left = _long_kept(text.encode(), first or [], past or [], LONG_BYTES)
+                    n_words.append(n)
+                    n_removed.append(gone)
+                    kept.append(left.decode() if gone else text)
+                    continue
                 words = (text or "").encode().split()
                 n_words.append(len(words))
                 left, at = text, 0

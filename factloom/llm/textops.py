@@ -164,6 +164,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def word_break(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where ASCII white space stands, or the end."""
+    while at < len(data):
+        blank = np.flatnonzero(WORD_WS[data[at : at + SLICE_BYTES]] == 0)
+        if len(blank):
+            return at + int(blank[0])
+        at += SLICE_BYTES
+    return len(data)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (from 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ def digest(df):
     return sorted(map(tuple, df.select("doc_id", "n_words", "n_removed", F.sha2(text.cast("binary"), 256)).collect()), key=str)
 
 
-@pytest.mark.parametrize("how", ["plain", "heavy", "small bins"])
+@pytest.mark.parametrize("how", ["plain", "heavy", "some heavy", "small bins", "long texts"])
 def test_matches_brute_force(spark, monkeypatch, how):
     docs = corpus()
     if how == "heavy":  # all windows are dealt on their own
@@ -36,6 +36,10 @@ def test_matches_brute_force(spark, monkeypatch, how):
     if how == "small bins":  # packets merge and bins settle in many steps
         monkeypatch.setattr(s, "BIN_BYTES", 2000)
         monkeypatch.setattr(s, "FLUSH_BYTES", 1000)
+    if how == "some heavy":  # some slots are dealt by longer runs, some of those window by window
+        monkeypatch.setattr(s, "HEAVY_BYTES", 700)
+    if how == "long texts":  # every text of some words is worked through in parts
+        monkeypatch.setattr(s, "LONG_BYTES", 150)
     df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, k1 string").repartition(3)
     got = s.substring_dedup(df)
     assert got.columns == ["doc_id", "text", "k1", "n_words", "n_removed", "kept"]
@@ -69,3 +73,29 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(t, "SLICE_BYTES", 50)
     assert np.array_equal(w.hashes(), whole)
     assert len(set(whole.tolist())) == len(set(data.tobytes().split()))
+
+
+def test_heavy_slots_ship_few_bytes(spark, monkeypatch):
+    """Where most slots are over the bound, packets of longer runs keep what is shipped under four times the text."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(400))) for i in range(200)]
+    df = s._keyed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    size = sum(len(t) for _, t in docs)
+    monkeypatch.setattr(s, "LEAST_SLOT_BITS", 8)
+    monkeypatch.setattr(s, "HEAVY_BYTES", 1)
+    monkeypatch.setattr(s, "HEAVY_TIMES", 1)
+    packets, _ = s.shipped(df, "text")
+    assert packets.agg(F.sum(F.octet_length("blob"))).first()[0] < 4 * size
+
+
+def test_a_very_long_text(spark):
+    """A text of many parts loses what it repeats, across the parts' borders too."""
+    rng = random.Random(3)
+    line = [f"l{i}" for i in range(40)]
+    words = [f"{rng.getrandbits(40):x}" for _ in range(1_200_000)]
+    for at in (5, 700_000, 900_000):
+        words[at : at + 40] = line
+    row = s.substring_dedup(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    kept = [w for i, w in enumerate(words) if not any(at <= i < at + 40 for at in (5, 700_000, 900_000))]
+    assert (row.n_words, row.n_removed) == (len(words), 120) and row.kept.split() == kept
