@@ -1,14 +1,17 @@
 """SimHash near-duplicates through a binary trie self-join.
 
 Each text gets a 64-bit fingerprint: bit b is 1 if it is set in over half of the XXH64 values (seed 42) of
-its word shingles. Distinct fingerprints are range-sorted and cut at trie nodes into blocks. Blocks whose
-common prefixes differ in at most ``max_bits`` bits meet in a task, which walks both tries together, adds
-up differing bits and drops a pair of nodes once the budget is exceeded (or once both lie in one component,
-where more links tell nothing new). Each task returns a spanning forest of its links; components come from
-alternating large-star and small-star steps over those edges, each round checkpointed.
+its word shingles. Fingerprints that differ in at most ``max_bits`` bits agree in one of ``max_bits + 1`` parts of their
+bits, so each distinct fingerprint goes into as many tries, each turned so that another part comes first. A
+trie's fingerprints are range-sorted and cut at its nodes into blocks. Blocks that may hold pairs with the same
+first part meet in a task (nearly all meet only themselves), which walks both tries together, adds up differing bits and
+drops a pair of nodes once the budget is exceeded (or once both lie in one component,
+where more links tell nothing new). So a fingerprint is shipped ``max_bits + 1`` times at any size of corpus. Each task
+returns a spanning forest of its links; components come from alternating large-star and small-star steps over
+those edges, each round checkpointed.
 
 Copies of a fingerprint are one node of the trie, so a group of exact copies of any size costs one entry.
-Block descriptors are broadcast: there are at most about ``2 * MAX_BLOCKS`` of them whatever the input.
+Block descriptors are broadcast: there are at most about ``2 * MAX_BLOCKS`` of them for each trie whatever the input.
 
 Defined results: null or empty text has fingerprint 0 and links like any other; a component's id is its
 least id (null only if all its ids are null); repeated rows each get a row; an empty table gives none.
@@ -21,7 +24,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import textops as ops
@@ -162,56 +165,72 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndar
     return values[child], values[groups.root[child]]
 
 
+def _turned(fp: Column, bits: int) -> Column:
+    """The 64 bits of a bigint, the first ``bits`` of them put last."""
+    return fp if not bits else F.shiftleft(fp, bits).bitwiseOR(F.shiftrightunsigned(fp, 64 - bits))
+
+
 def _links(distinct: DataFrame, n: int, max_bits: int) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) whose components are those of all links."""
     spark = distinct.sparkSession
+    turns = max_bits + 1
+    #: Bits of the part that comes first; the parts of the first turns may be one bit longer, which is left out here.
+    part = 64 // turns
     most = max(BLOCK, n // MAX_BLOCKS)
-    least = max(0, (n // most).bit_length() - 1)
-    parts = max(1, min(4096, n // (4 * most) + 1))
+    least = min(part, max(0, (n // most).bit_length() - 1))
+    parts = max(1, min(1 << 16, turns * n // (4 * most) + 1))
 
     def to_blocks(batches):
-        held = [b.column(0).to_numpy() for b in batches]
-        values = np.sort(np.concatenate(held).astype(np.int64).view(np.uint64)) if held else np.zeros(0, np.uint64)
-        for part in _split(values, most, least):
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[0].view(np.int64))]), pa.array([int(part[-1].view(np.int64))]), pa.array([part.tobytes()], pa.binary())], names=["lo", "hi", "data"])
-
-    blocks = ops.cut(distinct.select("fp").repartitionByRange(parts, "fp").mapInArrow(to_blocks, "lo bigint, hi bigint, data binary"))
-    ends = blocks.select("lo", "hi").toPandas()
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        turn, values = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+        for t in np.unique(turn).tolist():
+            for own in _split(np.sort(values[turn == t].astype(np.int64).view(np.uint64)), most, least):
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([int(own[0].view(np.int64))]), pa.array([int(own[-1].view(np.int64))]), pa.array([own.tobytes()], pa.binary())], names=["turn", "lo", "hi", "data"])
+
+    every = F.explode(F.array(*(F.struct(F.lit(t).alias("turn"), _turned(F.col("fp"), part * t).alias("value")) for t in range(turns)))).alias("x")
+    sorted_ = distinct.select(every).select("x.*").repartitionByRange(parts, "turn", "value")
+    blocks = ops.cut(sorted_.mapInArrow(to_blocks, "turn int, lo bigint, hi bigint, data binary"))
+    ends = blocks.select("turn", "lo", "hi").toPandas()
+    turn = ends["turn"].to_numpy()
     lo, hi = (ends[c].to_numpy(np.int64).view(np.uint64) for c in ("lo", "hi"))
     width = np.array([64 - int(x).bit_length() for x in lo ^ hi], np.int64)
-    sent = spark.sparkContext.broadcast((lo, width))
+    sent = spark.sparkContext.broadcast([(lo[turn == t], width[turn == t]) for t in range(turns)])
 
     def ship(batches):
-        los, widths = sent.value
         for batch in batches:
-            for low, high, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for t, low, high, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                los, widths = sent.value[t]
                 me = np.int64(low).view(np.uint64)
                 own = 64 - int(me ^ np.int64(high).view(np.uint64)).bit_length()
                 shared = np.minimum(widths, own)
-                diff = (los ^ me) >> np.minimum(64 - shared, 63).astype(np.uint64)
-                near = np.flatnonzero((shared == 0) | (np.bitwise_count(diff) <= max_bits))
+                # Bits of the two nodes' places that differ, of those that both nodes fix; none of the first part's may.
+                diff = np.where(shared > 0, (los ^ me) >> np.minimum(64 - shared, 63).astype(np.uint64), np.uint64(0))
+                first = diff >> np.maximum(shared - part, 0).astype(np.uint64)
+                near = np.flatnonzero((first == 0) & (np.bitwise_count(diff) <= max_bits))
                 for at in range(0, len(near), 32):  # a few dozen copies of a block at a time
                     q = los[near[at : at + 32]]
                     least_, most_ = np.minimum(q, me).view(np.int64), np.maximum(q, me).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(least_), pa.array(most_), pa.array([low] * len(q)), pa.array([data] * len(q), pa.binary())], names=["a", "b", "side", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(q), pa.int32()), pa.array(least_), pa.array(most_), pa.array([low] * len(q)), pa.array([data] * len(q), pa.binary())], names=["turn", "a", "b", "side", "data"])
 
     def join(batches):
         key, first = None, None
         for batch in batches:
-            for a, b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for t, a, b, data in zip(*(batch.column(c).to_pylist() for c in ("turn", "a", "b", "data")), strict=True):
                 if a == b:
                     u, v = trie_join(np.frombuffer(data, np.uint64), None, max_bits)
-                elif key == (a, b):
+                elif key == (t, a, b):
                     u, v = trie_join(np.frombuffer(first, np.uint64), np.frombuffer(data, np.uint64), max_bits)
                 else:
-                    key, first = (a, b), data
+                    key, first = (t, a, b), data
                     continue
                 if len(u):
+                    back = np.uint64(part * t)
+                    u, v = ((x >> back | x << np.uint64(64) - back) if t else x for x in (u, v))
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    tasks = max(12, min(4096, len(lo) * 4))
-    shipped = blocks.mapInArrow(ship, "a bigint, b bigint, side bigint, data binary")
-    return ops.cut(shipped.repartition(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(join, "u bigint, v bigint"))
+    tasks = max(12, min(1 << 16, len(lo)))
+    met = blocks.mapInArrow(ship, "turn int, a bigint, b bigint, side bigint, data binary")
+    return ops.cut(met.repartition(tasks, "turn", "a", "b").sortWithinPartitions("turn", "a", "b").mapInArrow(join, "u bigint, v bigint"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,23 +278,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents with one row of each component: that of the least id (one of them, where rows repeat).
+    """The documents with one row of each component: that of the least id, of that id's rows the one of the least
+    fingerprint, then of the least hash of the text (one of them, where rows repeat). Extra columns, of any name, ride along.
 
-    Documents meet their class's survivor by (fingerprint, id), so a group of copies is spread over its ids.
+    Documents are fingerprinted once; they meet their class's survivor by 128 bits of id and text, so a group of copies
+    is spread over its ids. Null and empty texts, null ids and empty tables are as in ``near_duplicates``.
     """
-    from pyspark.sql import Window
-
-    marked = ops.cut(fingerprints(docs, text_col=text_col, keep=[id_col], shingle=shingle))
-    classes = _classes(marked, id_col, max_bits)
-    # The survivor of a component: its least id, and of that id's fingerprints in the component the least.
-    own = marked.groupBy("fp", id_col).agg(F.lit(1).alias("one")).join(classes, "fp").where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    # One plain key for the id, null or not, so that the join's partitions serve the ranking too.
-    key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
-    best = own.groupBy("root", id_col).agg(F.min("fp").alias("_own")).select("_own", key(id_col).alias("_id"))
-    found = fingerprints(docs, text_col=text_col, shingle=shingle, name="_own").withColumn("_id", key(id_col))
-    won = found.join(best, ["_own", "_id"])
-    rank = F.row_number().over(Window.partitionBy("_own", "_id").orderBy(F.lit(1)))
-    return won.withColumn("_rank", rank).where("_rank = 1").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.xxhash64(F.lit(1), id_col, text_col).alias("k1"), F.xxhash64(F.lit(2), text_col, id_col).alias("k2"))
+    marked = ops.cut(fingerprints(keyed.drop("row"), keep=["id", "k1", "k2"], shingle=shingle))
+    classes = _classes(marked, "id", max_bits)
+    one = marked.groupBy("fp", "id", "k1", "k2").agg(F.lit(1).alias("one"))
+    own = one.join(classes, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    best = own.groupBy("root").agg(F.min(F.struct("fp", "k1", "k2")).alias("best")).select("best.k1", "best.k2")
+    won = keyed.select("k1", "k2", "row").join(best, ["k1", "k2"])
+    rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
+    return won.withColumn("rank", rank).where("rank = 1").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,26 @@ def test_blocks_are_trie_nodes():
     v = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 1000, dtype=np.uint64))
     parts = s._split(v, 50, 4)
     assert np.array_equal(np.concatenate(parts), v) and max(map(len, parts)) <= 50
+
+
+def test_links_over_many_blocks(spark, monkeypatch):
+    """Small blocks, and a third of the fingerprints alike in their first part."""
+    monkeypatch.setattr(s, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    seeds = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    seeds[:10] &= np.uint64((1 << 48) - 1)
+    flips = np.uint64(1) << rng.integers(0, 64, (30, 12, 2), dtype=np.uint64)
+    v = np.unique(np.bitwise_xor.reduce(flips, axis=2) ^ seeds[:, None])
+    df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in s.components(s._links(df, len(v), 3)).collect()}
+    root = np.arange(len(v))
+    near = np.argwhere(np.bitwise_count(v[:, None] ^ v[None, :]) <= 3)
+    for _ in range(len(v)):
+        was = root.copy()
+        np.minimum.at(root, near[:, 0], was[near[:, 1]])
+        if np.array_equal(root, was):
+            break
+    signed = v.view(np.int64)
+    groups = lambda key: sorted(sorted(int(x) for x in signed if key(int(x)) == k) for k in {key(int(x)) for x in signed})
+    place = {int(x): i for i, x in enumerate(signed)}
+    assert groups(lambda x: got.get(x, x)) == groups(lambda x: int(signed[root[place[x]]]))
