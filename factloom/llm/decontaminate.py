@@ -3,9 +3,11 @@
 Words are runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters. A window is ``ngram``
 consecutive words of an item; an item of fewer words is one window, an item without words has none.
 
-The set is broadcast only up to ``max_words`` words of items; a larger benchmark is dealt by hash into
-blocks of about that size, and the corpus rows pass one block after the other in the same job. A window
-whose hash is in the set is compared word for word, so results are exact.
+The set is broadcast only up to ``max_words`` words of items. A larger benchmark is dealt by hash into blocks of about
+that size; the corpus is scanned for one block after the other, each broadcast freed before the next, and the hits
+(word ranges and item ids of documents, kept by 128 bits of id-free content) are joined back to the documents. So neither
+the driver nor a task ever holds more than one block. A window whose hash is in the set is compared word for word, so
+results are exact and the same for any ``max_words``.
 
 Defined results: null or empty text has no words and is never contaminated; items with null text never
 occur; repeated documents and items count one by one (an item id is reported once per document, a null
@@ -18,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,20 +89,82 @@ class _Scanner:
         return np.cumsum(hit[:-1]) > 0
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_words: int) -> list[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of about max_words words; usually one."""
-    items = benchmark.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_words: int) -> tuple[DataFrame, int]:
+    """The benchmark's items (item, text, block) in blocks of about max_words words; usually one."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # A word and the separator after it take two bytes at least, so this bounds the words.
     words = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     n = max(1, int(-(-words // max_words)))
-    if n == 1:
-        yield [(r.item, r.text) for r in items.collect()]
-        return
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    for b in range(n):
-        yield [(r.item, r.text) for r in items.where(block == b).collect()]
+    return items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), n
+
+
+def _block_windows(items: DataFrame, block: int, ngram: int) -> dict[int, dict[bytes, tuple[str, ...]]]:
+    return _windows([(r.item, r.text) for r in items.where(F.col("block") == block).select("item", "text").collect()], ngram)
+
+
+class _Found:
+    """Hits in the texts of a slice: which words, and for each text the items."""
+
+    def __init__(self, column: pa.Array):
+        self.data, self.offsets = ops.text_buffers(column)
+        lower = ops.LOWER[self.data]
+        self.words = ops.Words(lower, self.offsets, ops.WORD_ALNUM)
+        self.raw = lower.tobytes()
+        self.items: list[set[str]] = [set() for _ in range(len(column))]
+        self.hit = np.zeros(len(self.words.start), bool)
+
+    def scan(self, scanner: _Scanner) -> None:
+        self.hit |= scanner.scan(self.words, self.raw, self.items)
+
+    def runs(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last words of the runs of hit words of text d, counted over the slice."""
+        a, b = self.words.ptr[d], self.words.ptr[d + 1]
+        edge = np.diff(np.concatenate([[0], self.hit[a:b].astype(np.int8), [0]]))
+        return a + np.flatnonzero(edge == 1), a + np.flatnonzero(edge == -1) - 1
+
+    def columns(self, texts: list[str | None] | None) -> dict[str, object]:
+        """The result's columns; ``texts`` lose their hit runs."""
+        w = self.words
+        total = np.concatenate([[0], np.cumsum(self.hit)])
+        n_words, n_hit = np.diff(w.ptr), total[w.ptr[1:]] - total[w.ptr[:-1]]
+        spans: list[list[dict[str, int]]] = [[] for _ in self.items]
+        original = self.data.tobytes() if n_hit.any() else b""
+        for d in np.flatnonzero(n_hit).tolist():
+            first, last = self.runs(d)
+            base, chars, done = int(self.offsets[d]), 0, int(self.offsets[d])
+            for i, j in zip(w.start[first].tolist(), w.end[last].tolist(), strict=True):
+                start = chars + len(original[done:i].decode())
+                chars, done = start + len(original[i:j].decode()), j
+                spans[d].append({"first": start, "past": chars})
+            if texts is not None:
+                whole = original[base : int(self.offsets[d + 1])].decode()
+                cuts = [0, *(x for s in spans[d] for x in (s["first"], s["past"])), len(whole)]
+                texts[d] = "".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
+        return {
+            "n_words": n_words,
+            "n_hit": n_hit,
+            "n_items": [len(s) for s in self.items],
+            "items": [sorted(s) for s in self.items],
+            "hit_spans": spans,
+            "contaminated": (n_hit > 0) & (SHARE * n_hit >= n_words),
+        }
+
+
+def _hits(docs: DataFrame, text_col: str, windows: Broadcast) -> DataFrame:
+    """(k1, k2, first, past, items) of the texts with hits: runs of words from first to past - 1."""
+
+    def run(batches):
+        scanner = _Scanner(windows.value)
+        for part in ops.text_slices(batches, text_col):
+            found = _Found(part.column(text_col))
+            found.scan(scanner)
+            rows = [d for d, s in enumerate(found.items) if s]
+            runs = [(a - found.words.ptr[d], b + 1 - found.words.ptr[d]) for d in rows for a, b in [found.runs(d)]]
+            own = part.select(["k1", "k2"]).take(pa.array(rows, pa.int64()))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([a for a, _ in runs], longs), pa.array([b for _, b in runs], longs), pa.array([sorted(found.items[d]) for d in rows], pa.list_(pa.string()))], names=["k1", "k2", "first", "past", "items"])
+
+    return docs.select("k1", "k2", text_col).mapInArrow(run, "k1 bigint, k2 bigint, first array<bigint>, past array<bigint>, items array<string>").dropDuplicates(["k1", "k2"])
 
 
 def decontaminate(
@@ -117,58 +182,57 @@ def decontaminate(
     """The columns of ``keep`` (default: all) with n_words, n_hit, n_items, items, hit_spans, contaminated.
 
     ``hit_spans`` has [first, past last) character ranges of the hit words' runs. With ``remove_spans`` the
-    text column is returned without them. Map-only: nothing is shuffled.
+    text column is returned without them. With a benchmark of one block it is map-only: nothing is shuffled.
     """
     spark = docs.sparkSession
     ops.bounded(spark)
-    sent = [spark.sparkContext.broadcast(_windows(b, ngram)) for b in _blocks(benchmark, item_id, item_text, max_words)]
-
-    def make():
-        scanners = [_Scanner(b.value) for b in sent]
-
+    items, n = _blocks(benchmark, item_id, item_text, max_words)
+    fields = [("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items", "array<string>"), ("hit_spans", "array<struct<first:bigint,past:bigint>>"), ("contaminated", "boolean")]
+    fields += [(text_col, "string")] if remove_spans else []
+    names = docs.columns if keep is None else keep
+    if n == 1:
+        sent = spark.sparkContext.broadcast(_block_windows(items, 0, ngram))
+
+        def make():
+            scanner = _Scanner(sent.value)
+
+            def work(batch: pa.RecordBatch) -> dict[str, object]:
+                found = _Found(batch.column(text_col))
+                found.scan(scanner)
+                texts = batch.column(text_col).to_pylist() if remove_spans else None
+                return found.columns(texts) | ({text_col: texts} if texts is not None else {})
+
+            return work
+
+        return ops.map_text(docs, text_col, make, fields, names)
+    # Rows of one text have the same hits, so the text alone is the key.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.xxhash64(F.lit(1), text_col).alias("k1"), F.xxhash64(text_col, F.lit(2)).alias("k2"))
+    hits = None
+    for block in range(n):
+        windows = spark.sparkContext.broadcast(_block_windows(items, block, ngram))
+        own = ops.cut(_hits(keyed, "text", windows))
+        windows.destroy()
+        hits = own if hits is None else hits.unionByName(own)
+    each = hits.groupBy("k1", "k2").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("first", "past", "items")))
+    joined = keyed.join(each, ["k1", "k2"], "left")
+
+    def finish():
         def work(batch: pa.RecordBatch) -> dict[str, object]:
-            data, offsets = ops.text_buffers(batch.column(text_col))
-            lower = ops.LOWER[data]
-            w = ops.Words(lower, offsets, ops.WORD_ALNUM)
-            raw = lower.tobytes()
-            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            hit = np.zeros(len(w.start), bool)
-            for s in scanners:
-                hit |= s.scan(w, raw, items)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_words, n_hit = np.diff(w.ptr), total[w.ptr[1:]] - total[w.ptr[:-1]]
-            spans: list[list[dict[str, int]]] = [[] for _ in range(batch.num_rows)]
-            original = data.tobytes() if n_hit.any() else b""
-            texts = batch.column(text_col).to_pylist() if remove_spans else None
-            for d in np.flatnonzero(n_hit).tolist():
-                a, b = w.ptr[d], w.ptr[d + 1]
-                edge = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
-                first, last = a + np.flatnonzero(edge == 1), a + np.flatnonzero(edge == -1) - 1
-                base, chars, done = int(offsets[d]), 0, int(offsets[d])
-                for i, j in zip(w.start[first].tolist(), w.end[last].tolist(), strict=True):
-                    start = chars + len(original[done:i].decode())
-                    chars, done = start + len(original[i:j].decode()), j
-                    spans[d].append({"first": start, "past": chars})
-                if texts is not None:
-                    whole = original[base : int(offsets[d + 1])].decode()
-                    cuts = [0, *(x for s in spans[d] for x in (s["first"], s["past"])), len(whole)]
-                    texts[d] = "".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
-            out = {
-                "n_words": n_words,
-                "n_hit": n_hit,
-                "n_items": [len(s) for s in items],
-                "items": [sorted(s) for s in items],
-                "hit_spans": spans,
-                "contaminated": (n_hit > 0) & (SHARE * n_hit >= n_words),
-            }
-            return out | ({text_col: texts} if texts is not None else {})
+            found = _Found(batch.column("text"))
+            for d, (first, past, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first", "past", "items")), strict=True)):
+                base = int(found.words.ptr[d])
+                for a, b in zip(first or [], past or [], strict=True):
+                    found.hit[base + a : base + b] = True
+                found.items[d].update(own or [])
+            texts = batch.column("text").to_pylist() if remove_spans else None
+            out = found.columns(texts)
+            return {f"_{k}": v for k, v in out.items()} | ({"_text": texts} if texts is not None else {})
 
         return work
 
-    fields = [("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items", "array<string>"), ("hit_spans", "array<struct<first:bigint,past:bigint>>"), ("contaminated", "boolean")]
-    if remove_spans:
-        fields.append((text_col, "string"))
-    return ops.map_text(docs, text_col, make, fields, docs.columns if keep is None else keep)
+    made = ops.map_text(joined, "text", finish, [("_text" if f == text_col else f"_{f}", t) for f, t in fields], ["row"], need=("first", "past", "items"))
+    new = {f for f, _ in fields}
+    return made.select(*(F.col("row")[c].alias(c) for c in names if c not in new), *(F.col("_text" if f == text_col else f"_{f}").alias(f) for f, _ in fields))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,11 +54,13 @@ def bounded(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the cluster's, or one of our own where none is set (tests)."""
+    """Make sure that checkpoint() has a folder: the cluster's, or on a single machine where none is set (tests) one of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             import tempfile
 
             found = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -244,15 +246,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_co
     """A pandas frame (text, label) to fit a classifier on: about ``most[label]`` rows of each label, fewer if there are fewer.
 
     Only rows whose id's crc32 modulo 3 is not 1, with label 0 or 1 and a text of at most ``max_bytes``.
-    Rows are taken by the hash of their id, so the choice doesn't depend on their order.
+    Rows are taken by the hash of their id, so the choice doesn't depend on their order; of rows that share an id
+    the least text is taken. So the sample is bounded by ``most`` (up to the hash's spread), however often rows repeat.
     """
     rows = labels.where((id_remainder(id_col, 3) != 1) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label")).distinct()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, most[label] / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
     # About sum(most) rows, whatever the input.
+    chosen = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20))
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_bytes)
-    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "label").limit(4 * sum(most.values())).toPandas()
+    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label").toPandas()
     return found.sort_values(["label", "text"], kind="stable", ignore_index=True)

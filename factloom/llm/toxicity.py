@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A text's words (runs of letters and digits, lower-cased) form overlapping windows of ``WINDOW`` words, one
-every ``STRIDE``; all are scored, and the document's score is that of its worst window. A word's input is a
+every ``STRIDE`` (so that every passage of up to ``WINDOW - STRIDE + 1`` words lies whole in one); all are scored, and the document's score is that of its worst window. A word's input is a
 learned vector for the word plus the mean of learned vectors for its character n-grams with marked ends,
 both hashed, so unseen spellings share parts with seen ones. Within a slice of texts each distinct word's
 input is projected once; the recurrence then runs over all windows of the slice together.
@@ -151,6 +151,16 @@ def forward(m: Model, vectors: np.ndarray, rows: np.ndarray, keep: bool = False)
     return pooled @ m["o"] + m["c"][0], (rows, there, states, hidden, weight, pooled, kept)
 
 
+def _by_row(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows ``at``, and for each the sum of its values."""
+    if not len(at):
+        return at, values
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(values[order], first, axis=0)
+
+
 def backward(m: Model, vectors: np.ndarray, memory: tuple, d_logit: np.ndarray) -> tuple[Model, np.ndarray]:
     """Gradients of the network's weights and of the input vectors."""
     rows, there, states, hidden, weight, pooled, kept = memory
@@ -167,6 +177,7 @@ def backward(m: Model, vectors: np.ndarray, memory: tuple, d_logit: np.ndarray)
     for d in "fb":
         side = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, 2 * HIDDEN)
         gU, gx = np.zeros_like(m[f"U{d}"]), np.zeros((len(vectors), 3 * HIDDEN), np.float32)
+        steps = np.empty((rows.shape[1], rows.shape[0], 3 * HIDDEN), np.float32)
         dh = np.zeros((rows.shape[0], HIDDEN), np.float32)
         for i, h, z, r, un, new in reversed(kept[d]):
             dh = dh + d_states[i, :, side]
@@ -177,8 +188,10 @@ def backward(m: Model, vectors: np.ndarray, memory: tuple, d_logit: np.ndarray)
             d_x = np.concatenate([d_z, d_r, d_new], axis=1)
             d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
             gU += h.T @ d_u
-            np.add.at(gx, rows[:, i], d_x)
+            steps[i] = d_x
             dh = np.where(on, dh * z, dh) + d_u @ m[f"U{d}"].T
+        at, total = _by_row(rows.T.reshape(-1), steps.reshape(-1, 3 * HIDDEN))
+        gx[at] = total
         gx[-1] = 0  # the place of no word
         g[f"U{d}"], g[f"W{d}"], g[f"b{d}"] = gU, vectors.T @ gx, gx.sum(axis=0)
         d_vectors += gx @ m[f"W{d}"].T
@@ -228,22 +241,21 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
             rows = x.rows(part)
             used, at = np.unique(rows[rows >= 0], return_inverse=True)
             rows[rows >= 0] = at
-            grams = np.concatenate([x.grams[first[u] : first[u] + x.gram_count[u]] for u in used]) if len(used) else np.zeros(0, np.int64)
             n = x.gram_count[used]
+            grams = x.grams[np.repeat(first[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(used) else np.zeros(0, np.int64)
             sums = np.add.reduceat(m["chars"][grams], np.cumsum(n) - n, axis=0) / n[:, None] if len(used) else np.zeros((0, DIM))
             vectors = np.concatenate([m["words"][x.bucket[used]] + sums, np.zeros((1, DIM))]).astype(np.float32)
             logit, memory = forward(m, vectors, rows, keep=True)
             d = (1 / (1 + np.exp(-logit)) - target[i : i + size]) / len(part)
             g, dv = backward(m, vectors, memory, d.astype(np.float32))
-            g["words"], g["chars"] = np.zeros_like(m["words"]), np.zeros_like(m["chars"])
-            np.add.at(g["words"], x.bucket[used], dv[:-1])
-            np.add.at(g["chars"], grams, np.repeat(dv[:-1] / np.maximum(n, 1)[:, None], n, axis=0))
             steps["n"] += 1
-            for k, v in m.items():  # Adam
+            # Of the two tables only the rows that were used have gradients, and only they are updated.
+            tables = {"words": _by_row(x.bucket[used], dv[:-1]), "chars": _by_row(grams, np.repeat(dv[:-1] / np.maximum(n, 1)[:, None], n, axis=0))}
+            for k, (at, own) in (tables | {k: (slice(None), v) for k, v in g.items()}).items():  # Adam
                 a, b = moments[k]
-                a += 0.1 * (g[k] - a)
-                b += 0.001 * (g[k] ** 2 - b)
-                v -= (RATE * (a / (1 - 0.9 ** steps["n"])) / (np.sqrt(b / (1 - 0.999 ** steps["n"])) + 1e-8)).astype(np.float32)
+                a[at] += 0.1 * (own - a[at])
+                b[at] += 0.001 * (own**2 - b[at])
+                m[k][at] -= (RATE * (a[at] / (1 - 0.9 ** steps["n"])) / (np.sqrt(b[at] / (1 - 0.999 ** steps["n"])) + 1e-8)).astype(np.float32)
 
     for _ in range(EPOCHS_FIRST):
         drawn = [rng.choice(np.arange(b - n, b), min(n, FIRST_WINDOWS), replace=False) for b, n in zip(end, x.per_doc, strict=True)]
