@@ -27,6 +27,8 @@ WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN, ATTENTION = 1 << 14, 1 << 14, 16, 8, 8
 NGRAMS = (3, 4)
 #: Rows of label 1 and of label 0; windows of a document in the first epochs; epochs; windows in a step.
 MOST_ROWS, FIRST_WINDOWS, EPOCHS_FIRST, EPOCHS_WORST, BATCH, RATE = {1: 1000, 0: 3000}, 6, 2, 8, 512, 0.01
+#: All windows of the fitting rows are scored in every so many epochs, else so many of each document.
+ALL_EVERY, LEADING = 4, 8
 _GROUP = 2048
 Model = dict[str, np.ndarray]
 
@@ -198,15 +200,16 @@ def backward(m: Model, vectors: np.ndarray, memory: tuple, d_logit: np.ndarray)
     return g, d_vectors
 
 
-def _logits(m: Model, vectors: np.ndarray, x: Inputs) -> np.ndarray:
-    """Log-odds of all windows of a slice, some thousand at a time; full ones apart, which need no masks."""
-    out = np.empty(len(x.first))
-    for which in (np.flatnonzero(x.length == WINDOW), np.flatnonzero(x.length < WINDOW)):
-        for i in range(0, len(which), _GROUP):
-            part = which[i : i + _GROUP]
+def _logits(m: Model, vectors: np.ndarray, x: Inputs, only: np.ndarray | None = None) -> np.ndarray:
+    """Log-odds of all windows of a slice (or of those of ``only``), some thousand at a time; full ones apart, which need no masks."""
+    only = np.arange(len(x.first)) if only is None else only
+    out = np.empty(len(only))
+    for mine in (np.flatnonzero(x.length[only] == WINDOW), np.flatnonzero(x.length[only] < WINDOW)):
+        for i in range(0, len(mine), _GROUP):
+            part = only[mine[i : i + _GROUP]]
             rows = x.rows(part)
             rows = rows[:, : max(1, int(x.length[part].max()))]
-            out[part] = forward(m, vectors, rows)[0]
+            out[mine[i : i + _GROUP]] = forward(m, vectors, rows)[0]
     return out
 
 
@@ -261,10 +264,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model | None:
         drawn = [rng.choice(np.arange(b - n, b), min(n, FIRST_WINDOWS), replace=False) for b, n in zip(end, x.per_doc, strict=True)]
         some = rng.permutation(np.concatenate(drawn))
         learn(some, labels[doc[some]].astype(np.float32))
-    for _ in range(EPOCHS_WORST):
-        logits = _logits(m, embed(m, x), x)
+    order, start = np.arange(len(doc)), end - x.per_doc
+    for epoch in range(EPOCHS_WORST):
+        vectors = embed(m, x)
+        if epoch % ALL_EVERY == 0:
+            logits = _logits(m, vectors, x)
+        else:  # between, the windows that ranked highest when all were scored last
+            leading = order[np.arange(len(doc)) - np.repeat(start, x.per_doc) < LEADING]
+            logits[leading] = _logits(m, vectors, x, leading)
         order = np.lexsort((-logits, doc))
-        rank = np.arange(len(doc)) - np.repeat(end - x.per_doc, x.per_doc)
+        rank = np.arange(len(doc)) - np.repeat(start, x.per_doc)
         worst = rng.permutation(order[(rank == 0) | (rank == 1) & (labels[doc[order]] == 0)])
         learn(worst, labels[doc[worst]].astype(np.float32))
     return m
