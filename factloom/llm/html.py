@@ -5,7 +5,9 @@ renderer draws them: blocks on lines of their own with a blank line where the pa
 with bullets or numbers and indents, preformatted text as it is, table cells aligned in columns. Hidden
 content (head, scripts, styles, templates, the hidden attribute, display:none, ...) is left out; visibility:hidden
 hides up to a descendant that is visible again. Text of svg and math shows, without their titles, definitions and
-annotations; their elements may close themselves, and text labels are kept apart by a blank. Nothing is recursive, so deep nesting costs no stack. Pages are independent: one pass, no shuffle.
+annotations; their elements may close themselves, and text labels are kept apart by a blank. Nothing is recursive, and open elements are found by name, so deep nesting costs neither stack nor time. What layout adds is
+bounded: cells pad others to at most ``WIDEST`` columns, a cell's room is at most ``MOST_ROOM``, and lines are indented by at most
+``MOST_LEVELS`` levels. Pages are independent: one pass, no shuffle.
 
 Defined results: null and empty pages give an empty text; text outside any tag is kept; an unclosed tag, comment
 or script reaches to the end; repeated rows give equal texts; extra columns pass through.
@@ -14,6 +16,7 @@ or script reaches to the end; repeated rows give equal texts; extra columns pass
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -67,6 +70,10 @@ ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em e
 BARRIER = frozenset("table td th caption button object html template".split()) | {"/" + tag for tag in HTML_AGAIN}
 
 
+#: Columns of a table that a cell's length widens at most; columns of a cell at most; levels of indentation that are drawn.
+WIDEST, MOST_ROOM, MOST_LEVELS = 120, 480, 32
+
+
 class _Flow:
     """Lines of a block context (the page, or one table cell)."""
 
@@ -107,7 +114,8 @@ class _Flow:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = 0
-        lead = "".join(self.indent)
+        levels = self.indent if len(self.indent) <= MOST_LEVELS else [*self.indent[: MOST_LEVELS - 1], self.indent[-1]]
+        lead = "".join(levels)
         if self.mark:
             lead, self.mark = lead[: len(lead) - len(self.indent[-1])] + self.mark, ""
         self.lines.append((lead + s).rstrip(" "))
@@ -135,21 +143,21 @@ class _Table:
         self.caption: list[str] = []
 
     def drawn(self) -> list[str]:
-        """Columns as wide as their widest cell (of those that span one column), two spaces apart."""
+        """Columns as wide as their widest cell (of those that span one column, WIDEST at most), two spaces apart."""
         width: list[int] = []
         for row in self.rows:
             at = 0
             for lines, span in row:
                 width += [0] * (at + span - len(width))
                 if span == 1:
-                    width[at] = max(width[at], *map(len, lines), 0) if lines else width[at]
+                    width[at] = max(width[at], min(max(map(len, lines)), WIDEST)) if lines else width[at]
                 at += span
         out = list(self.caption)
         for row in self.rows:
             for i in range(max((len(lines) for lines, _ in row), default=0)):
                 at, parts = 0, []
                 for lines, span in row:
-                    room = sum(width[at : at + span]) + 2 * (span - 1)
+                    room = min(sum(width[at : at + span]) + 2 * (span - 1), MOST_ROOM)
                     parts.append((lines[i] if i < len(lines) else "").ljust(room))
                     at += span
                 out.append("  ".join(parts).rstrip(" "))
@@ -171,6 +179,8 @@ class _Page:
     def __init__(self):
         self.flow = _Flow()
         self.stack: list[tuple[str, object]] = []
+        #: Places on the stack of the open elements of each name.
+        self.places: dict[str, list[int]] = {}
         self.tables: list[tuple[_Table, _Flow]] = []
         self.lists: list[list] = []
         self.hidden = 0
@@ -216,7 +226,7 @@ class _Page:
         if tag in IMPLIED_END:
             self._end(*IMPLIED_END[tag])
             if not self.hidden and tag in ("td", "th", "tr", "thead", "tbody", "tfoot"):
-                if not self.tables or not any(t == "table" for t, _ in self.stack):
+                if not self.tables or not self.places.get("table"):
                     return  # no table to belong to: the tag is ignored, its content stays
                 if tag in ("td", "th") and self.stack[-1][0] != "tr":
                     self.open("tr", "")
@@ -238,7 +248,7 @@ class _Page:
         off = tag in HIDDEN or "hidden" in attributes or (tag == "dialog" and "open" not in attributes) or bool(_INVISIBLE.search(attributes.get("style", "")))
         if off or self.hidden:
             self.hidden += 1
-            self.stack.append((tag, "hidden"))
+            self._push(tag, "hidden")
             return
         undo: object = None
         self._see(attributes)
@@ -273,7 +283,7 @@ class _Page:
                 undo = "pre"
         elif tag == "q" and not self.unseen:
             self.flow.text("“", False)
-        self.stack.append((tag, undo))
+        self._push(tag, undo)
 
     @property
     def in_foreign(self) -> bool:
@@ -292,12 +302,12 @@ class _Page:
         off = tag in FOREIGN_HIDDEN or attributes.get("display", "").strip().lower() == "none" or bool(_INVISIBLE.search(attributes.get("style", "")))
         if off or self.hidden:
             self.hidden += 1
-            self.stack.append((name, "hidden"))
+            self._push(name, "hidden")
             return
         self._see(attributes)
         if name in FOREIGN_APART:
             self._apart()
-        self.stack.append((name, None))
+        self._push(name, None)
 
     def _leave_foreign(self) -> None:
         while self.in_foreign:
@@ -329,36 +339,42 @@ class _Page:
 
     def _end(self, ends: set[str], stop: set[str] | frozenset[str]) -> None:
         """Close down to the outermost of ``ends`` that is open within the nearest of ``stop``."""
-        at = -1
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
-            if tag in ends:
-                at = i
-            elif tag in stop:
-                break
+        found = [self.places[tag] for tag in ends if self.places.get(tag)]
+        if not found:
+            return
+        wall = max((self._last(tag) for tag in stop if tag not in ends), default=-1)
+        inside = [p[i] for p in found if (i := bisect_right(p, wall)) < len(p)]
+        at = min(inside, default=-1)
         while at >= 0 and len(self.stack) > at:
             self._pop()
 
     def close(self, tag: str) -> None:
         if tag in ("p", "br") and self.in_foreign:
             self._leave_foreign()
-        if tag == "p" and not self.hidden and not any(t == "p" for t, _ in self.stack):
+        if tag == "p" and not self.hidden and not self.places.get("p"):
             self.flow.margin()
             return
         if tag == "br":
             self.open("br", "")
             return
         wall = BARRIER if tag not in ("table", "html", "tr", "tbody", "thead", "tfoot") else frozenset({"table"})
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0].removeprefix("/") == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if self.stack[i][0] in wall:
-                return
+        at = max(self._last(tag), self._last("/" + tag))
+        if at >= 0 and at >= max(map(self._last, wall)):
+            while len(self.stack) > at:
+                self._pop()
+
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of this name, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def _push(self, tag: str, undo: object) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, undo))
 
     def _pop(self) -> None:
         tag, undo = self.stack.pop()
+        self.places[tag].pop()
         if tag[0] == "/" and (tag in ("/svg", "/math") or tag[1:] in HTML_AGAIN):
             self.foreign.pop()
         if undo == "hidden":
