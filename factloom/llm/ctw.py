@@ -11,7 +11,7 @@ of their texts by shard; a shard holds the contexts that share their last ``SHAR
 the tree on its own. The shorter contexts (at most 256 * 255 + 255 nodes, whatever the corpus) are sums over shards and
 go to all of them. The number of shards grows with the text.
 
-Documents are dealt into blocks of about ``BLOCK_BYTES`` by hash. A block sends each of its distinct grams (a context and
+Documents are dealt into blocks of about ``BLOCK_BYTES`` and ``BLOCK_ROWS`` by their place. A shard's questions are dealt over tasks by block. A block sends each of its distinct grams (a context and
 the next byte) once to its shard and gets its log-probability back, as it does with its distinct words for the base, a
 unigram model of words: it sends each once and gets its corpus count.
 
@@ -40,8 +40,11 @@ from pyspark.sql import types as T
 from factloom.llm import textops as ops
 
 DEPTH, MODEL_GRAMS = 5, 1 << 20
-BLOCK_BYTES = 12 << 20
+#: Text and rows of a block; blocks for each of which a shard has one task more.
+BLOCK_BYTES, BLOCK_ROWS, BLOCKS_A_SALT = 12 << 20, 100_000, 256
 SHARED, BLOCKS_A_SHARD, LEAST_SHARDS = 2, 4, 64
+#: Shuffle partitions at most: one takes several blocks or shards, one after the other. Grams that are looked up at once.
+MOST_PARTS, AT_ONCE = 1 << 15, 1_000_000
 _END = 0xFF
 _TABLES: dict[int, tuple] = {}
 
@@ -354,7 +357,7 @@ def shard_counts(docs: DataFrame, shards: int, *, text_col: str = "text", depth:
             for i, at, blob in _packed(grams, shards):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary()), pa.array([_squeeze(n[at])], pa.binary())], names=["shard", "grams", "n"])
 
-    return docs.select(text_col).mapInArrow(count, "shard int, grams binary, n binary").repartition(shards, "shard")
+    return docs.select(text_col).mapInArrow(count, "shard int, grams binary, n binary").repartition(min(shards, MOST_PARTS), "shard")
 
 
 def _shard_depths(table: pa.Table, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -446,40 +449,53 @@ def top(counts: DataFrame, depth: int = DEPTH) -> list[list[_Said]]:
 
 def _log10(grams: np.ndarray, by_depth: list[tuple[np.ndarray, np.ndarray]], tops: list[list[_Said]]) -> np.ndarray:
     """log10 probability of the last byte of each of a shard's grams after the bytes before it."""
-    byte, out = grams & np.uint64(0xFF), np.zeros(len(grams))
+    out = np.zeros(len(grams))
     for level in range(8):
         said = [*tops[level]]
         if len(by_depth[-1][0]):
             said += _descend(_climb(by_depth, level), SHARED, said[-1])
-        node = np.uint64(1 << level) | byte >> np.uint64(8 - level)
-        p, left = np.full(len(grams), 0.5), np.arange(len(grams))
-        for d in range(len(said) - 1, -1, -1):  # the longest context that has come to this decision tells
-            keys = said[d].keys
-            if len(keys):
-                key = grams[left] >> np.uint64(8) << np.uint64(8) & np.uint64((1 << 8 * (d + 1)) - 1) | node[left]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                there = keys[at] == key
-                p[left[there]] = said[d].chance[at[there]]
-                left = left[~there]
-        out += np.log10(np.where(byte >> np.uint64(7 - level) & np.uint64(1) == 1, p, 1 - p))
+        for i in range(0, len(grams), AT_ONCE):
+            some = grams[i : i + AT_ONCE]
+            byte = some & np.uint64(0xFF)
+            node = np.uint64(1 << level) | byte >> np.uint64(8 - level)
+            p, left = np.full(len(some), 0.5), np.arange(len(some))
+            for d in range(len(said) - 1, -1, -1):  # the longest context that has come to this decision tells
+                keys = said[d].keys
+                if len(keys):
+                    key = some[left] >> np.uint64(8) << np.uint64(8) & np.uint64((1 << 8 * (d + 1)) - 1) | node[left]
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    there = keys[at] == key
+                    p[left[there]] = said[d].chance[at[there]]
+                    left = left[~there]
+            out[i : i + AT_ONCE] += np.log10(np.where(byte >> np.uint64(7 - level) & np.uint64(1) == 1, p, 1 - p))
     return out
 
 
-def answers(counts: DataFrame, asked: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(block, grams binary, logs binary) for the rows (shard, block, grams) of ``asked``: log10 probabilities by the whole tree."""
+def answers(counts: DataFrame, asked: DataFrame, shards: int, depth: int = DEPTH, salts: int = 1) -> DataFrame:
+    """(block, grams binary, logs binary) for the rows (shard, block, grams) of ``asked``: log10 probabilities by the whole tree.
+
+    A shard's questions are dealt over ``salts`` tasks, each with a copy of the shard's counts.
+    """
     sent = counts.sparkSession.sparkContext.broadcast(top(counts, depth))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         blobs = right.column("grams").to_pylist()
         logs = []
         if blobs:
-            every = np.unique(np.concatenate([_unpacked(b) for b in blobs]))
-            by_depth = _shard_depths(left, depth)
-            value = np.concatenate([_log10(every[i : i + 1_000_000], by_depth, sent.value) for i in range(0, len(every), 1_000_000)]).astype(np.float32)
+            every, held, room = np.zeros(0, np.uint64), [], 0
+            for i, blob in enumerate(blobs, 1):
+                held.append(_unpacked(blob))
+                room += len(held[-1])
+                if room > 4_000_000 or i == len(blobs):
+                    every, held, room = np.unique(np.concatenate([every, *held])), [], 0
+            value = _log10(every, _shard_depths(left, depth), sent.value).astype(np.float32)
             logs = [_squeeze(value[np.searchsorted(every, _unpacked(b))]) for b in blobs]
         return pa.table({"block": right.column("block"), "grams": pa.array(blobs, pa.binary()), "logs": pa.array(logs, pa.binary())})
 
-    return counts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "block int, grams binary, logs binary")
+    parts = min(shards * salts, MOST_PARTS)
+    dealt = asked.withColumn("salt", F.pmod("block", F.lit(salts))).repartition(parts, "shard", "salt")
+    copies = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(parts, "shard", "salt")
+    return copies.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInArrow(answer, "block int, grams binary, logs binary")
 
 
 # -- a model in memory ------------------------------------------------------------------------------------------------
@@ -530,16 +546,17 @@ def _tokens(text: bytes) -> list[bytes]:
     return [*text.translate(ops.LOWER_TABLE).split(), b""]
 
 
-def block_scores(docs: DataFrame, *, train_col: str, text_col: str = "text", keep: list[str], text_bytes: int, depth: int = DEPTH) -> DataFrame:
+def block_scores(docs: DataFrame, *, train_col: str, text_col: str = "text", keep: list[str], text_bytes: int, rows: int, depth: int = DEPTH) -> DataFrame:
     """The columns of ``keep`` with score, bits_per_byte, and n_tokens, n_known, train_tokens, base_score under the unigram model; both models of rows with train_col.
 
-    Texts are shuffled once: the blocks that send their words and grams are the blocks that get the answers.
+    Texts are shuffled once: the blocks that send their words and grams are the blocks that get the answers. Rows are dealt by
+    their place in ``docs``, so that equal rows spread too; ``docs`` must give its rows in one order, as a table or a checkpoint does.
     """
     ops.bounded(docs.sparkSession)
-    blocks = text_bytes // BLOCK_BYTES + 12
-    shards = blocks // BLOCKS_A_SHARD + LEAST_SHARDS
-    slim = docs.select(*keep, F.col(text_col).alias("_text"), F.col(train_col).alias("_train")).withColumn("_block", F.pmod(F.xxhash64("_text", *keep), F.lit(blocks)).cast("int"))
-    parts = 3 * blocks  # more partitions than blocks, so that few hold several
+    blocks = max(text_bytes // BLOCK_BYTES, rows // BLOCK_ROWS) + 12
+    shards, salts = blocks // BLOCKS_A_SHARD + LEAST_SHARDS, blocks // BLOCKS_A_SALT + 1
+    slim = docs.select(*keep, F.col(text_col).alias("_text"), F.col(train_col).alias("_train"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("_block"))
+    parts = min(3 * blocks, MOST_PARTS)  # more partitions than blocks, so that few hold several
     slim = slim.repartition(parts, "_block")
 
     def grams(table: pa.Table) -> pa.Table:
@@ -547,7 +564,7 @@ def block_scores(docs: DataFrame, *, train_col: str, text_col: str = "text", kee
         rows = _packed(found, shards)
         return pa.table({"shard": pa.array([i for i, _, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "grams": pa.array([blob for _, _, blob in rows], pa.binary())})
 
-    asked = slim.groupBy("_block").applyInArrow(grams, "shard int, block int, grams binary").repartition(shards, "shard")
+    asked = slim.groupBy("_block").applyInArrow(grams, "shard int, block int, grams binary")
     counts = ops.cut(shard_counts(docs.where(train_col), shards, text_col=text_col, depth=depth))
 
     def words(table: pa.Table) -> pa.Table:
@@ -568,7 +585,7 @@ def block_scores(docs: DataFrame, *, train_col: str, text_col: str = "text", kee
     own = slim.groupBy("_block").applyInArrow(words, "block int, word binary, n bigint")
     by_word = Window.partitionBy("word")
     counted = own.select("block", "word", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("one"))
-    back = counted.unionByName(answers(counts, asked, depth), allowMissingColumns=True).repartition(parts, "block")
+    back = counted.unionByName(answers(counts, asked, shards, depth, salts), allowMissingColumns=True).repartition(parts, "block")
     fields = T._parse_datatype_string("score double, bits_per_byte double, n_tokens bigint, n_known bigint, _train_tokens bigint, _distinct bigint, _logs double")
     schema = T.StructType([*(slim.schema[c] for c in keep), *fields])
 
@@ -610,8 +627,8 @@ def block_scores(docs: DataFrame, *, train_col: str, text_col: str = "text", kee
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's result over documents."""
     docs = ops.read(spark, sf_dir, "documents").select("doc_id", "text", (ops.id_remainder("doc_id", 5) == 1).alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    out = block_scores(docs.withColumn("train", ~F.col("held_out")), train_col="train", keep=["doc_id", "held_out"], text_bytes=size)
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    out = block_scores(docs.withColumn("train", ~F.col("held_out")), train_col="train", keep=["doc_id", "held_out"], text_bytes=size, rows=rows)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

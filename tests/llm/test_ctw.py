@@ -61,6 +61,8 @@ def test_contract(spark, tmp_path, monkeypatch):
 def test_query_keeps_the_whole_tree(spark, tmp_path, monkeypatch):
     """However small the in-memory model may be, the query's scores are those of the tree with every context."""
     monkeypatch.setattr(ctw, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(ctw, "BLOCKS_A_SALT", 4)
+    monkeypatch.setattr(ctw, "AT_ONCE", 100)
     monkeypatch.setattr(ctw, "MODEL_GRAMS", 120)
     monkeypatch.setattr(ctw.fit, "__kwdefaults__", {**ctw.fit.__kwdefaults__, "most": 120})
     docs = corpus()
@@ -84,3 +86,11 @@ def test_log_gamma():
 
     x = np.array([0.5, 1, 1.5, 3.25, 7.9, 8, 50.5, 1e6, 3e9])
     assert np.allclose(ctw._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-10)
+
+
+def test_many_tiny_and_equal_rows_fill_several_blocks(spark, tmp_path, monkeypatch):
+    """Blocks are bounded by rows too, and equal rows don't share one."""
+    monkeypatch.setattr(ctw, "BLOCK_ROWS", 100)
+    spark.range(3000).selectExpr("1L as doc_id", "'same' as text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = ctw.op2_ctw(spark, str(tmp_path)).groupBy("n_tokens", "n_known", "train_tokens", "score").count().collect()
+    assert [(r.n_tokens, r["count"]) for r in rows] == [(2, 3000)]
