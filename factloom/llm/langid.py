@@ -9,8 +9,8 @@ with ``KAPPA`` pseudo-pages of its parent; a page's own posterior is taken out o
 
 The trigram model is fitted on a sample of about ``MOST_ROWS`` documents of each language that has a document with a
 text; their trigrams are counted in tasks and summed by a shuffle, so the driver gets the model's counts only. The model
-grows with the number of languages, which has no bound. All sums cover all pages and are aggregated map-side. Pages of one host are salted over ``SALTS`` keys where
-they meet their host's prior, so a host with a third of all pages isn't one task.
+grows with the number of languages, which has no bound. All sums cover all pages and are aggregated map-side. Pages of a host with many are salted where
+they meet their host's prior, over as many keys as it has ``PAGES_A_SALT``, so a host with a third of all pages isn't one task.
 
 Defined results: a page without text, declaration and address gets the prior of all pages; null addresses
 share the host ''; without documents of known language every result is null; repeated rows count as pages of
@@ -29,7 +29,9 @@ from factloom.llm import html as markup
 from factloom.llm import textops as ops
 
 BUCKET_BITS, ALPHA, TEMPER, KAPPA, SMOOTH = 15, 0.1, 0.1, 8.0, 1.0
-MOST_ROWS, SALTS = 400, 16
+MOST_ROWS = 400
+#: Pages of a host for each of which its sums get one copy more; hosts that may have several copies.
+PAGES_A_SALT, MOST_HOT = 50_000, 4096
 #: Log-probabilities that are looked up at once.
 AT_ONCE = 1 << 22
 
@@ -146,12 +148,18 @@ def fuse(found: DataFrame, names: list[str], id_col: str) -> DataFrame:
     all_ = _sums(own, [], "all_sum")
     hosts = ops.cut(_sums(own, ["host", "domain", "suffix"], "host_sum"))
     part = lambda key, name: hosts.withColumn("own", F.col("host_sum")).transform(lambda d: _sums(d, [key], name))
-    # One row for each host, with its domain's, suffix's and everything's sums beside it; salted copies.
+    # One row for each host, with its domain's, suffix's and everything's sums beside it; a copy for each salt of a host with many pages.
+    least = max(PAGES_A_SALT, own.count() // MOST_HOT)
+    pages_of = F.aggregate("host_sum", F.lit(0.0), lambda a, x: a + x)
     tree = hosts.join(part("domain", "domain_sum"), "domain").join(part("suffix", "suffix_sum"), "suffix").crossJoin(F.broadcast(all_))
-    tree = tree.select("host", "host_sum", "domain_sum", "suffix_sum", "all_sum", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    tree = tree.withColumn("salts", F.greatest(F.lit(1), F.ceil(pages_of / least)).cast("int"))
+    tree = tree.select("host", "host_sum", "domain_sum", "suffix_sum", "all_sum", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    # At most MOST_HOT hosts have more than one copy.
+    hot = F.broadcast(hosts.where(pages_of > least).select("host", F.ceil(pages_of / least).cast("int").alias("salts")))
     # Primary tags of two or three letters: at most 26 ** 2 + 26 ** 3 rows each.
     tags = {k: F.broadcast(_sums(own.where(F.col(k).isNotNull()), [k], f"{k}_sum")) for k in ("declared", "segment")}
-    salted = own.withColumn("salt", F.pmod(F.xxhash64(id_col, "segment", "declared"), F.lit(SALTS)).cast("int"))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = own.join(hot, "host", "left").withColumn("salt", spread).drop("salts")
     joined = salted.join(tree, ["host", "salt"]).join(tags["declared"], "declared", "left").join(tags["segment"], "segment", "left")
     levels = ["all_sum", "suffix_sum", "domain_sum", "host_sum"]
     rows = joined.select(id_col, "declared", "segment", "host", "text", "own", *levels, "declared_sum", "segment_sum")

@@ -52,3 +52,63 @@ def test_bytes_that_are_no_media():
         assert m.read(data).packets == []
     cut = m.write(b"s" * 192 * 20)
     assert 0 < len(m.read(cut[: len(cut) // 2]).packets) < 20
+
+
+# -- the stored form and the feature by the format's definition, byte by byte ------------------------------------------
+
+
+def el(hex_id, body):
+    """An element with the shortest size field."""
+    n = len(body)
+    for width in range(1, 9):
+        if n < 2 ** (7 * width) - 1:
+            return bytes.fromhex(hex_id) + (n + 2 ** (7 * width)).to_bytes(width, "big") + body
+    raise ValueError(n)
+
+
+def number(hex_id, n):
+    return el(hex_id, n.to_bytes(max(1, -(-n.bit_length() // 8)), "big"))
+
+
+def real(hex_id, x):
+    return el(hex_id, struct.pack(">d", x))
+
+
+def stored(payload):
+    """Frames of 192 bytes (24 ms), eight in a block with fixed-size lacing, 64 blocks in a cluster, a cue for each cluster."""
+    frames = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+    head = el("1a45dfa3", number("4286", 1) + number("42f7", 1) + number("42f2", 4) + number("42f3", 8) + el("4282", b"matroska") + number("4287", 4) + number("4285", 2))
+    info = el("1549a966", number("2ad7b1", 10**6) + real("4489", 24.0 * len(frames)) + el("4d80", b"factloom") + el("5741", b"factloom"))
+    sound = el("e1", real("b5", 8000.0) + number("9f", 1) + number("6264", 8))
+    tracks = el("1654ae6b", el("ae", number("d7", 1) + number("73c5", 1) + number("83", 2) + el("86", b"A_PCM/INT/LIT") + number("23e383", 24_000_000) + sound))
+    body, cues = info + tracks, b""
+    for c in range(0, len(frames), 512):
+        blocks = number("e7", 24 * c)
+        for i in range(c, min(c + 512, len(frames)), 8):
+            own = frames[i : i + 8]
+            lace = b"\x80" if len(own) == 1 else b"\x84" + bytes([len(own) - 1])
+            blocks += el("a3", b"\x81" + struct.pack(">h", 24 * (i - c)) + lace + b"".join(own))
+        cues += el("bb", number("b3", 24 * c) + el("b7", number("f7", 1) + number("f1", len(body))))
+        body += el("1f43b675", blocks)
+    return head + el("18538067", body + el("1c53bb6b", cues))
+
+
+def feature(payload):
+    s = [b - 128 for b in payload]
+    n, frames = len(s), len(payload) // 192
+    mean = sum(s) // n
+    crossings = sum((a > mean) != (b > mean) for a, b in zip(s, s[1:], strict=False))
+    clusters = -(-frames // 512)
+    return f"packets={frames};clusters={clusters};cues={clusters};last_ms={24 * (frames - 1)};mean={mean};power={sum(x * x for x in s) // n};crossings={crossings};peak={max(map(abs, s))}"
+
+
+def test_stored_form_and_feature(spark, tmp_path):
+    import hashlib
+
+    docs = [(1, "short"), (2, None), (3, "y" * 193), (4, "some words, " * 9000), (5, "é\n" * 40_000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in m.op7_matroska(spark, str(tmp_path)).collect():
+        raw = (dict(docs)[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        media = stored(payload)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature(payload)), r.doc_id

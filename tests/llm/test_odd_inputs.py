@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from factloom.llm import queries
 
-CLASH = "score string, fp string, n_words string, kept string, label string, bin string, k1 string, spans string, piece string, length string, sequence_id string, media string, payload string, host string, own string, salt string, text_lang string, block string, word string, n_hit string, contaminated string, rank string, train string, held_out string, `_rest` string, `_rank` string, `_block` string"
+CLASH = "score string, fp string, n_words string, kept string, label string, bin string, k1 string, spans string, piece string, length string, sequence_id string, media string, payload string, host string, own string, salt string, text_lang string, block string, word string, n_hit string, contaminated string, rank string, train string, held_out string, `_rest` string, `_rank` string, seq string, at string, kind string, key string, room string, row string, salts string, shard string, `_block` string"
 N = CLASH.count("string")
 
 
