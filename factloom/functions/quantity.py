@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import dims
@@ -25,41 +25,92 @@ def _value(value: Column, unit: str | Column, number: Column | None, confidence:
     )
 
 
-def _by_unit_id(raw: Column, sci: Column, dimension: str) -> tuple[Column, Column]:
-    """Whether the text has a number with a unit id, and the value that it says."""
-    pattern = f"(?i){dims.NUMBER_PATTERN}" + r"\s+(Q\d+)"
-    number = F.nullif(F.regexp_extract(sci, pattern, 1), F.lit("")).try_cast("double")
-    unit_id = F.upper(F.regexp_extract(sci, pattern, 2))
-    known = unit_id.isin([u[0] for u in dims.UNITS])
-    out = _value(text.canonical_text(raw), "", None, F.when(known, 0.1).otherwise(0.0), F.when(known, "unit_dimension_mismatch").otherwise("unknown_unit"), unit_id)
-    for uid, unit, factor, dim in dims.UNITS:
+#: How sure a reading is, by how it ended.
+CONFIDENCE = {"parsed": 0.95, "unparsed": 0.2, "unit_dimension_mismatch": 0.1, "unknown_unit": 0.0}
+
+
+def _with_id(sci: Column) -> Column:
+    """A number and the unit id after it, or ''."""
+    return F.regexp_extract(sci, text.NUMBER + r"\s+[Qq]\d+", 0)
+
+
+def _unit_id(with_id: Column) -> Column:
+    return F.upper(F.regexp_extract(with_id, r"[Qq]\d+$", 0))
+
+
+def _mass_factor(low: Column) -> Column:
+    """Kilograms in the unit that a text names; null without one."""
+    out = None
+    for names, kg in dims.MASS_NAMES:
+        there = text.contains_any(low, names)
+        out = F.when(there, kg) if out is None else out.when(there, kg)
+    return out
+
+
+def _words(low: Column) -> Column:
+    return F.split(low, r"[^\p{L}\p{N}_]+")
+
+
+def _length_factor(low: Column, words: Column) -> Column:
+    """Kilometres in the unit that a text names; null without one."""
+    has = lambda names, signs: F.arrays_overlap(words, F.array(*map(F.lit, names))) | text.contains_any(low, signs)
+    metres = has(dims.METRE_WORDS, dims.METRE_SIGNS) & ~has(dims.KM_WORDS[:1], dims.KM_SIGNS)
+    return F.when(metres, 0.001).when(has(dims.KM_WORDS, dims.KM_SIGNS), 1.0)
+
+
+def _factor(unit_id: Column, dimension: str, named: Column) -> Column:
+    """What a unit is in the dimension's own: that of the unit id, or else of the one that the text names; null without either."""
+    factor = F.when(unit_id == "", named)
+    for uid, _, scale, dim in dims.UNITS:
         if dim == dimension:
-            scaled = number * factor
-            out = F.when(unit_id == uid, _value(text.number_text(scaled), unit, scaled, 0.95, "parsed", unit_id)).otherwise(out)
-    return unit_id != "", out
+            factor = factor.when(unit_id == uid, scale)
+    return factor
+
+
+def _scaled(sci: Column, with_id: Column, unit_id: Column, factor: Column) -> Column:
+    number = text.first_number(F.when(unit_id == "", sci).otherwise(with_id))
+    return F.when(factor < 1, number / (1 / factor)).otherwise(number * factor)  # thousandths by an exact division
+
+
+def _measured(raw: Column, unit_id: Column, number: Column, unit: str | Column) -> Column:
+    wrong = F.when(unit_id == "", "unparsed").when(unit_id.isin([u[0] for u in dims.UNITS]), "unit_dimension_mismatch").otherwise("unknown_unit")
+    status = F.when(number.isNotNull(), "parsed").otherwise(wrong)
+    value = F.when(number.isNotNull(), text.number_text(number)).otherwise(text.canonical_text(raw))
+    return _value(value, F.when(number.isNotNull(), unit).otherwise(""), number, text.mapped(status, CONFIDENCE), status, F.nullif(unit_id, F.lit("")))
 
 
 def mass(raw: Column) -> Column:
     sci = text.scientific_text(raw)
-    has_id, by_id = _by_unit_id(raw, sci, "mass")
-    n = text.first_number(sci)
-    factor = (
-        F.when(F.rlike(sci, F.lit("(?i)" + dims.EARTH_MASS_PATTERN)), dims.EARTH_MASS_KG)
-        .when(F.rlike(sci, F.lit("(?i)" + dims.JUPITER_MASS_PATTERN)), dims.JUPITER_MASS_KG)
-        .when(F.rlike(sci, F.lit("(?i)" + dims.KG_PATTERN)), 1.0)
-    )
-    v = n * factor
-    return F.when(has_id, by_id).when(v.isNotNull(), _value(text.number_text(v), "kg", v, 0.95, "parsed")).otherwise(_value(text.canonical_text(raw), "", None, 0.2, "unparsed"))
+    found = _with_id(sci)
+    uid = _unit_id(found)
+    return _measured(raw, uid, _scaled(sci, found, uid, _factor(uid, "mass", _mass_factor(F.lower(sci)))), "kg")
 
 
 def radius(raw: Column) -> Column:
     sci = text.scientific_text(raw)
-    has_id, by_id = _by_unit_id(raw, sci, "length")
-    n = text.first_number(sci)
-    metres = F.rlike(sci, F.lit("(?iU)" + dims.METRE_PATTERN)) & ~F.rlike(sci, F.lit("(?iU)" + dims.KM_SHORT_PATTERN))
-    km = F.rlike(sci, F.lit("(?iU)" + dims.KM_PATTERN))
-    v = F.when(metres, n / 1000.0).when(km, n)
-    return F.when(has_id, by_id).when(v.isNotNull(), _value(text.number_text(v), "km", v, 0.95, "parsed")).otherwise(_value(text.canonical_text(raw), "", None, 0.2, "unparsed"))
+    found = _with_id(sci)
+    uid = _unit_id(found)
+    return _measured(raw, uid, _scaled(sci, found, uid, _factor(uid, "length", _length_factor(F.lower(sci), _words(F.lower(sci))))), "km")
+
+
+def with_value(df: DataFrame, raw: Column, relation: Column, name: str) -> DataFrame:
+    """The rows with ``normalized(raw, relation)`` as column ``name``, each part worked out once: a projection for each step."""
+    q = lambda part: F.col(f"_q_{part}")
+    is_mass, is_radius = q("relation") == "HAS_MASS", q("relation") == "HAS_RADIUS"
+    steps = [
+        {"raw": raw, "relation": relation},
+        {"sci": F.when(is_mass | is_radius, text.scientific_text(q("raw")))},
+        {"with": _with_id(q("sci")), "low": F.lower(q("sci"))},
+        {"id": _unit_id(q("with")), "words": F.when(is_radius, _words(q("low")))},
+        {"factor": F.when(is_mass, _factor(q("id"), "mass", _mass_factor(q("low")))).when(is_radius, _factor(q("id"), "length", _length_factor(q("low"), q("words"))))},
+        {"n": _scaled(q("sci"), q("with"), q("id"), q("factor"))},
+    ]
+    out = df
+    for step in steps:
+        out = out.withColumns({f"_q_{k}": v for k, v in step.items()})
+    measured = _measured(q("raw"), q("id"), q("n"), F.when(is_mass, "kg").otherwise("km"))
+    value = F.when(is_mass | is_radius, measured).when(q("relation") == "HAS_ATMOSPHERE", gases(q("raw"))).otherwise(plain(q("raw")))
+    return out.withColumn(name, value).drop(*(f"_q_{k}" for step in steps for k in step))
 
 
 def gases(raw: Column, strict: bool = False) -> Column:
@@ -151,7 +202,7 @@ def stated(raw: Column, units: tuple[tuple[str, float], ...]) -> Column:
     sci = text.scientific_text(raw)
     out = None
     for unit, factor in units:
-        pattern = f"(?i){dims.NUMBER_PATTERN}" + r"\s*(?:(?:±|\+/-)\s*[\d.e+-]+\s*)?(?:倍)?\s*" + re.escape(unit) + ("" if ord(unit[-1]) > 127 else r"(?![A-Za-z])")
+        pattern = f"({text.NUMBER})" + r"\s*(?:(?:±|\+/-)\s*[\d.e+-]+\s*)?(?:倍)?\s*" + "(?i:" + re.escape(unit) + ")" + ("" if ord(unit[-1]) > 127 else r"(?![A-Za-z])")
         number = F.nullif(F.regexp_extract(sci, pattern, 1), F.lit("")).try_cast("double")
         one = F.struct(number.alias("number"), F.lit(unit).alias("unit"), (number * factor).alias("base"))
         out = F.when(number.isNotNull(), one) if out is None else out.when(number.isNotNull(), one)

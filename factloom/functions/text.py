@@ -11,6 +11,8 @@ from factloom import dims
 
 # Java classes with Unicode white space, digits and word characters.
 _U = "(?U)"
+#: A signed decimal number, with e-notation.
+NUMBER = r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 
 
 def blank(c: Column) -> Column:
@@ -52,30 +54,25 @@ def canonical_text(c: Column) -> Column:
 
 
 def scientific_text(c: Column) -> Column:
-    """Numbers without thousands separators, split mantissas joined, powers of ten as e-notation."""
+    """Numbers as a parser takes them: no thousands separators, mantissas in one piece, powers of ten as e-notation."""
     t = F.replace(canonical_text(c), F.lit(","), F.lit(""))
-    for pattern, to in dims.SCIENTIFIC_PATTERNS:
-        t = F.regexp_replace(t, _U + pattern, to)
-    return t
+    t = F.regexp_replace(t, r"(?<=\.\d{1,30})\s+(?=\d)", "")
+    # A cross and ten, with or without a caret; ten with a caret alone; a blank before the e.
+    t = F.regexp_replace(t, r"(?i)\s*[×x]\s*10\s*\^?\s*(?=[+-]?\d)", "e")
+    t = F.replace(t, F.lit("10^"), F.lit("1e"))
+    return F.regexp_replace(t, r"(?<=\d)\s+(?=e[+-]?\d)", "")
 
 
 def first_number(c: Column) -> Column:
     """The first signed decimal or e-notation number as a double, or null."""
-    return F.nullif(F.regexp_extract(c, "(?i)" + dims.NUMBER_PATTERN, 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(c, NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def number_text(c: Column) -> Column:
     """A double with up to 12 significant digits, no trailing zeros, e-notation from 1e12 or below 1e-4."""
-    s = F.format_string("%.11e", F.abs(c))
-    power = F.substring_index(s, "e", -1).cast("int")
-    digits = F.replace(F.substring_index(s, "e", 1), F.lit("."), F.lit(""))
-    tail = lambda x: F.regexp_replace(F.regexp_replace(x, r"0+$", ""), r"\.$", "")
-    small = tail(F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits))
-    whole = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(12)))
-    far = F.concat(tail(F.substring_index(s, "e", 1)), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    far = F.when(F.abs(power) > 99, F.concat(tail(F.substring_index(s, "e", 1)), F.when(power < 0, "e-").otherwise("e+"), F.abs(power).cast("string"))).otherwise(far)
-    body = F.when(c == 0, "0").when((power >= 0) & (power < 12), tail(whole)).when((power < 0) & (power >= -4), small).otherwise(far)
-    return F.concat(F.when(c < 0, "-").otherwise(""), body)
+    s = F.format_string("%.11e", c)
+    plain = F.regexp_replace(s.cast("decimal(30,16)").cast("string"), r"\.?0+$", "")
+    return F.when(F.rlike(s, F.lit(r"e(-0[1-4]|\+0\d|\+1[01])$")), F.regexp_replace(plain, "^-0$", "0")).otherwise(F.regexp_replace(s, r"\.?0*e", "e"))
 
 
 def safe_name(c: Column) -> Column:

@@ -20,17 +20,16 @@ def by_source(records: DataFrame, value: Column | None = None) -> DataFrame:
     Sets of values are never collected: a digest (count, xor and sum of hashes of the distinct objects) compares
     them, and a semi-join finds common values, so a key with very many values is no single row.
     """
-    value = quantity.normalized(F.col("object"), F.col("relation")) if value is None else value
-    rows = records.withColumn("_value", value)
+    rows = quantity.with_value(records, F.col("object"), F.col("relation"), "_value") if value is None else records.withColumn("_value", value)
     own = [*KEY, "source_name"]
-    per = rows.groupBy(*own).agg(F.min_by("_value", "ordinal").alias("first"), F.min("_value.numeric_value").alias("low"), F.max("_value.numeric_value").alias("high"), F.min("ordinal").alias("first_ordinal"))
-    distinct = rows.groupBy(*own, "object").agg(F.min("_value.normalized_value").alias("normal"))
+    # One pass over the records: the distinct objects of a key and source; all else comes from these.
+    distinct = rows.groupBy(*own, "object").agg(F.min("_value.normalized_value").alias("normal"), F.min_by("_value", "ordinal").alias("value"), F.min("_value.numeric_value").alias("low"), F.max("_value.numeric_value").alias("high"), F.min("ordinal").alias("ordinal"))
     digest = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("object")).alias("x"), F.sum(F.xxhash64(F.lit(7), "object").cast("decimal(38,0)")).alias("s"))
-    sets = distinct.groupBy(*own).agg(digest.alias("objects"))
+    per = distinct.groupBy(*own).agg(F.min_by("value", "ordinal").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("ordinal").alias("first_ordinal"), digest.alias("objects"))
     heads = per.groupBy(*KEY).agg(F.min_by("source_name", "first_ordinal").alias("source_name"))
     theirs = distinct.join(heads, own, "left_semi").select(*KEY, "normal")
     shared = distinct.join(theirs, [*KEY, "normal"], "left_semi").select(*own).distinct().withColumn("shares", F.lit(True))
-    return per.join(sets, own).join(shared, own, "left").withColumn("shares", F.coalesce("shares", F.lit(False)))
+    return per.join(shared, own, "left").withColumn("shares", F.coalesce("shares", F.lit(False)))
 
 
 def _keys(per_source: DataFrame) -> DataFrame:
@@ -91,8 +90,8 @@ def missing_sources(records: DataFrame, universe: Sequence[str]) -> DataFrame:
 
 def missing_breakdown(missing: DataFrame) -> DataFrame:
     """Counts by source, by relation and by both, in one pass of grouping sets."""
-    missing.createOrReplaceTempView("_missing")
-    return missing.sparkSession.sql("select source_name, relation, count(*) as n_missing from _missing group by grouping sets ((source_name), (relation), (source_name, relation))")
+    sets = [[F.col("source_name")], [F.col("relation")], [F.col("source_name"), F.col("relation")]]
+    return missing.groupingSets(sets, F.col("source_name"), F.col("relation")).agg(F.count("*").alias("n_missing"))
 
 
 def evidence_packets(statuses: DataFrame) -> DataFrame:

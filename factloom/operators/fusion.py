@@ -30,29 +30,42 @@ def fuse(records: DataFrame, *, value: Column | None = None, kind: Column | None
     In this order: all equal the first record within 1e-9 (multi_source_agreement), two or more known
     measurement kinds, all numeric and near, otherwise several (human_review_required), or a single one.
     """
-    value = quantity.normalized(F.col("object"), F.col("relation")) if value is None else value
     kind = entity.measurement_kind(F.col("relation"), F.col("object"), F.col("source_title"), F.col("source_field"))["kind"] if kind is None else kind
-    rows = records.where(~text.blank(F.col("subject")) & ~text.blank(F.col("relation"))).withColumns({"_value": value, "_kind": kind})
+    rows = records.where(~text.blank(F.col("subject")) & ~text.blank(F.col("relation"))).withColumn("_kind", kind)
+    rows = quantity.with_value(rows, F.col("object"), F.col("relation"), "_value") if value is None else rows.withColumn("_value", value)
+    v = lambda part: F.col(f"_value.{part}")
+    usable = (v("normalized_unit") != "") & v("numeric_value").isNotNull()
     head = rows.groupBy(*KEY).agg(
         F.min_by("_value", "ordinal").alias("_first"),
         F.count("*").alias("n_records"),
-        F.count("_value.numeric_value").alias("_numbers"),
-        F.min("_value.numeric_value").alias("_low"),
-        F.max("_value.numeric_value").alias("_high"),
+        F.count(v("numeric_value")).alias("_numbers"),
+        F.min(v("numeric_value")).alias("_low"),
+        F.max(v("numeric_value")).alias("_high"),
+        # Extremes of texts and units tell whether all records are equal, without a second look at them.
+        F.min(F.struct(v("normalized_value"))).alias("_least"),
+        F.max(F.struct(v("normalized_value"))).alias("_most"),
+        F.min(v("normalized_unit")).alias("_unit"),
+        F.max(v("normalized_unit")).alias("_last_unit"),
+        F.count_if(usable).alias("_usable"),
         F.size(F.collect_set(F.when(F.col("_kind") != "unknown", F.col("_kind")))).alias("_kinds"),
         F.array_sort(F.collect_set(F.nullif(F.trim("source_name"), F.lit("")))).alias("sources"),
     )
-    met = rows.join(head, list(KEY))
-    agree = met.groupBy(*KEY).agg(F.bool_and(quantity.equivalent(F.col("_first"), F.col("_value"), dims.AGREE_TOLERANCE)).alias("_agree"))
+    first = F.col("_first.numeric_value")
+    one_unit = (F.col("_usable") == F.col("n_records")) & (F.col("_unit") == F.col("_last_unit"))
+    numbers_agree = quantity.close(first, F.col("_low"), dims.AGREE_TOLERANCE) & quantity.close(first, F.col("_high"), dims.AGREE_TOLERANCE)
+    texts_agree = (F.col("_least.normalized_value") != "") & (F.col("_least.normalized_value") == F.col("_most.normalized_value"))
+    # Equal numbers in one unit; where a record has no unit or number, or another unit, equal texts.
+    agree = F.coalesce(F.when(one_unit, numbers_agree).otherwise(texts_agree), F.lit(False))
     near = (F.col("_numbers") == F.col("n_records")) & (quantity.relative_difference(F.col("_low"), F.col("_high")) <= _threshold(F.col("relation"), thresholds, near_default))
     status = (
-        F.when((F.col("n_records") >= 2) & F.col("_agree"), "multi_source_agreement")
+        F.when((F.col("n_records") >= 2) & agree, "multi_source_agreement")
         .when(F.col("_kinds") >= 2, "same_quantity_different_measurement_kind")
         .when((F.col("n_records") >= 2) & near, "near_equivalent_values")
         .when(F.col("n_records") >= 2, "human_review_required")
         .otherwise("single_source_only")
     )
-    return met.join(agree, list(KEY)).withColumns({"fusion_status": status, "measurement_kind": F.col("_kind"), "source_count": F.size("sources")}).select(*records.columns, "fusion_status", "measurement_kind", "n_records", "sources", "source_count")
+    met = rows.join(head.withColumn("fusion_status", status).select(*KEY, "fusion_status", "n_records", "sources"), list(KEY))
+    return met.withColumns({"measurement_kind": F.col("_kind"), "source_count": F.size("sources")}).select(*records.columns, "fusion_status", "measurement_kind", "n_records", "sources", "source_count")
 
 
 def fused_records(fused: DataFrame) -> DataFrame:

@@ -301,15 +301,15 @@ case when l_linenumber % 3 = 2 then 'unparsed' else 'parsed' end as parse_status
 def norm_radius(spark, d):
     rows = read(spark, d, "lineitem")
     unit = F.when(F.col("l_linenumber") % 3 == 0, " km").when(F.col("l_linenumber") % 3 == 1, " metres").otherwise(" leagues")
-    v = quantity.normalized(F.concat(F.col("l_quantity").cast("string"), unit), F.lit("HAS_RADIUS"))
-    return rows.withColumn("v", v).select("l_orderkey", "l_linenumber", "l_suppkey", F.col("v.normalized_unit").alias("unit"), F.col("v.numeric_value").alias("number"), F.col("v.parse_status").alias("parse_status"))
+    rows = quantity.with_value(rows, F.concat(F.col("l_quantity").cast("string"), unit), F.lit("HAS_RADIUS"), "v")
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("v.normalized_unit").alias("unit"), F.col("v.numeric_value").alias("number"), F.col("v.parse_status").alias("parse_status"))
 
 
 @query("""select l_orderkey, l_linenumber, l_suppkey, cast(concat(l_quantity, 'e', l_linenumber) as double) * case when l_returnflag = 'A' then 5.97237e24 else 1 end as number from lineitem""")
 def norm_mass(spark, d):
     unit = F.when(F.col("l_returnflag") == "A", " Earth masses").otherwise(" kg")
     raw = F.concat(F.col("l_quantity").cast("string"), F.lit(" × 10^"), F.col("l_linenumber").cast("string"), unit)
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", quantity.normalized(raw, F.lit("HAS_MASS"))["numeric_value"].alias("number"))
+    return quantity.with_value(read(spark, d, "lineitem"), raw, F.lit("HAS_MASS"), "v").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("v.numeric_value").alias("number"))
 
 
 @query("select l_orderkey, l_linenumber, l_suppkey, printf('%.12g', l_extendedprice * pow(10, l_linenumber - 2)) as a, printf('%.12g', l_discount / 1024) as b, printf('%.12g', l_extendedprice * pow(10, 3 * l_linenumber)) as c from lineitem")
