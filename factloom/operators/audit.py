@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import quantity
+from factloom.operators.quality import numbered
 
 KEY = ("subject", "relation")
 
@@ -96,13 +97,10 @@ def missing_breakdown(missing: DataFrame) -> DataFrame:
 
 def evidence_packets(statuses: DataFrame) -> DataFrame:
     """Remaining conflicts with a class, an action and a confidence, numbered by key within their relation."""
-    from pyspark.sql import Window
-
     left = statuses.where("status = 'value_conflict'")
     cls = F.when((F.col("relation") == "HAS_MASS") & (F.col("rel_spread") <= 0.01), "mass_granularity").when(F.col("rel_spread").isNull(), "text_difference").otherwise("true_conflict")
     action = F.when(cls == "mass_granularity", "annotate_precision").when(cls == "text_difference", "review_alias").otherwise("manual_review")
-    number = F.row_number().over(Window.partitionBy("relation").orderBy("subject"))
-    return left.select(*KEY, cls.alias("evidence_class"), action.alias("action"), F.when(cls == "mass_granularity", 0.76).when(cls == "text_difference", 0.74).otherwise(0.6).alias("confidence"), number.alias("packet_no"))
+    return numbered(left, ["relation"], "subject", "packet_no").select(*KEY, cls.alias("evidence_class"), action.alias("action"), F.when(cls == "mass_granularity", 0.76).when(cls == "text_difference", 0.74).otherwise(0.6).alias("confidence"), "packet_no")
 
 
 def cross_ratio(per_source: DataFrame, factor: float = 100.0) -> DataFrame:

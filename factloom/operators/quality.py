@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.sources.tables import cut
 
 
 def change_type(action: Column) -> Column:
@@ -87,7 +90,7 @@ def plan(items: DataFrame) -> DataFrame:
 def apply_changes(records: DataFrame, changes: DataFrame) -> DataFrame:
     """The records with their objects replaced, of equal rows that the change made the first by ordinal; adds changed."""
     c = changes.select("subject", "relation", F.col("old_object").alias("object"), F.col("new_object").alias("_new"))
-    met = records.join(F.broadcast(c), ["subject", "relation", "object"], "left")
+    met = records.join(c, ["subject", "relation", "object"], "left")
     rewritten = met.withColumn("changed", F.col("_new").isNotNull()).withColumn("object", F.coalesce("_new", "object")).drop("_new")
     keys = ["subject", "relation", "object", "source_name"]
     touched = rewritten.where("changed").select(*keys).distinct()
@@ -113,12 +116,25 @@ def external_review(values: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return values.select("patch_id", F.when(far, "source_extraction_error").when(a & b, "precision_difference").when(a, "confirms_first").when(b, "confirms_second").otherwise("unresolved").alias("result"))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """The rows numbered from 1 within ``keys`` by ``order``, as ``name``.
+
+    The rows are sorted by range, so a key with very many rows is spread over tasks; a task numbers its own, and what earlier
+    ranges hold of the key is added.
+    """
+    by = [*keys, order]
+    ranges = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
+    counts = ranges.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_rows")
+    offsets = counts.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), F.col("_part").alias("_at"), before.alias("_before"))
+    own = ranges.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return own.join(offsets, [*same, F.col("_part") == F.col("_at")]).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
+
+
 def unique_ids(df: DataFrame, column: str, order: str) -> DataFrame:
     """Ids that repeat get _2, _3, ... in order."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(column).orderBy(order))
-    return df.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 1, F.concat_ws("_", F.col(column), F.col("_n").cast("string"))).otherwise(F.col(column))).drop("_n")
+    return numbered(df, [column], order, "_n").withColumn(column, F.when(F.col("_n") > 1, F.concat_ws("_", F.col(column), F.col("_n").cast("string"))).otherwise(F.col(column))).drop("_n")
 
 
 def validate_revisions(revisions: DataFrame) -> DataFrame:

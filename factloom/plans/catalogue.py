@@ -141,9 +141,12 @@ def kg_stats(spark, d):
     return graph.stats(edges(spark, d))
 
 
-@query(_S + "select concat('Part#', p_partkey) as name from part where concat('Part#', p_partkey) not in (select subject from ships)")
+@query("select concat('Customer#', c_custkey) as name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 250000)")
 def kg_orphans(spark, d):
-    return graph.orphans(read(spark, d, "part").select(F.concat(F.lit("Part#"), F.col("p_partkey")).alias("name")), ships(spark, d))
+    """Customers that no large order touches."""
+    nodes = read(spark, d, "customer").select(F.concat(F.lit("Customer#"), F.col("c_custkey")).alias("name"))
+    large = read(spark, d, "orders").where("o_totalprice > 250000").select(F.concat(F.lit("Customer#"), F.col("o_custkey")).alias("subject"), F.concat(F.lit("Order#"), F.col("o_orderkey")).alias("object"))
+    return graph.orphans(nodes, large)
 
 
 @query(_E + "select name, min(ordinal) as first_ordinal from (select subject as name, ordinal from edges union all select object, ordinal from edges) group by name")
@@ -190,6 +193,30 @@ def fuse_status(spark, d):
     return _fused(spark, d).select("subject", "relation", "fusion_status", "n_records", "source_count").distinct()
 
 
+_RADII = """with l as (select l_orderkey, l_linenumber, l_returnflag, l_orderkey % 5 as c, (1000 + l_orderkey % 100) as km from lineitem), f as (select * from l where c <> 4 or l_linenumber = 1),
+k as (select l_orderkey, any_value(c) as c, count(*) as n_records, count(distinct l_returnflag) as source_count, count(distinct l_linenumber % 2) as parities, count(distinct l_linenumber) as lines from f group by l_orderkey) """
+
+
+def _radii(spark, d):
+    """Radii of orders as texts of lines, by the order's key: one value in two notations, kinds of radius, near values, conflicts, single lines."""
+    line, c = F.col("l_linenumber"), F.col("l_orderkey") % 5
+    km = 1000 + F.col("l_orderkey") % 100
+    metres = F.when(c == 1, (km + line % 2) * 1000).when(c == 2, km * (1000 + line)).when(c == 3, km * 1000 * (1 + line)).otherwise(km * 1000).cast("string")
+    obj = F.when((c == 0) & (line % 2 == 0), F.concat(km.cast("string"), F.lit(" km"))).otherwise(F.concat(metres, F.lit(" m")))
+    field = F.when(c != 1, "value").when(line % 2 == 0, "mean radius").otherwise("equatorial radius")
+    ordinal = F.xxhash64("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    rows = read(spark, d, "lineitem").where((c != 4) | (line == 1))
+    return rows.select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("subject"), F.lit("HAS_RADIUS").alias("relation"), obj.alias("object"), F.col("l_returnflag").alias("source_name"), ordinal.alias("ordinal"), F.lit("").alias("source_title"), field.alias("source_field"))
+
+
+@query(_RADII + """select concat('O', l_orderkey) as subject, n_records, cast(source_count as int) as source_count, case when n_records = 1 then 'single_source_only' when c in (0, 4) then 'multi_source_agreement'
+when c = 1 then case when parities = 2 then 'same_quantity_different_measurement_kind' else 'multi_source_agreement' end when lines = 1 then 'multi_source_agreement'
+when c = 2 then 'near_equivalent_values' else 'human_review_required' end as fusion_status from k""")
+def fuse_radii(spark, d):
+    """Fusion with its own normaliser, kinds and thresholds; all five statuses come up."""
+    return fusion.fuse(_radii(spark, d)).select("subject", "n_records", "source_count", "fusion_status").distinct()
+
+
 @query(_FUSE + "select fusion_status, count(*) as n_groups, cast(sum(n_records) as bigint) as n_records from st group by fusion_status")
 def fuse_summary(spark, d):
     return fusion.summary(_fused(spark, d))
@@ -318,10 +345,13 @@ def norm_number_text(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", text.number_text(x * F.pow(F.lit(10.0), F.col("l_linenumber") - 2)).alias("a"), text.number_text(F.col("l_discount") / 1024).alias("b"), text.number_text(x * F.pow(F.lit(10.0), 3 * F.col("l_linenumber"))).alias("c"))
 
 
-@query("""select p_partkey, case p_size % 4 when 0 then 'CO2;N2' when 1 then 'Ar;H2O' when 2 then 'CH4' else 'plain text' end as gases from part""")
+@query("""select p_partkey, case p_size % 5 when 0 then 'CO2;N2' when 1 then 'Ar;H2O' when 2 then 'CH4' when 3 then 'plain text' else 'the carbon' end as strict_gases,
+case p_size % 5 when 0 then 'CO2;N2' when 1 then 'Ar;H2O' when 2 then 'CH4' when 3 then 'plain text' else 'Ar;He' end as gases, case p_size % 5 when 3 then 'unparsed' else 'synonym_normalized' end as parse_status from part""")
 def norm_gases(spark, d):
-    raw = F.element_at(F.array(*map(F.lit, ["nitrogen (3%), CO2", "argon; water vapour", "some methane", "plain text"])), (F.col("p_size") % 4 + 1).cast("int"))
-    return read(spark, d, "part").select("p_partkey", quantity.gases(raw, strict=True)["normalized_value"].alias("gases"))
+    """Both rules: names as words of their own, and (the default) inside longer words too."""
+    raw = F.element_at(F.array(*map(F.lit, ["nitrogen (3%), CO2", "argon; water vapour", "some methane", "plain text", "the carbon"])), (F.col("p_size") % 5 + 1).cast("int"))
+    found = quantity.gases(raw)
+    return read(spark, d, "part").select("p_partkey", quantity.gases(raw, strict=True)["normalized_value"].alias("strict_gases"), found["normalized_value"].alias("gases"), found["parse_status"].alias("parse_status"))
 
 
 @query("""select c_custkey, coalesce(n_name, '') as canonical_id, case when n_name is null then 'unmapped_entity' else 'entity_normalized' end as parse_status
@@ -380,11 +410,18 @@ def text_entity_context(spark, d):
 _ANY = lambda words: " or ".join(f"contains(lower(text), '{w}')" for w in words)
 
 
+_ASKED = ("", " mass of Mars", " 属于", " 为什么", " 为什么 mass", " rosetta")
+_ASKED_SQL = "coalesce(case (turn + length(text)) % 6 " + " ".join(f"when {i} then '{q}'" for i, q in enumerate(_ASKED)) + " end, '')"
+
+
 @query(f"""select conv_id, turn, intent, case intent when 'esa_mission' then 'esa' when 'structured_fact' then 'wikidata' when 'narrative_explanation' then 'zh_wikipedia' else 'nasa' end as first_source from (select conv_id, turn, case when {_ANY(dims.MISSION_WORDS)} then 'esa_mission'
 when ({_ANY(dims.NUMERIC_WORDS)}) and ({_ANY(dims.NARRATIVE_WORDS)}) then 'mixed_numeric_narrative' when {_ANY(dims.STRUCTURED_WORDS)} then 'structured_fact'
-when {_ANY(dims.NUMERIC_WORDS)} then 'numeric_fact' when {_ANY(dims.NARRATIVE_WORDS)} then 'narrative_explanation' else 'uncertain' end as intent from conversations)""")
+when {_ANY(dims.NUMERIC_WORDS)} then 'numeric_fact' when {_ANY(dims.NARRATIVE_WORDS)} then 'narrative_explanation' else 'uncertain' end as intent from (select conv_id, turn, concat(coalesce(text, ''), {_ASKED_SQL}) as text from conversations))""")
 def route_intent(spark, d):
-    return read(spark, d, "conversations").withColumn("r", entity.route(F.col("text"))).select("conv_id", "turn", F.col("r.intent").alias("intent"), F.try_element_at("r.sources", F.lit(1)).alias("first_source"))
+    """The intent of every turn, to some of which a question is added, so that all six intents come up."""
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), F.pmod(F.col("turn") + F.length("text"), F.lit(len(_ASKED))).cast("int") + 1)
+    rows = read(spark, d, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.coalesce(asked, F.lit(""))))
+    return rows.withColumn("r", entity.route(F.col("text"))).select("conv_id", "turn", F.col("r.intent").alias("intent"), F.try_element_at("r.sources", F.lit(1)).alias("first_source"))
 
 
 @query("""with qs as (select * from (values (1, 'src3', 'the', 'tion'), (2, 'src0', 'heit', 'ung'), (3, 'none', 'ción', 'que')) t(query_id, entity, term1, term2)),
@@ -630,9 +667,9 @@ def eval_match_index(spark, d):
     return evaluation.match_index(top, o.join(returned, "key", "left_semi"), ["key"])
 
 
-@query("select substring(text, 1, 40) as head, count(*) as n from documents group by head having count(*) > 1")
+@query("select sha256(text) as text_sha256, count(*) as n from documents group by text having count(*) > 1")
 def eval_duplicates(spark, d):
-    return evaluation.duplicates(read(spark, d, "documents").select(F.substring("text", 1, 40).alias("head")), ["head"])
+    return evaluation.duplicates(read(spark, d, "documents").select("text"), ["text"]).select(F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "n")
 
 
 @query(_E + "select count(*) filter (source_name not in ('crm', 'geo')) as n_leaks from edges")
@@ -666,9 +703,9 @@ def stream_daily_counts(spark, d):
     return out.withColumns({"day": F.col("day").cast("string"), "total": F.round("total", 2)})
 
 
-@query("select c_custkey from customer anti join orders on o_custkey = c_custkey")
+@query("select c_custkey from customer anti join (select * from orders where o_orderpriority = '1-URGENT' and o_totalprice > 200000) on o_custkey = c_custkey")
 def ingest_unseen(spark, d):
-    return incremental.unseen(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return incremental.unseen(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""select n_name as subject, 'REGION' as relation, coalesce(f.object, r_name) as object from nation join region on n_regionkey = r_regionkey left join (select n_name as subject, 'fixed' as object from nation where n_regionkey = 2) f on f.subject = n_name
@@ -717,11 +754,15 @@ def compare_sources(spark, d):
     return retrieval.compare_sources(triples.first_of(rows, ["probe", "source_name"]), "probe")
 
 
-@query("""with b as (select *, row_number() over (partition by lang, source order by n_chars desc, doc_id) as r from documents), h as (select lang, source, arg_min(substring(text, 1, 20), doc_id) filter (length(trim(substring(text, 1, 20))) > 0) as head from documents where n_chars % 2 = 0 group by all)
-select b.lang, b.source, b.doc_id, b.n_chars as score, coalesce(nullif(case when b.n_chars % 2 = 0 then trim(substring(b.text, 1, 20)) end, ''), h.head) as head from b left join h using (lang, source) where r = 1""")
+@query("""with d as (select documents.*, cast(quality as varchar) as quality from documents left join labels using (doc_id)), b as (select *, row_number() over (partition by lang, source order by n_chars desc, doc_id) as r from d),
+h as (select lang, source, arg_min(quality, doc_id) filter (quality is not null) as quality, arg_min(text, doc_id) filter (length(trim(text)) > 0) as text from d group by all)
+select b.lang, b.source, b.doc_id, b.n_chars as score, coalesce(b.quality, h.quality) as quality, sha256(coalesce(nullif(trim(b.text), ''), h.text)) as text_sha256 from b left join h on h.lang is not distinct from b.lang and h.source is not distinct from b.source where r = 1""")
 def canonical_merge(spark, d):
-    docs = read(spark, d, "documents").select("lang", "source", "doc_id", "n_chars", F.when(F.col("n_chars") % 2 == 0, F.substring("text", 1, 20)).alias("head"))
-    return triples.canonical_merge(docs, ["lang", "source"], F.col("n_chars"), "doc_id", ["head"]).select("lang", "source", "doc_id", "score", "head")
+    """The longest document of each language and source; a label that it lacks, and a blank text, come from the first that has one."""
+    labels = read(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    docs = read(spark, d, "documents").join(labels, "doc_id", "left").select("lang", "source", "doc_id", "n_chars", "text", "quality")
+    best = triples.canonical_merge(docs, ["lang", "source"], F.col("n_chars"), "doc_id", ["text", "quality"])
+    return best.select("lang", "source", "doc_id", "score", "quality", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 @query("select doc_id, substring(md5(concat_ws('|', cast(doc_id as varchar), lang, source)), 1, 12) as record_id from documents")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import schemas
 from factloom.functions import text
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             import tempfile
 
             found = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -33,20 +36,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of files that hold a JSON array (or one object) each, with file (path) and ordinal: by file name, then position.
+
+    A file is one row until its array is taken apart, so a record's position is its own, however Spark deals files over tasks.
+    """
+    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    as_array = F.when(F.ltrim("value").startswith("{"), F.concat(F.lit("["), "value", F.lit("]"))).otherwise(F.col("value"))
+    rows = files.select("file", F.posexplode(F.from_json(as_array, T.ArrayType(schema))).alias("position", "record")).where("record is not null")
+    names = files.select("file").distinct().withColumn("number", F.row_number().over(Window.orderBy("file")))
+    return rows.join(names, "file").select("record.*", "file", (F.shiftleft(F.col("number").cast("long"), 32) + F.col("position")).alias("ordinal"))
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of triples; the file's name without its suffix is the title, (file, position) the ordinal's order.
 
     Unreadable files give no rows.
     """
-    rows = spark.read.schema(schemas.TRIPLE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"(_triples)?\.json$", "")
-    return rows.withColumn("file_title", F.url_decode(name)).withColumn("ordinal", F.monotonically_increasing_id())
+    rows = _json_rows(spark, path, _struct(schemas.TRIPLE))
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(_triples)?\.json$", "")
+    return rows.withColumn("file_title", F.url_decode(name)).drop("file")
 
 
 def read_narratives(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
     """Chunks with at least ``least`` characters of content."""
-    rows = spark.read.schema(schemas.NARRATIVE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return rows.where(F.length("content") >= least).withColumn("ordinal", F.monotonically_increasing_id())
+    return _json_rows(spark, path, _struct(schemas.NARRATIVE)).where(F.length("content") >= least).drop("file")
+
+
+def _struct(schema: str | T.StructType) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -79,9 +97,13 @@ def fill_from(records: DataFrame, fixtures: DataFrame, keys: Sequence[str]) -> D
     return records.unionByName(fixtures.join(records.select(*keys).distinct(), list(keys), "left_anti"))
 
 
-def override(records: DataFrame, fixtures: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Records with ``column`` replaced where a fixture has a value for the key, and the fixtures' missing keys."""
-    given = fixtures.groupBy(*keys).agg(F.first(column, ignorenulls=True).alias("_given"))
+def override(records: DataFrame, fixtures: DataFrame, keys: Sequence[str], column: str, order: str | None = None) -> DataFrame:
+    """Records with ``column`` replaced where a fixture has a value for the key, and the fixtures' missing keys.
+
+    Of several fixtures for a key the first by ``order`` that has a value counts; without an order, the one of least value.
+    """
+    by = F.col(order or column)
+    given = fixtures.groupBy(*keys).agg(F.min_by(column, F.when(F.col(column).isNotNull(), by)).alias("_given"))
     changed = records.join(given, list(keys), "left").withColumn(column, F.coalesce("_given", column)).select(*records.columns)
     return changed.unionByName(fixtures.join(records.select(*keys).distinct(), list(keys), "left_anti").select(*records.columns))
 
@@ -92,8 +114,8 @@ def write_namespaced(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append_new(df: DataFrame, existing: DataFrame | None, path: str, key: str) -> DataFrame:
-    """Append the rows whose key is new; returns them."""
-    fresh = df if existing is None else df.join(existing.select(key), key, "left_anti")
+    """Append the rows whose key is new, one for each key; returns them."""
+    fresh = df.dropDuplicates([key]) if existing is None else df.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
     fresh.write.mode("append").parquet(path)
     return fresh
 

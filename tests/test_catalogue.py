@@ -44,3 +44,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name, column, n", [("fuse_radii", "fusion_status", 5), ("route_intent", "intent", 6), ("norm_gases", "gases", 5)])
+def test_every_branch_comes_up(spark, name, column, n):
+    assert CATALOGUE[name][0](spark, FOLDER).select(column).distinct().count() == n

@@ -154,6 +154,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "Bad_triples.json").write_text("[{")
     got = tables.read_triples(spark, str(tmp_path / "*_triples.json")).collect()
     assert sorted((r.subject, r.object, r.file_title) for r in got) == [("Mars", "Sun", "Mars"), ("Mars", "planet", "Mars")]
+    (tmp_path / "Abc_triples.json").write_text(json.dumps([{"subject": "first", "relation": "IS_A", "object": "x"}] * 2))
+    got = tables.read_triples(spark, str(tmp_path / "*_triples.json")).orderBy("ordinal").collect()
+    assert [(r.file_title, r.object) for r in got] == [("Abc", "x"), ("Abc", "x"), ("Mars", "Sun"), ("Mars", "planet")] and len({r.ordinal for r in got}) == 4
     bundle = {"source_name": "esa", "records": [{"title": "T", "triples": triple, "narratives": [{"page_title": "T", "section": "s", "content": "c", "keywords": ["k"]}]}]}
     (tmp_path / "bundle.json").write_text(json.dumps(bundle))
     t, n = tables.read_bundle(spark, str(tmp_path / "bundle.json"))
@@ -200,3 +203,13 @@ def test_pages(spark):
     assert {(r.relation, r.object) for r in pages.raw_text_facts(raw, "k", "t").collect()} == {("HAS_ATMOSPHERE", "CO2"), ("HAS_ATMOSPHERE", "Ar"), ("ORBITS", "Mars"), ("PART_OF", "Mars system")}
     rows = spark.createDataFrame([("a", 0, "x"), ("a", 1, "stop"), ("a", 2, "y"), ("b", 0, "z")], "k string, i int, t string")
     assert sorted((r.k, r.i) for r in pages.keep_until(rows, "k", "i", F.col("t") == "stop").collect()) == [("a", 0), ("b", 0)]
+
+
+def test_numbering_of_a_hot_key(spark):
+    """Numbers within a key run on over the ranges that hold it; null keys are keys."""
+    df = spark.range(2000).selectExpr("if(id % 10 = 0, null, 'hot') as k", "2000 - id as at").repartition(7)
+    got = quality.numbered(df, ["k"], "at", "n").collect()
+    for key in (None, "hot"):
+        own = sorted((r["at"], r["n"]) for r in got if r["k"] == key)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert len(got) == 2000
