@@ -2,7 +2,10 @@
 
 Toxic documents go, one document of each group of near-duplicates stays, repeated passages are cut out,
 documents contaminated with benchmark text go, and what is left is packed into training sequences. Every
-stage but the last returns the columns of ``documents``. Extra columns ride along untouched.
+stage but the last returns the columns of ``documents``. Extra columns, of any name, ride along untouched.
+
+Defined results, for every stage: a null text counts as empty; repeated rows and repeated or null ids are rows like any
+others; an empty table gives an empty one; texts of any length are used whole. Each stage says what that comes to.
 """
 
 from __future__ import annotations
@@ -30,18 +33,27 @@ def _whole(slim: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network scores under its threshold."""
+    """Documents that the network scores under its threshold.
+
+    Null and empty texts score as an empty window, and repeated rows alike; without labels of both kinds nothing goes.
+    """
     labels = textops.read(spark, sf_dir, "labels")
     return _whole(toxicity.score_toxicity(_slim(docs), labels).where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least id."""
+    """Of each component of near-duplicates the document with the least id.
+
+    Null and empty texts are copies of each other; of rows that share the least id one stays; a null id counts after all others.
+    """
     return _whole(simhash.keep_one(_slim(docs)), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without words in windows that occur again; n_chars follows a changed text."""
+    """All documents, without words in windows that occur again; n_chars follows a changed text.
+
+    Null texts stay null and unchanged texts keep their white space; rows that repeat lose what they share.
+    """
     found = substring.substring_dedup(_slim(docs), keep=["doc_id", "_rest"])
     changed = F.col("n_removed") > 0
     out = found.select("doc_id", F.col("kept").alias("text"), "_rest", changed.alias("_changed"))
@@ -52,13 +64,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which under a twentieth of the words is benchmark text."""
+    """Documents of which under a twentieth of the words is benchmark text.
+
+    Null and empty texts stay; with an empty benchmark all do. Ties (exactly a twentieth) go.
+    """
     found = decontaminate.decontaminate(_slim(docs), textops.read(spark, sf_dir, "benchmark"))
     return _whole(found.where(~F.col("contaminated")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
+    """Pieces of the documents with their places in sequences.
+
+    A null or empty text is a piece of its end alone; repeated rows are packed one by one.
+    """
     return packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
