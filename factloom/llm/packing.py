@@ -238,13 +238,12 @@ def best_fit(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
         order = [F.desc("size"), F.asc("kind"), F.asc("key")]
         swept = ops.cut(_sweep(rows.repartitionByRange((n + done) // ROWS_A_PART + 1, *order).sortWithinPartitions(*order)))
         done += n
-        settled = ops.cut(_settled(swept))
-        opened = _opened(settled.where("seq is null"), max_tokens, number)
-        found = swept.where("at is null").select("piece", "seq").unionByName(settled.where("seq is not null").select("piece", "seq"))
-        both = found.unionByName(opened)
+        settled = _settled(swept)
+        opened = _opened(settled.where("seq is null"), max_tokens, number).withColumn("new", F.lit(max_tokens))
+        rest = ops.cut(settled.where("seq is not null").select("piece", "seq", F.lit(0).alias("new")).unionByName(opened))
+        both = swept.where("at is null").select("piece", "seq", F.lit(0).alias("new")).unionByName(rest)
         placed = both if placed is None else placed.unionByName(both)
-        room = lambda df, new: df.select("seq", (-F.col("piece.length")).alias("room"), F.lit(new).alias("new"))
-        change = room(found, 0).unionByName(room(opened, max_tokens))
+        change = both.select("seq", (-F.col("piece.length")).alias("room"), "new")
         if gaps is not None:
             change = change.unionByName(gaps.withColumn("new", F.lit(0)))
         if low > 1:
