@@ -93,7 +93,8 @@ def conflict_values(records: DataFrame, keys: DataFrame) -> DataFrame:
     return per.agg(F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("value_sources"), F.count("*").alias("n_records"))
 
 
-def authority_table(spark: SparkSession, orders: Mapping[str, Sequence[str]]) -> DataFrame:
+def authority_table(spark: SparkSession, orders: Mapping[str, Sequence[str]] = dims.AUTHORITY_BY_RELATION) -> DataFrame:
+    """(relation, source_name, authority_rank) of the sources' orders by relation."""
     rows = [(r, s, i + 1) for r, sources in orders.items() for i, s in enumerate(sources)]
     return spark.createDataFrame(rows, "relation string, source_name string, authority_rank int")
 

@@ -217,6 +217,14 @@ def fuse_radii(spark, d):
     return fusion.fuse(_radii(spark, d)).select("subject", "n_records", "source_count", "fusion_status").distinct()
 
 
+@query(_RADII + "select concat('O', l_orderkey) as subject, case when bool_or(l_returnflag = 'A') then 'nasa' when bool_or(l_returnflag = 'N') then 'esa' else 'other' end as authority from f group by l_orderkey")
+def fuse_relation_authority(spark, d):
+    """The most trusted source of each key, by the relation's own order of sources; unknown sources come last."""
+    name = F.when(F.col("source_name") == "A", "nasa").when(F.col("source_name") == "N", "esa").otherwise("other")
+    ranked = fusion.rank_sources(_radii(spark, d).withColumn("source_name", name), fusion.authority_table(spark), 9)
+    return ranked.select("subject", "authority").distinct()
+
+
 @query(_FUSE + "select fusion_status, count(*) as n_groups, cast(sum(n_records) as bigint) as n_records from st group by fusion_status")
 def fuse_summary(spark, d):
     return fusion.summary(_fused(spark, d))
