@@ -31,7 +31,7 @@ from factloom.llm import textops as ops
 BUCKET_BITS, ALPHA, TEMPER, KAPPA, SMOOTH = 15, 0.1, 0.1, 8.0, 1.0
 MOST_ROWS = 400
 #: Pages of a host for each of which its sums get one copy more; hosts that may have several copies.
-PAGES_A_SALT, MOST_HOT = 50_000, 4096
+PAGES_A_SALT, MOST_HOT = 256, 4096
 #: Log-probabilities that are looked up at once.
 AT_ONCE = 1 << 22
 
