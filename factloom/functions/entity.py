@@ -85,6 +85,27 @@ def measurement_kind(relation: Column, *context: Column) -> Column:
     )
 
 
+def stated_kind(context: Column) -> Column:
+    """What an audit takes a record to measure, from all its words; ``unspecified`` without any of the known ones."""
+    low, out = F.lower(F.coalesce(context, F.lit(""))), F.lit("unspecified")
+    for words, kind in reversed(dims.AUDIT_KINDS):
+        out = F.when(text.contains_any(low, words), kind).otherwise(out)
+    return out
+
+
+def segments(question: Column, stop: Sequence[str] = ()) -> Column:
+    """Runs of Latin words (digits may follow) and of Han characters, in their order; without stop words and single Han characters."""
+    plain = F.trim(F.regexp_replace(F.replace(F.coalesce(question, F.lit("")), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
+    found = F.regexp_extract_all(plain, F.lit(r"([A-Za-z]+(?: [A-Za-z0-9]+)*|[\x{4e00}-\x{9fff}]+)"))
+    return F.filter(found, lambda t: ~t.isin(*stop, "") & ((F.length(t) > 1) | F.rlike(t, F.lit("[A-Za-z0-9]"))))
+
+
+def topic_terms(terms: Column, entities: Column, most: int = 8) -> Column:
+    """The first ``most`` different segments that name none of the entities, compared without signs and linking words."""
+    names = F.transform(entities, text.compact)
+    return F.slice(F.array_distinct(F.filter(terms, lambda t: ~F.coalesce(F.array_contains(names, text.compact(t)), F.lit(False)))), 1, most)
+
+
 def route(question: Column) -> Column:
     """struct(intent, sources): the first family of keywords that a question has decides."""
     low = F.lower(F.coalesce(question, F.lit("")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from html import unescape
 
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from factloom import dims
+from factloom.functions import text
+
 
 @F.pandas_udf(StringType())
 def _unescaped(s: pd.Series) -> pd.Series:
@@ -82,3 +86,15 @@ def target_hints(url: Column, hints: Sequence[str]) -> Column:
     """The hint words that an address names, in the order of the hints."""
     low = F.lower(F.coalesce(url, F.lit("")))
     return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(h)), h) for h in hints)))
+
+
+def article_file(name: Column, ignored: Sequence[str] = ()) -> Column:
+    """Whether a stored page is an article: no page of talk, help, files and the like, and none of the ignored names."""
+    return ~F.rlike(name, F.lit("^(?:" + "|".join(dims.NO_ARTICLE) + ")")) & ~name.isin(*ignored, "")
+
+
+def topical_title(title: Column, address: Column, words: Sequence[str], excluded: Sequence[str] = ()) -> Column:
+    """Whether a discovered page belongs to the topic: 2 to 50 characters, no escapes, no excluded beginning, and a word of the topic in title or address."""
+    bad = reduce(lambda a, p: a | F.rlike(title, F.lit(f"^(?:{p})")), excluded, F.contains(title, F.lit("%")))
+    on_topic = text.contains_any(title, words) | text.contains_any(F.lower(F.coalesce(address, F.lit(""))), dims.TOPIC_ADDRESSES)
+    return F.length(title).between(2, 50) & ~bad & on_topic

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import dims
-from factloom.functions import quantity
+from factloom.functions import entity, quantity, text
 from factloom.operators.quality import numbered
+from factloom.operators.triples import missing_fields
 
 KEY = ("subject", "relation")
 
@@ -78,6 +81,94 @@ def status_v3(per_source: DataFrame, spread: float = dims.KIND_SPREAD, wild: flo
     return k.select(*KEY, "n_sources", gap.alias("rel_spread"), status.alias("status"))
 
 
+def _numbers_meet(numbers: DataFrame, heads: DataFrame, own: Sequence[str], tolerance: float) -> DataFrame:
+    """The keys' sources with a number close to one of the key's first source.
+
+    Close numbers lie in one logarithmic bin or in neighbours, tiny ones in bins of the absolute tolerance, so an equi-join finds them.
+    """
+    x, tiny = F.col("number"), 1e-9 / tolerance
+    at = F.floor(F.log(F.abs(x)) / -math.log1p(-tolerance)).cast("long")
+    bins = F.array_compact(F.array(
+        F.when(x != 0, F.struct(F.signum(x).cast("int").alias("kind"), at.alias("bin"))),
+        F.when(F.abs(x) <= tiny, F.struct(F.lit(2).alias("kind"), F.floor(x / 1e-9).cast("long").alias("bin"))),
+    ))
+    binned = numbers.select(*own, "unit", "number", F.explode(bins).alias("b")).select(*own, "unit", "number", "b.kind", "b.bin")
+    base = binned.join(heads, list(own), "left_semi").select(*KEY, "unit", "kind", F.col("number").alias("other"), F.explode(F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).alias("bin")).distinct()
+    return binned.join(base, [*KEY, "unit", "kind", "bin"]).where(quantity.close(F.col("number"), F.col("other"), tolerance)).select(*own).distinct()
+
+
+def statuses(records: DataFrame, universe: Sequence[str] = dims.AUDIT_SOURCES, aliases: DataFrame | None = None, suspect: str = dims.SUSPECT_SOURCE, refined: bool = True, tolerance: float = dims.AUDIT_TOLERANCE, spread: float = dims.KIND_SPREAD) -> DataFrame:
+    """(subject, relation, n_sources, statuses): all that an audit says of a key, in a fixed order.
+
+    source_missing and insufficient_metadata stand beside one verdict of how two or more sources agree: exact_match,
+    unit_equivalent, normalized_equivalent, synonym_equivalent (gas sets of which one holds the other); refined also
+    entity_alias_equivalent (needs ``aliases``), same_quantity_different_measurement_kind with radius_kind_mismatch, and
+    mass_reference_mismatch; then likely_zhwiki_extraction_error (radii of the suspect source far below the others') and value_conflict.
+    Every source is held against the first present of the universe, sources outside it coming last by name. Records with a blank
+    subject or relation don't count; a null object is an empty one. Values are compared by joins, and no set of values is
+    collected: only a key's source names, kinds (at most six) and gas sets are.
+    """
+    own = [*KEY, "source_name"]
+    context = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("raw", "object", "pattern", "table_field") if c in records.columns))
+    rows = records.withColumns({"subject": F.trim("subject"), "relation": F.trim("relation"), "object": F.coalesce("object", F.lit("")), "_kind": entity.stated_kind(context)})
+    rows = missing_fields(rows.where("subject != '' and relation != '' and source_name is not null"))
+    rows = quantity.with_value(rows, F.col("object"), F.col("relation"), "_value")
+    # The distinct objects of a key and source; everything else comes from these.
+    distinct = rows.groupBy(*own, "object").agg(F.first("_value").alias("value"), F.count("*").alias("n"), F.bool_or(~F.col("complete")).alias("broken"), F.collect_set("_kind").alias("kinds"))
+    unit, number, normal = F.nullif(F.col("value.normalized_unit"), F.lit("")), F.col("value.numeric_value"), F.nullif(F.col("value.normalized_value"), F.lit(""))
+    plain = F.lower(F.trim(F.regexp_replace("object", r"(?U)\s+", " ")))
+    distinct = distinct.select(*own, "n", "broken", "kinds", plain.alias("plain"), unit.alias("unit"), number.alias("number"), normal.alias("normal"), F.col("value.parse_status").alias("parsed"), "object")
+
+    km, ours = F.when(F.col("unit") == "km", F.col("number")), F.col("source_name") == suspect
+    place = F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, universe)), F.col("source_name")), F.lit(0)), F.lit(len(universe) + 1)).alias("place"), F.col("source_name").alias("source_name"))
+    keys = distinct.groupBy(*KEY).agg(
+        F.collect_set("source_name").alias("have"), F.min(place).alias("head"), F.bool_or("broken").alias("broken"),
+        F.size(F.array_remove(F.array_distinct(F.flatten(F.collect_set("kinds"))), "unspecified")).alias("n_kinds"),
+        F.sum(F.when(km.isNotNull(), F.col("n"))).alias("n_km"), F.min(km).alias("low"), F.max(km).alias("high"), (F.min(F.round(km, 1)) < F.max(F.round(km, 1))).alias("differ"),
+        F.min(F.when(ours & (km > 0), km)).alias("our_low"), F.max(F.when(ours, km)).alias("our_high"), F.max(F.when(~ours, km)).alias("their_high"),
+        ((F.min("unit") < F.max("unit")) | F.bool_or(F.col("parsed") == "unknown_unit")).alias("mixed"),
+    )
+    keys = keys.withColumn("n_sources", F.size("have"))
+    heads = keys.where("n_sources >= 2").select(*KEY, F.col("head.source_name").alias("source_name"))
+
+    def meets(values: DataFrame, part: str) -> DataFrame:
+        base = values.join(heads, own, "left_semi").select(*KEY, part).distinct()
+        return values.join(base, [*KEY, part], "left_semi").select(*own).distinct()
+
+    gases = distinct.where("unit = 'component_set'").groupBy(*own).agg(F.array_distinct(F.flatten(F.collect_set(F.split("normal", ";")))).alias("gases"))
+    first = gases.join(heads, own, "left_semi").select(*KEY, F.col("gases").alias("first"))
+    within = (F.size(F.array_except("gases", "first")) == 0) | (F.size(F.array_except("first", "gases")) == 0)
+    met = {
+        "numeric": _numbers_meet(distinct.where("number is not null and unit is not null"), heads, own, tolerance),
+        "normal": meets(distinct.where("normal is not null"), "normal"),
+        "gas": gases.join(first, list(KEY)).where(F.arrays_overlap("gases", "first") & within).select(*own),
+    }
+    if refined and aliases is not None:
+        named = entity.with_entity(distinct.where(F.col("relation").isin(*dims.ENTITY_RELATIONS)).select(*own, "object"), "object", aliases)
+        met["alias"] = meets(named.where("canonical_id != ''").select(*own, "canonical_id"), "canonical_id")
+    tagged = reduce(DataFrame.unionByName, (df.select(*own, F.lit(tag).alias("tag")) for tag, df in met.items()))
+    counts = tagged.groupBy(*KEY).agg(*(F.count_if(F.col("tag") == tag).alias(f"_{tag}") for tag in ("numeric", "normal", "gas", "alias")))
+    texts = distinct.select(*own, "plain").distinct().groupBy(*KEY, "plain").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.min("n").alias("_exact"))
+    all_in = lambda tag: F.col(f"_{tag}") == F.col("n_sources")
+
+    is_radius, is_mass = F.col("relation") == "HAS_RADIUS", F.col("relation") == "HAS_MASS"
+    cut_short = ((F.col("their_high") >= 1000) & (F.col("our_low") < 100)) | ((F.col("their_high") / F.greatest("our_high", F.lit(1e-9)) >= 5) & F.col("our_high").isNotNull())
+    kinds = ((F.col("high") - F.col("low")) / F.greatest("high", F.lit(1e-9)) <= spread) & ((F.col("n_kinds") >= 2) | F.col("differ")) & (F.col("n_km") >= 2)
+    verdict = F.when(all_in("exact"), "exact_match").when(all_in("numeric"), "unit_equivalent").when(all_in("normal"), "normalized_equivalent").when(all_in("gas"), "synonym_equivalent")
+    if refined:
+        verdict = verdict.when(all_in("alias"), "entity_alias_equivalent")
+    verdict = verdict.when(is_radius & cut_short, "likely_zhwiki_extraction_error")
+    if refined:
+        verdict = verdict.when(is_radius & kinds, "same_quantity_different_measurement_kind").when(is_mass & F.col("mixed"), "mass_reference_mismatch")
+    found = keys.join(texts, list(KEY)).join(counts, list(KEY), "left").withColumn("verdict", F.when(F.col("n_sources") >= 2, verdict.otherwise("value_conflict")))
+    missing = F.size(F.array_except(F.array(*map(F.lit, universe)), F.col("have"))) > 0
+    every = F.array(
+        F.when(missing, "source_missing"), F.when(F.col("broken"), "insufficient_metadata"), F.col("verdict"),
+        F.when(F.col("verdict") == "same_quantity_different_measurement_kind", "radius_kind_mismatch"),
+    )
+    return found.select(*KEY, "n_sources", F.array_compact(every).alias("statuses"))
+
+
 def status_counts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("n_keys"))
 

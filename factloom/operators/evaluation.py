@@ -66,3 +66,18 @@ def triage(df: DataFrame, rules: Sequence[tuple[Column, str, str, int]]) -> Data
     for c, _, o, p in reversed(rules):
         owner, priority = F.when(c, o).otherwise(owner), F.when(c, p).otherwise(priority)
     return df.withColumns({"flags": flags, "owner": owner, "priority": priority})
+
+
+def known_issues(issues: DataFrame, results: DataFrame) -> DataFrame:
+    """Known issues with their status in a run: resolved or open by the run's consistency_match, not_observed where the run lacks them."""
+    seen = results.groupBy("id").agg(F.bool_and(F.coalesce("consistency_match", F.lit(False))).alias("_ok"))
+    status = F.when(F.col("_ok").isNull(), "not_observed").when(F.col("_ok"), "resolved").otherwise("open")
+    return issues.join(seen, "id", "left").withColumn("status", status).withColumn("observed", F.col("_ok").isNotNull()).drop("_ok")
+
+
+def load_summary(triples: DataFrame, narratives: DataFrame, file: str) -> DataFrame:
+    """(source_name, total_triples, total_narratives, total_files) of a load."""
+    t = triples.select("source_name", file, F.lit(1).alias("t"), F.lit(0).alias("n"))
+    n = narratives.select("source_name", file, F.lit(0).alias("t"), F.lit(1).alias("n"))
+    per_file = t.unionByName(n).groupBy("source_name", file).agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    return per_file.groupBy("source_name").agg(F.sum("t").alias("total_triples"), F.sum("n").alias("total_narratives"), F.count(file).alias("total_files"))

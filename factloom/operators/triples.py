@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import dims
-from factloom.functions import quantity, text
+from factloom.functions import quantity, text, validity
 
 SPO = ("subject", "relation", "object")
 
@@ -68,12 +68,27 @@ def plausible_subject(c: Column) -> Column:
     return F.length(c).between(2, 40) & ~starts & ~F.rlike(c, F.lit(r"[。！？!?；;]"))
 
 
-def clean_triples(df: DataFrame, relations: Sequence[str] = dims.GRAPH_RELATIONS) -> DataFrame:
+def with_faults(df: DataFrame, relations: Sequence[str] = dims.GRAPH_RELATIONS) -> DataFrame:
+    """The rows with why a load rejects them (``fault``): relation, subject, object or the words around a quantity; null if it doesn't."""
+    checked = validity.with_fault(df.withColumn("_subject_fault", validity.subject_fault(F.trim("subject"))), "_object_fault")
+    sense = quantity.semantics_allow(F.col("relation"), F.concat_ws(" ", "raw", "pattern"))
+    fault = (
+        F.when(F.coalesce(~F.col("relation").isin(*relations), F.lit(True)), "relation")
+        .when(F.col("_subject_fault").isNotNull(), F.concat(F.lit("subject "), F.col("_subject_fault")))
+        .when(F.col("_object_fault").isNotNull(), F.concat(F.lit("object "), F.col("_object_fault")))
+        .when(~sense, "context")
+    )
+    return checked.withColumn("fault", fault).drop("_subject_fault", "_object_fault")
+
+
+def clean_triples(df: DataFrame, relations: Sequence[str] = dims.GRAPH_RELATIONS, strict: bool = False) -> DataFrame:
     """Rows of known relations with a plausible subject and an object that suits the relation.
 
     Quantities need words around them that allow their reading and a positive number, other objects up to
-    60 characters; objects are normalised on the way.
+    60 characters; objects are normalised on the way. If strict, only rows without a fault (``with_faults``) stay.
     """
+    if strict:
+        df = with_faults(df, relations).where("fault is null").drop("fault")
     obj = text.object_text(F.col("object"))
     sense = quantity.semantics_allow(F.col("relation"), F.concat_ws(" ", "raw", "pattern"))
     number = text.first_number(text.scientific_text(F.col("object")))

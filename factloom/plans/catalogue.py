@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import dims
-from factloom.functions import entity, quantity, text, web
+from factloom.functions import entity, quantity, text, validity, web
 from factloom.operators import audit, evaluation, extraction, fusion, graph, pages, quality, retrieval, triples
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
 from factloom.sources.tables import append_new, fill_from, override, read, with_chunk_id
@@ -816,3 +816,170 @@ def answer_lines(spark, d):
     r = entity.route(F.col("text"))
     line = retrieval.answer_line(F.col("r.intent"), F.try_element_at("r.sources", F.lit(1)), F.col("r.sources"))
     return read(spark, d, "conversations").withColumn("r", r).select("conv_id", "turn", F.substring_index(line, "\n", 2).alias("answer"))
+
+
+# -- validation, audit statuses and ranking by whole rules ----------------------------------------------------------
+
+#: (relation, object, fault): what a load says of an object; {k} stands for the part's key.
+_OBJECTS = [
+    ("ORBITS", "太阳", None), ("ORBITS", "木星系统", "anchor"), ("ORBITS", "Sun", "unknown"), ("ORBITS", "在轨道上", "start"),
+    ("IS_A", "类地行星", None), ("IS_A", "最大的行星", "word"), ("IS_A", "第1{k}颗行星", "word"), ("IS_A", "Part {k}", "unknown"),
+    ("IS_A", "目前行星", "phrase"), ("IS_A", "行星,卫星", "comma"), ("IS_A", "认为是行星", "explains"), ("IS_A", " 。", "empty"),
+    ("LOCATED_IN", "柯伊伯带", None), ("LOCATED_IN", "同一轨道", "refused"), ("LOCATED_IN", "火星", "anchor"), ("LOCATED_IN", "星际云", None), ("LOCATED_IN", "赤道南部区域", "unknown"),
+    ("PART_OF", "木星系统", None), ("PART_OF", "太阳", "unknown"), ("PART_OF", "最大的星系", "word"), ("PART_OF", "仙女座星系", None),
+    ("HAS_ATMOSPHERE", "C O 2", None), ("HAS_ATMOSPHERE", "大气层", "refused"), ("HAS_ATMOSPHERE", "1{k}%", None), ("HAS_ATMOSPHERE", "XYZ", "unknown"),
+    ("HAS_RADIUS", "1{k} km", None), ("HAS_RADIUS", "约 1{k} km", "form"), ("HAS_RADIUS", "0.0 km", "zero"), ("HAS_RADIUS", "1{k} km (mean)", "word"),
+    ("HAS_MASS", "1{k} × 1024 kg", None), ("HAS_MASS", "1{k}e24 kg", None), ("HAS_MASS", "1{k}", "form"), ("HAS_MASS", "{k}♠ kg", "word"),
+    ("DISCOVERED_BY", "Asaph Hall", None), ("DISCOVERED_BY", "1{k}年", "dated"), ("DISCOVERED_BY", "望远镜", "word"), ("DISCOVERED_BY", "X", "length"), ("DISCOVERED_BY", "伽利略", None),
+    ("OPERATED_BY", "ESA", None), ("OPERATED_BY", "NASA", "unknown"),
+    ("HAS_MISSION_TARGET", "彗星", None), ("HAS_MISSION_TARGET", "谷神星", None), ("HAS_MISSION_TARGET", "Saturn", "unknown"), ("LIKES", "{k}", None),
+]
+
+
+def _values(rows) -> str:
+    """The rows as SQL values, with their place."""
+    sql = lambda x: "null" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(sql, (i, *r))) + ")" for i, r in enumerate(rows))
+
+
+def _case_rows(spark, d, rows, schema):
+    """Every part with the row of its key's remainder; {k} in strings becomes the key."""
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i bigint, {schema}")
+    keyed = read(spark, d, "part").select("p_partkey", F.pmod("p_partkey", F.lit(len(rows))).cast("long").alias("i"))
+    met = keyed.join(F.broadcast(cases), "i").drop("i")
+    return met.withColumns({c: F.replace(c, F.lit("{k}"), F.col("p_partkey").cast("string")) for c, t in met.dtypes if t == "string"})
+
+
+@query(f"select p_partkey, relation, replace(object, '{{k}}', p_partkey::varchar) as object, fault from part join (values {_values(_OBJECTS)}) t(i, relation, object, fault) on i = p_partkey % {len(_OBJECTS)}")
+def kg_object_faults(spark, d):
+    """What each relation's rule says of objects; every relation and every kind of fault comes up."""
+    rows = _case_rows(spark, d, _OBJECTS, "relation string, object string, expected string").drop("expected")
+    return validity.with_fault(rows)
+
+
+#: (subject, relation, object, words around, fault): what a load says of a whole fact.
+_FACTS = [
+    ("Part {k}", "IS_A", "行星", "", None), ("x", "IS_A", "行星", "", "subject length"), ("由{k}", "IS_A", "行星", "", "subject start"), ("a#{k}", "IS_A", "行星", "", "subject sign"),
+    ("Part, {k}", "IS_A", "行星", "", "subject comma"), ("Part {k}", "LIKES", "行星", "", "relation"), ("Part {k}", "HAS_RADIUS", "1{k} km", "mean radius", None),
+    ("Part {k}", "HAS_RADIUS", "1{k} km", "radius and diameter", "context"), ("Part {k}", "HAS_MASS", "1{k} kg", "", "context"), ("Part {k}", "HAS_MASS", "kg", "mass", "object form"),
+]
+
+
+@query(f"select coalesce(fault, 'none') as fault, count(*) as n_facts from part join (values {_values(_FACTS)}) t(i, s, r, o, w, fault) on i = p_partkey % {len(_FACTS)} group by fault")
+def kg_load_faults(spark, d):
+    rows = _case_rows(spark, d, _FACTS, "subject string, relation string, object string, raw string, expected string").withColumn("pattern", F.lit(""))
+    return triples.with_faults(rows).groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n_facts"))
+
+
+#: (relation, objects by source "source=object=words around=origin" joined by "|", statuses, statuses when refined).
+_AUDITED = [
+    ("ORBITS", "zh_wikipedia=Body {k}==api|wikidata= body  {k}==api|nasa=BODY {k}==api", "exact_match", "exact_match"),
+    ("ORBITS", "zh_wikipedia=太阳==api|wikidata=Sun==api", "source_missing,value_conflict", "source_missing,entity_alias_equivalent"),
+    ("HAS_RADIUS", "wikidata=1{k}000 m==api|nasa=1{k} km==api", "source_missing,unit_equivalent", "source_missing,unit_equivalent"),
+    ("HAS_RADIUS", "wikidata=9 km==api|wikidata=1{k} km==api|nasa=1{k} km==api", "source_missing,unit_equivalent", "source_missing,unit_equivalent"),
+    ("HAS_ATMOSPHERE", "zh_wikipedia=二氧化碳、氮气==api|nasa=N2; CO2==api", "source_missing,normalized_equivalent", "source_missing,normalized_equivalent"),
+    ("HAS_ATMOSPHERE", "zh_wikipedia=CO2==api|nasa=N2; CO2==api", "source_missing,synonym_equivalent", "source_missing,synonym_equivalent"),
+    ("HAS_RADIUS", "zh_wikipedia=10 km==api|nasa=2{k} km==api|wikidata=2{k}9 km==api", "likely_zhwiki_extraction_error", "likely_zhwiki_extraction_error"),
+    ("HAS_RADIUS", "wikidata=1050 km=equatorial radius=api|nasa=1000 km=mean radius=api", "source_missing,value_conflict", "source_missing,same_quantity_different_measurement_kind,radius_kind_mismatch"),
+    ("HAS_MASS", "wikidata=5 Q99==api|nasa=5 kg==api", "source_missing,value_conflict", "source_missing,mass_reference_mismatch"),
+    ("HAS_RADIUS", "wikidata=100 km==api|nasa=300 km==api", "source_missing,value_conflict", "source_missing,value_conflict"),
+    ("PART_OF", "nasa=Body {k}==api", "source_missing", "source_missing"),
+    ("PART_OF", "wikidata=Body {k}== |nasa=Body {k}==api", "source_missing,insufficient_metadata,exact_match", "source_missing,insufficient_metadata,exact_match"),
+]
+
+
+def _audited(spark, d, refined):
+    rows = _case_rows(spark, d, _AUDITED, "relation string, given string, plain string, fine string")
+    part = F.split(F.col("one"), "=")
+    facts = rows.select(F.concat(F.lit("P"), F.col("p_partkey")).alias("subject"), "relation", F.explode(F.split("given", r"\|")).alias("one")).select(
+        "subject", "relation", part[1].alias("object"), part[0].alias("source_name"), part[2].alias("raw"), part[3].alias("origin"),
+        *(F.lit("x").alias(c) for c in ("source", "source_role", "schema_version", "source_title")),
+    )
+    found = audit.statuses(facts, ("zh_wikipedia", "wikidata", "nasa"), entity.alias_table(spark), refined=refined)
+    return found.select("subject", "relation", "n_sources", F.array_join("statuses", ",").alias("statuses"))
+
+
+def _audited_sql(column):
+    return f"select concat('P', p_partkey) as subject, relation, cast(len(list_distinct(list_transform(string_split(given, '|'), lambda x: split_part(x, '=', 1)))) as int) as n_sources, {column} as statuses from part join (values {_values(_AUDITED)}) t(i, relation, given, plain, fine) on i = p_partkey % {len(_AUDITED)}"
+
+
+@query(_audited_sql("plain"))
+def audit_statuses(spark, d):
+    """All statuses of a key by values alone."""
+    return _audited(spark, d, False)
+
+
+@query(_audited_sql("fine"))
+def audit_statuses_refined(spark, d):
+    """All statuses of a key by values, entities, kinds of radius and references of mass; every status comes up."""
+    return _audited(spark, d, True)
+
+
+_SEARCHES = [("src3",), ("the tion",), ("heit ung",)]
+
+
+@query(f"""with s as (select q, doc_id, case when source = q then 1000 when source <> '' and (contains(source, q) or contains(q, source)) then 300 else 0 end + case when contains(text, q) then 10 else 0 end
++ len(list_filter(list_distinct(string_split(q, '')), lambda c: trim(c) <> '' and contains(text, c))) as points from documents cross join (values {_values(_SEARCHES)}) t(i, q) where text <> '')
+select q, doc_id, cast(points as bigint) as points, cast(r as int) as rank from (select *, row_number() over (partition by q order by points desc, doc_id) as r from s) where r <= 20""")
+def text_fallback_topk(spark, d):
+    """The best documents for stated searches by the plain score that needs no index."""
+    qs = spark.createDataFrame(_SEARCHES, "q string")
+    docs = read(spark, d, "documents").where("text != ''").select("doc_id", "text", "source").crossJoin(F.broadcast(qs))
+    scored = docs.select("q", "doc_id", retrieval.fallback_score(F.col("q"), F.col("text"), F.col("source")).cast("long").alias("points"))
+    return retrieval.top_per(scored, ["q"], [F.desc("points"), F.col("doc_id")], 20)
+
+
+@query("""with qs as (select * from (values (1, '为什么 src3', 'src3', 'the'), (2, '成分', '', 'tion'), (3, '', 'rc0', 'que')) t(query_id, question, entity, term)),
+d as (select doc_id, source, lang, case when doc_id % 3 = 0 then concat(text, ' 因为 100%') else text end as text from documents),
+s as (select query_id, doc_id, entity, 4 + case when entity = '' then 0 when source = entity then 120 when contains(source, entity) then 70 when contains(text, entity) then 30 else -95 end + case when contains(text, term) then 12 else 0 end
++ case when entity <> '' and contains(text, entity) then 14 else 0 end + case when contains(question, '为什么') and contains(text, '因为') then 12 else 0 end + case when contains(question, '成分') and contains(text, '%') then 14 else 0 end as points from d cross join qs)
+select query_id, doc_id, cast(points as double) as points, least(1.0, greatest(0.0, points / 180.0)) as score, cast(r as int) as rank from (select *, row_number() over (partition by query_id order by points desc, doc_id) as r from s where points >= case when entity <> '' then 70 else 35 end) where r <= 10""")
+def narrative_top_ranked(spark, d):
+    """Chunks above the threshold, with cues of the question, and scores within 0 and 1."""
+    qs = spark.createDataFrame([(1, "为什么 src3", "src3", ["the"]), (2, "成分", "", ["tion"]), (3, "", "rc0", ["que"])], "query_id int, question string, entity string, terms array<string>")
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" 因为 100%"))).otherwise(F.col("text"))
+    docs = read(spark, d, "documents").select("doc_id", content.alias("text"), "source").crossJoin(F.broadcast(qs))
+    entities = F.filter(F.array("entity"), lambda e: e != "")
+    points = retrieval.narrative_score(F.col("source"), F.lit(""), F.col("text"), F.array().cast("array<string>"), F.col("entity"), entities, F.col("terms"), F.lit(0.1)) + retrieval.cue_score(F.col("question"), F.col("text"))
+    scored = docs.select("query_id", "doc_id", "entity", points.cast("double").alias("points"))
+    return retrieval.narrative_top(scored, ["query_id"], F.col("entity") != "", [F.col("doc_id")], 10).select("query_id", "doc_id", "points", "score", "rank")
+
+
+@query(_E + """select subject, object, ordinal, case when starts_with(concat(object, ' of ', source_name), subject) then 45 else 0 end + case when contains(subject, object) then 18 else 0 end + case when contains(subject, 'Customer') then 12 else 0 end
++ case when contains(concat(object, ' Customer'), object) then 10 else 0 end + case when contains(concat(object, ' Customer'), 'Customer') then 8 else 0 end as points from edges where relation in ('LOCATED_IN', 'PART_OF')""")
+def kg_provenance_points(spark, d):
+    """Points for entities in a fact's title and raw text, and for a question that begins with its subject."""
+    e = edges(spark, d).where("relation in ('LOCATED_IN', 'PART_OF')")
+    points = retrieval.provenance_score(F.col("subject"), F.concat("object", F.lit(" Customer")), F.array(F.col("object"), F.lit("Customer"), F.lit("")), F.col("object"))
+    return e.select("subject", "object", "ordinal", (points + retrieval.start_score(F.concat_ws(" of ", "object", "source_name"), F.col("subject"))).alias("points"))
+
+
+@query(r"""select conv_id, turn, array_to_string(list_slice(list_filter(kept, lambda x, i: list_position(kept, x) = i), 1, 8), '|') as terms from
+(select conv_id, turn, list_filter(regexp_extract_all(trim(regexp_replace(replace(concat('火星 的 大气_', text), '_', ' '), '\s+', ' ', 'g')), '[A-Za-z]+(?: [A-Za-z0-9]+)*|[一-鿿]+'), lambda x: x <> '' and x <> 'To' and x <> '火星' and (length(x) > 1 or regexp_matches(x, '[A-Za-z0-9]'))) as kept from conversations)""")
+def text_topic_terms(spark, d):
+    """Segments of every turn that name no entity, the first eight."""
+    asked = F.concat(F.lit("火星 的 大气_"), F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(entity.topic_terms(entity.segments(asked, ("To",)), F.array(F.lit("火星"))), "|").alias("terms"))
+
+
+@query("""select p_partkey as id, case when ok is null then 'not_observed' when ok then 'resolved' else 'open' end as status, ok is not null as observed
+from part left join (select l_partkey, bool_and(l_returnflag <> 'A') as ok from lineitem where l_linenumber > 5 group by l_partkey) on l_partkey = p_partkey""")
+def eval_known_issues(spark, d):
+    runs = read(spark, d, "lineitem").where("l_linenumber > 5").select(F.col("l_partkey").alias("id"), (F.col("l_returnflag") != "A").alias("consistency_match"))
+    return evaluation.known_issues(read(spark, d, "part").select(F.col("p_partkey").alias("id")), runs)
+
+
+@query(_E + """, f as (select source_name, relation as file, 1 as t, 0 as n from edges union all select source, lang, 0, 1 from documents)
+select source_name, cast(sum(t) as bigint) as total_triples, cast(sum(n) as bigint) as total_narratives, count(distinct file) as total_files from f group by source_name""")
+def ingest_load_summary(spark, d):
+    facts = edges(spark, d).select("source_name", F.col("relation").alias("file"))
+    return evaluation.load_summary(facts, read(spark, d, "documents").select(F.col("source").alias("source_name"), F.col("lang").alias("file")), "file")
+
+
+@query("""select page_id, not regexp_matches(name, '^(User|Talk)') and name <> 'index' as is_article, length(name) between 2 and 50 and not contains(name, '%') and not regexp_matches(name, '^List') and (contains(name, 'the') or regexp_matches(url, 'moon|planet')) as is_topic
+from (select page_id, url, case page_id % 5 when 0 then 'User:x' when 1 then 'Talk' when 2 then 'index' when 3 then concat('List of ', url) else split_part(url, '/', 4) || ' the ' || split_part(url, '/', 5) end as name from pages)""")
+def ingest_page_filters(spark, d):
+    """Which pages' names are articles', and which belong to the topic."""
+    k, at = F.col("page_id") % 5, lambda i: F.split_part("url", F.lit("/"), F.lit(i))
+    name = F.when(k == 0, "User:x").when(k == 1, "Talk").when(k == 2, "index").when(k == 3, F.concat(F.lit("List of "), F.col("url"))).otherwise(F.concat_ws(" the ", at(4), at(5)))
+    return read(spark, d, "pages").withColumn("name", name).select("page_id", web.article_file(F.col("name"), ["index"]).alias("is_article"), web.topical_title(F.col("name"), F.col("url"), ["the"], ["List"]).alias("is_topic"))
