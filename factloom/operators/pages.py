@@ -21,8 +21,7 @@ NOISE_TAGS = frozenset("script style noscript template sup nav footer aside".spl
 NOISE_CLASSES = ("reference", "navbox", "mw-editsection", "toc", "hatnote", "metadata", "sidebar", "ad")
 END_HEADINGS = ("参考", "参见", "外部链接", "延伸阅读", "注释", "References", "See also", "External links", "Further reading", "Notes")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Infobox keys of relations.
-INFOBOX_RELATIONS = {"质量": "HAS_MASS", "mass": "HAS_MASS", "半径": "HAS_RADIUS", "平均半径": "HAS_RADIUS", "mean radius": "HAS_RADIUS", "radius": "HAS_RADIUS", "大气成分": "HAS_ATMOSPHERE", "atmosphere": "HAS_ATMOSPHERE", "发现者": "DISCOVERED_BY", "discovered by": "DISCOVERED_BY", "母星": "ORBITS", "satellite of": "ORBITS", "类型": "IS_A", "type": "IS_A"}
+INFOBOX_RELATIONS = {key: relation for relation, keys in dims.INFOBOX_KEYS.items() for key in keys}
 
 
 class _Page(HTMLParser):

@@ -809,13 +809,16 @@ def ingest_fill_from_fixtures(spark, d):
     return fill_from(own, fixtures, ["id"])
 
 
-@query(f"""select conv_id, turn, concat('intent: ', i, chr(10), 'authority: ', case i when 'esa_mission' then 'esa' when 'structured_fact' then 'wikidata' when 'narrative_explanation' then 'zh_wikipedia' else 'nasa' end) as answer from (select conv_id, turn, case when {_ANY(dims.MISSION_WORDS)} then 'esa_mission'
+_ORDERS = "case i " + " ".join(f"when '{k}' then '{', '.join(v)}'" for k, v in dims.AUTHORITY_BY_INTENT.items()) + " end"
+
+
+@query(f"""select conv_id, turn, concat('intent: ', i, chr(10), 'authority: ', case i when 'esa_mission' then 'esa' when 'structured_fact' then 'wikidata' when 'narrative_explanation' then 'zh_wikipedia' else 'nasa' end, chr(10), 'sources: ', {_ORDERS}) as answer from (select conv_id, turn, case when {_ANY(dims.MISSION_WORDS)} then 'esa_mission'
 when ({_ANY(dims.NUMERIC_WORDS)}) and ({_ANY(dims.NARRATIVE_WORDS)}) then 'mixed_numeric_narrative' when {_ANY(dims.STRUCTURED_WORDS)} then 'structured_fact'
 when {_ANY(dims.NUMERIC_WORDS)} then 'numeric_fact' when {_ANY(dims.NARRATIVE_WORDS)} then 'narrative_explanation' else 'uncertain' end as i from conversations)""")
 def answer_lines(spark, d):
     r = entity.route(F.col("text"))
     line = retrieval.answer_line(F.col("r.intent"), F.try_element_at("r.sources", F.lit(1)), F.col("r.sources"))
-    return read(spark, d, "conversations").withColumn("r", r).select("conv_id", "turn", F.substring_index(line, "\n", 2).alias("answer"))
+    return read(spark, d, "conversations").withColumn("r", r).select("conv_id", "turn", line.alias("answer"))
 
 
 # -- validation, audit statuses and ranking by whole rules ----------------------------------------------------------
@@ -983,3 +986,18 @@ def ingest_page_filters(spark, d):
     k, at = F.col("page_id") % 5, lambda i: F.split_part("url", F.lit("/"), F.lit(i))
     name = F.when(k == 0, "User:x").when(k == 1, "Talk").when(k == 2, "index").when(k == 3, F.concat(F.lit("List of "), F.col("url"))).otherwise(F.concat_ws(" the ", at(4), at(5)))
     return read(spark, d, "pages").withColumn("name", name).select("page_id", web.article_file(F.col("name"), ["index"]).alias("is_article"), web.topical_title(F.col("name"), F.col("url"), ["the"], ["List"]).alias("is_topic"))
+
+
+#: (relation, object, canonical object, whether it is a number or date); {k} stands for the part's key.
+_FORMS = [
+    ("IS_A", "一颗 天然卫星。", "卫星", "no"), ("IS_A", "g型主序恒星", "G型主序星", "no"), ("IS_A", "Part {k}", "Part {k}", "no"), ("LOCATED_IN", "位于 小行星带之内", "小行星带", "no"), ("LOCATED_IN", "赤道区域", "赤道", "no"),
+    ("ORBITS", "著 木星", "木星", "no"), ("PART_OF", "的", None, "no"), ("HAS_ATMOSPHERE", "c o2", "CO2", "no"), ("HAS_ATMOSPHERE", "甲烷", "CH4", "no"), ("HAS_ATMOSPHERE", "1{k}", None, "yes"),
+    ("DISCOVERED_BY", "由 约翰 · 亚当斯", "约翰·亚当斯", "no"), ("HAS_MASS", "1{k}  kg", "1{k} kg", "yes"), ("HAS_RADIUS", "≈ 1{k} × 10^3 km", "≈ 1{k} × 10^3 km", "yes"), ("IS_A", "1846年9月23日", "1846年9月23日", "yes"), ("IS_A", " ", None, "no"),
+]
+
+
+@query(f"select p_partkey, relation, replace(form, '{{k}}', p_partkey::varchar) as form, number = 'yes' as is_number from part join (values {_values(_FORMS)}) t(i, relation, object, form, number) on i = p_partkey % {len(_FORMS)}")
+def norm_objects(spark, d):
+    """The strict profile's form of objects, and whether they are numbers or dates."""
+    rows = _case_rows(spark, d, _FORMS, "relation string, object string, expected string, number string")
+    return rows.select("p_partkey", "relation", validity.canonical_object(F.col("relation"), F.col("object")).alias("form"), validity.stated_number(F.col("object")).alias("is_number"))
