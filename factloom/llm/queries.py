@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import ctw, decontaminate, html, langid, matroska, packing, quality, simhash, substring, toxicity
+from factloom.llm import alignment, ctw, decontaminate, html, langid, matroska, packing, quality, simhash, substring, topk, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality": quality.op10_quality,
+        "op11_topk": topk.op11_topk,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": substring.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_substring": substring.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op11_topk": topk.ORACLE_SQL}

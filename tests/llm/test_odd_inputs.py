@@ -6,6 +6,14 @@ from factloom.llm import queries
 
 CLASH = "score string, fp string, n_words string, kept string, label string, bin string, k1 string, spans string, piece string, length string, sequence_id string, media string, payload string, host string, own string, salt string, text_lang string, block string, word string, n_hit string, contaminated string, rank string, train string, held_out string, `_rest` string, `_rank` string, seq string, at string, kind string, key string, room string, row string, salts string, shard string, `_block` string"
 N = CLASH.count("string")
+VECTOR_CLASH = "id string, x string, v string, q string, own string, `at` string, mine string, score string, query_id string, copies string, component string, n string, deviation string, `rank` string"
+_E = ("x",) * VECTOR_CLASH.count("string")
+_NAN, _INF = float("nan"), float("inf")
+#: 12 take part; (0, [1, 0]) stands there twice, the hot vector four times.
+VECTORS = [
+    (0, [1.0, 0.0], *_E), (0, [1.0, 0.0], *_E), (0, [0.5, 0.5], *_E), (100, [0.25, -0.5], *_E), (1, [1.0], *_E), (2, [], *_E), (3, [1e30, -1e30], *_E), (None, [1.0, 1.0], *_E),
+    *[(7, [0.5, 0.5], *_E)] * 4, (200, None, *_E), (4, [1.0, None], *_E), (5, [_NAN, 1.0], *_E), (6, [1.0, _INF], *_E), (None, None, *_E),
+]
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +34,7 @@ def folders(spark, tmp_path_factory):
         "documents": (docs, schema),
         "labels": ([(1, 1, 0), (2, 1, 1), (5, 0, 0), (9, 1, 0), (9, 0, 1), (None, None, None), (7, None, 1)], "doc_id long, quality int, toxic int"),
         "benchmark": ([(1, "plain words in a"), (None, "the same row again and again"), (2, None), (3, ""), (3, "row again")], "item_id long, text string"),
+        "embeddings": (VECTORS, f"vec_id long, embedding array<float>, {VECTOR_CLASH}"),
         "pages": (pages, f"page_id long, url string, html string, {CLASH}"),
     }
     for name, (rows, ddl) in tables.items():
@@ -40,7 +49,11 @@ def test_queries(spark, folders, name):
     top, n_docs, n_pages = folders
     f = queries.queries()[name]
     rows = f(spark, f"{top}/full").collect()
-    if name.startswith("op5"):
+    if name.startswith("op11"):
+        assert len(rows) == 4 * 10 and {r.query_id for r in rows} == {0, 100}
+    elif name.startswith("op13"):
+        assert len(rows) == 12 * 2 and {r.component for r in rows} == {1, 2}
+    elif name.startswith("op5"):
         assert len({(r.doc_id, r.piece) for r in rows}) < len(rows) and sum(r.piece == 0 for r in rows) == n_docs
     else:
         assert len(rows) == (n_pages if name.startswith(("op3", "op4")) else n_docs)
