@@ -93,10 +93,14 @@ def stated_kind(context: Column) -> Column:
     return out
 
 
+def plain(question: Column) -> Column:
+    """Underscores as blanks, one blank at a time, none around."""
+    return F.trim(F.regexp_replace(F.replace(F.coalesce(question, F.lit("")), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
+
+
 def segments(question: Column, stop: Sequence[str] = ()) -> Column:
     """Runs of Latin words (digits may follow) and of Han characters, in their order; without stop words and single Han characters."""
-    plain = F.trim(F.regexp_replace(F.replace(F.coalesce(question, F.lit("")), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
-    found = F.regexp_extract_all(plain, F.lit(r"([A-Za-z]+(?: [A-Za-z0-9]+)*|[\x{4e00}-\x{9fff}]+)"))
+    found = F.regexp_extract_all(plain(question), F.lit(r"([A-Za-z]+(?: [A-Za-z0-9]+)*|[\x{4e00}-\x{9fff}]+)"))
     return F.filter(found, lambda t: ~t.isin(*stop, "") & ((F.length(t) > 1) | F.rlike(t, F.lit("[A-Za-z0-9]"))))
 
 
@@ -122,18 +126,26 @@ def route(question: Column) -> Column:
     return F.struct(intent.alias("intent"), F.try_element_at(orders, intent).alias("sources"))
 
 
+def topic_intents(question: Column, entities: Column) -> Column:
+    """What a question implies: why the Sun shines, that something does not exist, a diameter."""
+    sun = F.contains(question, F.lit(dims.SUN)) | F.array_contains(entities, dims.SUN)
+    asked = [
+        (sun & text.contains_any(question, dims.LUMINOSITY_WORDS), "solar_luminosity"),
+        (text.contains_any(question, dims.ABSENCE_WORDS), "negative_absence"),
+        (text.contains_any(question, dims.DIAMETER_WORDS), "diameter"),
+    ]
+    return F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in asked)))
+
+
 def relation_hints(question: Column) -> Column:
-    """Relations that a question asks for, in the order of the rules."""
+    """Relations that a question asks for, each once, in the order of the rules."""
     low = F.lower(F.coalesce(question, F.lit("")))
-    has = lambda *w: text.contains_any(low, w)
+    hint = {relation: text.contains_any(low, words) for relation, words in dims.HINT_WORDS.items()}
+    within = F.rlike(low, F.lit("在.+中|位于.+内")) & ~F.contains(low, F.lit(dims.IN_DATA))
+    size = text.contains_any(low, dims.SIZE_WORDS)
     rules = [
-        (has("绕", "轨道", "orbit"), "ORBITS"),
-        (has("发现", "discover"), "DISCOVERED_BY"),
-        (has("大气", "atmosphere"), "HAS_ATMOSPHERE"),
-        (has("位于", "located"), "LOCATED_IN"),
-        (has("属于", "part of"), "PART_OF"),
-        (has("半径", "直径", "radius", "diameter", "多大", "how big"), "HAS_RADIUS"),
-        (has("质量", "mass", "多大", "how big"), "HAS_MASS"),
-        (has("类型", "是什么", "what is", "type"), "IS_A"),
-    ]
-    return F.array_compact(F.array(*(F.when(c, r) for c, r in rules)))
+        (hint["ORBITS"], "ORBITS"), (F.contains(low, F.lit("发现")) & text.contains_any(low, dims.BY_WHOM) | hint["DISCOVERED_BY"], "DISCOVERED_BY"), (hint["HAS_ATMOSPHERE"], "HAS_ATMOSPHERE"),
+        (hint["LOCATED_IN"] | within, "LOCATED_IN"), (hint["PART_OF"], "PART_OF"), (hint["HAS_RADIUS"] | text.contains_any(low, dims.DIAMETER_WORDS), "HAS_RADIUS"), (hint["HAS_MASS"], "HAS_MASS"),
+        (size, "HAS_RADIUS"), (size, "HAS_MASS"), (hint["IS_A"], "IS_A"),
+    ]
+    return F.array_distinct(F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in rules))))

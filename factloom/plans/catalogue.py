@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import entity, quantity, text, validity, web
-from factloom.operators import audit, evaluation, extraction, fusion, graph, pages, quality, retrieval, triples
+from factloom.operators import audit, evaluation, extraction, fusion, graph, pages, quality, retrieval, terms, triples
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
 from factloom.sources.tables import append_new, fill_from, override, read, with_chunk_id
 from factloom.streaming import incremental
@@ -415,6 +415,51 @@ def text_entity_context(spark, d):
     return found.select("conv_id", "turn", F.array_join("entities", ",").alias("entities"), F.coalesce("primary_entity", F.lit("")).alias("primary_entity"))
 
 
+_CONTEXT_ASKED = ("", " 太阳为什么发光", " 火星_的卫星由谁发现 它", " 虚构的 有多大", " 直径 质量 在哪里", " 属于什么系统 类型 大气", " 数据集中在外中 质量有多大", " a large 半径")
+_PLAIN_SQL = "trim(regexp_replace(replace({0}, '_', ' '), '\\s+', ' ', 'g'))"
+_COMPACT_SQL = "regexp_replace(replace(replace(lower({0}), '的', ''), '之', ''), '[^\\p{{Han}}a-z0-9]', '', 'g')"
+_HAS = lambda words, c="lower(query)": "(" + " or ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_IF = lambda c, *names: f"case when {c} then {_LIST(names)} else [] end"
+_H = {r: _HAS(w) for r, w in dims.HINT_WORDS.items()}
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_HINTS = " || ".join((_IF(_H["ORBITS"], "ORBITS"), _IF(f"({_HAS(['发现'])} and {_HAS(dims.BY_WHOM)} or {_H['DISCOVERED_BY']})", "DISCOVERED_BY"), _IF(_H["HAS_ATMOSPHERE"], "HAS_ATMOSPHERE"),
+    _IF(f"({_H['LOCATED_IN']} or regexp_matches(query, '在.+中|位于.+内') and not contains(query, '{dims.IN_DATA}'))", "LOCATED_IN"), _IF(_H["PART_OF"], "PART_OF"), _IF(f"({_H['HAS_RADIUS']} or {_HAS(dims.DIAMETER_WORDS)})", "HAS_RADIUS"),
+    _IF(_H["HAS_MASS"], "HAS_MASS"), _IF(_HAS(dims.SIZE_WORDS), "HAS_RADIUS", "HAS_MASS"), _IF(_H["IS_A"], "IS_A")))
+_SHINES = f"({_HAS([dims.SUN], 'query')} or list_contains(entities, '{dims.SUN}')) and {_HAS(dims.LUMINOSITY_WORDS, 'query')}"
+
+
+@query(f"""with titles as (select distinct w as title from (select unnest(regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '[A-Za-z]{{4,}}')) as w from pages) union select distinct 'The-' || w from (select unnest(regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '[A-Za-z]{{4,}}')) as w from pages) union select '太阳' union select '火星的卫星'),
+aliases as (select lower(split_part(text, ' ', 1)) as alias, 'item ' || item_id as canonical, item_id as ordinal from benchmark),
+q as (select conv_id, turn, {_PLAIN_SQL.format(f"concat(coalesce(text, ''), case (turn + length(text)) % {len(_CONTEXT_ASKED)} " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(_CONTEXT_ASKED)) + " end)")} as query from conversations),
+met as (select conv_id, turn, 1 as step, -length(title) as place, title as entity from q join titles on contains(query, title) or (length({_COMPACT_SQL.format("title")}) > 0 and contains({_COMPACT_SQL.format("query")}, {_COMPACT_SQL.format("title")}))
+union all select conv_id, turn, 0, ordinal, canonical from q join aliases on contains(lower(query), alias)),
+e as (select conv_id, turn, list(entity order by step, place, entity) as entities from (select conv_id, turn, entity, min(step) as step, min(place) as place from met group by all) group by all),
+c as (select conv_id, turn, query, coalesce(entities, []) as entities, list_filter(regexp_extract_all(query, '[A-Za-z]+(?: [A-Za-z0-9]+)*|[一-鿿]+'), lambda x: x <> '' and not list_contains({_LIST(dims.QUESTION_STOP)}, x) and (length(x) > 1 or regexp_matches(x, '[A-Za-z0-9]'))) as segments from q left join e using (conv_id, turn)),
+t as (select *, list_filter({_LIST(dims.TOPIC_WORDS)}, lambda w: contains(query, w)) || case when {_SHINES} then {_LIST(dims.LUMINOSITY_TOPICS)} else [] end
+|| list_filter(segments, lambda x: not list_contains(list_transform(entities, lambda e: {_COMPACT_SQL.format("e")}), {_COMPACT_SQL.format("x")}) and not list_contains({_LIST(dims.PRONOUNS)}, x)) as topics, {_HINTS} as hints from c)
+select conv_id, turn, array_to_string(entities, '|') as entities, coalesce(entities[1], '') as primary_entity, array_to_string(segments, '|') as segments, array_to_string(list_slice({_ONCE.format("topics")}, 1, 8), '|') as topic_terms,
+array_to_string({_IF(_SHINES, "solar_luminosity")} || {_IF(_HAS(dims.ABSENCE_WORDS, "query"), "negative_absence")} || {_IF(_HAS(dims.DIAMETER_WORDS, "query"), "diameter")}, '|') as topic_intents, array_to_string({_ONCE.format("hints")}, '|') as relation_hints from t""")
+def text_query_context(spark, d):
+    """The whole context of every turn, with questions added to some: aliases from the benchmark, titles (plain and to be met compactly) from the pages."""
+    asked = F.element_at(F.array(*map(F.lit, _CONTEXT_ASKED)), F.pmod(F.col("turn") + F.length("text"), F.lit(len(_CONTEXT_ASKED))).cast("int") + 1)
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.coalesce(asked, F.lit(""))).alias("text"))
+    words = read(spark, d, "pages").select(F.explode(F.regexp_extract_all(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit("([A-Za-z]{4,})"))).alias("term")).distinct()
+    titles = words.unionByName(words.select(F.concat(F.lit("The-"), "term").alias("term"))).unionByName(spark.createDataFrame([("太阳",), ("火星的卫星",)], "term string"))
+    aliases = read(spark, d, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("alias"), F.concat(F.lit("item "), "item_id").alias("canonical"), F.col("item_id").alias("ordinal"))
+    found = retrieval.query_context(turns, titles, "text", ["conv_id", "turn"], aliases=aliases)
+    lists = ("entities", "segments", "topic_terms", "topic_intents", "relation_hints")
+    return found.select("conv_id", "turn", "primary_entity", *(F.array_join(c, "|").alias(c) for c in lists))
+
+
+@query()
+def text_word_lattice(spark, d):
+    """Documents written without blanks, divided into words again by the likeliest path over the corpus's words and their counts."""
+    docs = read(spark, d, "documents")
+    words = terms.word_counts(docs, "text", r"\p{L}+").where("n >= 3")
+    return terms.divided(docs.select("doc_id", F.regexp_replace("text", r"\s+", "").alias("run")), ["doc_id"], "run", words).select("doc_id", F.size("words").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
 _ANY = lambda words: " or ".join(f"contains(lower(text), '{w}')" for w in words)
 
 
