@@ -56,3 +56,21 @@ def test_known_issues_and_summary(spark):
     assert got == {1: "resolved", 2: "open", 3: "not_observed"}
     t = spark.createDataFrame([("a", "f"), ("a", "f"), ("b", None)], "source_name string, file string")
     assert {tuple(r) for r in evaluation.load_summary(t, t.limit(0), "file").collect()} == {("a", 2, 0, 1), ("b", 1, 0, 0)}
+
+
+def test_quantities_and_numbers_by_their_parts(spark):
+    cases = [("3,389.5 km", None), ("1 km", None), ("1,2,3 km", None), ("12km", None), ("1.5,2 km", "form"), ("5. km", "form"), (".5 km", "form"), (",5 km", "form"), ("1.2.3 km", "form"), ("km", "form"), ("12", "form"), ("3e5 km", "form"), ("-3 km", "form"), ("0 km", "zero"), ("0.00 km", "zero"), ("9" * 39 + " km", "long"), ("", "empty"), ("2 天文单位", None)]
+    df = spark.createDataFrame(cases, "o string, f string")
+    assert [r.got for r in df.select(validity.quantity_fault(F.col("o"), ("km", "AU", "天文单位"), False).alias("got")).collect()] == [f for _, f in cases]
+    cases = [("5.97 × 10 24 kg", None), ("5.97×1024 kg", None), ("5.97e24 kg", None), ("1E-3kg", None), ("5 e24 kg", "form"), ("5 × 24 kg", "form"), ("5×10 kg", "form"), ("5 地球质量", None)]
+    df = spark.createDataFrame(cases, "o string, f string")
+    assert [r.got for r in df.select(validity.quantity_fault(F.col("o"), ("kg", "地球质量"), True).alias("got")).collect()] == [f for _, f in cases]
+    cases = [("≈ 3,389 km", True), ("1.5×10^24 kg", True), ("12-14", True), ("3/4", True), ("(5)", True), ("80%", True), ("1846", True), ("1846-9-23", True), ("1846年9月23日", True), ("1846/9", True), ("12年", False), ("1846年13月", False), ("Mars", False), ("x", False), ("kg", False), ("", False), (None, False), ("火星 2", False)]
+    df = spark.createDataFrame(cases, "o string, f boolean")
+    assert [r.got for r in df.select(validity.stated_number(F.col("o")).alias("got")).collect()] == [f for _, f in cases]
+
+
+def test_discoverers_by_what_names_are_made_of(spark):
+    cases = [("Asaph Hall", None), ("伽利略", None), ("约翰·亚当斯", None), ("威廉·赫歇尔 和 卡罗琳", None), ("由伽利略", "word"), ("他们", "word"), ("因此人", "word"), ("1846", "dated"), ("九月", "dated"), ("X", "length"), ("··", "length"), ("望远镜小组", "word"), ("éé", "sign"), ("", "empty")]
+    df = spark.createDataFrame(cases, "o string, f string")
+    assert [r.got for r in df.select(validity.discoverer_fault(F.col("o"), validity.noise(F.col("o"))).alias("got")).collect()] == [f for _, f in cases]
