@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import entity, quantity, text, validity, web
-from factloom.operators import audit, evaluation, extraction, fusion, graph, pages, quality, retrieval, terms, triples, vector_index
+from factloom.operators import audit, evaluation, extraction, fusion, graph, pages, quality, retrieval, templates, terms, triples, vector_index
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
 from factloom.sources.tables import append_new, fill_from, override, read, with_chunk_id
 from factloom.streaming import incremental
@@ -495,6 +495,53 @@ def text_rule_triples(spark, d):
     return out.select(F.col("subject").alias("doc_id"), "ordinal", "relation", "object")
 
 
+_PHRASES = [("OF", "{s:word} of {the |}{o:word}", "([A-Za-z]{2,20}) of (?:the |)([A-Za-z]{2,20})"), ("IS", "{s:word} {is|are|was} {o:word}", "([A-Za-z]{2,20}) (?:is|are|was) ([A-Za-z]{2,20})"), ("NUMBERED", "{s:word} {o:number}", r"([A-Za-z]{2,20}) (\d[\d,]*(?:\.\d+)?)")]
+
+
+@query(" union all ".join(f"select doc_id, {i} as rule, cast(k - 1 as int) as at, '{r}' as relation, a[k] as subject, b[k] as object from (select doc_id, regexp_extract_all(text, '{p}', 1) as a, regexp_extract_all(text, '{p}', 2) as b from documents), unnest(range(1, len(a) + 1)) as t(k)" for i, (r, _, p) in enumerate(_PHRASES)))
+def text_template_matches(spark, d):
+    """Templates over whole documents, all matches, in one scan."""
+    return templates.matches(read(spark, d, "documents"), "text", [templates.Template(r, form) for r, form, _ in _PHRASES], keep=["doc_id"]).drop("raw")
+
+
+#: Sentences of a page {t} about a nation {n} and a number {k}, the relation and the objects that they state (none: no fact of the page).
+_STATED = [
+    ("{t}的平均半径约为{k} km。", "HAS_RADIUS", "{k} km"), ("此外{t}质量为{k}e20 kg。", "HAS_MASS", "{k}e20 kg"), ("{t}的大气层主要由{n}、{k}% CO2组成。", "HAS_ATMOSPHERE", "{n}|CO2"), ("{t}的大气成分为{n}，后面不算。", "HAS_ATMOSPHERE", "{n}"),
+    ("{t}围绕{n}公转。", "ORBITS", "{n}"), ("{t}是{n}的天然卫星。", "ORBITS", "{n}"), ("{t}是一颗{n}矮行星。", "IS_A", "{n}矮行星"), ("{t}是{n}的组成部分。", "PART_OF", "{n}"), ("{t}属于{n}系统。", "PART_OF", "{n}系统"), ("{t}位于{n}带。", "LOCATED_IN", "{n}带"),
+    ("{t}于{k}年被{n}发现。", "DISCOVERED_BY", "{n}"), ("{t}由{n}发现。", "DISCOVERED_BY", "{n}"), ("{n}发现了{t}", "DISCOVERED_BY", "{n}"), ("{n}围绕{t}公转。", "ORBITS", None), ("{t} {n}", "IS_A", None), ("{t}也许有个名字而已。", "IS_A", None),
+]
+_SAID = [
+    ("{t}绕{n}公转，{t}绕木星公转", "围绕", "{n}"), ("{t}的半长轴为{k}.5 AU", "拥有轨道参数", "{k}.5"), ("{t}的表面温度为-{k} °C", "拥有环境特征", "-{k} °C"), ("{t}被分类为{n}卫星", "属于行星类型", "{n}卫星"), ("{t}的直径约{k} km", "拥有物理参数", "{k} km"),
+    ("{t}拥有至少{k}颗已知卫星", "拥有卫星", "{k}"), ("{t}观测了{n}", "被探测", "{n}"), ("{t}处于{n}", "位于", "{n}"), ("{t}的大气由{n}组成", "大气成分", "{n}"), ("的的拥有{k}颗卫星", "拥有卫星", "{k}"), ("（拥有{k}颗卫星", "拥有卫星", None),
+]
+
+
+def _said_rows(spark, d, forms):
+    """Every customer's page with one sentence, dealt by key."""
+    n = read(spark, d, "nation").select("n_nationkey", F.translate("n_name", "0123456789_ ", "ABCDEFGHIJ").alias("n"))
+    rows = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"title": F.replace("c_name", F.lit("#"), F.lit("-")), "k": (F.col("c_custkey") + 1000).cast("string")})
+    form = F.element_at(F.array(*(F.lit(f[0]) for f in forms)), (F.col("c_custkey") % len(forms) + 1).cast("int"))
+    return rows.select("c_custkey", "title", F.replace(F.replace(F.replace(form, F.lit("{t}"), F.col("title")), F.lit("{n}"), F.col("n")), F.lit("{k}"), F.col("k")).alias("sentence"))
+
+
+def _said_sql(forms) -> str:
+    rows = ", ".join(f"({i}, '{r}', " + ("null" if o is None else f"'{o}'") + ")" for i, (_, r, o) in enumerate(forms))
+    return f"select c_custkey, relation, replace(c_name, '#', '-') as subject, replace(replace(unnest(string_split(object, '|')), '{{n}}', translate(n_name, '0123456789_ ', 'ABCDEFGHIJ')), '{{k}}', (c_custkey + 1000)::varchar) as object from customer join nation on n_nationkey = c_nationkey join (values {rows}) f(i, relation, object) on i = c_custkey % {len(forms)} where object is not null"
+
+
+@query(f"select relation, subject, object from ({_said_sql(_STATED)})")
+def text_page_facts(spark, d):
+    """What templates find in sentences of pages about customers; other subjects, short and idle sentences give nothing."""
+    return templates.page_facts(_said_rows(spark, d, _STATED), "title", "sentence", "c_custkey").select("relation", "subject", "object")
+
+
+@query(f"select c_custkey, relation, case when i = 9 then '的的' else subject end as subject, object from (select x.*, c_custkey % {len(_SAID)} as i from ({_said_sql(_SAID)}) x)")
+def text_sentence_facts(spark, d):
+    """The older relations: each template's first match in a sentence, names judged by what they are made of."""
+    found = templates.sentence_facts(_said_rows(spark, d, _SAID), ["c_custkey"], "sentence")
+    return found.select("c_custkey", "relation", "subject", "object")
+
+
 @query(r"""select doc_id, 'FIRST_PHONE' as relation, regexp_extract(text, '(\+1 \(\d{3}\) \d{3}-\d{4})', 1) as object from documents where regexp_matches(text, '\+1 \(\d{3}\) \d{3}-\d{4}')""")
 def text_first_hits(spark, d):
     out = extraction.first_hit_facts(read(spark, d, "documents"), "doc_id", "text", [("FIRST_PHONE", r"(\+1 \(\d{3}\) \d{3}-\d{4})")])
