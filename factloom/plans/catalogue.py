@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import entity, quantity, text, validity, web
-from factloom.operators import audit, evaluation, extraction, fusion, graph, pages, quality, retrieval, templates, terms, triples, vector_index
+from factloom.operators import audit, evaluation, extraction, fusion, graph, markup, pages, quality, retrieval, templates, terms, triples, vector_index
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
 from factloom.sources.tables import append_new, fill_from, override, read, with_chunk_id
 from factloom.streaming import incremental
@@ -542,6 +542,28 @@ def text_sentence_facts(spark, d):
     return found.select("c_custkey", "relation", "subject", "object")
 
 
+def _marked(spark, d):
+    """Every document as a page of markup: an infobox with nested templates and links, and its text as a section of one of three kinds."""
+    docs = read(spark, d, "documents")
+    title = F.element_at(F.array(*map(F.lit, ("", "历史", "物理特征", "参考来源"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    box = F.format_string("{{Infobox body\n| 语言 = [[%s|{{lang|x}} label]]{{note|{{deep|[[a|b]]}}}}\n| 来源地 = <b>%s</b><ref name=\"r\">a|b = c</ref>\n| 长度 = {{convert|1}} %s km<!-- x -->\n| 名称 = no\n| 空 = {{empty}}\n}}\n", "lang", "source", F.col("n_chars").cast("string"))
+    body = F.concat(F.when(title != "", F.concat(F.lit("\n\n"), title, F.lit("\n\n"))).otherwise(F.lit("")), "text", F.lit("[12]<br/>{{cite|{{a}}|[[b]]}} [[End|of]]"))
+    return markup.parsed(docs.select("doc_id", F.concat(box, body).alias("marked")), "marked", ["doc_id"])
+
+
+@query("select doc_id as subject, '拥有' || key as relation, value as object from (select doc_id, unnest(['语言', '来源地', '长度']) as key, unnest([lang, source, n_chars || ' km']) as value from documents) where value is not null")
+def markup_infobox_facts(spark, d):
+    """Facts of infoboxes whose values are wrapped in nested templates, links, tags and references."""
+    return markup.infobox_facts(_marked(spark, d), "doc_id").select("subject", "relation", "object")
+
+
+@query(r"""select doc_id, cast(0 as int) as section_no, ['', '历史', '物理特征', '参考来源'][doc_id % 4 + 1] as title, body as text, case when doc_id % 4 = 1 then 'narrative' else 'factual' end as kind
+from (select doc_id, regexp_replace(trim(regexp_replace(text || ' End', '\n{3,}', chr(10) || chr(10), 'g')), ' {2,}', ' ', 'g') as body from documents) where doc_id % 4 <> 3 and length(body) >= 50""")
+def markup_sections(spark, d):
+    """Factual and narrative sections of the same pages, in plain text; other sections and those under 50 signs are left out."""
+    return markup.section_rows(_marked(spark, d), ["doc_id"])
+
+
 @query(r"""select doc_id, 'FIRST_PHONE' as relation, regexp_extract(text, '(\+1 \(\d{3}\) \d{3}-\d{4})', 1) as object from documents where regexp_matches(text, '\+1 \(\d{3}\) \d{3}-\d{4}')""")
 def text_first_hits(spark, d):
     out = extraction.first_hit_facts(read(spark, d, "documents"), "doc_id", "text", [("FIRST_PHONE", r"(\+1 \(\d{3}\) \d{3}-\d{4})")])
