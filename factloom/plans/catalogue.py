@@ -11,8 +11,8 @@ from factloom import dims
 from factloom.functions import entity, quantity, text, validity, web
 from factloom.operators import audit, evaluation, extraction, fusion, graph, markup, pages, quality, retrieval, templates, terms, triples, vector_index
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
-from factloom.sources.tables import append_new, fill_from, override, read, with_chunk_id
-from factloom.streaming import incremental
+from factloom.sources.tables import append_new, cut, fill_from, override, read, remove, scratch, with_chunk_id
+from factloom.streaming import frontier, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
@@ -597,6 +597,33 @@ def html_absolute_links(spark, d):
     return rows.select("page_id", web.absolute(F.col("url"), F.col("u")).alias("link"))
 
 
+_REACH = r"""with recursive n as (select count(*) as total from pages),
+href as (select distinct page_id as src, split_part(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)), '#', 1) as u from pages),
+p as (select page_id as node, max(case when contains(url, '/en/') then 5 else 0 end + case when contains(url, '.html') then 2 else 0 end) as score, bool_or(contains(url, '.html')) as candidate from pages where not contains(url, '//blog.') group by page_id),
+links as (select distinct src, ('0x' || substr(md5(u), 1, 8))::bigint % total as dst from href, n where u <> '' and src in (select node from p)),
+walk as (select 0::bigint as node, 0 as depth union select dst, depth + 1 from walk join links on src = node where depth < 4 and dst in (select node from p)),
+best as (select node, min(depth) as depth from walk group by node), ranked as (select *, row_number() over (order by depth, score desc, node) as r from best join p using (node))"""
+
+
+@query(_REACH + "select node, depth, score::double as score, candidate from ranked where r <= (select greatest(total // 3, 1) from n)")
+def page_discovery(spark, d):
+    """Discovery over the pages' links by a run with a third of its budget, and a second run that goes on from its table with the rest; a link leads to the page whose number its address's hash names."""
+    pages = read(spark, d, "pages")
+    n = pages.count()
+    links = pages.select(F.col("page_id").alias("src"), F.explode(web.links(F.col("html"))).alias("u")).select("src", (F.conv(F.substring(F.md5("u"), 1, 8), 16, 10).cast("bigint") % n).alias("dst")).distinct()
+    known = pages.groupBy(F.col("page_id").alias("node")).agg(F.max_by("url", web.score(F.col("url"), [("/en/", 5), (".html", 2)])).alias("url"))
+    rules = lambda budget: frontier.Rules(4, budget)
+    path = scratch(spark, "frontier")
+    for budget in (n // 9, max(n // 3, 1) - n // 9):
+        found = frontier.discover(
+            spark, path, spark.createDataFrame([(0,)], "node bigint"), links, known, rules(budget),
+            allow=lambda p: ~F.contains("url", F.lit("//blog.")), candidate=lambda p: F.contains("url", F.lit(".html")), score=lambda p: web.score(F.col("url"), [("/en/", 5), (".html", 2)]),
+        )
+    out = cut(found.select("node", "depth", "score", "candidate"))
+    remove(spark, path)
+    return out
+
+
 @query()
 def html_plain_text(spark, d):
     return read(spark, d, "pages").select("page_id", web.plain_text(F.col("html")).alias("text"))
