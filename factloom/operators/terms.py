@@ -19,7 +19,9 @@ from factloom.functions import automaton
 from factloom.sources.tables import cut
 
 #: Signs of a shard's terms; its arrays take some 40 bytes a sign at most.
-SHARD_SIGNS = 1 << 20
+SHARD_SIGNS = 1 << 22
+#: Words of a dictionary counted from a corpus.
+MOST_WORDS = 100_000
 #: Signs of texts that a task reads at a time, or one text.
 SLICE_SIGNS = 1 << 20
 
@@ -82,6 +84,11 @@ def word_counts(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dictionary(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """The ``most`` most frequent words (of equals the first by spelling): a dictionary whose size doesn't grow with the corpus that it was counted in."""
+    return counts.orderBy(F.desc("n"), "term").limit(most)
+
+
 def _divide(texts: Sequence[str | None], own: automaton.Automaton, gain: np.ndarray, least: float) -> list[list[str]]:
     """Each text's words by best paths through its runs of letters and digits."""
     between = "\u0000"  # a sign between texts that belongs to no run
