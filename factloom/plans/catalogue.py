@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import entity, quantity, text, validity, web
-from factloom.operators import audit, evaluation, extraction, fusion, graph, markup, pages, quality, retrieval, templates, terms, triples, vector_index
+from factloom.operators import audit, compare, evaluation, extraction, fusion, graph, markup, pages, quality, query_sets, retrieval, templates, terms, triples, vector_index
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
 from factloom.sources.tables import append_new, cut, fill_from, override, read, remove, scratch, with_chunk_id
 from factloom.streaming import frontier, incremental
@@ -429,7 +429,7 @@ _HINTS = " || ".join((_IF(_H["ORBITS"], "ORBITS"), _IF(f"({_HAS(['发现'])} and
 _SHINES = f"({_HAS([dims.SUN], 'query')} or list_contains(entities, '{dims.SUN}')) and {_HAS(dims.LUMINOSITY_WORDS, 'query')}"
 
 
-@query(f"""with titles as (select distinct w as title from (select unnest(regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '[A-Za-z]{{4,}}')) as w from pages) union select distinct 'The-' || w from (select unnest(regexp_extract_all(regexp_extract(html, '<title>([^<]*)', 1), '[A-Za-z]{{4,}}')) as w from pages) union select '太阳' union select '火星的卫星'),
+@query(f"""with w as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) as w from benchmark), titles as (select w as title from w union select 'The-' || w from w union select '太阳' union select '火星的卫星'),
 aliases as (select lower(split_part(text, ' ', 1)) as alias, 'item ' || item_id as canonical, item_id as ordinal from benchmark),
 q as (select conv_id, turn, {_PLAIN_SQL.format(f"concat(coalesce(text, ''), case (turn + length(text)) % {len(_CONTEXT_ASKED)} " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(_CONTEXT_ASKED)) + " end)")} as query from conversations),
 met as (select conv_id, turn, 1 as step, -length(title) as place, title as entity from q join titles on contains(query, title) or (length({_COMPACT_SQL.format("title")}) > 0 and contains({_COMPACT_SQL.format("query")}, {_COMPACT_SQL.format("title")}))
@@ -441,10 +441,10 @@ t as (select *, list_filter({_LIST(dims.TOPIC_WORDS)}, lambda w: contains(query,
 select conv_id, turn, array_to_string(entities, '|') as entities, coalesce(entities[1], '') as primary_entity, array_to_string(segments, '|') as segments, array_to_string(list_slice({_ONCE.format("topics")}, 1, 8), '|') as topic_terms,
 array_to_string({_IF(_SHINES, "solar_luminosity")} || {_IF(_HAS(dims.ABSENCE_WORDS, "query"), "negative_absence")} || {_IF(_HAS(dims.DIAMETER_WORDS, "query"), "diameter")}, '|') as topic_intents, array_to_string({_ONCE.format("hints")}, '|') as relation_hints from t""")
 def text_query_context(spark, d):
-    """The whole context of every turn, with questions added to some: aliases from the benchmark, titles (plain and to be met compactly) from the pages."""
+    """The whole context of every turn, with questions added to some: aliases and titles (plain and to be met compactly) are words of the benchmark."""
     asked = F.element_at(F.array(*map(F.lit, _CONTEXT_ASKED)), F.pmod(F.col("turn") + F.length("text"), F.lit(len(_CONTEXT_ASKED))).cast("int") + 1)
     turns = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.coalesce(asked, F.lit(""))).alias("text"))
-    words = read(spark, d, "pages").select(F.explode(F.regexp_extract_all(F.regexp_extract("html", "<title>([^<]*)", 1), F.lit("([A-Za-z]{4,})"))).alias("term")).distinct()
+    words = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"))).alias("term")).distinct()
     titles = words.unionByName(words.select(F.concat(F.lit("The-"), "term").alias("term"))).unionByName(spark.createDataFrame([("太阳",), ("火星的卫星",)], "term string"))
     aliases = read(spark, d, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("alias"), F.concat(F.lit("item "), "item_id").alias("canonical"), F.col("item_id").alias("ordinal"))
     found = retrieval.query_context(turns, titles, "text", ["conv_id", "turn"], aliases=aliases)
@@ -654,6 +654,53 @@ def url_candidate_order(spark, d):
     return retrieval.top_per(top.withColumn("_all", F.lit(0)), ["_all"], [F.desc("score"), F.length("url"), F.col("url")], 50).drop("_all")
 
 
+@query(r"""with c as (select doc_id // 10 as probe, source, m, cast(regexp_extract(m, '^[\d.]+') as double) as value, lower(regexp_extract(m, '[^\d.\s]+$')) as unit from (select doc_id, source, unnest(regexp_extract_all(concat_ws(' ', text, n_chars % 50, 'km, ', doc_id % 7, '%'), '\d+(?:\.\d+)?\s*(?:%|[A-Za-z]{1,12})')) as m from documents where source in ('src0', 'src1'))),
+s as (select probe, unit, value, sum(case when source = 'src0' then 1 else -1 end) as more from c group by all having more <> 0),
+x as (select *, last_value(case when more < 0 then value end ignore nulls) over b as lb, last_value(case when more > 0 then value end ignore nulls) over b as la, first_value(case when more < 0 then value end ignore nulls) over a as hb, first_value(case when more > 0 then value end ignore nulls) over a as ha
+from s window b as (partition by probe, unit order by value rows between unbounded preceding and 1 preceding), a as (partition by probe, unit order by value rows between 1 following and unbounded following)),
+y as (select *, case when more > 0 then lb else la end as low, case when more > 0 then hb else ha end as high from x),
+z as (select *, case when low is null then high when high is null or value - low <= high - value then low else high end as nearest from y)
+select probe, unit, value, case when more > 0 then 'src0' else 'src1' end as side, cast(abs(more) as bigint) as surplus, nearest, abs(nearest - value) / greatest(abs(nearest), abs(value)) as gap from z""")
+def compare_claims(spark, d):
+    """Quantities that two sources' documents on the same probe state differently often, each beside the other's nearest."""
+    docs = read(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("probe"), F.col("source").alias("source_name"), F.concat_ws(" ", "text", F.col("n_chars") % 50, F.lit("km, "), F.col("doc_id") % 7, F.lit("%")).alias("text"))
+    return compare.claim_divergence(docs, ["probe"], "text", "src0", "src1")
+
+
+@query("""with r as (select doc_id // 8 as probe, source, arg_min(struct_pack(t := lang, s := case when n_chars % 3 = 0 then 'a' else 'b' end, c := trim(regexp_replace(text, '[\\s\\x0b]+', ' ', 'g')), p := list_sort(list_distinct(regexp_extract_all(text, '\\d+(?:\\.\\d+)?\\s*[%％]')))), doc_id) as f from documents where source in ('src0', 'src1') group by all),
+x as (select probe, max(case when source = 'src0' then f end) as a, max(case when source = 'src1' then f end) as b from r group by probe)
+select probe, case when a is null or b is null then 'missing_on_one_side' when a.t <> b.t or a.s <> b.s then 'topic_mismatch' when a.p <> b.p then 'numeric_claim_divergence' when a.c <> b.c then 'content_variation' else 'none' end as status from x""")
+def compare_narratives(spark, d):
+    """The kind of conflict between two sources' first documents on a probe."""
+    docs = read(spark, d, "documents").select(F.floor(F.col("doc_id") / 8).alias("probe"), F.col("source").alias("source_name"), F.col("lang").alias("page_title"), F.when(F.col("n_chars") % 3 == 0, "a").otherwise("b").alias("section"), F.col("text").alias("content"), "doc_id")
+    met = compare.first_answers(docs, "probe", ["page_title", "section", "content"], "src0", "src1", "doc_id")
+    return met.select("probe", compare.narrative_status(F.col("left"), F.col("right")).alias("status"))
+
+
+_QUOTAS = {"structured": 20, "unit_normalization": 15, "conflict_case": 10, "negative": 8, "source_isolation": 6, "narrative": 12}
+_KIND = lambda kind, obj, expects: f"select source_name, '{kind}' as kind, substr(sha256(concat_ws('|', source_name, '{kind}', subject, relation, coalesce({obj}, ''))), 1, 16) as id, case relation when 'LOCATED_IN' then concat('Where is ', subject, '?') when 'HAS_MASS' then concat('Mass of ', subject) else concat(subject, ' ', relation) end as question, subject, relation, {obj} as object, cast(null as varchar) as section, {expects} as expects, 'graph' as path"
+
+
+@query(_E + f""", q as (select subject, relation, object, source_name from edges union all select concat('Part#', l_partkey), 'HAS_MASS', concat(cast(l_quantity as bigint), ' KG'), l_returnflag from lineitem),
+said as (select source_name, subject, relation, min(object) as object, min(object) <> max(object) as several from q group by all),
+rel as (select source_name, list_sort(list(distinct relation)) as all_of from said group by all), own as (select source_name, subject, list(distinct relation) as own from said group by all),
+lacking as (select source_name, subject, list_filter(all_of, lambda x: not list_contains(own, x))[1] as relation from own join rel using (source_name)),
+names as (select source_name, coalesce(lead(source_name) over (order by source_name), first_value(source_name) over (order by source_name)) as nxt from (select distinct source_name from said)),
+single as (select subject, relation, min(source_name) as source_name from said group by all having min(source_name) = max(source_name)),
+asked as (select nxt as source_name, subject, relation from single join names using (source_name) where nxt <> source_name),
+told as (select source as source_name, concat(lang, ' ', doc_id // 3) as title, min(lang) as section from documents group by all),
+c as ({_KIND("structured", "object", "true")} from said where relation <> 'HAS_MASS' union all {_KIND("unit_normalization", "replace(lower(object), ' ', '')", "true")} from said where relation = 'HAS_MASS' union all {_KIND("conflict_case", "object", "true")} from said where several
+union all {_KIND("negative", "cast(null as varchar)", "false")} from lacking where relation is not null union all {_KIND("source_isolation", "cast(null as varchar)", "false")} from asked
+union all select source_name, 'narrative', substr(sha256(concat_ws('|', source_name, 'narrative', title)), 1, 16), concat_ws(' ', title, section), title, null, null, section, true, 'fallback' from told where source_name is not null and title is not null)
+select * from (select *, cast(row_number() over (partition by source_name, kind order by md5('v2|' || id), id) as int) as place from c) where place <= case kind {" ".join(f"when '{k}' then {n}" for k, n in _QUOTAS.items())} end""")
+def eval_query_set(spark, d):
+    """Questions of six kinds for every source by quota, the least hashes of each kind."""
+    masses = read(spark, d, "lineitem").select(F.concat(F.lit("Part#"), F.col("l_partkey")).alias("subject"), F.lit("HAS_MASS").alias("relation"), F.concat(F.col("l_quantity").cast("bigint"), F.lit(" KG")).alias("object"), F.col("l_returnflag").alias("source_name"))
+    facts = edges(spark, d).select("subject", "relation", "object", "source_name").unionByName(masses)
+    chunks = read(spark, d, "documents").select(F.col("source").alias("source_name"), F.concat("lang", F.lit(" "), F.floor(F.col("doc_id") / 3)).alias("title"), F.col("lang").alias("section"))
+    return query_sets.query_set(query_sets.candidates(facts, chunks, {"LOCATED_IN": "Where is {s}?", "HAS_MASS": "Mass of {s}"}), _QUOTAS)
+
+
 # -- vectors -----------------------------------------------------------------------------------------------------
 
 
