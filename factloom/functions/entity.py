@@ -106,8 +106,10 @@ def segments(question: Column, stop: Sequence[str] = ()) -> Column:
 
 def topic_terms(terms: Column, entities: Column, most: int = 8) -> Column:
     """The first ``most`` different segments that name none of the entities, compared without signs and linking words."""
-    names = F.transform(entities, text.compact)
-    return F.slice(F.array_distinct(F.filter(terms, lambda t: ~F.coalesce(F.array_contains(names, text.compact(t)), F.lit(False)))), 1, most)
+    # The names are bound once a row; written into the filter they would be made again for every term.
+    other = lambda names: F.filter(terms, lambda t: ~F.coalesce(F.array_contains(names, text.compact(t)), F.lit(False)))
+    kept = F.element_at(F.transform(F.array(F.transform(entities, text.compact)), other), 1)
+    return F.slice(F.array_distinct(kept), 1, most)
 
 
 def route(question: Column) -> Column:
