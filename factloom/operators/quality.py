@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.streaming import snapshots
 from factloom.sources.tables import cut
 
 
@@ -100,7 +101,8 @@ def apply_changes(records: DataFrame, changes: DataFrame) -> DataFrame:
 
 def manifest(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: counts and order-free digests of both versions, to prove a change or roll it back."""
-    digest = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("subject", "relation", "object", "source_name")).alias("digest"))
+    columns = ("subject", "relation", "object", "source_name")
+    digest = lambda df: df.agg(F.count("*").alias("n"), snapshots.digest(df, columns).alias("digest"))
     b, a = digest(before), digest(after)
     return b.select(F.col("n").alias("n_before"), F.col("digest").alias("digest_before")).crossJoin(a.select(F.col("n").alias("n_after"), F.col("digest").alias("digest_after")))
 

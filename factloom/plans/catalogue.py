@@ -12,7 +12,7 @@ from factloom.functions import entity, quantity, text, validity, web
 from factloom.operators import audit, compare, evaluation, extraction, fusion, graph, markup, pages, quality, query_sets, retrieval, templates, terms, triples, vector_index
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
 from factloom.sources.tables import append_new, cut, fill_from, override, read, remove, scratch, with_chunk_id
-from factloom.streaming import frontier, incremental
+from factloom.streaming import frontier, incremental, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
@@ -809,10 +809,33 @@ def quality_apply(spark, d):
     return quality.apply_changes(_with_second(spark, d), _changes(spark, d)).select("subject", "relation", "object", "source_name", "ordinal", "changed")
 
 
-@query(_E + "select n_before, n_after from (select count(*) as n_before from edges), (select count(*) as n_after from edges where source_name <> 'geo')")
+_DIGEST = "concat(count(*), ':', coalesce(sum(('0x' || substr(md5({0}), 1, 12))::bigint), 0))"
+_SPOS = "concat_ws('|', coalesce(subject, ''), coalesce(relation, ''), coalesce(object, ''), coalesce(source_name, ''))"
+
+
+@query(_E + f"select * from (select count(*) as n_before, {_DIGEST.format(_SPOS)} as digest_before from edges), (select count(*) as n_after, {_DIGEST.format(_SPOS)} as digest_after from edges where source_name <> 'geo')")
 def quality_manifest(spark, d):
     e = edges(spark, d)
-    return quality.manifest(e, graph.drop_namespace(e, "geo")).select("n_before", "n_after")
+    return quality.manifest(e, graph.drop_namespace(e, "geo"))
+
+
+_ROW = "concat_ws('|', object, ordinal, relation, source_name, subject)"
+
+
+@query(_E + f""", changed as (select subject, relation, case when relation = 'IS_A' and starts_with(object, 'PROMO') then 'PROMO' else object end as object, source_name, ordinal from edges),
+a as (select count(*) as n, {_DIGEST.format(_ROW)} as digest from edges), b as (select count(*) as n, {_DIGEST.format(_ROW)} as digest from changed)
+select 1 as version, 'published' as note, n as n_rows, digest from a union all select 2, 'patched', n, digest from b union all select 3, 'restored 1', n, digest from a""")
+def quality_rollback(spark, d):
+    """Facts published, patched and restored: what the log says of each version. A patch that fails before its entry leaves nothing behind."""
+    path = scratch(spark, "facts")
+    snapshots.publish(spark, path, edges(spark, d), "published")
+    promo = F.when((F.col("relation") == "IS_A") & F.startswith("object", F.lit("PROMO")), "PROMO").otherwise(F.col("object"))
+    snapshots.publish(spark, path, snapshots.read(spark, path).withColumn("object", promo), "patched")
+    snapshots.restore(spark, path, 1)
+    kept = [(s.version, s.note, *snapshots._measured(snapshots.read(spark, path, s.version))) for s in snapshots.log(spark, path)]
+    assert [k[3] for k in kept] == [s.digest for s in snapshots.log(spark, path)]
+    remove(spark, path)
+    return spark.createDataFrame(kept, "version int, note string, n_rows bigint, digest string")
 
 
 @query("""select concat('x', p_partkey) as patch_id, case when greatest(b, c) >= 100 * least(b, c) then 'source_extraction_error' when abs(a - b) <= 0.01 * greatest(a, b) and abs(a - c) <= 0.01 * greatest(a, c) then 'precision_difference'
@@ -888,18 +911,15 @@ def eval_leaks(spark, d):
 @query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1")
 def ingest_incremental(spark, d):
     """Events as a file stream, upserted to the last event of each user; a second call finds nothing new."""
-    import uuid
-
-    from factloom.sources.tables import shared_dir
-
-    shared_dir(spark)
-    top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ingest-{uuid.uuid4().hex}"
+    top = scratch(spark, "ingest")
     schema = read(spark, d, "events").schema
     folder, name = (f"{d}/events.parquet", None) if incremental.is_folder(spark, f"{d}/events.parquet") else (d, "events.parquet")
-    args = (spark, folder, schema, f"{top}/target", f"{top}/checkpoint", ["user_id"], "event_id", "parquet", 8, name)
+    args = (spark, folder, schema, f"{top}/target", f"{top}/checkpoint", ["user_id"], "event_id", "parquet", snapshots.BUCKET_ROWS, name)
     incremental.load_new_files(*args)
     incremental.load_new_files(*args)
-    return spark.read.parquet(f"{top}/target").select("user_id", "event_id", "event_type", "value")
+    out = cut(snapshots.read(spark, f"{top}/target").select("user_id", "event_id", "event_type", "value"))
+    remove(spark, top)
+    return out
 
 
 @query("select cast(date_trunc('day', ts) as varchar) as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")

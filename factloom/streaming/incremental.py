@@ -8,30 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.operators.triples import first_of
+from factloom.streaming import snapshots
 
 
-def load_new_files(spark: SparkSession, folder: str, schema: T.StructType | str, target: str, checkpoint: str, keys: Sequence[str], order: str, fmt: str = "parquet", buckets: int = 8, name_glob: str | None = None) -> int:
-    """Read the files of ``folder`` (those named as ``name_glob``) that this checkpoint hasn't seen and upsert them into the table ``target``.
+def load_new_files(spark: SparkSession, folder: str, schema: T.StructType | str, target: str, checkpoint: str, keys: Sequence[str], order: str, fmt: str = "parquet", bucket_rows: int = snapshots.BUCKET_ROWS, name_glob: str | None = None) -> int:
+    """Read the files of ``folder`` (those named as ``name_glob``) that this checkpoint hasn't seen and upsert them into the keyed table ``target`` (``snapshots``).
 
-    The table is partitioned by a hash of the key, and a batch rewrites only the partitions that it touches,
-    so a batch that runs twice changes nothing. Of rows with one key the greatest ``order`` stays. Returns
-    the number of batches. Folder and checkpoint are on storage that all executors share.
+    A batch rewrites only the buckets that it touches, and one that runs twice, or again after it was killed, changes nothing.
+    Of rows with one key the greatest ``order`` stays. Returns the number of batches. Folder and checkpoint are on storage that all executors share.
     """
     done = 0
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, number: int) -> None:
         nonlocal done
         done += 1
-        rows = batch.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most ``buckets`` values
-        if exists(spark, target):
-            old = spark.read.parquet(target).where(F.col("key_bucket").isin(*touched))
-            rows = rows.unionByName(old.select(*rows.columns))
-        merged = first_of(rows, keys, order, last=True)
-        staged = f"{target}_staged"
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(target)
+        snapshots.upsert(spark, target, batch, keys, order, batch=f"{checkpoint}#{number}", bucket_rows=bucket_rows)
 
     reader = spark.readStream.schema(schema).format(fmt)
     stream = (reader if name_glob is None else reader.option("pathGlobFilter", name_glob)).load(folder)

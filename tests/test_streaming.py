@@ -1,5 +1,5 @@
 from factloom.operators import retrieval
-from factloom.streaming import incremental
+from factloom.streaming import incremental, snapshots
 
 SCHEMA = "user_id long, event_id long, event_type string, value double, ts timestamp"
 
@@ -13,7 +13,7 @@ def test_only_new_files_are_loaded(spark, tmp_path):
     args = (spark, folder, SCHEMA, target, check, ["user_id"], "event_id")
     rows(spark, 0, 1, 2, 3).coalesce(1).write.parquet(folder)
     assert incremental.load_new_files(*args) == 1 and incremental.load_new_files(*args) == 0
-    latest = lambda: {r.user_id: r.event_id for r in spark.read.parquet(target).collect()}
+    latest = lambda: {r.user_id: r.event_id for r in snapshots.read(spark, target).collect()}
     assert latest() == {0: 3, 1: 1, 2: 2}
     rows(spark, 4, 0).coalesce(1).write.mode("append").parquet(folder)
     assert incremental.load_new_files(*args) == 1
@@ -35,5 +35,5 @@ def test_large_dictionaries_find_the_same(spark):
     terms = spark.createDataFrame([(t,) for t in ("Mars", "mar", "orbit", "火星", "月球", "")], "term string")
     key = lambda df: sorted(map(str, df.collect()))
     small = retrieval.context(questions, terms, "q", ["k"])
-    assert key(small) == key(retrieval.context(questions, terms, "q", ["k"], most_terms=2))
+    assert key(small) == key(retrieval.context(questions, terms, "q", ["k"], shard_signs=2))
     assert {r.k: r.entities for r in small.collect()} == {1: ["orbit", "Mars", "mar"], 2: [], 3: [], 4: ["火星"]}
