@@ -124,7 +124,9 @@ class FactsReader(DataSourceReader):
         live = [Payload(n, p, False) for n, paths in fetched.items() for p in paths]
         return live + [Payload(n, p, True) for n, paths in stored.items() if n not in fetched for p in paths]
 
-    def read(self, partition: Payload) -> Iterator[tuple]:
+    def read(self, partition: Payload | None) -> Iterator[tuple]:
+        if partition is None:  # nothing was listed
+            return
         payload = _loaded(partition.path) or {}
         by = "offline" if partition.used_fallback else self.mode
         for title, number, place, *rest in (_triples if self.kind == "triples" else _narratives)(payload, self.properties):
