@@ -450,13 +450,29 @@ def render(html: str | None) -> str:
     return page.finish()
 
 
-_LANG = re.compile(r"<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b|<meta\b[^>]*?content-language[\"']?\s+content\s*=\s*[\"']?\s*([a-zA-Z]{2,3})\b", re.I)
+_LANG_VALUE = re.compile(r"\s*([a-zA-Z]{2,3})\b")
 
 
 def declared_language(html: str | None) -> str | None:
-    """The primary language tag of the markup: html's lang attribute, or else the content-language."""
-    m = _LANG.search(html or "")
-    return (m[1] or m[2]).lower() if m else None
+    """The primary language tag of the markup: the first start tag of html with a lang attribute, or of meta with a content-language.
+
+    Comments and the content of scripts and the like declare nothing. The page is read once, up to that tag.
+    """
+    s, at = html or "", 0
+    if not re.search("lang", s, re.I):
+        return None
+    while (m := _TOKEN.search(s, at)) is not None:
+        at = m.end()
+        tag = (m[2] or m[4] or "").lower()
+        if tag in ("html", "meta"):
+            own = {name.lower(): a or b or c for name, a, b, c in _ATTRIBUTE.findall(m[3] or m[5] or "")}
+            value = (own.get("lang") or own.get("xml:lang")) if tag == "html" else own.get("content") if (own.get("http-equiv") or own.get("name") or "").strip().lower() == "content-language" else None
+            if value and (found := _LANG_VALUE.match(value)):
+                return found[1].lower()
+        elif tag in RAW:
+            stop = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(s, at) if tag != "plaintext" else None
+            at = stop.start() if stop else len(s)
+    return None
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: list[str] | None = None, name: str = "text") -> DataFrame:

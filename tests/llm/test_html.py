@@ -195,3 +195,16 @@ def test_depth_and_width_cost_no_more_than_their_size():
     assert len(drawn) < 10 * len(rows) and drawn.count("z") == 1000
     assert len(h.render("<blockquote>x" * 3000)) < 300_000
     assert len(h.render("<table>" + "<tr><td colspan=1000>a<td>b" * 500 + "</table>")) < 500 * 600
+
+
+def test_declared_language_takes_one_reading():
+    import time
+
+    for piece in ("<html ", "<meta ", "<html lang ", "<meta content-language ", "<!-- lang", "<script>lang", '<html lang="', "<html>lang ", "lang <meta content='' "):
+        began = time.perf_counter()
+        h.declared_language(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 1, piece
+    assert h.declared_language("<!-- <html lang=fr> --><script>'<html lang=es>'</script><html lang=' DE_at'>") is None
+    assert h.declared_language("<!-- <html lang=fr> --><script>'<html lang=es>'</script><html xml:lang='DE-at'>") == "de"
+    assert h.declared_language("<meta content='pt-BR' http-equiv=Content-Language><html lang=en>") == "pt"
+    assert h.declared_language("<html><p><html lang=it>") == "it" and h.declared_language("<html lang=''><meta http-equiv='content-language' content='nl'>") == "nl"
