@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from factloom import dims
 from factloom.functions import entity, quantity, text
 from factloom.operators.quality import numbered
 from factloom.operators.triples import missing_fields
+from factloom.sources.tables import cut
 
 KEY = ("subject", "relation")
 
@@ -26,10 +26,10 @@ def by_source(records: DataFrame, value: Column | None = None) -> DataFrame:
     """
     rows = quantity.with_value(records, F.col("object"), F.col("relation"), "_value") if value is None else records.withColumn("_value", value)
     own = [*KEY, "source_name"]
-    # One pass over the records: the distinct objects of a key and source; all else comes from these.
-    distinct = rows.groupBy(*own, "object").agg(F.min("_value.normalized_value").alias("normal"), F.min_by("_value", "ordinal").alias("value"), F.min("_value.numeric_value").alias("low"), F.max("_value.numeric_value").alias("high"), F.min("ordinal").alias("ordinal"))
+    # One pass over the records: the distinct objects of a key and source, written once; all else comes from these.
+    distinct = cut(rows.groupBy(*own, "object").agg(F.min("_value.normalized_value").alias("normal"), F.min_by("_value", "ordinal").alias("value"), F.min("_value.numeric_value").alias("low"), F.max("_value.numeric_value").alias("high"), F.min("ordinal").alias("ordinal")))
     digest = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("object")).alias("x"), F.sum(F.xxhash64(F.lit(7), "object").cast("decimal(38,0)")).alias("s"))
-    per = distinct.groupBy(*own).agg(F.min_by("value", "ordinal").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("ordinal").alias("first_ordinal"), digest.alias("objects"))
+    per = cut(distinct.groupBy(*own).agg(F.min_by("value", "ordinal").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("ordinal").alias("first_ordinal"), digest.alias("objects")))
     heads = per.groupBy(*KEY).agg(F.min_by("source_name", "first_ordinal").alias("source_name"))
     theirs = distinct.join(heads, own, "left_semi").select(*KEY, "normal")
     shared = distinct.join(theirs, [*KEY, "normal"], "left_semi").select(*own).distinct().withColumn("shares", F.lit(True))
@@ -81,20 +81,30 @@ def status_v3(per_source: DataFrame, spread: float = dims.KIND_SPREAD, wild: flo
     return k.select(*KEY, "n_sources", gap.alias("rel_spread"), status.alias("status"))
 
 
-def _numbers_meet(numbers: DataFrame, heads: DataFrame, own: Sequence[str], tolerance: float) -> DataFrame:
-    """The keys' sources with a number close to one of the key's first source.
+def _token(tag: str, token: Column, place: Column | None = None) -> Column:
+    """What a value meets others by: equal tokens of a tag, and for numbers neighbouring bins."""
+    return F.struct(F.lit(tag).alias("tag"), token.alias("token"), (F.lit(0) if place is None else place).cast("bigint").alias("bin"))
 
-    Close numbers lie in one logarithmic bin or in neighbours, tiny ones in bins of the absolute tolerance, so an equi-join finds them.
-    """
-    x, tiny = F.col("number"), 1e-9 / tolerance
-    at = F.floor(F.log(F.abs(x)) / -math.log1p(-tolerance)).cast("long")
-    bins = F.array_compact(F.array(
-        F.when(x != 0, F.struct(F.signum(x).cast("int").alias("kind"), at.alias("bin"))),
-        F.when(F.abs(x) <= tiny, F.struct(F.lit(2).alias("kind"), F.floor(x / 1e-9).cast("long").alias("bin"))),
-    ))
-    binned = numbers.select(*own, "unit", "number", F.explode(bins).alias("b")).select(*own, "unit", "number", "b.kind", "b.bin")
-    base = binned.join(heads, list(own), "left_semi").select(*KEY, "unit", "kind", F.col("number").alias("other"), F.explode(F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).alias("bin")).distinct()
-    return binned.join(base, [*KEY, "unit", "kind", "bin"]).where(quantity.close(F.col("number"), F.col("other"), tolerance)).select(*own).distinct()
+
+def _number_tokens(unit: Column, x: Column, tolerance: float) -> Column:
+    """Close numbers of a unit lie in one logarithmic bin or in neighbours, tiny ones in bins of the absolute tolerance, so an equi-join finds them."""
+    kind = lambda k: F.concat_ws(" ", k.cast("string"), unit)
+    at = F.floor(F.log(F.abs(x)) / -math.log1p(-tolerance))
+    return F.array(F.when(unit.isNotNull() & (x != 0), _token("numeric", kind(F.signum(x).cast("int")), at)), F.when(unit.isNotNull() & (F.abs(x) <= 1e-9 / tolerance), _token("numeric", kind(F.lit(2)), F.floor(x / 1e-9))))
+
+
+def _meet(tokens: DataFrame, heads: DataFrame, own: Sequence[str], tolerance: float) -> DataFrame:
+    """(own, tag) of the keys' sources that share a token, or a close number, with the key's first source; all tags in one join."""
+    near = F.explode(F.when(F.col("tag") == "numeric", F.array(*(F.col("bin") + i for i in (-1, 0, 1)))).otherwise(F.array("bin")))
+    base = tokens.join(heads, list(own), "left_semi").select(*KEY, "tag", "token", F.when(F.col("tag") == "numeric", F.col("number")).alias("other"), near.alias("bin")).distinct()
+    alike = (F.col("tag") != "numeric") | quantity.close(F.col("number"), F.col("other"), tolerance)
+    return tokens.join(base, [*KEY, "tag", "token", "bin"]).where(alike).select(*own, "tag").distinct()
+
+
+def _numbers_meet(numbers: DataFrame, heads: DataFrame, own: Sequence[str], tolerance: float) -> DataFrame:
+    """The keys' sources with a number close to one of the key's first source."""
+    tokens = numbers.select(*own, "number", F.explode(F.array_compact(_number_tokens(F.col("unit"), F.col("number"), tolerance))).alias("t")).select(*own, "number", "t.*")
+    return _meet(tokens, heads, own, tolerance).select(*own)
 
 
 def statuses(records: DataFrame, universe: Sequence[str] = dims.AUDIT_SOURCES, aliases: DataFrame | None = None, suspect: str = dims.SUSPECT_SOURCE, refined: bool = True, tolerance: float = dims.AUDIT_TOLERANCE, spread: float = dims.KIND_SPREAD) -> DataFrame:
@@ -113,11 +123,12 @@ def statuses(records: DataFrame, universe: Sequence[str] = dims.AUDIT_SOURCES, a
     rows = records.withColumns({"subject": F.trim("subject"), "relation": F.trim("relation"), "object": F.coalesce("object", F.lit("")), "_kind": entity.stated_kind(context)})
     rows = missing_fields(rows.where("subject != '' and relation != '' and source_name is not null"))
     rows = quantity.with_value(rows, F.col("object"), F.col("relation"), "_value")
-    # The distinct objects of a key and source; everything else comes from these.
+    # The distinct objects of a key and source, written once; everything else comes from these.
     distinct = rows.groupBy(*own, "object").agg(F.first("_value").alias("value"), F.count("*").alias("n"), F.bool_or(~F.col("complete")).alias("broken"), F.collect_set("_kind").alias("kinds"))
     unit, number, normal = F.nullif(F.col("value.normalized_unit"), F.lit("")), F.col("value.numeric_value"), F.nullif(F.col("value.normalized_value"), F.lit(""))
     plain = F.lower(F.trim(F.regexp_replace("object", r"(?U)\s+", " ")))
     distinct = distinct.select(*own, "n", "broken", "kinds", plain.alias("plain"), unit.alias("unit"), number.alias("number"), normal.alias("normal"), F.col("value.parse_status").alias("parsed"), "object")
+    distinct = cut(distinct)
 
     km, ours = F.when(F.col("unit") == "km", F.col("number")), F.col("source_name") == suspect
     place = F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, universe)), F.col("source_name")), F.lit(0)), F.lit(len(universe) + 1)).alias("place"), F.col("source_name").alias("source_name"))
@@ -128,26 +139,20 @@ def statuses(records: DataFrame, universe: Sequence[str] = dims.AUDIT_SOURCES, a
         F.min(F.when(ours & (km > 0), km)).alias("our_low"), F.max(F.when(ours, km)).alias("our_high"), F.max(F.when(~ours, km)).alias("their_high"),
         ((F.min("unit") < F.max("unit")) | F.bool_or(F.col("parsed") == "unknown_unit")).alias("mixed"),
     )
-    keys = keys.withColumn("n_sources", F.size("have"))
+    keys = cut(keys.withColumn("n_sources", F.size("have")))
     heads = keys.where("n_sources >= 2").select(*KEY, F.col("head.source_name").alias("source_name"))
 
-    def meets(values: DataFrame, part: str) -> DataFrame:
-        base = values.join(heads, own, "left_semi").select(*KEY, part).distinct()
-        return values.join(base, [*KEY, part], "left_semi").select(*own).distinct()
-
+    own_tokens = F.array_compact(F.concat(F.array(F.when(F.col("normal").isNotNull(), _token("normal", F.col("normal")))), _number_tokens(F.col("unit"), F.col("number"), tolerance)))
+    tokens = distinct.select(*own, "number", F.explode(own_tokens).alias("t")).select(*own, "number", "t.*")
+    if refined and aliases is not None:
+        named = entity.with_entity(distinct.where(F.col("relation").isin(*dims.ENTITY_RELATIONS)).select(*own, "number", "object"), "object", aliases)
+        tokens = tokens.unionByName(named.where("canonical_id != ''").select(*own, "number", _token("alias", F.col("canonical_id")).alias("t")).select(*own, "number", "t.*"))
+    tagged = _meet(tokens, heads, own, tolerance)
     gases = distinct.where("unit = 'component_set'").groupBy(*own).agg(F.array_distinct(F.flatten(F.collect_set(F.split("normal", ";")))).alias("gases"))
     first = gases.join(heads, own, "left_semi").select(*KEY, F.col("gases").alias("first"))
     within = (F.size(F.array_except("gases", "first")) == 0) | (F.size(F.array_except("first", "gases")) == 0)
-    met = {
-        "numeric": _numbers_meet(distinct.where("number is not null and unit is not null"), heads, own, tolerance),
-        "normal": meets(distinct.where("normal is not null"), "normal"),
-        "gas": gases.join(first, list(KEY)).where(F.arrays_overlap("gases", "first") & within).select(*own),
-    }
-    if refined and aliases is not None:
-        named = entity.with_entity(distinct.where(F.col("relation").isin(*dims.ENTITY_RELATIONS)).select(*own, "object"), "object", aliases)
-        met["alias"] = meets(named.where("canonical_id != ''").select(*own, "canonical_id"), "canonical_id")
-    tagged = reduce(DataFrame.unionByName, (df.select(*own, F.lit(tag).alias("tag")) for tag, df in met.items()))
-    counts = tagged.groupBy(*KEY).agg(*(F.count_if(F.col("tag") == tag).alias(f"_{tag}") for tag in ("numeric", "normal", "gas", "alias")))
+    mixes = gases.join(first, list(KEY)).groupBy(*KEY).agg(F.count_if(F.arrays_overlap("gases", "first") & within).alias("_gas"))
+    counts = tagged.groupBy(*KEY).agg(*(F.count_if(F.col("tag") == tag).alias(f"_{tag}") for tag in ("numeric", "normal", "alias")))
     texts = distinct.select(*own, "plain").distinct().groupBy(*KEY, "plain").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.min("n").alias("_exact"))
     all_in = lambda tag: F.col(f"_{tag}") == F.col("n_sources")
 
@@ -160,7 +165,7 @@ def statuses(records: DataFrame, universe: Sequence[str] = dims.AUDIT_SOURCES, a
     verdict = verdict.when(is_radius & cut_short, "likely_zhwiki_extraction_error")
     if refined:
         verdict = verdict.when(is_radius & kinds, "same_quantity_different_measurement_kind").when(is_mass & F.col("mixed"), "mass_reference_mismatch")
-    found = keys.join(texts, list(KEY)).join(counts, list(KEY), "left").withColumn("verdict", F.when(F.col("n_sources") >= 2, verdict.otherwise("value_conflict")))
+    found = keys.join(texts, list(KEY)).join(counts, list(KEY), "left").join(mixes, list(KEY), "left").withColumn("verdict", F.when(F.col("n_sources") >= 2, verdict.otherwise("value_conflict")))
     missing = F.size(F.array_except(F.array(*map(F.lit, universe)), F.col("have"))) > 0
     every = F.array(
         F.when(missing, "source_missing"), F.when(F.col("broken"), "insufficient_metadata"), F.col("verdict"),
