@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from factloom.llm import textops as ops
 
 NGRAM = 13
-MAX_WORDS = 2_000_000
+MAX_WORDS = 300_000
 #: Share of hit words from which a document is contaminated: 20 * n_hit >= n_words.
 SHARE = 20
 _FILTER_BITS = 22
