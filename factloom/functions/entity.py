@@ -151,3 +151,26 @@ def relation_hints(question: Column) -> Column:
         (size, "HAS_RADIUS"), (size, "HAS_MASS"), (hint["IS_A"], "IS_A"),
     ]
     return F.array_distinct(F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in rules))))
+
+
+def preview(question: Column) -> Column:
+    """struct(intent, preferred): what the preview router would do; it changes no answer."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    number = text.contains_any(low, dims.PREVIEW_NUMBERS) | F.rlike(low, F.lit(r"\p{Nd}"))
+    intent = F.when(number, "structured_numerical_fact").when(text.contains_any(low, dims.PREVIEW_IDENTIFIERS), "identifier_or_ontology_fact").otherwise("narrative_explanation")
+    orders = F.create_map(*(x for k, v in dims.PREVIEW_SOURCES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.struct(intent.alias("intent"), orders[intent].alias("preferred"))
+
+
+def strict_relation(hints: Column, primary: Column) -> Column:
+    """Whether a question about one entity asks for exactly one relation that graphs hold."""
+    asked = F.filter(hints, lambda h: h != "")
+    return ~text.blank(primary) & (F.size(asked) == 1) & F.coalesce(F.try_element_at(asked, F.lit(1)).isin(*dims.STRICT_RELATIONS), F.lit(False))
+
+
+def asks_for_host(question: Column, hints: Column, relation: str) -> Column:
+    """Whether a question asks for a relation of the body that its entity orbits, not of the entity."""
+    q = F.coalesce(question, F.lit(""))
+    moving = text.contains_any(q, ("绕行", "公转"))
+    body = F.contains(q, F.lit("行星")) | (F.contains(q, F.lit("天体")) if relation in ("IS_A", "HAS_ATMOSPHERE") else F.lit(False))
+    return F.array_contains(hints, "ORBITS") & F.array_contains(hints, relation) & (text.contains_any(q, dims.HOST_MARKERS) | moving & body)

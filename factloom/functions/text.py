@@ -152,6 +152,11 @@ def redact(c: Column) -> Column:
     return F.regexp_replace(c, r"sk-[A-Za-z0-9_-]{8,}", "sk-***")
 
 
+def has_secret(c: Column) -> Column:
+    """Whether a text holds a key as ``redact`` takes it out; false for null."""
+    return F.coalesce(F.rlike(c, F.lit(r"sk-[A-Za-z0-9_-]{8,}")), F.lit(False))
+
+
 def display_value(value: Column, unit: Column) -> Column:
     """The value with its unit, unless the unit is blank or already in it."""
     return F.when(blank(unit) | F.contains(value, unit), value).otherwise(F.concat_ws(" ", value, unit))

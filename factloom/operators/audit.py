@@ -199,6 +199,39 @@ def evidence_packets(statuses: DataFrame) -> DataFrame:
     return numbered(left, ["relation"], "subject", "packet_no").select(*KEY, cls.alias("evidence_class"), action.alias("action"), F.when(cls == "mass_granularity", 0.76).when(cls == "text_difference", 0.74).otherwise(0.6).alias("confidence"), "packet_no")
 
 
+def evidence_classes(records: DataFrame, conflicts: DataFrame, aliases: DataFrame, suspect: str = dims.SUSPECT_SOURCE, spread: float = 0.01) -> DataFrame:
+    """(subject, relation, evidence_class, resolution, confidence): why each conflicting key's values differ, as far as its records tell.
+
+    Orbits: names of one entity, a system in the host's place, or true. Radii: one of the suspect source under 100 km, or several kinds
+    of radius. Masses: within 1 % of each other, or a unit that isn't known. Else a true conflict. conflicts: subject, relation (and
+    statuses, where radius_kind_mismatch counts as several kinds). Only a key's kinds, of which there are few, are gathered.
+    """
+    rows = records.join(conflicts.select(*KEY).distinct(), list(KEY), "left_semi").withColumns({"subject": F.trim("subject"), "relation": F.trim("relation"), "object": F.coalesce("object", F.lit(""))})
+    kind = entity.measurement_kind(F.col("relation"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("raw", "source_title", "table_field", "pattern") if c in records.columns))
+    rows = cut(quantity.with_value(rows, F.col("object"), F.col("relation"), "_value").withColumn("_kind", kind["kind"]))
+    unit, number = F.col("_value.normalized_unit"), F.col("_value.numeric_value")
+    kg = F.when((unit == "kg") & (number > 0), number)
+    per = rows.groupBy(*KEY).agg(
+        F.bool_or(F.col("object").isin(*dims.ORBIT_SYSTEMS)).alias("system"),
+        F.bool_or((F.col("source_name") == suspect) & (unit == "km") & (number < 100)).alias("small"),
+        F.size(F.array_remove(F.collect_set("_kind"), "unknown")).alias("n_kinds"),
+        F.count(kg).alias("n_kg"), F.min(kg).alias("low"), F.max(kg).alias("high"), F.bool_or(F.col("_value.parse_status") == "unknown_unit").alias("no_unit"),
+    )
+    named = entity.with_entity(rows.where("relation = 'ORBITS'").select(*KEY, "source_name", "object"), "object", aliases)
+    same = entity.groups_equivalent(named, KEY, "source_name", "canonical_id", "source_name")
+    flags = conflicts.groupBy(*KEY).agg(F.max(F.array_contains("statuses", "radius_kind_mismatch")).alias("_kinds")) if "statuses" in conflicts.columns else conflicts.select(*KEY).distinct().withColumn("_kinds", F.lit(False))
+    met = per.join(flags, list(KEY)).join(same, list(KEY), "left")
+    r, yes = F.col("relation"), lambda c: F.coalesce(F.col(c), F.lit(False))
+    near = (F.col("n_kg") >= 2) & ((F.col("high") - F.col("low")) / F.greatest("high", F.lit(1e-9)) <= spread)
+    name = (
+        F.when(r == "ORBITS", F.when(yes("equivalent"), "entity_alias_gap").when(yes("system"), "ontology_semantics_mismatch").otherwise("true_orbit_conflict"))
+        .when((r == "HAS_RADIUS") & yes("small"), "zhwiki_extraction_error").when((r == "HAS_RADIUS") & ((F.col("n_kinds") >= 2) | yes("_kinds")), "measurement_kind_mismatch")
+        .when((r == "HAS_MASS") & near, "source_granularity_mismatch").when((r == "HAS_MASS") & yes("no_unit"), "wikidata_unit_or_qualifier_gap").otherwise("true_value_conflict")
+    )
+    table = F.create_map(*(x for k, (action, sure) in dims.EVIDENCE_CLASSES.items() for x in (F.lit(k), F.struct(F.lit(action).alias("action"), F.lit(sure).alias("confidence")))))
+    return met.withColumn("_name", name).withColumn("_row", table[F.col("_name")]).select(*KEY, F.when(F.col("_name") == "true_orbit_conflict", "true_value_conflict").otherwise(F.col("_name")).alias("evidence_class"), F.col("_row.action").alias("resolution"), F.col("_row.confidence").alias("confidence"))
+
+
 def cross_ratio(per_source: DataFrame, factor: float = 100.0) -> DataFrame:
     """Keys whose numbers differ by the factor or more between any two sources."""
     k = per_source.groupBy(*KEY).agg(F.min("low").alias("low"), F.max("high").alias("high"))

@@ -107,6 +107,12 @@ def rank_sources(records: DataFrame, authority: DataFrame, unknown: int) -> Data
     return out.withColumn("is_authority", F.col("source_name") == F.col("authority")).select(*records.columns, "authority_rank", "authority", "is_authority")
 
 
+def chunk_key(chunk_id: Column, title: Column, section: Column, content: Column) -> Column:
+    """A chunk's id, or where it has none its title, section and the first 80 signs of its content."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(~text.blank(chunk_id), chunk_id).otherwise(F.concat_ws("::", part(title), part(section), F.substring(part(content), 1, 80)))
+
+
 def merge_candidates(first: DataFrame, second: DataFrame, key: str, score: str) -> DataFrame:
     """Full outer by key: the greatest score, and each other field from the first list that has it non-blank."""
     both = first.withColumn("_list", F.lit(0)).unionByName(second.withColumn("_list", F.lit(1)), allowMissingColumns=True)

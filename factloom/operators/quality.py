@@ -118,6 +118,25 @@ def external_review(values: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return values.select("patch_id", F.when(far, "source_extraction_error").when(a & b, "precision_difference").when(a, "confirms_first").when(b, "confirms_second").otherwise("unresolved").alias("result"))
 
 
+def with_external(queue: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The queue with the external review of each item, by the patch that it is about, and reviews of no patch as items of their own.
+
+    queue: patch_id and more. reviews: review_id, source_patch_id, comparison_result, recommendation; of several for a patch the last by id counts.
+    An independent item's patch_id is its review's id.
+    """
+    found = ["comparison_result", "recommendation"]
+    of_patch = reviews.where(~text.blank(F.col("source_patch_id"))).groupBy(F.col("source_patch_id").alias("patch_id")).agg(*(F.max_by(c, "review_id").alias(c) for c in ("review_id", *found)))
+    own = queue.join(of_patch, "patch_id", "left").withColumn("independent", F.lit(False))
+    alone = reviews.where(text.blank(F.col("source_patch_id"))).select(F.col("review_id").alias("patch_id"), "review_id", *found, F.lit(True).alias("independent"))
+    return own.unionByName(alone, allowMissingColumns=True)
+
+
+def external_summary(reviews: DataFrame) -> DataFrame:
+    """(kind, value, n): reviews by comparison result and by recommendation, those that need approval, and all."""
+    pairs = F.array(*(F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value")) for kind, value in (("comparison_result", F.col("comparison_result")), ("recommendation", F.col("recommendation")), ("requires_human_approval", F.when(F.col("requires_human_approval"), F.lit("true"))), ("reviewed", F.lit("all")))))
+    return reviews.select(F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).groupBy("p.kind", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
     """The rows numbered from 1 within ``keys`` by ``order``, as ``name``.
 

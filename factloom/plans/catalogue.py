@@ -1135,6 +1135,76 @@ def audit_statuses_refined(spark, d):
     return _audited(spark, d, True)
 
 
+_CLASSES = ", ".join(f"('{k}', '{action}', {sure})" for k, (action, sure) in dims.EVIDENCE_CLASSES.items())
+
+
+@query(f"""with c as (select concat('P', p_partkey) as subject, ['HAS_RADIUS', 'HAS_MASS', 'ORBITS', 'PART_OF'][p_partkey % 4 + 1] as relation, case p_partkey % 4
+when 0 then case when p_size < 25 then 'zhwiki_extraction_error' when p_size % 6 = 0 then 'measurement_kind_mismatch' else 'true_value_conflict' end
+when 1 then case when p_size % 7 = 0 then 'wikidata_unit_or_qualifier_gap' when p_size / (p_partkey + 1000.0 + p_size) <= 0.01 then 'source_granularity_mismatch' else 'true_value_conflict' end
+when 2 then case p_size % 3 when 0 then 'entity_alias_gap' when 1 then 'ontology_semantics_mismatch' else 'true_orbit_conflict' end else 'true_value_conflict' end as name from part)
+select subject, relation, case name when 'true_orbit_conflict' then 'true_value_conflict' else name end as evidence_class, resolution, confidence from c join (values {_CLASSES}) t(name, resolution, confidence) using (name)""")
+def audit_evidence_classes(spark, d):
+    """Why sources differ on parts, from radii, masses and hosts that come from the parts' sizes and keys; all seven classes come up."""
+    k, z, turn = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 4
+    fact = lambda source, obj, raw="": F.struct(F.lit(source).alias("source_name"), obj.alias("object"), (raw if not isinstance(raw, str) else F.lit(raw)).alias("raw"))
+    number = lambda n, unit: F.concat_ws(" ", n.cast("string"), F.lit(unit))
+    radii = F.array(fact("zh_wikipedia", number(z * 4, "km")), fact("nasa", number(k + 1000, "km"), F.when(z % 2 == 0, "mean radius").otherwise("")), fact("wikidata", number(k + 2000, "km"), F.when(z % 3 == 0, "equatorial radius").otherwise("")))
+    masses = F.array(fact("nasa", number(k + 1000, "kg")), fact("wikidata", F.when(z % 7 == 0, "5 Q99").otherwise(number(k + 1000 + z, "kg"))))
+    hosts = F.array(fact("zh_wikipedia", F.lit("太阳")), fact("nasa", F.when(z % 3 == 0, "Sun").when(z % 3 == 1, "地月系").otherwise("火星")))
+    parts = F.array(fact("nasa", F.col("p_brand")), fact("wikidata", F.col("p_type")))
+    relation = F.element_at(F.array(*map(F.lit, ("HAS_RADIUS", "HAS_MASS", "ORBITS", "PART_OF"))), (turn + 1).cast("int"))
+    given = F.when(turn == 0, radii).when(turn == 1, masses).when(turn == 2, hosts).otherwise(parts)
+    records = read(spark, d, "part").select(F.concat(F.lit("P"), k).alias("subject"), relation.alias("relation"), F.explode(given).alias("f")).select("subject", "relation", "f.*")
+    return audit.evidence_classes(records, records.select("subject", "relation").distinct(), entity.alias_table(spark))
+
+
+_RULED = ("", " mass of 火卫一公转的行星", " 它的母行星 大气", " qid 编号", " 太阳为什么发光 核融合 能量来源", " sk-abcdefgh12345", " 绕行的天体 是什么类型", " 木星 质量")
+_RQ = f"(select conv_id, turn, text, concat(regexp_replace(coalesce(text, ''), '[0-9]', '', 'g'), case (turn + length(text)) % {len(_RULED)} " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(_RULED)) + " end) as query from conversations)"
+
+
+@query(f"""with q as {_RQ}, h as (select *, {_ONCE.format("(" + _HINTS + ")")} as hints from q),
+r as (select *, case when {_HAS(dims.PREVIEW_NUMBERS)} or regexp_matches(query, '[0-9]') then 'structured_numerical_fact' when {_HAS(dims.PREVIEW_IDENTIFIERS)} then 'identifier_or_ontology_fact' else 'narrative_explanation' end as intent,
+list_contains(hints, 'ORBITS') and ({_HAS(dims.HOST_MARKERS, "query")} or {_HAS(("绕行", "公转"), "query")} and contains(query, '行星')) as host_mass, contains(query, '{dims.SUN}') and {_HAS(dims.LUMINOSITY_WORDS, "query")} as shines from h)
+select conv_id, turn, intent, len(hints) = 1 as strict, host_mass and list_contains(hints, 'HAS_MASS') as host_mass,
+list_contains(hints, 'ORBITS') and list_contains(hints, 'IS_A') and ({_HAS(dims.HOST_MARKERS, "query")} or {_HAS(("绕行", "公转"), "query")} and {_HAS(("行星", "天体"), "query")}) as host_type,
+case when shines then case when {_HAS(dims.FUSION_WORDS, "query")} and {_HAS(dims.ENERGY_WORDS, "query")} then 80 else 0 end + case when turn % 2 = 0 then 36 when {_HAS(dims.FUSION_WORDS, "query")} then 30 else 0 end + case when contains(query, '能量来源') then 20 else 0 end else 0 end as points,
+regexp_matches(query, 'sk-[A-Za-z0-9_-]{{8,}}') as secret, case when turn % 5 = 0 then '' when turn % 5 = 1 then '[错误] x' else concat(substr(md5(text), 1, 6), case when turn % 2 = 0 then concat(chr(10), '{dims.AUTHORITY_LINE}', intent) else '' end, case when turn % 3 = 0 then concat(chr(10), '{dims.CONFLICT_LINE}') else '' end, chr(10), '{dims.SOURCE_LINE}',
+case intent when 'structured_numerical_fact' then 'nasa、wikidata、zh_wikipedia' when 'identifier_or_ontology_fact' then 'wikidata、zh_wikipedia' else 'zh_wikipedia' end) end as answer from r""")
+def question_rules(spark, d):
+    """The preview router, strict and host questions, points for why the Sun shines, secrets and decorated answers, over every turn with questions added to some."""
+    suffix = F.element_at(F.array(*map(F.lit, _RULED)), F.pmod(F.col("turn") + F.length("text"), F.lit(len(_RULED))).cast("int") + 1)
+    rows = read(spark, d, "conversations").withColumn("query", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", ""), F.coalesce(suffix, F.lit(""))))
+    q = F.col("query")
+    rows = rows.withColumns({"hints": entity.relation_hints(q), "r": entity.preview(q), "intents": entity.topic_intents(q, F.array().cast("array<string>"))})
+    section = F.when(F.col("turn") % 2 == 0, "核心 部分").otherwise("概要")
+    answer = F.when(F.col("turn") % 5 == 0, " ").when(F.col("turn") % 5 == 1, "[错误] x").otherwise(F.substring(F.md5("text"), 1, 6))
+    return rows.select(
+        "conv_id", "turn", F.col("r.intent").alias("intent"), entity.strict_relation(F.col("hints"), F.lit("x")).alias("strict"), entity.asks_for_host(q, F.col("hints"), "HAS_MASS").alias("host_mass"), entity.asks_for_host(q, F.col("hints"), "IS_A").alias("host_type"),
+        retrieval.luminosity_score(F.col("intents"), section, F.lit(""), q).alias("points"), text.has_secret(q).alias("secret"),
+        retrieval.decorated(answer, F.when(F.col("turn") % 2 == 0, F.col("r.intent")), F.col("turn") % 3 == 0, F.col("r.preferred")).alias("answer"),
+    )
+
+
+@query("""with q as (select concat('p', doc_id) as patch_id, source as subject from documents), r as (select concat('r', vec_id) as review_id, case when vec_id % 3 = 0 then '' else concat('p', vec_id // 2) end as source_patch_id, concat('c', label % 3) as comparison_result, concat('m', label % 4) as recommendation from embeddings),
+of_patch as (select * from (select *, row_number() over (partition by source_patch_id order by review_id desc) as n from r where source_patch_id <> '') where n = 1)
+select patch_id, subject, review_id, comparison_result, recommendation, false as independent from q left join of_patch on source_patch_id = patch_id union all select review_id, null, review_id, comparison_result, recommendation, true from r where source_patch_id = ''""")
+def quality_with_external(spark, d):
+    """The queue with the last external review of each patch, and reviews of no patch as items of their own."""
+    return quality.with_external(read(spark, d, "documents").select(F.concat(F.lit("p"), "doc_id").alias("patch_id"), F.col("source").alias("subject")), _reviews(spark, d))
+
+
+def _reviews(spark, d):
+    v = read(spark, d, "embeddings")
+    patch = F.when(F.col("vec_id") % 3 == 0, "").otherwise(F.concat(F.lit("p"), F.floor(F.col("vec_id") / 2)))
+    return v.select(F.concat(F.lit("r"), "vec_id").alias("review_id"), patch.alias("source_patch_id"), F.concat(F.lit("c"), F.col("label") % 3).alias("comparison_result"), F.concat(F.lit("m"), F.col("label") % 4).alias("recommendation"), (F.col("label") > 4).alias("requires_human_approval"))
+
+
+@query("""select 'comparison_result' as kind, concat('c', label % 3) as value, count(*) as n from embeddings group by all union all select 'recommendation', concat('m', label % 4), count(*) from embeddings group by all
+union all select 'requires_human_approval', 'true', count(*) from embeddings where label > 4 having count(*) > 0 union all select 'reviewed', 'all', count(*) from embeddings""")
+def quality_external_summary(spark, d):
+    return quality.external_summary(_reviews(spark, d))
+
+
 _SEARCHES = [("src3",), ("the tion",), ("heit ung",)]
 
 
