@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import entity, quantity, text, validity, web
-from factloom.operators import audit, compare, evaluation, extraction, fusion, graph, markup, pages, quality, query_sets, retrieval, templates, terms, triples, vector_index
+from factloom.operators import audit, compare, evaluation, extraction, fusion, gold, graph, markup, pages, quality, query_sets, retrieval, templates, terms, triples, vector_index
 from factloom.plans.facts import EDGES_SQL, QUANTITIES_SQL, SHIPS_SQL, edges, number_value, quantities, ships
 from factloom.sources.tables import append_new, cut, fill_from, override, read, remove, scratch, with_chunk_id
 from factloom.streaming import frontier, incremental, snapshots
@@ -1205,6 +1205,23 @@ def quality_external_summary(spark, d):
     return quality.external_summary(_reviews(spark, d))
 
 
+@query("""with q as (select c_custkey as k, n_name, r_name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey),
+f as (select k, k % 17 = 0 as empty, case when k % 13 = 0 then 0 else 2 end as n, case when k % 17 = 0 or k % 13 = 0 or k % 5 = 2 then null when k % 3 <> 1 then 1 when n_name <> r_name then 2 else 1 end as hit from q)
+select k as query_id, cast(hit as int) as match_rank, case when n = 0 then '' when k % 7 = 3 then 'fallback' else 'graph' end as path, hit is not null as hit,
+case when n > 0 and k % 19 = 4 then 'source leakage' when n > 0 and k % 11 = 5 then 'metadata contract break' when n = 0 or k % 7 = 3 then 'path routing error' when empty and n > 0 then 'source leakage' when hit = 1 then 'pass' when hit is not null then 'wrong ranking' when k % 5 = 2 then 'wrong relation' else 'retrieval miss' end as failure from f""")
+def eval_gold_facts(spark, d):
+    """Where customers are, asked of two answers each that go wrong in every way: other sources, no metadata, wrong path, order or relation, too many or no answers."""
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    fact = F.struct(F.col("c_name").alias("subject"), F.lit("LOCATED_IN").alias("relation"), F.col("n_name").alias("object"))
+    questions = rows.select(k.alias("query_id"), F.when(k % 17 != 0, F.array(fact)).alias("expected"), F.lit(None).cast("string").alias("normalized_value"), F.array(F.lit("graph")).alias("expected_path"), F.array(F.lit("crm")).alias("sources"))
+    first, second = F.when(k % 3 == 1, F.col("r_name")).otherwise(F.col("n_name")), F.when(k % 3 == 1, F.col("n_name")).otherwise(F.col("r_name"))
+    answers = rows.where(k % 13 != 0).select(k.alias("query_id"), F.posexplode(F.array(first, second)).alias("at", "object"), F.concat(F.col("c_name"), F.lit(" ")).alias("subject"), F.when(k % 5 == 2, "IS_A").otherwise("LOCATED_IN").alias("relation"), F.when(k % 7 == 3, "fallback").otherwise("graph").alias("path"))
+    answers = answers.withColumns({"rank": F.col("at") + 1, "source": F.when(F.col("query_id") % 19 == 4, "erp").otherwise("crm"), "source_role": F.when(F.col("query_id") % 11 == 5, " ").otherwise("fact"), **{c: F.lit("x") for c in ("origin", "source_title", "schema_version")}})
+    return gold.structured(questions, answers)
+
+
 _SEARCHES = [("src3",), ("the tion",), ("heit ung",)]
 
 
