@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+#: Numbers of a table of all steps (node by sign), where an automaton is small enough for one; else steps are looked up among the edges.
+TABLE_CELLS = 1 << 25
 #: A sign that no text has; it stands between texts.
 _BETWEEN = 0x1FFFFF
 _SIGN_BITS = 21
@@ -54,9 +56,22 @@ class Automaton:
             # Nodes are numbered in the order of their keys, level by level, so keys stay sorted.
             self.keys, self.target = np.concatenate([self.keys, keys]), np.concatenate([self.target, first + np.arange(len(keys))])
         self.shorter = np.zeros(len(self.back), np.int64)  # the nearest node over back links with a term, or 0
+        self.ends = (self.term >= 0).astype(np.int64)  # terms that end at a node, shorter ones included
         for first, last in levels:
             back = self.back[first:last]
             self.shorter[first:last] = np.where(self.term[back] >= 0, back, self.shorter[back])
+            self.ends[first:last] += self.ends[self.shorter[first:last]]
+        self.alphabet = np.unique(text)
+        self.table = None
+        width = len(self.alphabet) + 1  # the last column is any other sign
+        if len(self.back) * width <= TABLE_CELLS:
+            self.table = np.zeros((len(self.back), width), np.int32)
+            parent, column = self.keys >> _SIGN_BITS, np.searchsorted(self.alphabet, self.keys & (1 << _SIGN_BITS) - 1)
+            for first, last in [(0, 1), *levels]:  # a node steps as its back does, but for its own edges
+                if first:
+                    self.table[first:last] = self.table[self.back[first:last]]
+                own = slice(*np.searchsorted(parent, (first, last)))
+                self.table[parent[own], column[own]] = self.target[own]
 
     def step(self, node: np.ndarray, sign: np.ndarray) -> np.ndarray:
         """The nodes after one more sign."""
@@ -81,28 +96,29 @@ class Automaton:
         lanes = -(-len(text) // LANE)
         padded = np.full(before + lanes * LANE, _BETWEEN, np.int64)
         padded[before : before + len(text)] = text
+        if self.table is not None:
+            column = np.minimum(np.searchsorted(self.alphabet, padded), len(self.alphabet) - 1)
+            padded = np.where(self.alphabet[column] == padded, column, len(self.alphabet))
         start = np.arange(lanes) * LANE
         node = np.zeros(lanes, np.int64)
-        ends, nodes = [], []
+        nodes = np.zeros((lanes, LANE), np.int32)  # where each sign leads, in the text's order
         for i in range(before + LANE):
-            node = self.step(node, padded[start + i])
+            sign = padded[start + i]
+            node = self.step(node, sign) if self.table is None else self.table[node, sign]
             if i >= before:
-                hit = np.flatnonzero((self.term[node] >= 0) | (self.shorter[node] > 0))
-                ends.append(start[hit] + i - before + 1)
-                nodes.append(node[hit])
-        end, node = np.concatenate(ends), np.concatenate(nodes)
-        found_end, found_term = [], []
-        while len(node):
-            has = self.term[node] >= 0
-            found_end.append(end[has])
-            found_term.append(self.term[node[has]])
-            up = self.shorter[node]
-            end, node = end[up > 0], up[up > 0]
-        if not found_end:
-            return none, none
-        end, term = np.concatenate(found_end), np.concatenate(found_term)
-        order = np.lexsort((-self.length[term], end))
-        return end[order], term[order]
+                nodes[:, i - before] = node
+        nodes = nodes.ravel()
+        at = np.flatnonzero(self.ends[nodes])
+        node = nodes[at].astype(np.int64)
+        node = np.where(self.term[node] >= 0, node, self.shorter[node])
+        n = self.ends[node]
+        end, term = np.repeat(at + 1, n), np.empty(int(n.sum()), np.int64)
+        place = np.cumsum(n) - n
+        while len(node):  # each place's terms, longest first
+            term[place] = self.term[node]
+            node = self.shorter[node]
+            place, node = place[node > 0] + 1, node[node > 0]
+        return end, term
 
     def find_in(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, end within it, term) of every occurrence in each text."""
@@ -114,37 +130,42 @@ class Automaton:
         return text, end - begin[text], term
 
 
-def best_paths(length: np.ndarray, run: np.ndarray, end: np.ndarray, size: np.ndarray, gain: np.ndarray) -> list[np.ndarray]:
-    """The words' ends of the best path through each run of signs.
+def best_paths(length: np.ndarray, run: np.ndarray, end: np.ndarray, size: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the best path through each run of signs: (run, end of the word within it), in order.
 
-    length: of each run. run, end, size, gain: the words that can be taken, with their end within the run, their length and what each adds to a
-    path. Every place must be reachable. Of paths with equal gains the one whose last word is longest wins, and so on from the end.
+    length: of each run. run, end, size, gain: the words that can be taken, ordered by run, end and falling size, with their end within the run,
+    their length and what each adds to a path. Every place must be reachable. Of paths with equal gains the one whose last word is longest
+    wins, and so on from the end.
     """
     begin = np.cumsum(length + 1) - length - 1
     best = np.full(int((length + 1).sum()), -np.inf)
     best[begin] = 0.0
     taken = np.zeros(len(best), np.int64)
-    order = np.lexsort((-size, run, end))
+    most = int(length.max(initial=0))
+    order = np.argsort(end.astype(np.uint16) if most < 1 << 16 else end, kind="stable")
     run, end, size, gain = run[order], end[order], size[order], gain[order]
-    cut = np.searchsorted(end, np.arange(1, int(length.max(initial=0)) + 2))
+    cut = np.searchsorted(end, np.arange(1, most + 2))
+    places = begin[run] + end
     for i, j in zip(cut, cut[1:], strict=False):  # all words that end at the same place of their runs
         if i == j:
             continue
-        place = begin[run[i:j]] + end[i:j]
+        place = places[i:j]
         reached = best[place - size[i:j]] + gain[i:j]
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        most = np.maximum.reduceat(reached, first)
-        group = np.cumsum(np.append(False, place[1:] != place[:-1]))
-        winner = np.full(len(first), j - i)
-        np.minimum.at(winner, group, np.where(reached == most[group], np.arange(j - i), j - i))
-        best[place[first]] = most
+        new = np.append(True, place[1:] != place[:-1])
+        first = np.flatnonzero(new)
+        top = np.maximum.reduceat(reached, first)
+        # The first of each place's words that reach the most.
+        good = np.flatnonzero(reached == np.repeat(top, np.diff(np.append(first, j - i))))
+        winner = good[np.searchsorted(good, first)]
+        best[place[first]] = top
         taken[place[first]] = size[i:j][winner]
     # All runs walk back from their ends at the same time.
-    at, path = length.copy(), [[] for _ in length]
-    on = np.flatnonzero(at > 0)
+    last, on = np.zeros(len(best), bool), np.flatnonzero(length > 0)
+    at = begin[on] + length[on]
     while len(on):
-        for r, e in zip(on.tolist(), at[on].tolist(), strict=True):
-            path[r].append(e)
-        at[on] -= taken[begin[on] + at[on]]
-        on = on[at[on] > 0]
-    return [np.array(p[::-1], np.int64) for p in path]
+        last[at] = True
+        at = at - taken[at]
+        on, at = on[at > begin[on]], at[at > begin[on]]
+    found = np.flatnonzero(last)
+    run = np.searchsorted(begin, found, side="right") - 1
+    return run, found - begin[run]

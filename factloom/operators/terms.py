@@ -89,34 +89,50 @@ def dictionary(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     return counts.orderBy(F.desc("n"), "term").limit(most)
 
 
+def _flags(code: np.ndarray, chosen: list[int]) -> np.ndarray:
+    """Which signs are among the chosen."""
+    table = np.zeros(int(code.max(initial=0)) + 1, bool)
+    table[chosen] = True
+    return table[code]
+
+
 def _divide(texts: Sequence[str | None], own: automaton.Automaton, gain: np.ndarray, least: float) -> list[list[str]]:
     """Each text's words by best paths through its runs of letters and digits."""
     between = "\u0000"  # a sign between texts that belongs to no run
     whole = between.join(t or "" for t in texts)
     code = automaton.signs(whole)
-    kinds, which = np.unique(code, return_inverse=True)
-    inside = np.array([chr(c).isalnum() for c in kinds.tolist()], bool)[which]
+    kinds = np.flatnonzero(np.bincount(code)).tolist()
     # Signs of scripts that put no blanks between words stay by themselves, others that no word covers join their neighbours.
-    alone = np.array([0x2E80 <= c < 0xFB00 or c >= 0x20000 for c in kinds.tolist()], bool)[which]
+    inside, alone = (_flags(code, [c for c in kinds if test(c)]) for test in (lambda c: chr(c).isalnum(), lambda c: 0x2E80 <= c < 0xFB00 or c >= 0x20000))
     edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     end, term = own.find(code)
     size, single = own.length[term], np.ones(len(code), bool)
     single[end[size == 1] - 1] = False
     at = np.flatnonzero(inside & single)  # signs that are no word: each may stand alone, as if it had been seen once
-    end, size, gains = np.concatenate([end, at + 1]), np.concatenate([size, np.ones(len(at), np.int64)]), np.concatenate([gain[term], np.full(len(at), least)])
+    put = np.searchsorted(end, at + 1, side="right") + np.arange(len(at))
+    found = np.ones(len(end) + len(at), bool)
+    found[put] = False
+    merged = np.empty(len(found), np.int64), np.ones(len(found), np.int64), np.full(len(found), least)
+    for whole_of, own_values in zip(merged, (end, size, gain[term]), strict=True):
+        whole_of[found] = own_values
+    merged[0][put] = at + 1
+    end, size, gains = merged
     run = np.searchsorted(start, end - size, side="right") - 1
-    paths = automaton.best_paths(stop - start, run, end - start[run], size, gains) if len(start) else []
     words: list[list[str]] = [[] for _ in texts]
+    if not len(start):
+        return words
+    run, last = automaton.best_paths(stop - start, run, end - start[run], size, gains)
+    last = last + start[run]
+    first = np.where(np.append(True, run[1:] != run[:-1]), start[run], np.append(0, last[:-1]))
+    # Unknown signs join the ones before them in their run.
+    free = (last - first == 1) & single[first] & ~alone[first]
+    joins = np.append(False, free[1:] & free[:-1] & (run[1:] == run[:-1]))
+    first, last = first[~joins], last[np.append(~joins[1:], True)]
     long = np.array([len(t or "") + 1 for t in texts], np.int64)
-    text = np.searchsorted(np.cumsum(long) - long, start, side="right") - 1
-    unknown = single & ~alone
-    for t, s, path in zip(text.tolist(), start.tolist(), paths, strict=True):
-        ends = path + s
-        free = np.diff(ends, prepend=s) == 1
-        free &= unknown[ends - 1]
-        last = ends[np.append(~(free[:-1] & free[1:]), True)].tolist()
-        words[t] += [whole[i:j] for i, j in zip([s, *last], last, strict=False)]
+    text = np.searchsorted(np.cumsum(long) - long, first, side="right") - 1
+    for t, i, j in zip(text.tolist(), first.tolist(), last.tolist(), strict=True):
+        words[t].append(whole[i:j])
     return words
 
 

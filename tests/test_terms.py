@@ -8,9 +8,10 @@ from factloom.functions import automaton
 from factloom.operators import retrieval, terms
 
 
-@pytest.mark.parametrize("lane", [1, 3, 512])
-def test_automaton_finds_every_occurrence(monkeypatch, lane):
+@pytest.mark.parametrize(("lane", "cells"), [(1, 1 << 25), (3, 0), (3, 1 << 25), (512, 0), (512, 1 << 25)])
+def test_automaton_finds_every_occurrence(monkeypatch, lane, cells):
     monkeypatch.setattr(automaton, "LANE", lane)
+    monkeypatch.setattr(automaton, "TABLE_CELLS", cells)
     r = random.Random(lane)
     for _ in range(60):
         words = sorted({"".join(r.choices("ab你😀", k=r.randrange(1, 6))) for _ in range(r.randrange(0, 15))})
@@ -72,8 +73,8 @@ def test_ties_and_empty_dictionaries(spark):
     df = spark.createDataFrame([(1, "abab"), (2, "")], "id int, text string")
     none = spark.createDataFrame([], "term string, n long")
     assert {x.id: x.words for x in terms.divided(df, ["id"], "text", none).collect()} == {1: ["abab"], 2: []}
-    path = automaton.best_paths(np.array([3]), np.zeros(5, int), np.array([1, 2, 3, 2, 3]), np.array([1, 1, 1, 2, 2]), np.array([-1.0, -1, -1, -2, -2]))
-    assert path[0].tolist() == [1, 3]
+    run, end = automaton.best_paths(np.array([3]), np.zeros(5, int), np.array([1, 2, 2, 3, 3]), np.array([1, 2, 1, 2, 1]), np.array([-1.0, -2, -1, -2, -1]))
+    assert run.tolist() == [0, 0] and end.tolist() == [1, 3]
 
 
 def test_query_context(spark):
