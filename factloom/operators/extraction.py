@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,46 @@ def first_hit_facts(docs: DataFrame, subject: str, column: str, rules: Sequence[
     return docs.select(F.col(subject).alias("subject"), F.explode(F.array(*found)).alias("f")).select("subject", "f.relation", "f.object").where("object is not null")
 
 
+_SIGNED = r"[+-]?\d[\d,]*(?:\.\d+)?(?:[×x]10\^?[+-]?\d+)?"
+_CHOICE = lambda words: "(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + ")"
+
+
+def entities(sentence: Column, tokens: Column, known: Sequence[str] = dims.BODIES, stop: Sequence[str] = dims.QUESTION_STOP) -> Column:
+    """array<struct<name, type, source>> of a sentence: names among its tokens, numbers with units, ranges of heat, and parameters that it names.
+
+    A token is a name if it is known, or has 2 to 20 signs, a letter among them and no mark, and is no function word.
+    """
+    s = F.coalesce(sentence, F.lit(""))
+    name = lambda t: t.isin(*known) | (F.length(t).between(2, 20) & F.rlike(t, F.lit(r"\p{L}")) & ~F.rlike(t, F.lit("[。，；：、？！·～…—\n\t]")) & ~t.isin(*stop))
+    made = lambda found, kind, source: F.transform(found, lambda x: F.struct(x.alias("name"), F.lit(kind).alias("type"), F.lit(source).alias("source")))
+    plain = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.trim(t))
+    values = F.transform(F.regexp_extract_all(s, F.lit(_SIGNED + r"\s*" + _CHOICE(dims.PARAMETER_UNITS)), F.lit(0)), lambda m: F.regexp_replace(m, r"\s", ""))
+    ranges = F.regexp_extract_all(s, F.lit(_SIGNED + r"\s*" + _CHOICE(dims.RANGE_WORDS) + r"\s*" + _SIGNED + r"\s*" + _CHOICE(dims.HEAT_UNITS)), F.lit(0))
+    named = F.filter(F.array(*map(F.lit, dims.PARAMETERS)), lambda p: F.contains(s, p))
+    return F.concat(made(F.filter(plain, name), "entity", "tokens"), made(values, "value", "pattern"), made(ranges, "value_range", "pattern"), made(named, "parameter", "dictionary"))
+
+
+def key_values(sentence: Column) -> Column:
+    """array<struct<parameter, value, raw>>: the first number (with its unit) that a sentence gives for each parameter, in their order.
+
+    A longer parameter's name hides the shorter within it.
+    """
+    pattern = "(" + _CHOICE(dims.PARAMETERS) + r")\s*[为是:：]?\s*(" + _SIGNED + r")\s*(" + _CHOICE(dims.PARAMETER_UNITS) + ")?"
+    part = lambda m, i: F.regexp_extract(m, pattern, i)
+    all_of = F.transform(F.regexp_extract_all(F.coalesce(sentence, F.lit("")), F.lit(pattern), F.lit(0)), lambda m: F.struct(part(m, 1).alias("parameter"), F.concat(part(m, 2), part(m, 3)).alias("value"), m.alias("raw")))
+    names = lambda rows: F.transform(rows, lambda r: r["parameter"])
+    return F.element_at(F.transform(F.array(all_of), lambda rows: F.filter(rows, lambda r, i: F.array_position(names(rows), r["parameter"]) == i + 1)), 1)
+
+
+def mixture(sentence: Column) -> Column:
+    """map of parts and percentages where a sentence gives two or more (of a repeated part the last); null otherwise."""
+    found = F.regexp_extract_all(F.coalesce(sentence, F.lit("")), F.lit(r"([\p{L}_][\p{L}\p{N}_]*?)\s*占?\s*([\d.]+)\s*%"), F.lit(0))
+    part = lambda m, i: F.regexp_extract(m, r"^([\p{L}_][\p{L}\p{N}_]*?)\s*占?\s*([\d.]+)\s*%$", i)
+    pairs = F.transform(found, lambda m: F.struct(part(m, 1).alias("k"), F.concat(part(m, 2), F.lit("%")).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+    return F.when(F.size(found) >= 2, F.map_from_entries(last))
+
+
 def components(c: Column) -> Column:
     """Parts of a composition: split at separators, percentages and blanks dropped."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;、，；]|\s(?:and|和|与)\s"), lambda p: F.trim(F.regexp_replace(p, r"[\d.]+\s*[%％]", "")))

@@ -28,7 +28,7 @@ def normalized(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()) -
 
 def shaped(questions: DataFrame) -> DataFrame:
     """Questions whose lists are lists: paths trimmed and not blank, allowed paths default to the expected ones, expected is an array, ``empty`` where nothing is expected."""
-    paths = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    paths = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     allowed = paths("allowed") if "allowed" in questions.columns else F.array().cast("array<string>")
     expected = F.coalesce(F.col("expected"), F.array().cast(questions.schema["expected"].dataType))
     inferred = F.coalesce(F.col("allow_inferred"), F.lit(False)) if "allow_inferred" in questions.columns else F.lit(False)

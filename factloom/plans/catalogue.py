@@ -564,6 +564,22 @@ def markup_sections(spark, d):
     return markup.section_rows(_marked(spark, d), ["doc_id"])
 
 
+_MEASURED = [
+    ("{n}的半长轴为{k}.5 AU，离心率0.2", "半长轴={k}.5AU|离心率=0.2", ""), ("赤道半径：{k} 公里，半径{k}km", "赤道半径={k}公里|半径={k}", ""), ("质量{k}kg，质量9kg", "质量={k}kg", ""), ("CO2占{k}%、N2占2.7%", "", "CO2={k}%|N2=2.7%"), ("只有Ar占{k}%", "", ""), ("表面温度-{k}至20℃", "表面温度=-{k}", ""),
+]
+
+
+@query("select c_custkey, replace(replace(kv, '{k}', (c_custkey + 1000)::varchar), '{n}', '') as key_values, replace(mix, '{k}', (c_custkey + 1000)::varchar) as mixture, case i when 5 then '-' || (c_custkey + 1000) || '至20℃' else '' end as ranges from customer join (values " + ", ".join(f"({i}, '{kv}', '{mix}')" for i, (_, kv, mix) in enumerate(_MEASURED)) + f") t(i, kv, mix) on i = c_custkey % {len(_MEASURED)}")
+def text_key_values(spark, d):
+    """Parameters with their numbers, mixtures and ranges of heat in sentences about customers."""
+    rows = _said_rows(spark, d, _MEASURED).select("c_custkey", "sentence", extraction.entities(F.col("sentence"), entity.segments(F.col("sentence"))).alias("e"), extraction.mixture(F.col("sentence")).alias("m"))
+    pair = lambda x, a, b: F.concat_ws("=", x[a], x[b])
+    kv = F.array_join(F.transform(extraction.key_values(F.col("sentence")), lambda x: pair(x, "parameter", "value")), "|")
+    mix = F.coalesce(F.array_join(F.transform(F.map_entries("m"), lambda x: pair(x, "key", "value")), "|"), F.lit(""))
+    ranges = F.array_join(F.transform(F.filter("e", lambda x: x["type"] == "value_range"), lambda x: x["name"]), "|")
+    return rows.select("c_custkey", kv.alias("key_values"), mix.alias("mixture"), ranges.alias("ranges"))
+
+
 @query(r"""select doc_id, 'FIRST_PHONE' as relation, regexp_extract(text, '(\+1 \(\d{3}\) \d{3}-\d{4})', 1) as object from documents where regexp_matches(text, '\+1 \(\d{3}\) \d{3}-\d{4}')""")
 def text_first_hits(spark, d):
     out = extraction.first_hit_facts(read(spark, d, "documents"), "doc_id", "text", [("FIRST_PHONE", r"(\+1 \(\d{3}\) \d{3}-\d{4})")])

@@ -10,7 +10,7 @@ def test_every_failure_of_fact_questions(spark):
     mass = [("Mars", "HAS_MASS", "x")]
     questions = [
         (1, want, None, ["graph"], None, ["nasa"]), (2, want, None, ["graph"], None, None), (3, want, None, ["graph"], ["fallback", " "], None), (4, None, None, ["graph"], None, None), (5, [], None, ["graph", "none"], ["", "none"], None),
-        (6, mass, "6.4 × 10", ["graph"], None, None), (7, mass, None, ["graph"], None, None), (8, want, None, ["graph"], None, ["esa"]), (9, want, None, ["graph"], None, None), (10, want, None, ["graph"], None, None), (11, want, None, ["graph"], None, None), (12, want, None, [""], None, None),
+        (6, mass, "6.4 × 10", ["graph"], None, None), (7, mass, None, ["graph"], None, None), (8, want, None, ["graph"], None, ["esa"]), (9, want, None, ["graph"], None, None), (10, want, None, ["graph"], None, None), (11, want, None, [" graph "], None, None), (12, want, None, [""], None, None),
     ]
     results = [
         (1, 1, "graph", " Mars", "ORBITS", "Sun ", *META), (2, 1, "graph", "Mars", "ORBITS", "Jupiter", *META), (2, 2, "graph", "Mars", "ORBITS", "Sun", *META), (3, 1, "graph", "Mars", "ORBITS", "Sun", *META), (4, 1, "graph", "x", "y", "z", *META),

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from factloom.operators import extraction
 from factloom.operators import templates as t
 from pyspark.sql import functions as F
 
@@ -58,3 +59,15 @@ def test_candidates_are_all_matches_in_order(spark):
     rows = t.matches(df, "s", x).select("rule", "at", "subject", "object").collect()
     assert [tuple(r) for r in rows] == [(0, 0, "cup", "tea"), (0, 1, "pot", "coffee"), (1, 0, "tea", "pot"), (1, 1, "coffee", "milk")]
     assert df.select(F.size(t._candidates(F.col("s"), x, True))).first()[0] == 2
+
+
+def test_older_entities_and_key_values(spark):
+    df = spark.createDataFrame([("火星质量为6.4×10^23 kg，表面温度-60到20 °C，赤道半径 3,396公里，半径3389 km", ["火星", "的", " 金星 ", "a", "x。y", "51 Pegasi b", "2020"]), (None, None)], "s string, t array<string>")
+    rows = df.select(extraction.entities(F.col("s"), F.col("t")).alias("e"), extraction.key_values(F.col("s")).alias("k"), extraction.mixture(F.col("s")).alias("m")).collect()
+    of = lambda kind: [x.name for x in rows[0].e if x.type == kind]
+    assert of("entity") == ["火星", "金星", "51 Pegasi b"] and of("value") == ["6.4×10^23kg", "20°C", "3,396公里"] and of("value_range") == ["-60到20 °C"]
+    assert of("parameter") == ["质量", "半径", "表面温度", "赤道半径"]
+    assert [(x.parameter, x.value) for x in rows[0].k] == [("质量", "6.4×10^23kg"), ("表面温度", "-60"), ("赤道半径", "3,396公里"), ("半径", "3389")]
+    assert rows[1].e == [] and rows[1].k == [] and rows[1].m is None
+    mixed = spark.createDataFrame([("CO2占95.3%、N2 占 2.7 %、CO2 5%",), ("CO2 5%",)], "s string").select(extraction.mixture(F.col("s")).alias("m")).collect()
+    assert mixed[0].m == {"N2": "2.7%", "CO2": "5%"} and mixed[1].m is None
