@@ -1151,6 +1151,20 @@ def audit_statuses_refined(spark, d):
     return _audited(spark, d, True)
 
 
+@query("""select p_partkey, relation, fault from (select p_partkey, ['IS_A', 'ORBITS', 'HAS_MASS', 'DISCOVERED_BY', 'HAS_ATMOSPHERE', 'PART_OF'][p_partkey % 6 + 1] as relation, case p_partkey % 6 when 0 then case when p_size % 4 = 0 then 'number' end when 1 then case when p_size % 3 = 0 then 'mark' end
+when 2 then case when p_size % 3 = 0 then 'quantity' end when 3 then case p_size % 4 when 0 then 'shape' when 1 then 'word' end when 4 then case when p_size % 2 = 0 then 'gas' end else case when p_size % 3 = 0 then 'reason' when p_size % 3 = 1 then 'describes' end end as fault from part)""")
+def norm_strict_faults(spark, d):
+    """What the strict profile says of objects made of parts' names, types, brands and sizes."""
+    z, name, kind = F.col("p_size"), F.col("p_name"), F.col("p_type")
+    objects = (
+        F.when(z % 4 == 0, F.concat_ws(" ", kind, z.cast("string"))).otherwise(kind), F.when(z % 3 == 0, F.concat_ws(", ", name, kind)).otherwise(name), F.when(z % 3 == 0, z.cast("string")).otherwise(F.concat_ws(" ", z.cast("string"), F.lit("kg"))),
+        F.when(z % 4 == 0, F.col("p_brand")).when(z % 4 == 1, "天文学家").otherwise(name), F.when(z % 2 == 0, kind).otherwise("CO2"), F.when(z % 3 == 0, F.concat_ws(" ", F.lit("because"), name)).when(z % 3 == 1, F.concat(F.lit("位于"), kind)).otherwise(kind),
+    )
+    at = (F.col("p_partkey") % 6 + 1).cast("int")
+    relation = F.element_at(F.array(*map(F.lit, ("IS_A", "ORBITS", "HAS_MASS", "DISCOVERED_BY", "HAS_ATMOSPHERE", "PART_OF"))), at)
+    return read(spark, d, "part").select("p_partkey", relation.alias("relation"), validity.strict_fault(relation, F.element_at(F.array(*objects), at)).alias("fault"))
+
+
 _CLASSES = ", ".join(f"('{k}', '{action}', {sure})" for k, (action, sure) in dims.EVIDENCE_CLASSES.items())
 
 

@@ -74,3 +74,16 @@ def test_discoverers_by_what_names_are_made_of(spark):
     cases = [("Asaph Hall", None), ("伽利略", None), ("约翰·亚当斯", None), ("威廉·赫歇尔 和 卡罗琳", None), ("由伽利略", "word"), ("他们", "word"), ("因此人", "word"), ("1846", "dated"), ("九月", "dated"), ("X", "length"), ("··", "length"), ("望远镜小组", "word"), ("éé", "sign"), ("", "empty")]
     df = spark.createDataFrame(cases, "o string, f string")
     assert [r.got for r in df.select(validity.discoverer_fault(F.col("o"), validity.noise(F.col("o"))).alias("got")).collect()] == [f for _, f in cases]
+
+
+def test_the_strict_profile(spark):
+    cases = [
+        ("IS_A", "矮行星", None), ("IS_A", "", "empty"), ("IS_A", None, "empty"), ("IS_A", "行星，大", "mark"), ("IS_A", "因为行星", "reason"), ("IS_A", "第2类行星", "number"), ("IS_A", "(行星)", "mark"), ("IS_A", "由岩石组成", "describes"), ("IS_A", "由组成", None),
+        ("ORBITS", "Kepler-22 b", None), ("ORBITS", "1846", "number"), ("ORBITS", "a b c d e f g h i j k", "long"), ("ORBITS", "Mars_1", "sign"), ("PART_OF", "位于太阳系", "describes"),
+        ("HAS_MASS", "6.4e23 kg", None), ("HAS_MASS", "6.4", "quantity"), ("HAS_MASS", "kg", "quantity"), ("HAS_RADIUS", "3389 km", None), ("HAS_RADIUS", "3,389 km", "mark"), ("HAS_RADIUS", "约3389 km", "quantity"),
+        ("HAS_ATMOSPHERE", "CO2", None), ("HAS_ATMOSPHERE", "二氧化碳", None), ("HAS_ATMOSPHERE", "空气", "gas"), ("HAS_ATMOSPHERE", "95%", "number"),
+        ("DISCOVERED_BY", "伽利略", None), ("DISCOVERED_BY", "威廉·赫歇尔", None), ("DISCOVERED_BY", "Asaph Hall", None), ("DISCOVERED_BY", "A B C D E", "shape"), ("DISCOVERED_BY", "天文学家", "word"), ("DISCOVERED_BY", "威廉的人", "word"), ("DISCOVERED_BY", "一二三四五", "shape"), ("DISCOVERED_BY", "年 某人", "word"), ("DISCOVERED_BY", "Hall 2", "shape"), (None, "行星", None),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, r string, o string, f string")
+    got = {r.i: r.got for r in df.select("i", validity.strict_fault(F.col("r"), F.col("o")).alias("got")).collect()}
+    assert {cases[i]: g for i, g in got.items() if g != cases[i][2]} == {}
