@@ -5,6 +5,7 @@ Parsing runs in Arrow batches, one page at a time; everything after it is relati
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,6 +32,7 @@ class _Page(HTMLParser):
         super().__init__()
         self.off = 0
         self.open: list[tuple[str, bool]] = []
+        self.count: Counter[str] = Counter()
         self.path: list[tuple[int, str]] = []
         self.sections: list[tuple[str, list[str]]] = [("", [])]
         self.fields: list[tuple[str, str]] = []
@@ -49,6 +51,7 @@ class _Page(HTMLParser):
         noise = tag in NOISE_TAGS or any(c.startswith(n) if n != "ad" else c == n for c in classes for n in NOISE_CLASSES)
         self.off += noise
         self.open.append((tag, noise))
+        self.count[tag] += 1
         if self.off:
             return
         if tag == "table" and (self.box or (any("infobox" in c for c in classes) and not self.boxes)):
@@ -66,10 +69,11 @@ class _Page(HTMLParser):
             self.handle_data("\n")
 
     def handle_endtag(self, tag):
-        if tag not in [t for t, _ in self.open]:
+        if not self.count[tag]:
             return
         while self.open:
             name, noise = self.open.pop()
+            self.count[name] -= 1
             if not self.off:
                 self._closed(name)
             self.off -= noise

@@ -467,13 +467,18 @@ _ASKED = ("", " mass of Mars", " 属于", " 为什么", " 为什么 mass", " ros
 _ASKED_SQL = "coalesce(case (turn + length(text)) % 6 " + " ".join(f"when {i} then '{q}'" for i, q in enumerate(_ASKED)) + " end, '')"
 
 
+def _asked_turns(spark, d):
+    """Every turn, to some of which a question is added, so that all intents come up."""
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), F.pmod(F.col("turn") + F.length("text"), F.lit(len(_ASKED))).cast("int") + 1)
+    return read(spark, d, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.coalesce(asked, F.lit(""))))
+
+
 @query(f"""select conv_id, turn, intent, case intent when 'esa_mission' then 'esa' when 'structured_fact' then 'wikidata' when 'narrative_explanation' then 'zh_wikipedia' else 'nasa' end as first_source from (select conv_id, turn, case when {_ANY(dims.MISSION_WORDS)} then 'esa_mission'
 when ({_ANY(dims.NUMERIC_WORDS)}) and ({_ANY(dims.NARRATIVE_WORDS)}) then 'mixed_numeric_narrative' when {_ANY(dims.STRUCTURED_WORDS)} then 'structured_fact'
 when {_ANY(dims.NUMERIC_WORDS)} then 'numeric_fact' when {_ANY(dims.NARRATIVE_WORDS)} then 'narrative_explanation' else 'uncertain' end as intent from (select conv_id, turn, concat(coalesce(text, ''), {_ASKED_SQL}) as text from conversations))""")
 def route_intent(spark, d):
     """The intent of every turn, to some of which a question is added, so that all six intents come up."""
-    asked = F.element_at(F.array(*map(F.lit, _ASKED)), F.pmod(F.col("turn") + F.length("text"), F.lit(len(_ASKED))).cast("int") + 1)
-    rows = read(spark, d, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.coalesce(asked, F.lit(""))))
+    rows = _asked_turns(spark, d)
     return rows.withColumn("r", entity.route(F.col("text"))).select("conv_id", "turn", F.col("r.intent").alias("intent"), F.try_element_at("r.sources", F.lit(1)).alias("first_source"))
 
 
@@ -1047,11 +1052,10 @@ _ORDERS = "case i " + " ".join(f"when '{k}' then '{', '.join(v)}'" for k, v in d
 
 @query(f"""select conv_id, turn, concat('intent: ', i, chr(10), 'authority: ', case i when 'esa_mission' then 'esa' when 'structured_fact' then 'wikidata' when 'narrative_explanation' then 'zh_wikipedia' else 'nasa' end, chr(10), 'sources: ', {_ORDERS}) as answer from (select conv_id, turn, case when {_ANY(dims.MISSION_WORDS)} then 'esa_mission'
 when ({_ANY(dims.NUMERIC_WORDS)}) and ({_ANY(dims.NARRATIVE_WORDS)}) then 'mixed_numeric_narrative' when {_ANY(dims.STRUCTURED_WORDS)} then 'structured_fact'
-when {_ANY(dims.NUMERIC_WORDS)} then 'numeric_fact' when {_ANY(dims.NARRATIVE_WORDS)} then 'narrative_explanation' else 'uncertain' end as i from conversations)""")
+when {_ANY(dims.NUMERIC_WORDS)} then 'numeric_fact' when {_ANY(dims.NARRATIVE_WORDS)} then 'narrative_explanation' else 'uncertain' end as i from (select conv_id, turn, concat(coalesce(text, ''), {_ASKED_SQL}) as text from conversations))""")
 def answer_lines(spark, d):
-    r = entity.route(F.col("text"))
     line = retrieval.answer_line(F.col("r.intent"), F.try_element_at("r.sources", F.lit(1)), F.col("r.sources"))
-    return read(spark, d, "conversations").withColumn("r", r).select("conv_id", "turn", line.alias("answer"))
+    return _asked_turns(spark, d).withColumn("r", entity.route(F.col("text"))).select("conv_id", "turn", line.alias("answer"))
 
 
 # -- validation, audit statuses and ranking by whole rules ----------------------------------------------------------
