@@ -1176,7 +1176,7 @@ _CLASSES = ", ".join(f"('{k}', '{action}', {sure})" for k, (action, sure) in dim
 when 0 then case when p_size < 25 then 'zhwiki_extraction_error' when p_size % 6 = 0 then 'measurement_kind_mismatch' else 'true_value_conflict' end
 when 1 then case when p_size % 7 = 0 then 'wikidata_unit_or_qualifier_gap' when p_size / (p_partkey + 1000.0 + p_size) <= 0.01 then 'source_granularity_mismatch' else 'true_value_conflict' end
 when 2 then case p_size % 3 when 0 then 'entity_alias_gap' when 1 then 'ontology_semantics_mismatch' else 'true_orbit_conflict' end else 'true_value_conflict' end as name from part)
-select subject, relation, case name when 'true_orbit_conflict' then 'true_value_conflict' else name end as evidence_class, resolution, confidence from c join (values {_CLASSES}) t(name, resolution, confidence) using (name)""")
+select subject, relation, case name when 'true_orbit_conflict' then 'true_value_conflict' else name end as evidence_class, resolution, cast(confidence as double) as confidence from c join (values {_CLASSES}) t(name, resolution, confidence) using (name)""")
 def audit_evidence_classes(spark, d):
     """Why sources differ on parts, from radii, masses and hosts that come from the parts' sizes and keys; all seven classes come up."""
     k, z, turn = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 4
