@@ -168,8 +168,10 @@ def context_text(raw: Column, field: Column, hint: Column, obj: Column) -> Colum
 
 
 def utc_timestamp(c: Column) -> Column:
-    """ISO-8601 to a timestamp; null where it doesn't parse. Times without a zone count as the session's."""
-    return F.try_to_timestamp(c)
+    """ISO-8601 to a timestamp; null where it doesn't parse. A time without a zone counts as UTC, whatever the session's zone; a date as its midnight."""
+    t = F.trim(c)
+    whole = F.when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(t, F.lit("T00:00:00"))).otherwise(t)
+    return F.try_to_timestamp(F.when(F.rlike(whole, F.lit(r"(?:[Zz]|[+-]\d{2}(?::?\d{2})?)$")) & F.rlike(whole, F.lit(":")), whole).otherwise(F.concat(whole, F.lit("Z"))))
 
 
 def answer_text(c: Column, most: int = 6) -> Column:

@@ -92,3 +92,17 @@ def test_stated_quantities_and_anchors(spark):
     assert one(entity.anchor(F.lit("在木星系统内"))) == "木星系统" and one(entity.anchor(F.lit("nowhere"))) is None
     assert one(entity.anchored(F.lit("ORBITS"), F.lit("围绕火星"), F.lit("它绕火星运行"))) == "火星"
     assert one(entity.anchored(F.lit("IS_A"), F.lit("火星人"), F.lit("绕"))) == "火星人" and one(entity.anchored(F.lit("ORBITS"), F.lit("围绕火星"), F.lit(None).cast("string"))) == "围绕火星"
+
+
+def test_times_without_a_zone_are_utc(spark):
+    from factloom.functions import text
+    from pyspark.sql import functions as F
+
+    cases = [("2024-03-01T12:00:00Z", 1709294400), ("2024-03-01T12:00:00+02:00", 1709287200), ("2024-03-01T12:00:00", 1709294400), ("2024-03-01 12:00:00.5", 1709294400), ("2024-03-01", 1709251200), ("no", None), ("", None), (None, None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        rows = spark.createDataFrame(cases, "s string, t long").select(F.unix_timestamp(text.utc_timestamp(F.col("s"))).alias("got"), "t").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.got for r in rows] == [t for _, t in cases]
