@@ -145,7 +145,8 @@ def divided(df: DataFrame, key: Sequence[str], column: str, words: DataFrame, *,
 
     Words beyond one shard are not broadcast whole: each text then brings the known words that it has, found shard by shard.
     """
-    known = words.where(F.rlike("term", F.lit(r"^[\p{L}\p{N}]+$")) & (F.col("n") > 0)).select("term", F.col("n").cast("bigint").alias("n"))
+    # Written once, as it is read three times and usually counted in a corpus.
+    known = cut(words.where(F.rlike("term", F.lit(r"^[\p{L}\p{N}]+$")) & (F.col("n") > 0)).select("term", F.col("n").cast("bigint").alias("n")))
     total = float(known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1)
     fields = [df.schema[k] for k in key]
     schema = T.StructType([*fields, T.StructField("words", T.ArrayType(T.StringType()))])
