@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def _factor(unit_id: Column, dimension: str, named: Column) -> Column:
 
 def _scaled(sci: Column, with_id: Column, unit_id: Column, factor: Column) -> Column:
     number = text.first_number(F.when(unit_id == "", sci).otherwise(with_id))
-    return F.when(factor < 1, number / (1 / factor)).otherwise(number * factor)  # thousandths by an exact division
+    return text.bound(number, lambda n: F.when(factor < 1, n / (1 / factor)).otherwise(n * factor))  # thousandths by an exact division
 
 
 def _measured(raw: Column, unit_id: Column, number: Column, unit: str | Column) -> Column:
@@ -79,62 +80,55 @@ def _measured(raw: Column, unit_id: Column, number: Column, unit: str | Column)
     return _value(value, F.when(number.isNotNull(), unit).otherwise(""), number, text.mapped(status, CONFIDENCE), status, F.nullif(unit_id, F.lit("")))
 
 
+def _read(raw: Column, dimension: str, unit: str, named: Callable[[Column], Column]) -> Column:
+    """A quantity's value: the text in a parser's form, the number with a unit id in it, the id, the factor, the number, each worked out once."""
+
+    def of(sci: Column, found: Column) -> Column:
+        def of_id(uid: Column) -> Column:
+            factor = _factor(uid, dimension, text.bound(F.lower(sci), named))
+            return text.bound(text.bound(factor, lambda f: _scaled(sci, found, uid, f)), lambda n: _measured(raw, uid, n, unit))
+
+        return text.bound(_unit_id(found), of_id)
+
+    return text.bound(text.scientific_text(raw), lambda sci: text.bound(_with_id(sci), lambda found: of(sci, found)))
+
+
 def mass(raw: Column) -> Column:
-    sci = text.scientific_text(raw)
-    found = _with_id(sci)
-    uid = _unit_id(found)
-    return _measured(raw, uid, _scaled(sci, found, uid, _factor(uid, "mass", _mass_factor(F.lower(sci)))), "kg")
+    return _read(raw, "mass", "kg", _mass_factor)
 
 
 def radius(raw: Column) -> Column:
-    sci = text.scientific_text(raw)
-    found = _with_id(sci)
-    uid = _unit_id(found)
-    return _measured(raw, uid, _scaled(sci, found, uid, _factor(uid, "length", _length_factor(F.lower(sci), _words(F.lower(sci))))), "km")
+    return _read(raw, "length", "km", lambda low: text.bound(_words(low), lambda words: _length_factor(low, words)))
 
 
 def with_value(df: DataFrame, raw: Column, relation: Column, name: str) -> DataFrame:
-    """The rows with ``normalized(raw, relation)`` as column ``name``, each part worked out once: a projection for each step."""
-    q = lambda part: F.col(f"_q_{part}")
-    is_mass, is_radius = q("relation") == "HAS_MASS", q("relation") == "HAS_RADIUS"
-    steps = [
-        {"raw": raw, "relation": relation},
-        {"sci": F.when(is_mass | is_radius, text.scientific_text(q("raw")))},
-        {"with": _with_id(q("sci")), "low": F.lower(q("sci"))},
-        {"id": _unit_id(q("with")), "words": F.when(is_radius, _words(q("low")))},
-        {"factor": F.when(is_mass, _factor(q("id"), "mass", _mass_factor(q("low")))).when(is_radius, _factor(q("id"), "length", _length_factor(q("low"), q("words"))))},
-        {"n": _scaled(q("sci"), q("with"), q("id"), q("factor"))},
-    ]
-    out = df
-    for step in steps:
-        out = out.withColumns({f"_q_{k}": v for k, v in step.items()})
-    measured = _measured(q("raw"), q("id"), q("n"), F.when(is_mass, "kg").otherwise("km"))
-    value = F.when(is_mass | is_radius, measured).when(q("relation") == "HAS_ATMOSPHERE", gases(q("raw"))).otherwise(plain(q("raw")))
-    return out.withColumn(name, value).drop(*(f"_q_{k}" for step in steps for k in step))
+    """The rows with ``normalized(raw, relation)`` as column ``name``."""
+    return df.withColumn(name, normalized(raw, relation))
 
 
 def gases(raw: Column, strict: bool = False) -> Column:
     """Formulas in canonical order, joined by ';'. Unless strict, a name also counts inside a longer word."""
-    t = text.canonical_text(raw)
 
-    def named(formula: str) -> Column:
+    def named(t: Column, formula: str) -> Column:
         names = dims.GAS_NAMES[formula]
         whole = F.rlike(t, F.lit(r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(n) for n in names) + r")(?![a-z0-9])"))
-        return whole if strict else whole | text.contains_any(t, names)
+        return whole if strict else text.contains_any(t, names) | whole
+
+    def value(t: Column, found: Column) -> Column:
+        renamed = F.exists(found, lambda g: ~F.contains(t, g))
+        return F.when(F.size(found) > 0, _value(F.array_join(found, ";"), "component_set", None, 0.9, F.when(renamed, "synonym_normalized").otherwise("parsed"))).otherwise(_value(t, "", None, 0.2, "unparsed"))
 
-    found = F.array_compact(F.array(*(F.when(named(g), g) for g in dims.GAS_ORDER)))
-    renamed = F.exists(found, lambda g: ~F.contains(t, g))
-    return F.when(F.size(found) > 0, _value(F.array_join(found, ";"), "component_set", None, 0.9, F.when(renamed, "synonym_normalized").otherwise("parsed"))).otherwise(_value(t, "", None, 0.2, "unparsed"))
+    listed = lambda t: F.array_compact(F.array(*(F.when(named(t, g), g) for g in dims.GAS_ORDER)))
+    return text.bound(text.canonical_text(raw), lambda t: text.bound(listed(t), lambda found: value(t, found)))
 
 
 def plain(raw: Column) -> Column:
-    t = text.canonical_text(raw)
-    return F.when(t != "", _value(t, "", None, 0.5, "text_normalized")).otherwise(_value(t, "", None, 0.0, "empty"))
+    return text.bound(text.canonical_text(raw), lambda t: F.when(t != "", _value(t, "", None, 0.5, "text_normalized")).otherwise(_value(t, "", None, 0.0, "empty")))
 
 
 def normalized(raw: Column, relation: Column) -> Column:
     """The value of an object under its relation, as a struct."""
-    return F.when(relation == "HAS_MASS", mass(raw)).when(relation == "HAS_RADIUS", radius(raw)).when(relation == "HAS_ATMOSPHERE", gases(raw)).otherwise(plain(raw))
+    return text.bound(raw, lambda r: F.when(relation == "HAS_MASS", mass(r)).when(relation == "HAS_RADIUS", radius(r)).when(relation == "HAS_ATMOSPHERE", gases(r)).otherwise(plain(r)))
 
 
 def close(a: Column, b: Column, tolerance: float) -> Column:

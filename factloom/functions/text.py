@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ _U = "(?U)"
 NUMBER = r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once a row, however often f names it; written out, it would be worked out again at each place."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def blank(c: Column) -> Column:
     """Whether a string is null, empty or white space."""
     return F.coalesce(F.trim(c), F.lit("")) == ""
@@ -70,9 +75,12 @@ def first_number(c: Column) -> Column:
 
 def number_text(c: Column) -> Column:
     """A double with up to 12 significant digits, no trailing zeros, e-notation from 1e12 or below 1e-4."""
-    s = F.format_string("%.11e", c)
-    plain = F.regexp_replace(s.cast("decimal(30,16)").cast("string"), r"\.?0+$", "")
-    return F.when(F.rlike(s, F.lit(r"e(-0[1-4]|\+0\d|\+1[01])$")), F.regexp_replace(plain, "^-0$", "0")).otherwise(F.regexp_replace(s, r"\.?0*e", "e"))
+
+    def shown(s: Column) -> Column:
+        plain = F.regexp_replace(s.cast("decimal(30,16)").cast("string"), r"\.?0+$", "")
+        return F.when(F.rlike(s, F.lit(r"e(-0[1-4]|\+0\d|\+1[01])$")), F.regexp_replace(plain, "^-0$", "0")).otherwise(F.regexp_replace(s, r"\.?0*e", "e"))
+
+    return bound(F.format_string("%.11e", c), shown)
 
 
 def safe_name(c: Column) -> Column:

@@ -2,6 +2,9 @@
 
 import math
 
+import pytest
+
+from factloom.functions import quantity, text, validity
 from factloom.operators import graph, retrieval
 from pyspark.sql import functions as F
 
@@ -41,3 +44,25 @@ def test_cosine_top_k_of_odd_vectors_without_a_join_of_pairs(spark):
         assert {q: [s for s, _ in x] for q, x in got.items()} == {q: [s for s, _ in x] for q, x in want.items()}
         assert got[120] == want[120] == [(-0.0, i) for i in range(5)]
         assert not any(x in plan_of(found) for x in ("NestedLoop", "Cartesian"))
+
+
+@pytest.mark.parametrize(
+    "made, parts, most",
+    [
+        (lambda c: quantity.gases(c), "regexp_replace", 2),
+        (lambda c: quantity.normalized(c, F.lit("HAS_RADIUS")), "(?<=", 4),
+        (lambda c: quantity.normalized(c, F.col("r")), "(?U)", 8),
+        (lambda c: validity.stated_number(c), "ltrim", 1),
+        (lambda c: validity.strict_fault(F.col("r"), c), "(?U)", 9),
+        (lambda c: text.number_text(c.cast("double")), "format_string", 1),
+    ],
+)
+def test_what_a_value_needs_is_worked_out_once_a_row(spark, made, parts, most):
+    df = spark.range(3).select(F.concat(F.lit("1"), F.col("id").cast("string")).alias("o"), F.lit("HAS_MASS").alias("r"))
+    assert 1 <= df.select(made(F.col("o")).alias("v"))._jdf.queryExecution().analyzed().toString().count(parts) <= most
+
+
+def test_a_date_is_a_date_in_any_number_of_digits(spark):
+    cases = {"1990": True, "199": True, "19": False, "1990-5": True, "1990-005-01": True, "1990-13": False, "1990年5月": False, "-300": False, "12345": False, "1990/5/6": True}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.d for r in df.select("c", validity.stated_date(F.col("c")).alias("d")).collect()} == cases
