@@ -17,17 +17,27 @@ from factloom.sources.tables import cut
 KEY = ("subject", "relation")
 
 
-def by_source(records: DataFrame, value: Column | None = None) -> DataFrame:
+def by_source(records: DataFrame, value: Column | None = None, number: str | None = None) -> DataFrame:
     """One row for each key and source: first value, extremes of the numbers, a digest of the set of objects, and
     whether a normalised value is also one of the key's first source.
 
     Sets of values are never collected: a digest (count, xor and sum of hashes of the distinct objects) compares
     them, and a semi-join finds common values, so a key with very many values is no single row.
+
+    ``value`` is a record's value, by default its object's; if it needs nothing of the record but its object, relation and the double
+    ``number``, naming that column lets the records be grouped by a hash table of numbers, without sorting them.
     """
-    rows = quantity.with_value(records, F.col("object"), F.col("relation"), "_value") if value is None else records.withColumn("_value", value)
     own = [*KEY, "source_name"]
     # One pass over the records: the distinct objects of a key and source, written once; all else comes from these.
-    distinct = cut(rows.groupBy(*own, "object").agg(F.min("_value.normalized_value").alias("normal"), F.min_by("_value", "ordinal").alias("value"), F.min("_value.numeric_value").alias("low"), F.max("_value.numeric_value").alias("high"), F.min("ordinal").alias("ordinal")))
+    if value is None or number is not None:
+        numbers = [] if number is None else [F.min_by(number, "ordinal").alias(number), F.min(number).alias("low"), F.max(number).alias("high")]
+        distinct = records.groupBy(*own, "object").agg(F.min("ordinal").alias("ordinal"), *numbers)
+        distinct = quantity.with_value(distinct, F.col("object"), F.col("relation"), "value") if value is None else distinct.withColumn("value", value)
+        ends = (F.col("value.numeric_value"), F.col("value.numeric_value")) if number is None else (F.col("low"), F.col("high"))
+        distinct = cut(distinct.select(*own, "object", F.col("value.normalized_value").alias("normal"), "value", ends[0].alias("low"), ends[1].alias("high"), "ordinal"))
+    else:
+        v = lambda part: F.col(f"_value.{part}")
+        distinct = cut(records.withColumn("_value", value).groupBy(*own, "object").agg(F.min(v("normalized_value")).alias("normal"), F.min_by("_value", "ordinal").alias("value"), F.min(v("numeric_value")).alias("low"), F.max(v("numeric_value")).alias("high"), F.min("ordinal").alias("ordinal")))
     digest = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("object")).alias("x"), F.sum(F.xxhash64(F.lit(7), "object").cast("decimal(38,0)")).alias("s"))
     per = cut(distinct.groupBy(*own).agg(F.min_by("value", "ordinal").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("ordinal").alias("first_ordinal"), digest.alias("objects")))
     heads = per.groupBy(*KEY).agg(F.min_by("source_name", "first_ordinal").alias("source_name"))

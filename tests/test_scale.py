@@ -5,7 +5,8 @@ import math
 import pytest
 
 from factloom.functions import quantity, text, validity
-from factloom.operators import graph, retrieval
+from factloom.operators import audit, graph, retrieval
+from factloom.plans.facts import number_value
 from pyspark.sql import functions as F
 
 
@@ -66,3 +67,11 @@ def test_a_date_is_a_date_in_any_number_of_digits(spark):
     cases = {"1990": True, "199": True, "19": False, "1990-5": True, "1990-005-01": True, "1990-13": False, "1990年5月": False, "-300": False, "12345": False, "1990/5/6": True}
     df = spark.createDataFrame([(c,) for c in cases], "c string")
     assert {r.c: r.d for r in df.select("c", validity.stated_date(F.col("c")).alias("d")).collect()} == cases
+
+
+def test_records_of_a_source_are_not_sorted_to_be_grouped(spark):
+    rows = [("s", "r", o, src, n, i) for i, (o, src, n) in enumerate([("1", "a", 1.5), ("1", "a", 1.2), ("2", "a", 2.0), ("1", "b", 1.9), ("3", "b", 3.0), ("4", "c", None)])]
+    df = spark.createDataFrame(rows, "subject string, relation string, object string, source_name string, number double, ordinal bigint")
+    columns = ["source_name", "first", "low", "high", "first_ordinal", "objects", "shares"]
+    got, want = (sorted(map(str, audit.by_source(df, number_value(), *more).select(*columns).collect())) for more in (("number",), ()))
+    assert got == want
