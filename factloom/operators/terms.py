@@ -96,37 +96,25 @@ def _flags(code: np.ndarray, chosen: list[int]) -> np.ndarray:
     return table[code]
 
 
-def _divide(texts: Sequence[str | None], own: automaton.Automaton, gain: np.ndarray, least: float) -> list[list[str]]:
+def _divide(texts: Sequence[str | None], by: automaton.Divider) -> list[list[str]]:
     """Each text's words by best paths through its runs of letters and digits."""
     between = "\u0000"  # a sign between texts that belongs to no run
     whole = between.join(t or "" for t in texts)
     code = automaton.signs(whole)
     kinds = np.flatnonzero(np.bincount(code)).tolist()
+    known = {*by.own.alone}
     # Signs of scripts that put no blanks between words stay by themselves, others that no word covers join their neighbours.
-    inside, alone = (_flags(code, [c for c in kinds if test(c)]) for test in (lambda c: chr(c).isalnum(), lambda c: 0x2E80 <= c < 0xFB00 or c >= 0x20000))
+    inside, joining = (_flags(code, [c for c in kinds if test(c)]) for test in (lambda c: chr(c).isalnum(), lambda c: c not in known and not (0x2E80 <= c < 0xFB00 or c >= 0x20000)))
     edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    end, term = own.find(code)
-    size, single = own.length[term], np.ones(len(code), bool)
-    single[end[size == 1] - 1] = False
-    at = np.flatnonzero(inside & single)  # signs that are no word: each may stand alone, as if it had been seen once
-    put = np.searchsorted(end, at + 1, side="right") + np.arange(len(at))
-    found = np.ones(len(end) + len(at), bool)
-    found[put] = False
-    merged = np.empty(len(found), np.int64), np.ones(len(found), np.int64), np.full(len(found), least)
-    for whole_of, own_values in zip(merged, (end, size, gain[term]), strict=True):
-        whole_of[found] = own_values
-    merged[0][put] = at + 1
-    end, size, gains = merged
-    run = np.searchsorted(start, end - size, side="right") - 1
     words: list[list[str]] = [[] for _ in texts]
     if not len(start):
         return words
-    run, last = automaton.best_paths(stop - start, run, end - start[run], size, gains)
+    run, last = by.paths(code, start, stop - start)
     last = last + start[run]
     first = np.where(np.append(True, run[1:] != run[:-1]), start[run], np.append(0, last[:-1]))
     # Unknown signs join the ones before them in their run.
-    free = (last - first == 1) & single[first] & ~alone[first]
+    free = (last - first == 1) & joining[first]
     joins = np.append(False, free[1:] & free[:-1] & (run[1:] == run[:-1]))
     first, last = first[~joins], last[np.append(~joins[1:], True)]
     long = np.array([len(t or "") + 1 for t in texts], np.int64)
@@ -156,8 +144,8 @@ def divided(df: DataFrame, key: Sequence[str], column: str, words: DataFrame, *,
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(pa.string()))], names=[*key, "words"])
 
     def divider(terms: Sequence[str], n: Sequence[int]) -> Callable[[list[str | None]], list[list[str]]]:
-        own, gain, least = automaton.Automaton(terms), np.log(np.array(n, float)) - np.log(total), -np.log(total)
-        return lambda texts: _divide(texts, own, gain, least)
+        by = automaton.Divider(automaton.Automaton(terms), np.log(np.array(n, float)) - np.log(total), -np.log(total))
+        return lambda texts: _divide(texts, by)
 
     if len(parts) == 1:
         table = parts[0].toArrow()

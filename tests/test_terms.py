@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -77,6 +78,38 @@ def test_ties_and_empty_dictionaries(spark):
     assert run.tolist() == [0, 0] and end.tolist() == [1, 3]
 
 
+def test_paths_through_words_within_words():
+    """Rows that go on in other rows, and memory that doesn't follow all the words that could be taken."""
+    words = ["a" * k for k in range(1, 101)] + ["ab", "b", "aab"]
+    gain = -np.sqrt(np.arange(1, len(words) + 1)) - 1
+    by = automaton.Divider(automaton.Automaton(words), gain, -9.0)
+    texts = ["a" * 150, "aab" * 30 + "a" * 90, "", "caca", "b"]
+    length = np.array([len(t) for t in texts])
+    start = np.cumsum(length + 1) - length - 1
+    found = by.paths(automaton.signs("-".join(texts)), start[length > 0], length[length > 0])
+    taken = [[] for _ in texts]
+    for r, e in zip(*found, strict=True):
+        taken[np.flatnonzero(length > 0)[r]].append(int(e))
+    of = dict(zip(words, gain, strict=True))
+    for t, ends in zip(texts, taken, strict=True):
+        best, back = [0.0], [0]
+        for i in range(1, len(t) + 1):
+            ways = [(best[i - k] + of.get(t[i - k : i], -9.0 if k == 1 else -np.inf), k) for k in range(min(i, 100), 0, -1)]
+            top = max(w for w, _ in ways)
+            best.append(top)
+            back.append(next(k for w, k in ways if w == top))
+        i, expected = len(t), []
+        while i:
+            expected.append(i)
+            i -= back[i]
+        assert ends == expected[::-1]
+    long = automaton.signs("a" * 50_000)  # five million words could be taken
+    tracemalloc.start()
+    by.paths(long, np.array([0]), np.array([len(long)]))
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
 def test_query_context(spark):
     rows = [(1, "太阳_为什么 发光"), (2, "Is the  RED planet bigger than venus express"), (3, None), (4, "由谁发现 它 火卫一的直径"), (5, "数据集中在外中")]
     asked = spark.createDataFrame(rows, "id int, q string")
