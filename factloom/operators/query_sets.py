@@ -1,7 +1,7 @@
 """Question sets for evaluating a source: candidates of every kind from its facts and chunks, and a sample with a quota for each kind.
 
-The sample of a kind are its candidates with the least hashes (bottom-k): each task keeps its own least, and the least of those are the same
-however the rows are dealt. The hash is md5 of seed and id, so a set can be made again anywhere.
+The sample of a kind are its candidates with the least hashes (bottom-k). The hash is md5 of seed and id, so a set can be made again anywhere.
+Candidates are counted by the beginnings of their hashes first; only those whose beginning can be among the least are put in order.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.sources.tables import cut
+
+#: Hexadecimal digits of a hash's beginning.
+DIGITS = 3
 
 #: (source_name, kind, id, question, subject, relation, object, section, expects, path)
 FIELDS = ("source_name", "kind", "id", "question", "subject", "relation", "object", "section", "expects", "path")
@@ -36,7 +40,8 @@ def candidates(facts: DataFrame, chunks: DataFrame, forms: Mapping[str, str], qu
         who = F.sha2(F.concat_ws("|", "source_name", F.lit(kind), "subject", "relation", F.coalesce(obj, F.lit(""))), 256)
         return df.select("source_name", F.lit(kind).alias("kind"), F.substring(who, 1, 16).alias("id"), _question(forms, F.col("subject"), F.col("relation")).alias("question"), "subject", "relation", obj.alias("object"), none.alias("section"), F.lit(expects).alias("expects"), F.lit(path).alias("path"))
 
-    said = facts.where("subject is not null and relation is not null and source_name is not null").groupBy(*keys).agg(F.min("object").alias("object"), (F.min("object") != F.max("object")).alias("several"))
+    # Written once, as every kind is made from it.
+    said = cut(facts.where("subject is not null and relation is not null and source_name is not null").groupBy(*keys).agg(F.min("object").alias("object"), (F.min("object") != F.max("object")).alias("several")))
     measured = F.col("relation").isin(*quantities)
     out = rows(said.where(~measured), "structured", F.col("object"), True)
     out = out.unionByName(rows(said.where(measured), "unit_normalization", text.quantity_key(F.col("object")), True))
@@ -58,11 +63,17 @@ def candidates(facts: DataFrame, chunks: DataFrame, forms: Mapping[str, str], qu
 
 def query_set(asked: DataFrame, quotas: Mapping[str, int], seed: str = "v2") -> DataFrame:
     """Of each source and kind the ``quotas[kind]`` candidates with the least hashes, with their place; kinds without a quota are left out."""
-    place = Window.partitionBy("source_name", "kind").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "id").cast("binary")), "id")
-    most = max(quotas.values(), default=0)
-    best = asked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
-    quota = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair)) if quotas else None
-    return best.where(F.col("place") <= F.coalesce(F.try_element_at(quota, F.col("kind")), F.lit(0))) if quotas else best.where(F.lit(False))
+    if not quotas:
+        return asked.withColumn("place", F.lit(0)).where(F.lit(False))
+    kinds = ("source_name", "kind")
+    quota = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair)), F.col("kind")), F.lit(0))
+    hashed = asked.where(quota > 0).withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), "id").cast("binary"))).withColumn("_begin", F.coalesce(F.substring("_hash", 1, DIGITS), F.lit("")))
+    counts = hashed.groupBy(*kinds, "_begin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*kinds).orderBy("_begin")) - F.col("_n")
+    ends = counts.withColumn("_before", before).where(F.col("_before") < quota).groupBy(*(F.col(k).alias(f"_{k}") for k in kinds)).agg(F.max("_begin").alias("_end"))
+    least = hashed.join(F.broadcast(ends), F.col("source_name").eqNullSafe(F.col("_source_name")) & (F.col("kind") == F.col("_kind")) & (F.col("_begin") <= F.col("_end")))
+    place = F.row_number().over(Window.partitionBy(*kinds).orderBy("_hash", "id"))
+    return least.withColumn("place", place).where(F.col("place") <= quota).select(*asked.columns, "place")
 
 
 def shortfalls(chosen: DataFrame, sources: DataFrame, quotas: Mapping[str, int]) -> DataFrame:
