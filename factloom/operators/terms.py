@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +28,14 @@ SLICE_SIGNS = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """The batches in slices of about ``SLICE_SIGNS``, with their texts."""
+    """The batches in slices of about ``SLICE_SIGNS``, with their texts; only one slice's texts are Python strings at a time."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        total = np.cumsum([len(t or "") for t in texts])
+        total = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
-        while at < len(texts):
+        while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_SIGNS, side="right")))
-            yield batch.slice(at, to - at), texts[at:to]
+            part = batch.slice(at, to - at)
+            yield part, part.column(column).to_pylist()
             at = to
 
 

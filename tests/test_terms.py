@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from factloom.functions import automaton
 from factloom.operators import retrieval, terms
@@ -103,13 +104,26 @@ def test_paths_through_words_within_words():
             expected.append(i)
             i -= back[i]
         assert ends == expected[::-1]
-    long = automaton.signs("a" * 50_000)  # five million words could be taken
+    long = automaton.signs("a" * 5_000)  # half a million words could be taken
     tracemalloc.start()
     by.paths(long, np.array([0]), np.array([len(long)]))
-    assert tracemalloc.get_traced_memory()[1] < 20e6
+    assert tracemalloc.get_traced_memory()[1] < 5e6
     tracemalloc.stop()
 
 
+def test_slices_hold_one_slice_of_texts():
+    texts = [None, "", "é天😀" * 100_000, *("a" * 300_000 for _ in range(80)), None]
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts}), pa.RecordBatch.from_pydict({"id": [7], "text": ["x"]}), pa.RecordBatch.from_pydict({"id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})]
+    seen = []
+    tracemalloc.start()
+    for batch, part in terms.slices(iter(batches), "text"):
+        assert len(part) == batch.num_rows and (len(part) == 1 or sum(len(t or "") for t in part) <= terms.SLICE_SIGNS)
+        seen += zip(batch.column("id").to_pylist(), [t and (len(t), t[:3]) for t in part], strict=True)
+    assert tracemalloc.get_traced_memory()[1] < 9e6
+    tracemalloc.stop()
+    assert seen == [*((i, t and (len(t), t[:3])) for i, t in enumerate(texts)), (7, (1, "x"))]
+
+
 def test_query_context(spark):
     rows = [(1, "太阳_为什么 发光"), (2, "Is the  RED planet bigger than venus express"), (3, None), (4, "由谁发现 它 火卫一的直径"), (5, "数据集中在外中")]
     asked = spark.createDataFrame(rows, "id int, q string")
