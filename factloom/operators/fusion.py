@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from factloom import dims
 from factloom.functions import entity, quantity, text
+from factloom.sources.tables import cut
 
 KEY = ("subject", "relation")
+AGREED = "multi_source_agreement"
 
 
 def _threshold(relation: Column, thresholds: Mapping[str, float], default: float) -> Column:
@@ -24,19 +26,20 @@ def _threshold(relation: Column, thresholds: Mapping[str, float], default: float
     return out
 
 
-def fuse(records: DataFrame, *, value: Column | None = None, kind: Column | None = None, thresholds: Mapping[str, float] = dims.NEAR_THRESHOLDS, near_default: float = dims.NEAR_DEFAULT) -> DataFrame:
-    """The records with a usable key, and their group's fusion_status, n_records, sources and source_count.
-
-    In this order: all equal the first record within 1e-9 (multi_source_agreement), two or more known
-    measurement kinds, all numeric and near, otherwise several (human_review_required), or a single one.
-    """
+def _valued(records: DataFrame, value: Column | None, kind: Column | None) -> DataFrame:
+    """The records with a usable key, with their ``_value`` and ``_kind``."""
     kind = entity.measurement_kind(F.col("relation"), F.col("object"), F.col("source_title"), F.col("source_field"))["kind"] if kind is None else kind
     rows = records.where(~text.blank(F.col("subject")) & ~text.blank(F.col("relation"))).withColumn("_kind", kind)
-    rows = quantity.with_value(rows, F.col("object"), F.col("relation"), "_value") if value is None else rows.withColumn("_value", value)
+    return quantity.with_value(rows, F.col("object"), F.col("relation"), "_value") if value is None else rows.withColumn("_value", value)
+
+
+def _heads(rows: DataFrame, thresholds: Mapping[str, float], near_default: float, *more: Column) -> DataFrame:
+    """One row for each key: fusion_status, n_records, sources, and ``more`` aggregates."""
     v = lambda part: F.col(f"_value.{part}")
     usable = (v("normalized_unit") != "") & v("numeric_value").isNotNull()
+    known = F.when(F.col("_kind") != "unknown", F.col("_kind"))
     head = rows.groupBy(*KEY).agg(
-        F.min_by("_value", "ordinal").alias("_first"),
+        F.min_by(F.struct(v("numeric_value")), "ordinal").alias("_first"),
         F.count("*").alias("n_records"),
         F.count(v("numeric_value")).alias("_numbers"),
         F.min(v("numeric_value")).alias("_low"),
@@ -47,8 +50,9 @@ def fuse(records: DataFrame, *, value: Column | None = None, kind: Column | None
         F.min(v("normalized_unit")).alias("_unit"),
         F.max(v("normalized_unit")).alias("_last_unit"),
         F.count_if(usable).alias("_usable"),
-        F.size(F.collect_set(F.when(F.col("_kind") != "unknown", F.col("_kind")))).alias("_kinds"),
+        F.coalesce(F.min(known) != F.max(known), F.lit(False)).alias("_kinds"),
         F.array_sort(F.collect_set(F.nullif(F.trim("source_name"), F.lit("")))).alias("sources"),
+        *more,
     )
     first = F.col("_first.numeric_value")
     one_unit = (F.col("_usable") == F.col("n_records")) & (F.col("_unit") == F.col("_last_unit"))
@@ -58,16 +62,37 @@ def fuse(records: DataFrame, *, value: Column | None = None, kind: Column | None
     agree = F.coalesce(F.when(one_unit, numbers_agree).otherwise(texts_agree), F.lit(False))
     near = (F.col("_numbers") == F.col("n_records")) & (quantity.relative_difference(F.col("_low"), F.col("_high")) <= _threshold(F.col("relation"), thresholds, near_default))
     status = (
-        F.when((F.col("n_records") >= 2) & agree, "multi_source_agreement")
-        .when(F.col("_kinds") >= 2, "same_quantity_different_measurement_kind")
+        F.when((F.col("n_records") >= 2) & agree, AGREED)
+        .when(F.col("_kinds"), "same_quantity_different_measurement_kind")
         .when((F.col("n_records") >= 2) & near, "near_equivalent_values")
         .when(F.col("n_records") >= 2, "human_review_required")
         .otherwise("single_source_only")
     )
-    met = rows.join(head.withColumn("fusion_status", status).select(*KEY, "fusion_status", "n_records", "sources"), list(KEY))
+    return head.withColumn("fusion_status", status)
+
+
+def fuse(records: DataFrame, *, value: Column | None = None, kind: Column | None = None, thresholds: Mapping[str, float] = dims.NEAR_THRESHOLDS, near_default: float = dims.NEAR_DEFAULT) -> DataFrame:
+    """The records with a usable key, and their group's fusion_status, n_records, sources and source_count.
+
+    In this order: all equal the first record within 1e-9 (multi_source_agreement), two or more known
+    measurement kinds, all numeric and near, otherwise several (human_review_required), or a single one.
+    """
+    rows = _valued(records, value, kind)
+    met = rows.join(_heads(rows, thresholds, near_default).select(*KEY, "fusion_status", "n_records", "sources"), list(KEY))
     return met.withColumns({"measurement_kind": F.col("_kind"), "source_count": F.size("sources")}).select(*records.columns, "fusion_status", "measurement_kind", "n_records", "sources", "source_count")
 
 
+def fused_table(records: DataFrame, columns: Sequence[str], *, value: Column | None = None, kind: Column | None = None, thresholds: Mapping[str, float] = dims.NEAR_THRESHOLDS, near_default: float = dims.NEAR_DEFAULT) -> DataFrame:
+    """``columns`` of ``fused_records(fuse(records))``, with fusion_status: a group's first record comes with its status, so only others meet their group."""
+    rows = _valued(records, value, kind)
+    row = F.min_by(F.struct(*columns), "ordinal").alias("_row")
+    # Written once, as both parts read it.
+    heads = cut(_heads(rows, thresholds, near_default, row).select(*KEY, "fusion_status", F.when(F.col("fusion_status") == AGREED, F.col("_row")).alias("_row")))
+    agreed = heads.where(F.col("fusion_status") == AGREED).select("_row.*", "fusion_status")
+    others = rows.join(heads.where(F.col("fusion_status") != AGREED).select(*KEY, "fusion_status"), list(KEY))
+    return others.select(*columns, "fusion_status").unionByName(agreed)
+
+
 def fused_records(fused: DataFrame) -> DataFrame:
     """The fused table: of an agreement its first record, of all others every record."""
     merged = fused.where("fusion_status = 'multi_source_agreement'")
