@@ -75,3 +75,24 @@ def test_records_of_a_source_are_not_sorted_to_be_grouped(spark):
     columns = ["source_name", "first", "low", "high", "first_ordinal", "objects", "shares"]
     got, want = (sorted(map(str, audit.by_source(df, number_value(), *more).select(*columns).collect())) for more in (("number",), ()))
     assert got == want
+
+
+def test_missing_pairs_take_a_small_part_of_a_byte_each(spark, tmp_path):
+    left = spark.range(3000).select(F.col("id").alias("a"), F.lit(1).alias("g"))
+    right = spark.range(1000).select((F.col("id") * 7919).alias("b"), F.lit(1).alias("g"))
+    edges = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") % 1000 * 7919).alias("b"))
+    graph.missing_pairs(left, right, ["g"], ("a", "b"), edges).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3000 * 1000 - 3000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 3000 * 1000 / 2
+
+
+def test_missing_pairs_of_equal_rows_and_dense_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 4)
+    left = spark.createDataFrame([(i % 5, 0) for i in range(60)] + [(None, 0)] * 9 + [(i, 1) for i in range(20)] + [(3, None)], "a int, g int")
+    right = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(4, 0), (None, 0), (None, 0)], "b bigint, g int")
+    edges = spark.createDataFrame([(a, b) for a in range(4) for b in range(10)] * 2, "a bigint, b bigint")
+    got = graph.missing_pairs(left, right, ["g"], ("a", "b"), edges)
+    want = left.join(right, "g").join(edges, ["a", "b"], "left_anti").select("a", "b")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(graph, "BLOCK_PAIRS", 1)
+    assert sorted(map(str, graph.missing_pairs(left, right, ["g"], ("a", "b"), edges).collect())) == sorted(map(str, want.collect()))
