@@ -2,27 +2,30 @@
 
 A dictionary is dealt over shards of about ``SHARD_SIGNS`` signs, by the hash of a term; each shard is one broadcast
 automaton of bounded size, and the texts are read once for each. With one shard, as most dictionaries have, nothing is
-shuffled.
+shuffled. To divide texts the most frequent words are one automaton, and all others are found by their hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions import automaton
+from factloom.functions import automaton, wordtable
 from factloom.sources.tables import cut
 
 #: Signs of a shard's terms; its arrays take some 40 bytes a sign at most.
 SHARD_SIGNS = 1 << 22
-#: Words of a dictionary counted from a corpus.
-MOST_WORDS = 100_000
+#: Signs of words that an automaton takes beside tables: first those of ``SHORT``, none longer than ``LONG``.
+SHORT, LONG = 3, 64
+#: Words of a table (some 30 bytes each), and words that the driver reads at a time.
+TABLE_WORDS, CHUNK_WORDS = 1 << 24, 1 << 18
 #: Signs of texts that a task reads at a time, or one text.
 SLICE_SIGNS = 1 << 20
 
@@ -39,9 +42,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             at = to
 
 
-def _shards(dictionary: DataFrame, columns: Sequence[str], shard_signs: int) -> list[DataFrame]:
-    """The dictionary's different terms (column term, not empty) with ``columns``, in parts of about ``shard_signs``."""
-    terms = dictionary.where(F.length("term") > 0).groupBy("term").agg(*(F.max(c).alias(c) for c in columns)) if columns else dictionary.select("term").where(F.length("term") > 0).distinct()
+def _shards(dictionary: DataFrame, shard_signs: int) -> list[DataFrame]:
+    """The dictionary's different terms (column term, not empty), in parts of about ``shard_signs``."""
+    terms = dictionary.select("term").where(F.length("term") > 0).distinct()
     n = -(-(terms.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]) // shard_signs) or 1
     return [terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i) for i in range(n)] if n > 1 else [terms]
 
@@ -69,7 +72,7 @@ def found_terms(df: DataFrame, key: Sequence[str], column: str, dictionary: Data
 
         return rows.mapInArrow(run, schema)
 
-    parts = [one(p) for p in _shards(dictionary, [], shard_signs)]
+    parts = [one(p) for p in _shards(dictionary, shard_signs)]
     if len(parts) == 1:
         return parts[0]
     # Each shard's finds are written before the next is read.
@@ -85,11 +88,6 @@ def word_counts(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dictionary(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """The ``most`` most frequent words (of equals the first by spelling): a dictionary whose size doesn't grow with the corpus that it was counted in."""
-    return counts.orderBy(F.desc("n"), "term").limit(most)
-
-
 def _flags(code: np.ndarray, chosen: list[int]) -> np.ndarray:
     """Which signs are among the chosen."""
     table = np.zeros(int(code.max(initial=0)) + 1, bool)
@@ -97,76 +95,138 @@ def _flags(code: np.ndarray, chosen: list[int]) -> np.ndarray:
     return table[code]
 
 
-def _divide(texts: Sequence[str | None], by: automaton.Divider) -> list[list[str]]:
-    """Each text's words by best paths through its runs of letters and digits."""
-    between = "\u0000"  # a sign between texts that belongs to no run
-    whole = between.join(t or "" for t in texts)
-    code = automaton.signs(whole)
-    kinds = np.flatnonzero(np.bincount(code)).tolist()
-    known = {*by.own.alone}
-    # Signs of scripts that put no blanks between words stay by themselves, others that no word covers join their neighbours.
-    inside, joining = (_flags(code, [c for c in kinds if test(c)]) for test in (lambda c: chr(c).isalnum(), lambda c: c not in known and not (0x2E80 <= c < 0xFB00 or c >= 0x20000)))
-    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    words: list[list[str]] = [[] for _ in texts]
+#: A word that stands in a text, for the next pass over it.
+_FOUND = np.dtype([("end", "<i8"), ("size", "<i8"), ("gain", "<f8")])
+
+
+class _Runs:
+    """Texts side by side, with their runs of letters and digits."""
+
+    def __init__(self, texts: Sequence[str | None]):
+        self.whole = "\u0000".join(t or "" for t in texts)  # a sign between texts that belongs to no run
+        self.code = automaton.signs(self.whole)
+        long = np.array([len(t or "") + 1 for t in texts], np.int64)
+        self.begin = np.cumsum(long) - long
+        self.kinds = np.flatnonzero(np.bincount(self.code)).tolist()
+        inside = _flags(self.code, [c for c in self.kinds if chr(c).isalnum()])
+        edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+        self.start = np.flatnonzero(edge == 1)
+        self.length = np.flatnonzero(edge == -1) - self.start
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, place, side="right") - 1
+
+
+def _divide(runs: _Runs, by: automaton.Divider, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None, alone: Sequence[int]) -> list[list[str]]:
+    """Each text's words by best paths through its runs. more: (end, size, gain) of words that the divider lacks; alone: the signs among all of these."""
+    words: list[list[str]] = [[] for _ in runs.begin]
+    start, known = runs.start, {*by.own.alone, *alone}
     if not len(start):
         return words
-    run, last = by.paths(code, start, stop - start)
+    # Signs of scripts that put no blanks between words stay by themselves, others that no word covers join their neighbours.
+    joining = _flags(runs.code, [c for c in runs.kinds if c not in known and not (0x2E80 <= c < 0xFB00 or c >= 0x20000)])
+    run, last = by.paths(runs.code, start, runs.length, more)
     last = last + start[run]
     first = np.where(np.append(True, run[1:] != run[:-1]), start[run], np.append(0, last[:-1]))
     # Unknown signs join the ones before them in their run.
     free = (last - first == 1) & joining[first]
     joins = np.append(False, free[1:] & free[:-1] & (run[1:] == run[:-1]))
     first, last = first[~joins], last[np.append(~joins[1:], True)]
-    long = np.array([len(t or "") + 1 for t in texts], np.int64)
-    text = np.searchsorted(np.cumsum(long) - long, first, side="right") - 1
-    for t, i, j in zip(text.tolist(), first.tolist(), last.tolist(), strict=True):
-        words[t].append(whole[i:j])
+    for t, i, j in zip(runs.text_of(first).tolist(), first.tolist(), last.tolist(), strict=True):
+        words[t].append(runs.whole[i:j])
     return words
 
 
-def divided(df: DataFrame, key: Sequence[str], column: str, words: DataFrame, *, shard_signs: int = SHARD_SIGNS) -> DataFrame:
-    """(key, words): each text's words, by the likeliest path over a lattice of known words.
+def _gains(n: pa.ChunkedArray, total: float) -> np.ndarray:
+    return np.log(n.to_numpy().astype(float)) - np.log(total)
 
-    words: (term, n), each known word with its count; a word's probability is its share of all counts, and a sign that is no word counts as
-    seen once. Runs of letters and digits are divided by themselves, all other signs are left out. Unknown signs that follow each other
-    join, except in scripts without blanks. Of equally likely paths the one with the longest last word counts.
 
-    Words beyond one shard are not broadcast whole: each text then brings the known words that it has, found shard by shard.
-    """
-    # Written once, as it is read three times and usually counted in a corpus.
-    known = cut(words.where(F.rlike("term", F.lit(r"^[\p{L}\p{N}]+$")) & (F.col("n") > 0)).select("term", F.col("n").cast("bigint").alias("n")))
-    total = float(known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1)
-    fields = [df.schema[k] for k in key]
-    schema = T.StructType([*fields, T.StructField("words", T.ArrayType(T.StringType()))])
-    parts = _shards(known, ["n"], shard_signs)
+def _tables(words: DataFrame, tables: int, chunks: int, total: float) -> Iterator[wordtable.WordTable]:
+    """The words (term, n), dealt over tables by their hashes; the driver reads a chunk at a time."""
+    lengths = [r[0] for r in words.select(F.length("term")).distinct().collect()]
+    dealt = F.pmod(F.xxhash64("term"), F.lit(tables * chunks))
 
-    def rows(batch: pa.RecordBatch, found: list[list[str]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(pa.string()))], names=[*key, "words"])
+    def read(k: int) -> tuple[list[str], np.ndarray]:
+        part = words.where(dealt == k).toArrow()
+        return part["term"].to_pylist(), _gains(part["n"], total)
 
-    def divider(terms: Sequence[str], n: Sequence[int]) -> Callable[[list[str | None]], list[list[str]]]:
-        by = automaton.Divider(automaton.Automaton(terms), np.log(np.array(n, float)) - np.log(total), -np.log(total))
-        return lambda texts: _divide(texts, by)
+    for i in range(tables):
+        yield wordtable.WordTable(lengths, (read(i * chunks + k) for k in range(chunks)))
 
-    if len(parts) == 1:
-        table = parts[0].toArrow()
-        sent = df.sparkSession.sparkContext.broadcast((table["term"].to_pylist(), table["n"].to_pylist()))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            work = divider(*sent.value)
-            for batch, texts in slices(batches, column):
-                yield rows(batch, work(texts))
+def _with_found(rows: DataFrame, column: str, sent: Broadcast) -> DataFrame:
+    """The rows with what a table's words find in each text, added to what is in _found."""
+    kept = [c for c in rows.columns if c != "_found"]
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("_found", T.BinaryType())])
 
-        return df.select(*dict.fromkeys([*key, column])).mapInArrow(run, schema)
-    has = found_terms(df, key, column, known, shard_signs=shard_signs).select(*key, F.explode("terms").alias("term"))
-    own = has.join(known, "term").groupBy(*key).agg(F.collect_list(F.struct("term", "n")).alias("_own"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, column):
+            runs = _Runs(texts)
+            end, size, gain = sent.value.find(runs.code, runs.start, runs.length)
+            text = runs.text_of(end - 1)
+            order = np.argsort(text, kind="stable")
+            found = np.empty(len(end), _FOUND)
+            found["end"], found["size"], found["gain"] = (end - runs.begin[text])[order], size[order], gain[order]
+            at = np.searchsorted(text[order], np.arange(len(texts) + 1))
+            before = batch.column("_found").to_pylist() if "_found" in batch.schema.names else [b""] * len(texts)
+            both = [x + found[i:j].tobytes() for x, i, j in zip(before, at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(both, pa.binary())], names=[*kept, "_found"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _all_found(runs: _Runs, batch: pa.RecordBatch, table: wordtable.WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, size, gain) of what the last table and the ones before it find, by falling size."""
+    found = table.find(runs.code, runs.start, runs.length)
+    if "_found" not in batch.schema.names:
+        return found
+    before = [np.frombuffer(x, _FOUND) for x in batch.column("_found").to_pylist()]
+    ends = np.concatenate([found[0], *(x["end"] + b for x, b in zip(before, runs.begin, strict=True))])
+    sizes, gains = (np.concatenate([own, *(x[name] for x in before)]) for own, name in ((found[1], "size"), (found[2], "gain")))
+    order = np.argsort(-sizes, kind="stable")
+    return ends[order], sizes[order], gains[order]
+
+
+def divided(df: DataFrame, key: Sequence[str], column: str, words: DataFrame, *, shard_signs: int = SHARD_SIGNS, table_words: int = TABLE_WORDS) -> DataFrame:
+    """(key, words): each text's words, by the likeliest path over a lattice of known words.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words: (term, n), each known word with its count; a word's probability is its share of all counts, and a sign that is no word counts as
+    seen once. Runs of letters and digits are divided by themselves, all other signs are left out. Unknown signs that follow each other
+    join, except in scripts without blanks. Of equally likely paths the one with the longest last word counts.
+
+    Every word counts, however many there are: an automaton of at most ``shard_signs`` signs has the shortest and the most frequent ones,
+    tables of ``table_words`` words by their hashes have all others. Texts are read once for each table; what all tables but the last
+    find in a text is written beside it.
+    """
+    # Written once, as it is read several times and usually counted in a corpus.
+    known = words.where(F.rlike("term", F.lit(r"^[\p{L}\p{N}]+$")) & (F.col("n") > 0)).select("term", F.col("n").cast("bigint").alias("n"))
+    known = cut(known.groupBy("term").agg(F.max("n").alias("n"), F.sum("n").alias("_all")))
+    total, many = known.agg(F.coalesce(F.sum("_all"), F.lit(0)), F.count("*")).first()
+    total = float(total or 1)
+    # Short words come first, as they stand nearly everywhere; then the most frequent ones.
+    place = lambda n, term: F.struct(F.length(term) > SHORT, -n, term)
+    first = known.where(F.length("term") <= LONG).orderBy(place(F.col("n"), F.col("term"))).limit(shard_signs // LONG).select("term", "n").toArrow()
+    rest = known.select("term", "n")
+    if len(first):
+        rest = rest.where((F.length("term") > LONG) | (place(F.col("n"), F.col("term")) > place(F.lit(first["n"][-1].as_py()).cast("bigint"), F.lit(first["term"][-1].as_py()))))
+    send = df.sparkSession.sparkContext.broadcast
+    rows = df.select(*dict.fromkeys([*key, column]))
+    rare, table, alone = many - len(first), None, []
+    tables = -(-rare // table_words)
+    for i, table in enumerate(_tables(rest, tables, -(-min(rare, table_words) // CHUNK_WORDS), total) if rare else []):
+        alone += table.alone
+        if i < tables - 1:
+            rows = cut(_with_found(rows, column, send(table)))
+    sent = send((automaton.Divider(automaton.Automaton(first["term"].to_pylist()), _gains(first["n"], total), -np.log(total)), table, alone))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, table, alone = sent.value
         for batch, texts in slices(batches, column):
-            bring = {x["term"]: x["n"] for one in batch.column("_own").to_pylist() for x in one or []}
-            yield rows(batch, divider([*bring], [*bring.values()])(texts))
+            runs = _Runs(texts)
+            found = _divide(runs, by, _all_found(runs, batch, table) if table else None, alone)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(pa.string()))], names=[*key, "words"])
 
-    return df.select(*dict.fromkeys([*key, column])).join(own, list(key), "left").mapInArrow(each, schema)
+    return rows.mapInArrow(run, T.StructType([*(df.schema[k] for k in key), T.StructField("words", T.ArrayType(T.StringType()))]))
 
 
 def distinct_in_order(*lists: Column) -> Column:

@@ -6,8 +6,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
-from factloom.functions import automaton
+from factloom.functions import automaton, wordtable
 from factloom.operators import retrieval, terms
+from factloom.plans.catalogue import CATALOGUE
 
 
 @pytest.mark.parametrize(("lane", "cells"), [(1, 1 << 25), (3, 0), (3, 1 << 25), (512, 0), (512, 1 << 25)])
@@ -65,6 +66,52 @@ def test_division_is_the_best_of_all(spark, shard_signs):
     assert found[101][0] == "then" and "".join(found[101][1:]) == "天地心心" and found[101][-2:] == ["心", "心"]
 
 
+def test_all_words_of_a_corpus_count(spark, tmp_path):
+    """A word that is rarer than 100,000 others is a word."""
+    name = lambda i: "".join(chr(97 + (i >> 4 * k) % 16) for k in range(5))
+    rows = [(d, " ".join(name(i) for i in range(d * 500, d * 500 + 500)) * 2) for d in range(202)] + [(900, "qqx, yzzz qqx yzzz"), (901, "qxqxq"), (902, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.words for r in CATALOGUE["text_word_lattice"][0](spark, str(tmp_path)).where("doc_id >= 900").collect()}
+    assert found == {900: "qqx yzzz qqx yzzz", 901: "qxqxq", 902: ""}
+
+
+@pytest.mark.parametrize("shard_signs, table_words, chunk", [(1 << 22, 1 << 20, 1 << 20), (64 * 7, 1 << 20, 5), (0, 1 << 20, 4), (64 * 3, 9, 4), (0, 10, 10)])
+def test_words_of_tables_divide_as_those_of_an_automaton(spark, monkeypatch, shard_signs, table_words, chunk):
+    monkeypatch.setattr(terms, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(terms, "SLICE_SIGNS", 150)
+    r = random.Random(4)
+    counts = {"".join(r.choices("天地ab😀x", k=r.randrange(1, 6))): r.randrange(1, 40) for _ in range(40)} | {"ab" * 70: 3, "b" * 65: 2, "z": 1}
+    counts = {w: n for w, n in counts.items() if w.isalnum()}
+    texts = ["".join(r.choices("天地abx, c😀z", k=r.randrange(0, 60))) for _ in range(50)] + ["ab" * 140, "b" * 200, None, ""]
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "id int, text string").coalesce(2)
+    known = spark.createDataFrame([*counts.items()], "term string, n long")
+    got = terms.divided(df, ["id", "text"], "text", known, shard_signs=shard_signs, table_words=table_words).collect()
+    by = automaton.Divider(automaton.Automaton([*counts]), np.log(np.array([*counts.values()], float)) - np.log(sum(counts.values())), -np.log(sum(counts.values())))
+    want = [(i % 7, t, terms._divide(terms._Runs([t]), by, None, [])[0]) for i, t in enumerate(texts)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("bits, base", [(27, None), (3, None), (27, 1)])
+def test_word_tables_find_every_word_and_nothing_else(monkeypatch, bits, base):
+    """Also where bit tables let everything through, and where words share the first half of their hashes."""
+    monkeypatch.setattr(wordtable, "TABLE_BITS", bits)
+    if base:
+        monkeypatch.setattr(wordtable, "_BASES", (base, wordtable._BASES[1]))
+    r = random.Random(bits)
+    words = sorted({"".join(r.choices("ab你😀", k=r.randrange(1, 6))) for _ in range(60)} | {"ab" * 40})
+    table = wordtable.WordTable({len(w) for w in words}, ((words[i : i + 7], np.arange(i, min(i + 7, len(words)), dtype=float)) for i in range(0, len(words), 7)))
+    assert sorted(map(chr, table.alone)) == [w for w in words if len(w) == 1]
+    text = "".join(r.choices("ab你😀c", k=400)) + "ab" * 50
+    start = np.array([0, 130, 131, 300])
+    length = np.array([120, 1, 160, 200])
+    end, size, gain = table.find(automaton.signs(text), start, length)
+    want = [(k + len(w), len(w), j) for a, n in zip(start.tolist(), length.tolist(), strict=True) for j, w in enumerate(words) for k in range(a, a + n - len(w) + 1) if text.startswith(w, k)]
+    assert sorted(zip(end.tolist(), size.tolist(), gain.tolist(), strict=True)) == sorted(want)
+    assert (np.diff(size) <= 0).all()
+    none = wordtable.WordTable([], [])
+    assert [len(x) for x in none.find(automaton.signs("ab"), np.array([0]), np.array([2]))] == [0, 0, 0]
+
+
 def test_unknown_letters_join(spark):
     known = spark.createDataFrame([("the", 50), ("q", 3)], "term string, n long")
     df = spark.createDataFrame([(1, "xyzthe12q7 the漢字")], "id int, text string")
