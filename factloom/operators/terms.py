@@ -117,24 +117,27 @@ class _Runs:
         return np.searchsorted(self.begin, place, side="right") - 1
 
 
-def _divide(runs: _Runs, by: automaton.Divider, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None, alone: Sequence[int]) -> list[list[str]]:
+def _divide(runs: _Runs, by: automaton.Divider, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None, alone: Sequence[int]) -> pa.ListArray:
     """Each text's words by best paths through its runs. more: (end, size, gain) of words that the divider lacks; alone: the signs among all of these."""
-    words: list[list[str]] = [[] for _ in runs.begin]
     start, known = runs.start, {*by.own.alone, *alone}
-    if not len(start):
-        return words
     # Signs of scripts that put no blanks between words stay by themselves, others that no word covers join their neighbours.
     joining = _flags(runs.code, [c for c in runs.kinds if c not in known and not (0x2E80 <= c < 0xFB00 or c >= 0x20000)])
     run, last = by.paths(runs.code, start, runs.length, more)
     last = last + start[run]
-    first = np.where(np.append(True, run[1:] != run[:-1]), start[run], np.append(0, last[:-1]))
+    first = np.where(np.append(True, run[1:] != run[:-1])[: len(run)], start[run], np.append(0, last[:-1])[: len(run)])
     # Unknown signs join the ones before them in their run.
     free = (last - first == 1) & joining[first]
-    joins = np.append(False, free[1:] & free[:-1] & (run[1:] == run[:-1]))
-    first, last = first[~joins], last[np.append(~joins[1:], True)]
-    for t, i, j in zip(runs.text_of(first).tolist(), first.tolist(), last.tolist(), strict=True):
-        words[t].append(runs.whole[i:j])
-    return words
+    joins = np.append(False, free[1:] & free[:-1] & (run[1:] == run[:-1]))[: len(run)]
+    first, last = first[~joins], last[np.append(~joins[1:], True)[: len(run)]]
+    # The words' bytes one behind the other; runs are words from end to end.
+    width = 1 + (runs.code >= 0x80).astype(np.int8) + (runs.code >= 0x800) + (runs.code >= 0x10000)
+    size = np.append(0, np.cumsum(width, dtype=np.int64))
+    inside = np.zeros(len(runs.code), bool)
+    inside[automaton.ranges(start, runs.length)] = True
+    data = np.frombuffer(runs.whole.encode(), np.uint8)[np.repeat(inside, width)]
+    ends = np.append(0, np.cumsum(size[last] - size[first]))
+    words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(data)).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, np.append(runs.begin, len(runs.code) + 1)), pa.int32()), words)
 
 
 def _gains(n: pa.ChunkedArray, total: float) -> np.ndarray:
@@ -224,7 +227,7 @@ def divided(df: DataFrame, key: Sequence[str], column: str, words: DataFrame, *,
         for batch, texts in slices(batches, column):
             runs = _Runs(texts)
             found = _divide(runs, by, _all_found(runs, batch, table) if table else None, alone)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(found, pa.list_(pa.string()))], names=[*key, "words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), found], names=[*key, "words"])
 
     return rows.mapInArrow(run, T.StructType([*(df.schema[k] for k in key), T.StructField("words", T.ArrayType(T.StringType()))]))
 

@@ -87,7 +87,7 @@ def test_words_of_tables_divide_as_those_of_an_automaton(spark, monkeypatch, sha
     known = spark.createDataFrame([*counts.items()], "term string, n long")
     got = terms.divided(df, ["id", "text"], "text", known, shard_signs=shard_signs, table_words=table_words).collect()
     by = automaton.Divider(automaton.Automaton([*counts]), np.log(np.array([*counts.values()], float)) - np.log(sum(counts.values())), -np.log(sum(counts.values())))
-    want = [(i % 7, t, terms._divide(terms._Runs([t]), by, None, [])[0]) for i, t in enumerate(texts)]
+    want = [(i % 7, t, terms._divide(terms._Runs([t]), by, None, []).to_pylist()[0]) for i, t in enumerate(texts)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
